@@ -60,7 +60,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
 class Model:
     """Pieces, scores and types of a model file, and what its encoder needs."""
 
-    def __init__(self, data: bytes, cache: int = 400_000):
+    def __init__(self, data: bytes, cache: int = 600_000):
         self.pieces: list[str] = []
         scores, kinds = [], []
         normaliser: dict[int, bytes | int] = {}
@@ -87,7 +87,7 @@ class Model:
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == NORMAL}
         self.scores = scores
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         # Pieces that merging their own characters does not give are never a token of an encoding.
         reachable = {p: i for p, i in self.ids.items() if len(p) == 1 or self._merge(p) == [i]}
         self.automaton = ahocorasick.Automaton()
@@ -135,28 +135,24 @@ class Model:
 
     def _fits(self, a: int, b: int) -> bool:
         """Would merging leave the border between these tokens alone?"""
-        known = self.compatible.get((a, b))
-        if known is None:
-            known = self._merge(self.pieces[a] + self.pieces[b]) == [a, b]
-            if len(self.compatible) > 2_000_000:
-                self.compatible.clear()
-            self.compatible[a, b] = known
-        return known
+        fits = self._merge(self.pieces[a] + self.pieces[b]) == [a, b]
+        if len(self.compatible) > 500_000:
+            self.compatible.clear()
+        self.compatible[a << 32 | b] = fits
+        return fits
 
     def _tokens(self, s: str) -> list[int]:
         """The ids of a normalised string, by the table of prefixes."""
         n = len(s)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(s):
-            ends[end].append(found)
         last = [-1] * (n + 1)  # of the prefix of each length; -1: a character that is no piece
         size = [1] * (n + 1)
-        for end in range(n):
-            for length, token in ends[end]:
-                start = end + 1 - length
-                if start == 0 or last[start] < 0 or self._fits(last[start], token):
-                    last[end + 1], size[end + 1] = token, length
-                    break
+        fits, known = self._fits, self.compatible.get
+        for end, (length, token) in self.automaton.iter(s):
+            end += 1
+            if last[end] < 0:
+                before = last[end - length]
+                if before < 0 or (fits(before, token) if (fit := known(before << 32 | token)) is None else fit):
+                    last[end], size[end] = token, length
         out: list[int] = []
         i = n
         while i:
