@@ -34,13 +34,24 @@ def new_dir(spark: SparkSession, label: str) -> str:
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and return what was written."""
+    """Write df as Parquet in the shared folder and return what was written.
+
+    Afterwards the driver collects its garbage, so that Spark's cleaner drops
+    the shuffle files that the write has left behind.
+    """
     spark = df.sparkSession
     path = new_dir(spark, label)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(spark: SparkSession, df: DataFrame) -> None:
+    """Delete a table made here, which nothing may read any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop(spark, path)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
