@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, pieces, quality, shards
+from . import mixing, neardup, pieces, quality, repeats, shards
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), 50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_mixing": op5_mixing,
         "op8_sharding": op8_sharding,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
@@ -75,7 +80,24 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM failed JOIN bad ON failed.source IS NOT DISTINCT FROM bad.source
 """
 
-ORACLE_SQL = {"op4_quality_rules": OP4_SQL}
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i + 1 : i + 50], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50)
+), hit AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM windows) WHERE doc_id > least
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM hit, (SELECT unnest(range(0, 50)) AS k)
+), removed AS (
+  SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN ws ELSE [x FOR x, i IN ws IF NOT list_contains(ps, i - 1)] END, ' ')) AS kept_sha256
+FROM w LEFT JOIN removed USING (doc_id)
+"""
+
+ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op10_substring_dedup": OP10_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
