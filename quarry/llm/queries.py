@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, pieces, quality, repeats, shards
+from . import mixing, neardup, pages, pieces, quality, repeats, shards
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_quality_rules": op4_quality_rules,
         "op5_mixing": op5_mixing,
+        "op6_html_extraction": op6_html_extraction,
         "op8_sharding": op8_sharding,
         "op10_substring_dedup": op10_substring_dedup,
     }
