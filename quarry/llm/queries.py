@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, pages, pieces, quality, repeats, shards
+from . import mixing, neardup, ngrams, pages, pieces, quality, repeats, shards
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngrams.held_out_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_mixing": op5_mixing,
         "op6_html_extraction": op6_html_extraction,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_sharding": op8_sharding,
         "op10_substring_dedup": op10_substring_dedup,
     }
