@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, ngrams, pages, pieces, quality, repeats, shards
+from . import mixing, neardup, neighbours, ngrams, pages, pieces, quality, repeats, shards
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=80)
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 50 == 0, 5)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
+        "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_quality_rules": op4_quality_rules,
         "op5_mixing": op5_mixing,
