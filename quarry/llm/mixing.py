@@ -51,13 +51,62 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     # Sources are capped in the order of most / w, as the level of words per weight rises.
     rise = Window.orderBy(F.col("most") / F.col("w"), F.col("source").isNull(), "source")
     upto, everything = rise.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    s = s.select("*", F.coalesce(F.sum("most").over(upto), F.lit(0.0)).alias("full"), F.coalesce(F.sum("w").over(upto), F.lit(0.0)).alias("w_full"), (F.sum("source_size").over(everything) * float(share)).alias("total"), F.sum("w").over(everything).alias("w_all"))
+    s = s.select("*", F.coalesce(F.sum("most").over(upto), F.lit(0.0)).alias("full"), F.coalesce(F.sum("w").over(upto), F.lit(0.0)).alias("w_full"), (F.sum("source_size").over(everything) * float(share)).alias("total"), F.sum("w").over(everything).alias("w_all"), F.row_number().over(rise).alias("turn"))
     level = (F.col("total") - F.col("full")) / (F.col("w_all") - F.col("w_full"))
-    s = s.withColumn("level", F.when(level * F.col("w") <= F.col("most"), level))
-    level = F.coalesce(F.min("level").over(everything), F.lit(float("inf")))
+    # The level stands where the first source is reached that is not full; if all are full, above all.
+    s = s.withColumn("level", F.when(level * F.col("w") <= F.col("most"), F.struct("turn", level.alias("level"))))
+    level = F.coalesce(F.min("level").over(everything)["level"], F.lit(float("inf")))
     return s.select("source", "source_size", F.least(level * F.col("w"), F.col("most")).alias("target"))
 
 
+def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, ranges: int) -> tuple[Column, Column]:
+    """A document's key, and its range of keys: ranges are about equally full, since keys are close to exponential."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), docs[id_col]), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    key = -F.log(u) / quality_weight(docs[text_col])
+    return key, F.floor((1 - F.exp(-key)) * ranges).cast("int")
+
+
+def _plan(rows: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """source, source_size, target, epochs and cut for each source of rows (doc_id, source, size, key, range).
+
+    After the epochs the mix takes the documents whose (key, doc_id, size) is
+    below cut; a null cut takes all that are left.
+    """
+    sizes = rows.groupBy("source", "range").agg(F.sum("size").alias("size"))
+    by_source = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    by_source = by_source.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.try_divide(F.col("target"), F.col("source_size")))).otherwise(0).cast("long"))
+    by_source = by_source.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    steps = sizes.select("source", "range", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    # The first range that does not fit as a whole.
+    s, t = steps.alias("s"), by_source.alias("t")
+    over = F.col("s.start") + F.col("s.size") > F.col("t.budget")
+    ends = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source")) & over).groupBy(F.col("t.source").alias("source")).agg(F.min(F.struct("s.range", "s.start", "t.budget")).alias("end"))
+    ends = scratch.table(ends.select("source", "end.range", "end.start", "end.budget"), "mixing-ends")
+    r, e = rows.alias("r"), ends.alias("e")
+    edge = r.join(e, F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.range") == F.col("e.range"))).select("r.source", "r.doc_id", "r.size", "r.key", "e.start", "e.budget")
+    inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    # The document in which the budget ends is in when half of it fits.
+    edge = edge.withColumn("out", begun + F.col("size") / 2 > F.col("budget"))
+    cuts = edge.groupBy("source").agg(F.min(F.when(F.col("out"), F.struct("key", "doc_id", "size"))).alias("cut"), F.max(F.struct("key", "doc_id", "size")).alias("top"))
+    # A range of which all documents are in still ends the sample.
+    past = F.struct(F.col("top.key").alias("key"), F.col("top.doc_id").alias("doc_id"), (F.col("top.size") + 1).alias("size"))
+    cuts = cuts.select("source", F.coalesce("cut", past).alias("cut"))
+    b, c = by_source.alias("b"), cuts.alias("c")
+    planned = b.join(c, F.col("b.source").eqNullSafe(F.col("c.source")), "left").select("b.source", "b.source_size", "b.target", "b.epochs", "c.cut")
+    return scratch.table(planned, "mixing-plan")
+
+
+def _selected(key: Column, doc_id: Column, size: Column, plan: DataFrame) -> Column:
+    return plan["cut"].isNull() & (plan["epochs"] * plan["source_size"] < plan["target"]) | F.coalesce(F.struct(key.alias("key"), doc_id.alias("doc_id"), size.alias("size")) < plan["cut"], F.lit(False))
+
+
+def _rows(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, ranges: int) -> DataFrame:
+    key, at = _keyed(docs, seed, id_col, text_col, ranges)
+    return scratch.table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(docs[text_col]).alias("size"), key.alias("key"), at.alias("range")), "mixing")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (3, 1, 2),
@@ -69,36 +118,35 @@ def mix(
     source_col: str = "source",
     ranges: int = 16384,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs, selected, copies and taken for every row of docs.
+    """doc_id, source, size, source_size, target, copies and taken for every row of docs.
 
     copies counts how often the mix has the document, taken its words in it.
     A null text has size 0; a null source is a source, the last one.  Rows
     with equal ids have equal keys and are told apart by size only, so the
     result is the same in every run.  An empty table gives no rows.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), (-F.log(u) / quality_weight(F.col(text_col))).alias("key"))
-    # Ranges of keys of about equal population: keys are close to exponential.
-    rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int"))
-    rows = scratch.table(rows, "mixing")
-    sizes = rows.groupBy("source", "range").agg(F.sum("size").alias("size"))
-    by_source = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    by_source = by_source.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    by_source = by_source.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    steps = sizes.select("source", "range", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    s, t = steps.alias("s"), by_source.alias("t")
-    # The first range that does not fit as a whole.
-    ends = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).groupBy(F.col("t.source").alias("source"), F.col("t.source_size").alias("source_size"), "target", "epochs", "budget")
-    over = F.col("s.start") + F.col("s.size") > F.col("budget")
-    ends = ends.agg(F.coalesce(F.min(F.when(over, F.col("s.range"))), F.lit(ranges + 1)).alias("last"), F.min(F.when(over, F.col("s.start"))).alias("start"))
-    d, e = rows.alias("d"), scratch.table(ends, "mixing-ends").alias("e")
-    joined = d.join(e, F.col("d.source").eqNullSafe(F.col("e.source")), "left").select("doc_id", F.col("d.source").alias("source"), "size", "key", "range", "source_size", "target", "epochs", "budget", "last", "start")
-    edge = joined.where(F.col("range") == F.col("last"))
-    inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    begun = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    # The document in which the budget ends is in when more than half of it fits.
-    edge = edge.withColumn("selected", begun + F.col("size") / 2 <= F.col("budget"))
-    rest = joined.where(F.col("range") != F.col("last")).withColumn("selected", F.col("range") < F.col("last"))
-    copies = F.col("epochs") + F.col("selected").cast("long")
-    return rest.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", "epochs", "selected", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    rows = _rows(docs, seed, id_col, text_col, source_col, ranges)
+    plan = _plan(rows, weights, share, cap)
+    copies = plan["epochs"] + _selected(rows["key"], rows["doc_id"], rows["size"], plan).cast("long")
+    joined = rows.join(plan, rows["source"].eqNullSafe(plan["source"]), "left")
+    return joined.select("doc_id", rows["source"], "size", "source_size", "target", copies.alias("copies"), (copies * rows["size"]).alias("taken"))
+
+
+def sample(
+    docs: DataFrame,
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    ranges: int = 16384,
+) -> DataFrame:
+    """The mix itself: the rows of docs, with docs' columns, each as often as the mix has it."""
+    plan = _plan(_rows(docs, seed, id_col, text_col, source_col, ranges), weights, share, cap)
+    key, _ = _keyed(docs, seed, id_col, text_col, ranges)
+    copies = plan["epochs"] + _selected(key, docs[id_col], word_count(docs[text_col]), plan).cast("long")
+    columns = [docs[c] for c in docs.columns]
+    joined = docs.join(plan, docs[source_col].eqNullSafe(plan["source"]), "left").select(*columns, copies.alias("_quarry_copies")).where(F.col("_quarry_copies") > 0)
+    return joined.withColumn("_quarry_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_quarry_copies")))).select(*docs.columns)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, neardup, neighbours, ngrams, pages, pieces, quality, repeats, shards
+from . import licenses, mixing, neardup, neighbours, ngrams, pages, pieces, quality, repeats, shards
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +42,15 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     s = shards.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), 16)
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return licenses.scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), 50)
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_extraction": op6_html_extraction,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_sharding": op8_sharding,
+        "op9_license_scan": op9_license_scan,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
@@ -113,7 +118,7 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM w LEFT JOIN removed USING (doc_id)
 """
 
-ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op9_license_scan": licenses.oracle(), "op10_substring_dedup": OP10_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
