@@ -1,3 +1,11 @@
 """quarry: a PySpark-native retrieval and index-analytics engine for code and text."""
 
+from .config import Config
+from .operators.embed import HashingEmbedder
+from .operators.filters import Filters
+from .plans.indexing import Indexer
+from .plans.retrieval import SearchOptions
+from .store import ChunkStore
+
 __version__ = "0.1.0"
+__all__ = ["ChunkStore", "Config", "Filters", "HashingEmbedder", "Indexer", "SearchOptions"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import LANGUAGES
 
@@ -20,7 +21,7 @@ def file_hash(content: Column) -> Column:
     return F.coalesce(F.sha2(content, 256), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     """UTF-8 text without invalid bytes, with line ends as newlines."""
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"))

@@ -9,12 +9,13 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import has_content, strip
 from ..schema import CODE_LANGUAGES
 from .code_scan import definitions
 
-CHUNK_TYPE = "array<struct<text:string,start_line:int,end_line:int,chunk_type:string,name:string>>"
+CHUNK_TYPE = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("chunk_type", T.StringType()), T.StructField("name", T.StringType())]))
 HEADER = r"(?dU)^(#{1,6})\s+(.+)$"
 
 
