@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..schema import VECTOR_DIMENSION
 
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 class Embedder(Protocol):
