@@ -70,6 +70,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM pairs JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 80 * (a.n + b.n - c)
+), ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach(u, v) AS (
+  SELECT u, v FROM ways UNION SELECT reach.u, ways.v FROM reach JOIN ways ON reach.v = ways.u
+), least AS (
+  SELECT u, min(v) AS v FROM reach GROUP BY u
+)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least.v, doc_id)) AS component_id, least(doc_id, coalesce(least.v, doc_id)) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON u = doc_id
+"""
+
 OP4_SQL = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -118,7 +140,7 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM w LEFT JOIN removed USING (doc_id)
 """
 
-ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op9_license_scan": licenses.oracle(), "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL, "op9_license_scan": licenses.oracle(), "op10_substring_dedup": OP10_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
