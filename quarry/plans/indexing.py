@@ -24,7 +24,10 @@ def chunk_rows(files: DataFrame, branch: str | None, embedder: embed.Embedder |
     slim = files.select("path", "file_hash", text.alias("text"), detect_language(F.col("path")).alias("language")).where(has_content(F.col("text")))
     rows = chunk.chunk_files(slim, max_words, overlap_words)
     rows = rows.withColumns({"branch": F.lit(branch).cast("string"), "indexed_at": F.lit(time.time() if indexed_at is None else indexed_at)})
-    return embed.with_vectors(rows, embedder, batch_size)
+    # Models cost far more than chunking: chunks are dealt out evenly, whatever files they come from.
+    spark = files.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return embed.with_vectors(rows.repartition(parts, "path", "chunk_seq"), embedder, batch_size)
 
 
 @dataclass(frozen=True)

@@ -19,8 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..schema import FILE
 from .ignore import IgnoreSpec, load_nested_ignore
 
-BYTES_PER_PARTITION = 64 << 20
-OPEN_COST = 64 << 10
+BYTES_PER_PARTITION = 16 << 20
+OPEN_COST = 256 << 10
 
 
 def walk(root: str, exclude: Sequence[str] = (), use_gitignore: bool = True) -> Iterator[tuple[str, str, int]]:
