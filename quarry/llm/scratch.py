@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
 ``spark.checkpoint.dir`` names the folder.  Where the session has none (tests,
-a laptop), one is made and set.  Tables written here cut lineage: a lost
+a laptop), a temporary one is made.  Tables written here cut lineage: a lost
 executor costs a re-read, never a recomputation of the whole plan.
 """
 
@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _made: list[str] = []
+_own: dict[str, str] = {}  # by application, where the session names no folder
 
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(_KEY, "") or spark.sparkContext.getConf().get(_KEY, "")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set(_KEY, found)
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="quarry-")
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
