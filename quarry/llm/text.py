@@ -19,7 +19,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_CHUNK, _LONG = 1 << 20, 4096
+_CHUNK, _LONG = 1 << 18, 4096
 _BYTE = np.random.default_rng(0x5EED).integers(0, 2**64, 256, dtype=np.uint64)
 _ODD = 0x9E3779B97F4A7C15
 _MULT = np.random.default_rng(0xFACE).integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
