@@ -123,7 +123,7 @@ def _merged(table: pa.Table, counts: type, width: int = 1) -> tuple[np.ndarray,
 # Tokens ------------------------------------------------------------------------------------
 
 
-def _texts(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _texts(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Token hashes of many documents, each with END last, and the documents' offsets."""
     for _, _, buf, off in text.slices(column, limit):
         buf = text.LOWER[buf]
@@ -303,18 +303,27 @@ def _count_pairs(docs: DataFrame, model: Model) -> Model:
     def merge(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
         k, c = _merged(table, np.uint32)
-        _write(model.file("pair", part), k)
-        _write(model.file("pairs", part), c.astype(np.uint32 if c.max() < 2**32 else np.int64) if len(c) else c.astype(np.uint32))
         if len(c) and c.max() >= 2**32:
             raise ValueError("a pair occurs more than 2**32 times")
+        _write(model.file("pair", part), k)
+        _write(model.file("pairs", part), c.astype(np.uint32))
+        # What the words of this shard's pairs need to know: as contexts, pairs seen once, twice, more; as followers, pairs.
         first, second = k >> np.uint64(32), k & np.uint64(0xFFFFFFFF)
         kinds = np.stack([c == 1, c == 2, c >= 3, np.zeros(len(c), bool)], 1).astype(np.int64)
         seen = np.tile(np.array([0, 0, 0, 1], np.int64), (len(c), 1))
         ids, values = _summed(np.concatenate([first, second]), np.concatenate([kinds, seen]))
         at = np.minimum(np.searchsorted(start, ids.astype(np.int64), "right") - 1, model.words)
         edge = np.searchsorted(at, np.arange(model.words + 2))
-        out = [(p, int(b - a), _pack(ids[a:b], True), _pack(np.ascontiguousarray(values[a:b]).astype(np.uint32).ravel(), False), [int((c == x).sum()) for x in (1, 2, 3, 4)] if first_row else None) for first_row, (p, a, b) in ((i == 0, x) for i, x in enumerate((p, edge[p], edge[p + 1]) for p in range(model.words + 1) if edge[p] < edge[p + 1]))]
-        return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "n": pa.array([x[1] for x in out], pa.int32()), "keys": pa.array([x[2] for x in out], pa.binary()), "counts": pa.array([x[3] for x in out], pa.binary()), "once": pa.array([x[4] for x in out], pa.list_(pa.int64()))})
+        out: dict[str, list] = {k: [] for k in sides.names}
+        for p in np.unique(at):
+            a, b = int(edge[p]), int(edge[p + 1])
+            out["part"].append(int(p))
+            out["n"].append(b - a)
+            out["keys"].append(_pack(ids[a:b], True))
+            out["counts"].append(_pack(values[a:b].astype(np.uint32).ravel(), False))
+            out["once"].append(None if len(out["once"]) else [int((c == x).sum()) for x in (1, 2, 3, 4)])  # once per shard
+        kinds_of = {"part": pa.int32(), "n": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "once": pa.list_(pa.int64())}
+        return pa.table({k: pa.array(v, kinds_of[k]) for k, v in out.items()})
 
     around = scratch.table(docs.mapInArrow(count, _BLOCK).groupBy("part").applyInArrow(merge, sides), "pairs")
     model.discounts = _discounts(around.where("once IS NOT NULL").agg(*(F.coalesce(F.sum(F.col("once")[k]), F.lit(0)) for k in range(4))).first())
