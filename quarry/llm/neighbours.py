@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-DEGREE, ROUNDS, TREES, LEAF, BEAM, STEPS = 32, 6, 4, 64, 96, 10
+DEGREE, ROUNDS, TREES, LEAF, BEAM, STEPS = 32, 9, 4, 64, 160, 10
 EACH = 6  # of a node's best in one group that are offered to its list
 
 
@@ -138,7 +138,7 @@ def _start(nodes: DataFrame, n: int, degree: int, trees: int) -> DataFrame:
 
 
 def graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES) -> DataFrame:
-    """v, u, sim: the neighbour lists of nodes (node, unit), improved until under 2 % of the entries change in a round."""
+    """v, u, sim: the neighbour lists of nodes (node, unit), improved until under 1 % of the entries change in a round."""
     spark = nodes.sparkSession
     n = nodes.count()
     now = scratch.table(_start(nodes, n, degree, trees), "graph")
@@ -154,7 +154,7 @@ def graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: i
         after = scratch.table(_best(found, "v", degree, F.desc("sim")), "graph")
         scratch.drop_table(spark, now)
         now = after
-        if now.where("fresh").count() < 0.02 * n * degree:
+        if now.where("fresh").count() < 0.01 * n * degree:
             break
     return now.drop("fresh")
 
