@@ -210,3 +210,21 @@ def test_licences(spark):
     )
     got = {r.doc_id: (r.license, r.inherited_from) for r in licenses.scan(files, files["path"]).collect()}
     assert got == {1: ("MIT", None), 2: ("MIT", "p/LICENSE"), 3: ("GPL-3.0", None), 4: ("GPL-3.0", "p/src/deep/LICENSE.txt"), 5: ("Apache-2.0", None), 6: (None, None), 7: (None, None), 8: ("MIT", "p/LICENSE"), 9: ("Apache-2.0", None)}
+
+
+def test_licences_in_wrapped_headers_and_in_mid_line(spark):
+    mit = "/*\n * Permission is hereby granted, free of charge, to any person obtaining a\n * copy of this software and associated documentation files (the \"Software\"),\n * to deal in the Software without restriction, including without limitation\n */\n"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n"
+    isc = "// Permission to use, copy, modify, and/or distribute this software for any\n// purpose with or without fee is hereby\n// granted, provided that the above\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n"
+    gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n"
+    agpl, gpl3 = gpl.replace("General", "Affero General").replace("version 2", "version 3"), gpl.replace("version 2", "version 3")
+    code = "value = other + 1\n" * 60
+    prose = "the river ran slowly past the old mill and then turned east "
+    texts = {"MIT": mit, "BSD-3-Clause": bsd, "ISC": isc, "MPL-2.0": mpl, "GPL-2.0": gpl, "GPL-3.0": gpl3, "AGPL-3.0": agpl}
+    data = [(n, t + code) for n, t in texts.items()]
+    data += [("MIT", prose * 3 + "Released under the MIT License. " + prose * 3), ("Apache-2.0", prose + "Licensed under the Apache License, Version 2.0. " + prose * 9)]
+    data += [(None, prose + "it was released under the license that " + prose), (None, prose + "a GNU General Public License, version " + prose), (None, prose * 400), (None, "the licence")]
+    files = spark.createDataFrame([(i, f"d{i}/x", t) for i, (_, t) in enumerate(data)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(files, files["path"]).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(data)}
