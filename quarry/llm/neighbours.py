@@ -10,6 +10,10 @@ vectors that many others point at take part with a sample.
 Queries walk the graph greedily, all at once, one join per step: each keeps
 its best nodes and opens those that it has not opened yet, until none is left.
 
+Similarities are double precision on unit vectors of single precision, and
+every node of the last beam gets its exact cosine, since in a group of near
+copies the nearest differ from the others by less than coarser rounding.
+
 Equal vectors are one node with its smallest ids, so copies cost nothing and
 none of them is missed.
 """
@@ -31,11 +35,11 @@ EACH = 6  # of a node's best in one group that are offered to its list
 
 def _units(vectors: pa.Array) -> np.ndarray:
     rows = np.array(vectors.flatten(), np.float64).reshape(len(vectors), -1)
-    return (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float16)
+    return (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
 
 
 def _floats(units: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(units.to_pylist()), np.float16).reshape(len(units), -1).astype(np.float32)
+    return np.frombuffer(b"".join(units.to_pylist()), np.float32).reshape(len(units), -1).astype(np.float64)
 
 
 def usable(v: Column) -> Column:
@@ -45,7 +49,7 @@ def usable(v: Column) -> Column:
 
 
 def _nodes(rows: DataFrame, copies: int) -> DataFrame:
-    """node (least id), members (the least ids of equal vectors, so many), vector, unit (float16 bytes) of each distinct vector."""
+    """node (least id), members (the least ids of equal vectors, so many), vector, unit (float32 bytes) of each distinct vector."""
     first = Window.partitionBy("vector").orderBy("vec_id")
     some = rows.select("vec_id", "vector").withColumn("n", F.row_number().over(first)).where(F.col("n") <= copies)
     nodes = some.groupBy("vector").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_set("vec_id")).alias("members"))
@@ -105,10 +109,10 @@ def _compared(rows: DataFrame, each: int) -> DataFrame:
                 out.append((i[x], i[y], sim[x, y]))
             if out:
                 v, u, s = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.array(s, pa.float32())], ["v", "u", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.array(s, pa.float64())], ["v", "u", "sim"])
 
-    rows = rows.select("centre", "node", "unit", F.col("least").cast("float").alias("least"), "fresh")
-    return rows.repartition("centre").sortWithinPartitions("centre").mapInArrow(run, "v long, u long, sim float")
+    rows = rows.select("centre", "node", "unit", "least", "fresh")
+    return rows.repartition("centre").sortWithinPartitions("centre").mapInArrow(run, "v long, u long, sim double")
 
 
 def _best(pairs: DataFrame, by: str, degree: int, order: Column) -> DataFrame:
@@ -166,16 +170,16 @@ def _similar(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if len(batch):
                 a, b = _floats(batch.column(2)), _floats(batch.column(3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b), pa.float32())], ["start", "node", "sim"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b), pa.float64())], ["start", "node", "sim"])
 
-    return rows.select("start", "node", "one", "two").mapInArrow(run, "start long, node long, sim float")
+    return rows.select("start", "node", "one", "two").mapInArrow(run, "start long, node long, sim double")
 
 
 def search(starts: DataFrame, nodes: DataFrame, links: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
     """start, node, sim: the best nodes that greedy search finds from each start node (a column start), itself among them."""
     spark = nodes.sparkSession
     unit = nodes.select("node", "unit")
-    state = scratch.table(starts.select("start", F.col("start").alias("node"), F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("opened")), "search")
+    state = scratch.table(starts.select("start", F.col("start").alias("node"), F.lit(1.0).alias("sim"), F.lit(False).alias("opened")), "search")
     own = scratch.table(starts.join(unit.withColumnsRenamed({"node": "start", "unit": "one"}), "start").select("start", "one"), "search-starts")
     place = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("sim"), "node"))
     for _ in range(steps):
@@ -226,8 +230,7 @@ def nearest(
     queries = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "vector").distinct()
     queries = scratch.table(queries.join(nodes.select("vector", "node"), "vector").select("query_id", F.col("node").alias("start"), F.col("vector").alias("asked")), "queries")
     found = search(queries.select("start").distinct(), nodes, links, beam)
-    top = found.withColumn("place", F.row_number().over(Window.partitionBy("start").orderBy(F.desc("sim"), "node"))).where(F.col("place") <= k + 8).select("start", "node")
-    pairs = queries.join(top, "start").join(nodes.select("node", "members", "vector"), "node")
+    pairs = queries.join(found.select("start", "node"), "start").join(nodes.select("node", "members", "vector"), "node")
     scored = pairs.select("query_id", F.explode("members").alias("vec_id"), _cosine(F.col("asked"), F.col("vector")).alias("score")).where("query_id <> vec_id")
     scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")

@@ -160,6 +160,22 @@ def test_few_and_no_vectors(spark):
     assert neighbours.nearest(spark.createDataFrame([], schema), lambda i: i == 0).collect() == []
 
 
+def test_neighbours_among_near_copies(spark):
+    rng = np.random.default_rng(4)
+    v = np.float32(rng.standard_normal(64) + 0.003 * rng.standard_normal((400, 64)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, lambda i: i % 20 == 0, 5).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = np.float64(v) / np.linalg.norm(np.float64(v), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 400, 20):
+        near = unit @ unit[q]
+        near[q] = -3
+        hits += len(got[q] & set(np.argsort(-near)[:5].tolist()))
+    assert hits >= 0.95 * 5 * 20
+
+
 # Pages -------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "<p>no</p>";</script></head>
