@@ -20,6 +20,7 @@ none of them is missed.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,10 +30,16 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-DEGREE, ROUNDS, TREES, LEAF, BEAM, STEPS = 32, 9, 4, 64, 160, 10
+DEGREE, TREES, LEAF, BEAM = 32, 4, 64, 160  # degree and beam: at least, see sizes
 EACH = 6  # of a node's best in one group that are offered to its list
 
 
+def sizes(n: int) -> tuple[int, int]:
+    """Degree and beam for n nodes: they follow the logarithm of n."""
+    log = int(np.ceil(np.log2(max(n, 2))))
+    return max(DEGREE, 2 * log), max(BEAM, 10 * log)
+
+
 def _units(vectors: pa.Array) -> np.ndarray:
     rows = np.array(vectors.flatten(), np.float64).reshape(len(vectors), -1)
     return (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
@@ -141,12 +148,11 @@ def _start(nodes: DataFrame, n: int, degree: int, trees: int) -> DataFrame:
     return _best(found, "v", degree, F.desc("sim")).withColumn("fresh", F.lit(True))
 
 
-def graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES) -> DataFrame:
-    """v, u, sim: the neighbour lists of nodes (node, unit), improved until under 1 % of the entries change in a round."""
+def graph(nodes: DataFrame, n: int, degree: int = DEGREE, rounds: int | None = None, trees: int = TREES) -> DataFrame:
+    """v, u, sim: the neighbour lists of n nodes (node, unit), improved until under 1 % of the entries change in a round, or for so many rounds."""
     spark = nodes.sparkSession
-    n = nodes.count()
     now = scratch.table(_start(nodes, n, degree, trees), "graph")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         least = now.groupBy("v").agg(F.min("sim").alias("low"), F.count("*").alias("n"))
         least = least.select(F.col("v").alias("node"), F.when(F.col("n") >= degree, F.col("low")).otherwise(-2.0).alias("least"))
         back = _best(now.select("u", "v", "fresh"), "u", degree, F.xxhash64("v", "u"))
@@ -158,7 +164,7 @@ def graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: i
         after = scratch.table(_best(found, "v", degree, F.desc("sim")), "graph")
         scratch.drop_table(spark, now)
         now = after
-        if now.where("fresh").count() < 0.01 * n * degree:
+        if now.where("fresh").count() <= 0.01 * n * degree:
             break
     return now.drop("fresh")
 
@@ -175,14 +181,17 @@ def _similar(rows: DataFrame) -> DataFrame:
     return rows.select("start", "node", "one", "two").mapInArrow(run, "start long, node long, sim double")
 
 
-def search(starts: DataFrame, nodes: DataFrame, links: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
-    """start, node, sim: the best nodes that greedy search finds from each start node (a column start), itself among them."""
+def search(starts: DataFrame, nodes: DataFrame, links: DataFrame, beam: int = BEAM) -> DataFrame:
+    """start, node, sim: the best nodes that greedy search finds from each start node (a column start), itself among them.
+
+    It ends when every node of every beam is opened: beams only get better, so it does end.
+    """
     spark = nodes.sparkSession
     unit = nodes.select("node", "unit")
     state = scratch.table(starts.select("start", F.col("start").alias("node"), F.lit(1.0).alias("sim"), F.lit(False).alias("opened")), "search")
     own = scratch.table(starts.join(unit.withColumnsRenamed({"node": "start", "unit": "one"}), "start").select("start", "one"), "search-starts")
     place = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("sim"), "node"))
-    for _ in range(steps):
+    while True:
         front = state.where("NOT opened").select("start", F.col("node").alias("v"))
         seen = front.join(links, "v").select("start", F.col("u").alias("node")).distinct()
         new = seen.join(state.select("start", "node"), ["start", "node"], "left_anti")
@@ -207,9 +216,9 @@ def nearest(
     k: int = 5,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    degree: int = DEGREE,
-    rounds: int = ROUNDS,
-    beam: int = BEAM,
+    degree: int | None = None,
+    rounds: int | None = None,
+    beam: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query row, itself excepted.
 
@@ -224,7 +233,9 @@ def nearest(
     length = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     rows = rows.where(F.size("vector") == (length.d if length else 0))
     nodes = scratch.table(_nodes(rows, k + 1), "nodes")
-    forward = graph(nodes, degree, rounds)
+    n = nodes.count()
+    degree, beam = degree or sizes(n)[0], beam or sizes(n)[1]
+    forward = graph(nodes, n, degree, rounds)
     back = _best(forward, "u", degree, F.desc("sim")).select(F.col("u").alias("v"), F.col("v").alias("u"))
     links = scratch.table(forward.select("v", "u").unionByName(back).distinct(), "links")
     queries = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "vector").distinct()

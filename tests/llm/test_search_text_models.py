@@ -176,6 +176,15 @@ def test_neighbours_among_near_copies(spark):
     assert hits >= 0.95 * 5 * 20
 
 
+def test_search_goes_on_until_every_node_is_opened(spark):
+    unit = lambda i: np.float32([math.cos(i / 20), math.sin(i / 20)]).tobytes()
+    nodes = spark.createDataFrame([(i, unit(i)) for i in range(15)], "node long, unit binary").coalesce(1)
+    links = spark.createDataFrame([(i, i + 1) for i in range(14)], "v long, u long").coalesce(1)
+    got = neighbours.search(spark.createDataFrame([(0,)], "start long"), nodes, links, 20).collect()
+    assert sorted(r.node for r in got) == list(range(15))
+    assert neighbours.sizes(1000) == (32, 160) and neighbours.sizes(10**9) == (60, 300)
+
+
 # Pages -------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "<p>no</p>";</script></head>
