@@ -7,9 +7,10 @@ only that counts.  What boilerplate is left shows by comparison: pages are
 paired within each host with their neighbours in the order of URL paths, the
 lines of both are aligned by a longest common subsequence, and shared lines go.
 
-Lines of a marked article stay, since articles may share sentences.  Nothing
-goes if the two pages are copies of each other: then the shared lines are the
-article, and the other neighbour is asked.
+Lines of a marked article stay, since articles may share sentences.  Copies
+are not compared, since the lines they share are the article: pages of equal
+lines at a host are one class, a run of neighbouring classes of nearly equal
+lines is passed over, and each class meets the nearest different page.
 """
 
 from __future__ import annotations
@@ -159,6 +160,12 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return [*range(lo), *reversed(middle), *range(n, len(a))]
 
 
+def copies(hashes: list[int], words: list[int], other: list[int], same: list[int]) -> bool:
+    """Are nearly all lines equal: all but a twentieth of the words, and of the lines of both pages?"""
+    few = max(len(hashes), len(other)) - len(same)
+    return 20 * sum(words[i] for i in same) >= 19 * sum(words) and 20 * few <= max(len(hashes), len(other))
+
+
 def shared_lines(own: tuple[list[int], list[int], list[bool]], other: list[int]) -> list[int] | None:
     """Places of own lines to delete after comparison with another page's lines; None if the pages are copies.
 
@@ -166,7 +173,7 @@ def shared_lines(own: tuple[list[int], list[int], list[bool]], other: list[int])
     """
     hashes, words, inside = own
     same = common(hashes, other)
-    if 2 * sum(words[i] for i in same) > sum(words):
+    if copies(hashes, words, other, same):
         return None
     return [i for i in same if not inside[i]]
 
@@ -219,14 +226,35 @@ def _placed(outline: DataFrame) -> DataFrame:
     placed = scratch.table(ordered.mapInArrow(number, "host string, path string, page_id long, row long, lines array<long>, words array<int>, inside array<boolean>, part int, at long"), "outline")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
     starts = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    return placed.join(starts, "part").withColumn("place", F.col("start") + F.col("at")).drop("part", "at", "start")
+    return placed.join(starts, "part").withColumn("place", F.col("start") + F.col("at")).drop("at", "start")
+
+
+def _spans(placed: DataFrame) -> DataFrame:
+    """place, low, high: the places before and after the run of nearly equal neighbours that each place is in."""
+    before = placed.select((F.col("place") + 1).alias("place"), F.struct("host", "lines").alias("before"))
+    pairs = placed.join(before, "place", "left").select("place", "part", "host", "lines", "words", "before")
+
+    def run(batches):
+        for batch in batches:
+            first = []
+            for r in batch.to_pylist():
+                b = r["before"]
+                first.append(not (b and b["host"] == r["host"] and copies(r["lines"], r["words"], b["lines"], common(r["lines"], b["lines"]))))
+            yield pa.RecordBatch.from_arrays([*batch.select(["place", "part"]).columns, pa.array(first, pa.bool_())], ["place", "part", "first"])
+
+    flags = scratch.table(pairs.mapInArrow(run, "place long, part int, first boolean"), "runs").withColumn("own", F.expr("CASE WHEN first THEN place END"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
+    parts = flags.groupBy("part").agg(F.max("own").alias("own")).select("part", F.max("own").over(earlier).alias("carried"))
+    starts = flags.withColumn("own", F.max("own").over(Window.partitionBy("part").orderBy("place"))).join(parts, "part").select("place", F.coalesce("own", "carried").alias("start"))
+    ends = starts.groupBy("start").agg(F.max("place").alias("end"))
+    return starts.join(ends, "start").select("place", (F.col("start") - 1).alias("low"), (F.col("end") + 1).alias("high"))
 
 
 def _deletions(placed: DataFrame) -> DataFrame:
     """page_id, row and the lines to delete, of pages that have some."""
     other = placed.select("place", F.struct("host", "path", "lines").alias("page"))
-    before, after = other.select((F.col("place") + 1).alias("place"), F.col("page").alias("before")), other.select((F.col("place") - 1).alias("place"), F.col("page").alias("after"))
-    three = placed.join(before, "place", "left").join(after, "place", "left").select("page_id", "row", "host", "path", "lines", "words", "inside", "before", "after")
+    before, after = other.select(F.col("place").alias("low"), F.col("page").alias("before")), other.select(F.col("place").alias("high"), F.col("page").alias("after"))
+    three = placed.join(_spans(placed), "place").join(before, "low", "left").join(after, "high", "left").select("page_id", "row", "host", "path", "lines", "words", "inside", "before", "after")
 
     def run(batches):
         for batch in batches:
@@ -255,7 +283,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     scratch.small_batches(pages.sparkSession, 256)
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.xxhash64(url_col, html_col).alias("row"), F.col(html_col).alias("html"))
-    gone = scratch.table(_deletions(_placed(_outline(slim))), "deletions")
+    outline = scratch.table(_outline(slim).withColumn("same", F.xxhash64("host", "lines", "inside")), "outlines")
+    first = F.min(F.struct("path", "page_id", "row")).alias("first")
+    classes = outline.groupBy("same").agg(first, *(F.any_value(c).alias(c) for c in ("host", "lines", "words", "inside")))
+    classes = classes.select("host", "first.path", F.col("same").alias("page_id"), F.col("same").alias("row"), "lines", "words", "inside")
+    deleted = _deletions(_placed(classes)).select(F.col("row").alias("same"), "gone")
+    gone = scratch.table(outline.select("page_id", "row", "same").join(deleted, "same").select("page_id", "row", "gone").dropDuplicates(["page_id", "row"]), "deletions")
     s, g = slim.alias("s"), gone.alias("g")
     joined = s.join(g, F.col("s.page_id").eqNullSafe(F.col("g.page_id")) & (F.col("s.row") == F.col("g.row")), "left").select("s.page_id", "s.url", "s.html", "g.gone")
 

@@ -231,3 +231,16 @@ def test_shared_lines_go_where_nothing_marks_the_article(spark):
     want = {1: "First story with words of its own that are many", 2: "Second story, quite unlike the other one in every way", 3: "Welcome to our site", 4: "", 5: "", 6: "Title & more One bold two é Three x a b", 7: copy[3:-4], 8: copy[3:-4]}
     assert got == sorted((i, want[i], len(want[i])) for i, *_ in data)
     assert pages.extract(df.limit(0)).collect() == []
+
+
+def test_runs_of_copies_and_short_articles_lose_their_boilerplate(spark):
+    menu = "".join(f"<div>Menu entry number {i} of the site</div>" for i in range(5))
+    page = lambda k, body: (k, f"http://h.example/a/{k}", f"<html><body>{menu}<p>{body}</p></body></html>")
+    texts = {1: "A short one", 2: "Copied text", 3: "Copied text", 4: "Copied text", 5: "Another short one"}
+    df = spark.createDataFrame([page(k, t) for k, t in texts.items()], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == texts
+    lines = [f"Line {i} of a long text that is the article" for i in range(40)]
+    near = {k: " ".join([*lines, f"Printed {k}"]) for k in (2, 3, 4)}
+    data = [page(1, "A short one")] + [page(k, "</p><p>".join([*lines, f"Printed {k}"])) for k in near] + [page(5, "Another one")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == {1: "A short one", 5: "Another one"} | near
