@@ -40,7 +40,7 @@ class Filters:
         if self.branch:
             found.append(F.col("branch") == self.branch)
         if self.glob and (rule := compile_pattern(self.glob)):
-            found.append(path.rlike(rule[1]))
+            found.append(path.rlike("(?s)" + rule[1]))
         return reduce(lambda a, b: a & b, found) if found else None
 
     def apply(self, chunks: DataFrame) -> DataFrame:

@@ -11,6 +11,32 @@ from pathlib import Path
 log = logging.getLogger(__name__)
 
 
+#: The end of a path; unlike $ it means the same in Python and Java, also before a line break.
+END = r"(?![\s\S])"
+
+
+def _literal(c: str) -> str:
+    """One character for use inside a class, with the same meaning in Python and Java."""
+    return c if c.isalnum() or ord(c) > 127 else "\\" + c
+
+
+def _class(body: str) -> str:
+    """A bracket expression as a regular expression; it never matches a slash, and a reversed range has no members."""
+    negated = body[:1] in ("!", "^")
+    body, members, i = body[negated:], [], 0
+    while i < len(body):
+        if body[i + 1 : i + 2] == "-" and i + 2 < len(body):
+            if body[i] <= body[i + 2]:
+                members.append(f"{_literal(body[i])}-{_literal(body[i + 2])}")
+            i += 3
+        else:
+            members.append(_literal(body[i]))
+            i += 1
+    if negated:
+        return "[^/" + "".join(members) + "]"
+    return "(?!/)[" + "".join(members) + "]" if members else r"[^\s\S]"
+
+
 def _segment(s: str) -> str:
     """One path segment of a pattern as a regular expression."""
     out, i = [], 0
@@ -27,9 +53,7 @@ def _segment(s: str) -> str:
             out.append(re.escape(s[i]))
             i += 1
         elif c == "[" and (end := s.find("]", i + (s[i : i + 1] in ("!", "^")) + 1)) > 0:
-            body = s[i:end]
-            negated = body[:1] in ("!", "^")
-            out.append(("[^/" if negated else "[") + body[negated:].replace("\\", "\\\\").replace("[", "\\[") + "]")
+            out.append(_class(s[i:end]))
             i = end + 1
         else:
             out.append(re.escape(c))
@@ -58,8 +82,8 @@ def compile_pattern(line: str) -> tuple[bool, str] | None:
         else:
             out += _segment(p) + ("" if last else "/")
     if parts[-1] == "**":
-        return ignores, f"^{out}$"
-    return ignores, f"^{out}" + ("/.*$" if folder else "(?:/.*)?$")
+        return ignores, f"^{out}{END}"
+    return ignores, f"^{out}" + ("/.*" if folder else "(?:/.*)?") + END
 
 
 class IgnoreSpec:

@@ -1,4 +1,6 @@
 import os
+import random
+import re
 import subprocess
 
 import pytest
@@ -7,7 +9,7 @@ from hypothesis import strategies as st
 
 from quarry.config import DEFAULTS, FOLDER, Config, init
 from quarry.sources import filetree, repository
-from quarry.sources.ignore import IgnoreSpec, load_nested_ignore
+from quarry.sources.ignore import IgnoreSpec, compile_pattern, load_nested_ignore
 
 
 def put(root, files):
@@ -25,18 +27,37 @@ def put(root, files):
         (["a/**/c"], "a/b/b/c", True), (["**/t.py"], "x/y/t.py", True), (["a/**"], "a/b/c", True), (["a/**"], "a", False), (["*.log", "!keep.log"], "keep.log", False),
         (["!keep.log", "*.log"], "keep.log", True), (["# x", "", "\\#y"], "#y", True), (["f[0-9].t"], "f3.t", True), (["f[!0-9].t"], "f3.t", False), (["a?c"], "abc", True),
         (["a?c"], "a/c", False), (["x "], "x", True), (["*.min.js"], "lib/q.min.js", True), (["node_modules"], "p/node_modules/q/r.js", True), (["\\!a"], "!a", True),
+        (["[?-.]"], "a", False), (["[z-a]x"], "zx", False), (["[!z-a]x"], "zx", True), (["[^]a]"], "b", True), (["[^]a]"], "]", False), (["[^]a]"], "a", False),
+        (["[]a]"], "]", True), (["[]a]"], "a", True), (["[a&&b]"], "&", True), (["[a&&b]"], "a", True), (["[a&&b]"], "b", True), (["[a&&b]"], "c", False),
+        (["[\\d]"], "5", False), (["[\\d]"], "d", True), (["[\\d]"], "\\", True), (["x[.-0]y"], "x/y", False), (["x[!a]y"], "x/y", False), (["[a-]"], "-", True), (["[-a]"], "-", True),
+        (["[[]"], "[", True), (["[[:a]"], ":", True), (["[]"], "[]", True), (["[!]"], "[!]", True), (["[~a~]"], "~", True), (["[a^]"], "^", True), (["a"], "a\n", False),
     ],
 )
 def test_patterns(lines, path, ignored):
     assert IgnoreSpec(lines).matches(path) is ignored
 
 
-@settings(deadline=None, max_examples=200)
-@given(st.text(alphabet="ab*?[]!/\\.#^- ", max_size=14))
+PATTERN = st.text(alphabet="ab*?[]!/\\.#^-&~z0 ", max_size=14)
+
+
+@settings(deadline=None, max_examples=2000)
+@given(PATTERN)
 def test_any_pattern_compiles(p):
     IgnoreSpec([p]).matches("a/b.b")
 
 
+def test_java_reads_patterns_as_python_does(spark):
+    rng, alphabet = random.Random(8), "ab*?[]!/\\.^-&~z0"
+    patterns = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 9))) for _ in range(1500)] + ["[?-.]", "[^]a]", "[a&&b]", "[\\d]", "[!z-a]x"]
+    paths = ["a", "b", "]", "ab", "a/b", "a.b", "[a]", "&", "-", "zx", "z0/b", "\\", "^", "~", "a\n"]
+    java = spark._jvm.java.util.regex.Pattern
+    for p in patterns:
+        if rule := compile_pattern(p):
+            compiled = java.compile("(?s)" + rule[1])
+            for x in paths:
+                assert bool(re.compile(rule[1], re.S).search(x)) == compiled.matcher(x).find(), (p, rule[1], x)
+
+
 def test_nested_rules(tmp_path):
     put(tmp_path, {".gitignore": "*.log\n", "sub/.gitignore": "# c\n*.tmp\n!keep.log\n"})
     spec = load_nested_ignore(tmp_path)
