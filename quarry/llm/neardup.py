@@ -29,10 +29,9 @@ BLOCK = 60_000  # shingles in a block, about
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n, set_a, set_b (a 128-bit digest of the set) and the band keys."""
-    scratch.small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in scratch.cut(batches):
             n, a, b, bands = [], [], [], []
             for s in minhash.shingle_sets(batch.column(1), words):
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -47,10 +46,9 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n and the set as sorted 64-bit integers in a binary."""
-    scratch.small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in scratch.cut(batches):
             sets = list(minhash.shingle_sets(batch.column(1), words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "elements"])
 

@@ -228,7 +228,6 @@ def nearest(
     part, nor do rows with a null id or a vector of another length than most;
     rows that are wholly equal count once.  An empty table gives no rows.
     """
-    scratch.small_batches(vectors.sparkSession, 2048)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     length = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     rows = rows.where(F.size("vector") == (length.d if length else 0))

@@ -349,7 +349,6 @@ def _count_pairs(docs: DataFrame, model: Model) -> Model:
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """A model of all texts of docs; null counts as empty, and no rows give a model without words."""
     spark = docs.sparkSession
-    scratch.small_batches(spark)
     model = Model(scratch.new_dir(spark, "ngrams"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     slim = docs.select(text_col)
     return _count_pairs(slim, _count_words(slim, model))
@@ -436,13 +435,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     text has the end alone.  score is the log10 probability of the tokens,
     base_score that of an add-one unigram model of the same training texts.
     """
-    scratch.small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), *carry, text_col)
     at = 1 + len(carry)
 
     def run(batches):
         scorer = _once(model.path + "|scorer", lambda: _Scorer(model))
-        for batch in batches:
+        for batch in scratch.cut(batches):
             n, known, base, own = [], [], [], []
             for tokens, off in _texts(batch.column(at)):
                 k, b, s = scorer.score(tokens, off)

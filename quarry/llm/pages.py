@@ -1,16 +1,23 @@
-"""Main text of web pages: page structure, then differencing with the page of the nearest URL.
-
-The text of a page is a list of lines, one per block element.  Elements that
-are by name, class or id menus, headers, footers, sidebars, notices, adverts,
-forms or reader comments give none; if a page marks an article or main part,
-only that counts.  What boilerplate is left shows by comparison: pages are
-paired within each host with their neighbours in the order of URL paths, the
-lines of both are aligned by a longest common subsequence, and shared lines go.
-
-Lines of a marked article stay, since articles may share sentences.  Copies
-are not compared, since the lines they share are the article: pages of equal
-lines at a host are one class, a run of neighbouring classes of nearly equal
-lines is passed over, and each class meets the nearest different page.
+"""Main text of web pages: differencing with the pages of the nearest URLs, and page structure.
+
+A page is read once into a list of lines, one per block element, of all that
+it shows.  Pages are paired within each host with the pages next to them in
+the order of URL paths, two before and two after; the lines of both are
+aligned by a longest common subsequence, and lines that a page shares with two
+of them (with one, if there are fewer than three) are boilerplate and go:
+menus, headers, footers, sidebars and notices repeat from page to page.
+
+Structure decides what cannot repeat or has nothing to be compared with.
+Elements that are by name, class or id adverts, forms or reader comments, or
+hidden, give no text, nor do menus, headers, footers and sidebars whose lines
+no other page shares; if a page marks an article or main part, only that
+counts, and its lines stay, since different articles may share sentences.
+Class words that also occur inside articles (related, search, tags and the
+like) count only for a page that has no other to be compared with.
+
+Copies are not compared, since the lines they share are the article: pages of
+equal lines at a host are one class, a run of neighbouring classes of nearly
+equal lines is passed over, and each class meets the nearest different pages.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ from __future__ import annotations
 import bisect
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +41,19 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "object", "canvas", "audio", "video"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+_BARS = {"nav", "footer", "aside", "header", "menu"}
 _DROPPED = {"nav", "footer", "aside", "form", "select", "button", "dialog", "menu", "head", "label", "fieldset", "datalist"}
+_COMMENT = {"comment", "reply"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: Words in class, id and role that mark what is not main text.
 _LAYOUT = {"nav", "navbar", "navigation", "menu", "sidebar", "header", "masthead", "banner", "topbar", "breadcrumb", "breadcrumbs", "complementary", "contentinfo", "footer", "toolbar", "skip"}
-_EXTRA = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "respond", "replies", "disqus", "discussion", "disclaimer", "copyright", "pagination", "pager", "search", "widget", "tags"}
+_EXTRA = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "sharing", "comments", "respond", "replies", "disqus", "disclaimer", "copyright", "pagination", "pager"}
+#: Words that mark what may or may not be main text.
+_WEAK = {"notice", "notification", "alert", "share", "social", "related", "recommended", "comment", "discussion", "search", "widget", "tags"}
+#: What structure says of a line: in a marked article, nothing, perhaps no main text, part of the page's frame by class or by element, certainly no main text.
+ARTICLE, PLAIN, WEAK, FRAME, BAR, OUT = range(6)
 
 
 def _marks(attributes: str) -> tuple[set[str], bool]:
@@ -59,28 +73,31 @@ def _marks(attributes: str) -> tuple[set[str], bool]:
     return words, hidden
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """(text, inside a marked article) of each block of a page, without what its structure rules out."""
-    out: list[tuple[str, bool]] = []
+def lines(page: str) -> list[tuple[str, int]]:
+    """(text, what structure says of it) of each block that a page shows."""
+    out: list[tuple[str, int]] = []
     block: list[str] = []
-    stack: list[tuple[str, str, bool]] = []  # name, why it is left out ("" if not), inside an article
-    why, inside, marked = "", False, False
+    stack: list[tuple[str, int, bool, bool]] = []  # name, what its lines are outside articles, inside an article, inline text to be skipped
+    kind, inside, skip, marked = PLAIN, False, False, False
 
     def end() -> None:
         if block:
             line = " ".join(html.unescape("".join(block)).split())
             block.clear()
             if line:
-                out.append((line, inside))
+                out.append((line, ARTICLE if inside and kind < FRAME else kind))
 
     def pop(to: int) -> None:
-        nonlocal why, inside
+        nonlocal kind, inside, skip
+        now = stack[to - 1][1:] if to else (PLAIN, False, False)
+        if now[:2] != (kind, inside):
+            end()
         del stack[to:]
-        why, inside = (stack[-1][1], stack[-1][2]) if stack else ("", False)
+        kind, inside, skip = now
 
     at = 0
     while m := _TOKEN.search(page, at):
-        if m.start() > at and not why:
+        if m.start() > at and not skip:
             block.append(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
@@ -107,29 +124,38 @@ def lines(page: str) -> list[tuple[str, bool]]:
             while stack and stack[-1][0] in _CLOSES.get(name, ()):
                 pop(len(stack) - 1)
         words, hidden = _marks(m[3]) if m[3] else ((), False)
-        reason, within = why, inside
+        now, within, silent = kind, inside, skip
         if name not in ("html", "body"):
-            extra, layout = words and not _EXTRA.isdisjoint(words), words and not _LAYOUT.isdisjoint(words)
-            if name in ("article", "main") or "main" in words and "role" in m[3].lower():
-                if reason == "layout":
-                    reason = ""
-                if extra and name == "article":
-                    reason = "extra"
-                if not reason:
+            extra, layout, weak = (words and not x.isdisjoint(words) for x in (_EXTRA, _LAYOUT, _WEAK))
+            if name in _INLINE:
+                silent |= bool(hidden or extra or layout)
+            elif name in ("article", "main") or "main" in words and "role" in m[3].lower():
+                if now in (WEAK, FRAME):
+                    now = PLAIN
+                if name == "article" and (extra or not _COMMENT.isdisjoint(words)):
+                    now = OUT
+                if now < FRAME:
                     within = marked = True
-            elif not reason:
+            elif now < OUT:
                 if hidden or extra or name in _DROPPED or name == "header" and not inside:
-                    reason = "extra"
+                    now = BAR if name in _BARS and not (hidden or extra) else OUT
                 elif layout and not (inside and name == "header"):
-                    reason = "layout"
+                    now = max(now, FRAME)
+                elif weak and now == PLAIN:
+                    now = WEAK
         if m[3].endswith("/") and name not in _INLINE and name not in ("p", "div", "article", "main"):
             continue
-        stack.append((name, reason, within))
-        why, inside = reason, within
-    if at < len(page) and not why:
+        stack.append((name, now, within, silent))
+        kind, inside, skip = now, within, silent
+    if at < len(page) and not skip:
         block.append(page[at:])
     end()
-    return [x for x in out if x[1]] if marked else out
+    return [(t, OUT if k in (PLAIN, WEAK) else k) for t, k in out] if marked else out
+
+
+def main_text(found: list[tuple[str, int]], shared: set[int], compared: bool) -> str:
+    """The text of the lines that are not boilerplate; shared are the places that comparison deletes."""
+    return " ".join(t for i, (t, k) in enumerate(found) if k == ARTICLE or k < FRAME and i not in shared and (k == PLAIN or compared))
 
 
 def common(a: list[int], b: list[int]) -> list[int]:
@@ -166,56 +192,51 @@ def copies(hashes: list[int], words: list[int], other: list[int], same: list[int
     return 20 * sum(words[i] for i in same) >= 19 * sum(words) and 20 * few <= max(len(hashes), len(other))
 
 
-def shared_lines(own: tuple[list[int], list[int], list[bool]], other: list[int]) -> list[int] | None:
-    """Places of own lines to delete after comparison with another page's lines; None if the pages are copies.
+def shared_lines(hashes: list[int], words: list[int], others: list[list[int]]) -> tuple[list[int], bool]:
+    """Places of the lines that a page shares with two of the others, or with one of fewer than three; was there any to compare with?
 
-    own: hashes, numbers of words, and whether the line is in a marked article.
+    Copies of the page among the others do not count.
     """
-    hashes, words, inside = own
-    same = common(hashes, other)
-    if copies(hashes, words, other, same):
-        return None
-    return [i for i in same if not inside[i]]
+    votes = Counter()
+    n = 0
+    for other in others:
+        same = common(hashes, other)
+        if not copies(hashes, words, other, same):
+            n += 1
+            votes.update(same)
+    return sorted(i for i, v in votes.items() if v >= (2 if n > 2 else 1)), n > 0
 
 
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 
 
-def _near(a: str, b: str) -> int:
-    """The number of leading parts that two paths share, then of leading characters."""
-    x, y = a.split("/"), b.split("/")
-    k = 0
-    while k < min(len(x), len(y)) and x[k] == y[k]:
-        k += 1
-    p, q = "/".join(x[k:]), "/".join(y[k:])
-    c = 0
-    while c < min(len(p), len(q)) and p[c] == q[c]:
-        c += 1
-    return k * 65536 + min(c, 65535)
-
-
-def _outline(pages: DataFrame) -> DataFrame:
-    """host, path, page_id, row (a hash of the row) and the hashes, word counts and article marks of its lines."""
+def _read(pages: DataFrame) -> DataFrame:
+    """page_id, row, url, host, path, and of the lines: texts (of those that may be main text, else null), kinds, hashes and numbers of words."""
 
     def run(batches):
-        for batch in batches:
-            h, w, a = [], [], []
-            for x in batch.column(4):
+        for batch in scratch.cut(batches, 256):
+            made: dict[str, list] = {"texts": [], "kinds": [], "lines": [], "words": []}
+            for x in batch.column(5):
                 found = lines(x.as_py() or "")
-                h.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in found])
-                w.append([len(t.split()) for t, _ in found])
-                a.append([i for _, i in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(h, pa.list_(pa.int64())), pa.array(w, pa.list_(pa.int32())), pa.array(a, pa.list_(pa.bool_()))], ["host", "path", "page_id", "row", "lines", "words", "inside"])
+                made["texts"].append([t if k < FRAME else None for t, k in found])
+                made["kinds"].append([k for _, k in found])
+                made["lines"].append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in found])
+                made["words"].append([len(t.split()) for t, _ in found])
+            types = {"texts": pa.string(), "kinds": pa.int8(), "lines": pa.int64(), "words": pa.int32()}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(v, pa.list_(types[k])) for k, v in made.items())], [*batch.schema.names[:5], *made])
 
     url = F.coalesce(F.col("url"), F.lit(""))
-    slim = pages.select(F.lower(F.regexp_extract(url, _HOST, 1)).alias("host"), F.regexp_extract(url, _PATH, 1).alias("path"), "page_id", "row", "html")
-    return slim.mapInArrow(run, "host string, path string, page_id long, row long, lines array<long>, words array<int>, inside array<boolean>")
+    slim = pages.select("page_id", "row", "url", F.lower(F.regexp_extract(url, _HOST, 1)).alias("host"), F.regexp_extract(url, _PATH, 1).alias("path"), "html")
+    return slim.mapInArrow(run, "page_id long, row long, url string, host string, path string, texts array<string>, kinds array<byte>, lines array<long>, words array<int>")
+
 
+_CLASS = "same long, host string, path string, lines array<long>, words array<int>"
 
-def _placed(outline: DataFrame) -> DataFrame:
-    """outline with each row's place in the order of hosts and paths, found without one task for all."""
-    ordered = outline.repartitionByRange("host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row")
+
+def _placed(classes: DataFrame) -> DataFrame:
+    """classes with each one's place in the order of hosts and paths, found without one task for all."""
+    ordered = classes.repartitionByRange("host", "path", "same").sortWithinPartitions("host", "path", "same")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -223,81 +244,90 @@ def _placed(outline: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), part, np.int32)), pa.array(np.arange(n, n + len(batch)))], [*batch.schema.names, "part", "at"])
             n += len(batch)
 
-    placed = scratch.table(ordered.mapInArrow(number, "host string, path string, page_id long, row long, lines array<long>, words array<int>, inside array<boolean>, part int, at long"), "outline")
+    placed = scratch.table(ordered.select("same", "host", "path", "lines", "words").mapInArrow(number, f"{_CLASS}, part int, at long"), "outline")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
     starts = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     return placed.join(starts, "part").withColumn("place", F.col("start") + F.col("at")).drop("at", "start")
 
 
-def _spans(placed: DataFrame) -> DataFrame:
-    """place, low, high: the places before and after the run of nearly equal neighbours that each place is in."""
+def _runs(placed: DataFrame) -> DataFrame:
+    """place and run: the number, in order, of the run of nearly equal neighbours that each place is in."""
     before = placed.select((F.col("place") + 1).alias("place"), F.struct("host", "lines").alias("before"))
     pairs = placed.join(before, "place", "left").select("place", "part", "host", "lines", "words", "before")
 
     def run(batches):
-        for batch in batches:
+        for batch in scratch.cut(batches):
             first = []
             for r in batch.to_pylist():
                 b = r["before"]
-                first.append(not (b and b["host"] == r["host"] and copies(r["lines"], r["words"], b["lines"], common(r["lines"], b["lines"]))))
-            yield pa.RecordBatch.from_arrays([*batch.select(["place", "part"]).columns, pa.array(first, pa.bool_())], ["place", "part", "first"])
+                first.append(int(not (b and b["host"] == r["host"] and copies(r["lines"], r["words"], b["lines"], common(r["lines"], b["lines"])))))
+            yield pa.RecordBatch.from_arrays([*batch.select(["place", "part"]).columns, pa.array(first, pa.int64())], ["place", "part", "first"])
 
-    flags = scratch.table(pairs.mapInArrow(run, "place long, part int, first boolean"), "runs").withColumn("own", F.expr("CASE WHEN first THEN place END"))
+    flags = scratch.table(pairs.mapInArrow(run, "place long, part int, first long"), "runs")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
-    parts = flags.groupBy("part").agg(F.max("own").alias("own")).select("part", F.max("own").over(earlier).alias("carried"))
-    starts = flags.withColumn("own", F.max("own").over(Window.partitionBy("part").orderBy("place"))).join(parts, "part").select("place", F.coalesce("own", "carried").alias("start"))
-    ends = starts.groupBy("start").agg(F.max("place").alias("end"))
-    return starts.join(ends, "start").select("place", (F.col("start") - 1).alias("low"), (F.col("end") + 1).alias("high"))
+    parts = flags.groupBy("part").agg(F.sum("first").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = F.sum("first").over(Window.partitionBy("part").orderBy("place"))
+    return flags.select("place", "part", within.alias("n")).join(parts, "part").select("place", (F.col("n") + F.col("before")).alias("run"))
 
 
-def _deletions(placed: DataFrame) -> DataFrame:
-    """page_id, row and the lines to delete, of pages that have some."""
-    other = placed.select("place", F.struct("host", "path", "lines").alias("page"))
-    before, after = other.select(F.col("place").alias("low"), F.col("page").alias("before")), other.select(F.col("place").alias("high"), F.col("page").alias("after"))
-    three = placed.join(_spans(placed), "place").join(before, "low", "left").join(after, "high", "left").select("page_id", "row", "host", "path", "lines", "words", "inside", "before", "after")
+def _shared(classes: DataFrame) -> DataFrame:
+    """same, gone (places of the lines that comparison deletes) for each class that is compared with another page.
+
+    A run of copies is represented to the runs after it by its last class, and
+    to those before it by its first: these are the nearest URLs.
+    """
+    placed = _placed(classes)
+    placed = scratch.table(placed.join(_runs(placed), "place"), "outline-runs")
+    ends = placed.groupBy("run").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    page = placed.select("place", F.struct("host", "lines").alias("page"))
+    side = lambda end, steps: ends.select(F.col(end).alias("place"), F.explode(F.array(*(F.col("run") + s for s in steps))).alias("run"))
+    others = side("high", (1, 2)).unionByName(side("low", (-1, -2))).join(page, "place").groupBy("run").agg(F.collect_list("page").alias("others"))  # four at most
+    pairs = placed.join(others, "run").select("same", "host", "lines", "words", "others")
 
     def run(batches):
-        for batch in batches:
+        for batch in scratch.cut(batches):
             keep, gone = [], []
             for i, r in enumerate(batch.to_pylist()):
-                near = [x for x in (r["before"], r["after"]) if x and x["host"] == r["host"] and r["host"]]
-                for x in sorted(near, key=lambda x: -_near(r["path"], x["path"])):
-                    found = shared_lines((r["lines"], r["words"], r["inside"]), x["lines"])
-                    if found is not None:
-                        if found:
-                            keep.append(i), gone.append(found)
-                        break
-            some = batch.select(["page_id", "row"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(gone, pa.list_(pa.int32()))], ["page_id", "row", "gone"])
+                near = [x["lines"] for x in r["others"] if x["host"] == r["host"] and r["host"]]
+                found, compared = shared_lines(r["lines"], r["words"], near)
+                if compared:
+                    keep.append(i), gone.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(gone, pa.list_(pa.int32()))], ["same", "gone"])
 
-    return three.mapInArrow(run, "page_id long, row long, gone array<int>").dropDuplicates(["page_id", "row"])
+    return pairs.mapInArrow(run, "same long, gone array<int>")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars (code points) for every row of pages.
+    """page_id, url, text, n_chars (code points), n_lines, n_shared and n_ruled for every row of pages.
 
-    A null html or url counts as empty; a page without a host is compared with
+    n_lines counts the lines that the page shows, n_shared those that only the
+    comparison or the comparison first finds to be boilerplate (lines of a
+    marked article apart), n_ruled those that structure alone leaves out.  A
+    null html or url counts as empty; a page without a host is compared with
     none.  White space inside a block becomes one space, blocks are joined by
-    one space.  Rows with equal ids are told apart by their contents, and an
-    empty table gives no rows.
+    one space.  Rows with equal ids are told apart by their contents, rows
+    that are wholly equal are all kept; an empty table gives no rows, and
+    other columns of pages, whatever their names, take no part.  A page of any
+    length is read as a whole.
     """
-    scratch.small_batches(pages.sparkSession, 256)
-    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.xxhash64(url_col, html_col).alias("row"), F.col(html_col).alias("html"))
-    outline = scratch.table(_outline(slim).withColumn("same", F.xxhash64("host", "lines", "inside")), "outlines")
-    first = F.min(F.struct("path", "page_id", "row")).alias("first")
-    classes = outline.groupBy("same").agg(first, *(F.any_value(c).alias(c) for c in ("host", "lines", "words", "inside")))
-    classes = classes.select("host", "first.path", F.col("same").alias("page_id"), F.col("same").alias("row"), "lines", "words", "inside")
-    deleted = _deletions(_placed(classes)).select(F.col("row").alias("same"), "gone")
-    gone = scratch.table(outline.select("page_id", "row", "same").join(deleted, "same").select("page_id", "row", "gone").dropDuplicates(["page_id", "row"]), "deletions")
-    s, g = slim.alias("s"), gone.alias("g")
-    joined = s.join(g, F.col("s.page_id").eqNullSafe(F.col("g.page_id")) & (F.col("s.row") == F.col("g.row")), "left").select("s.page_id", "s.url", "s.html", "g.gone")
+    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.xxhash64(url_col, html_col).alias("row"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    read = scratch.table(_read(slim), "page-lines")
+    keyed = read.select("page_id", "row", F.xxhash64("host", "lines", "kinds").alias("same"), "host", "path", "lines", "words")
+    classes = keyed.groupBy("same").agg(F.min("path").alias("path"), *(F.any_value(c).alias(c) for c in ("host", "lines", "words")))
+    shared = scratch.table(_shared(classes), "shared-lines")
+    gone = scratch.table(keyed.select("page_id", "row", "same").join(shared, "same").select("page_id", "row", "gone").dropDuplicates(["page_id", "row"]), "page-deletions")
+    r, g = read.alias("r"), gone.alias("g")
+    joined = r.join(g, F.col("r.page_id").eqNullSafe(F.col("g.page_id")) & (F.col("r.row") == F.col("g.row")), "left").select("r.page_id", "r.url", "r.texts", "r.kinds", "g.gone")
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for x, g in zip(batch.column(2), batch.column(3), strict=True):
-                drop = set(g.as_py() or ())
-                out.append(" ".join(t for i, (t, _) in enumerate(lines(x.as_py() or "")) if i not in drop))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+        for batch in scratch.cut(batches, 256):
+            text, n, shared, ruled = [], [], [], []
+            for texts, kinds, gone in zip(*(batch.column(k) for k in (2, 3, 4)), strict=True):
+                found, places = list(zip(texts.as_py(), kinds.as_py(), strict=True)), set(gone.as_py() or ())
+                text.append(main_text(found, places, gone.is_valid))
+                n.append(len(found))
+                shared.append(sum(found[i][1] != ARTICLE for i in places))
+                ruled.append(sum(i not in places and (k >= FRAME or k == WEAK and not gone.is_valid) for i, (_, k) in enumerate(found)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(text, pa.string()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in text], n, shared, ruled))], ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_ruled"])
+
+    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_ruled long")

@@ -243,11 +243,10 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     if len(data) > 64 << 20:
         raise ValueError("the model file is too large to be sent with tasks")
     shared = docs.sparkSession.sparkContext.broadcast(data)
-    scratch.small_batches(docs.sparkSession, 256)
 
     def run(batches):
         model = _model(shared.value)
-        for batch in batches:
+        for batch in scratch.cut(batches, 256):
             texts = batch.column(1)
             out: dict[str, list] = {k: [] for k in ("n", "ids", "i", "t", "d")}
             for x in texts:

@@ -81,10 +81,9 @@ def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "") ->
     schema = T.StructType(docs.schema.fields + [T.StructField(prefix + k, T.LongType()) for k in MEASURES])
     if len({f.name.lower() for f in schema.fields}) < len(schema.fields):
         raise ValueError("a column of the input has the name of a measure; give a prefix")
-    scratch.small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in scratch.cut(batches):
             made = _measure(batch.column(batch.schema.get_field_index(text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(made[k], pa.int64()) for k in MEASURES)], [*batch.schema.names, *(prefix + k for k in MEASURES)])
 

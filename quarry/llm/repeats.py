@@ -84,11 +84,10 @@ def _key(h: np.ndarray) -> int:
 
 def _seeds(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, anchor, around (hash of the surroundings), tag (key << 32 | place)."""
-    scratch.small_batches(docs.sparkSession)
     reach = length - SEED
 
     def run(batches):
-        for batch in batches:
+        for batch in scratch.cut(batches):
             ids = batch.column(0)
             owner, a, c, tag = [], [], [], []
             for i, h in _documents(batch.column(1)):
@@ -109,11 +108,10 @@ def _seeds(docs: DataFrame, length: int) -> DataFrame:
 
 def _windows(docs: DataFrame, length: int) -> DataFrame:
     """The windows around the tags of each document: doc_id, tag (key << 32 | start), window."""
-    scratch.small_batches(docs.sparkSession, 128)
     reach = length - SEED
 
     def run(batches):
-        for batch in batches:
+        for batch in scratch.cut(batches, 128):
             ids, tags = batch.column(0), batch.column(2)
             owner, w, tag = [], [], []
             for i, h in _documents(batch.column(1)):
@@ -189,13 +187,12 @@ def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     found = scratch.table(repeats(docs, length, id_col, text_col), "repeats")
     found = found.select(F.col("doc_id").alias(p + "id"), F.col("ranges").alias(p + "ranges"))
     joined = docs.join(found, docs[id_col] == found[p + "id"], "left").drop(p + "id")
-    scratch.small_batches(docs.sparkSession, 128)
     names = docs.columns
     at = names.index(text_col)
     extra = [T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_kept", T.StringType())]
 
     def run(batches):
-        for batch in batches:
+        for batch in scratch.cut(batches, 128):
             ranges = batch.column(len(names))
             n, gone, spans, kept = [], [], [], []
             for x, r in zip(batch.column(at), ranges, strict=True):
@@ -226,7 +223,7 @@ def digest(docs: DataFrame, length: int = 50) -> DataFrame:
     removed = remove(docs.select("doc_id", "text"), length)
 
     def run(batches):
-        for batch in batches:
+        for batch in scratch.cut(batches):
             d = {k: batch.column(batch.schema.get_field_index(k)) for k in ("doc_id", "_n_words", "_n_removed", "_kept")}
             sha = [hashlib.sha256(b" ".join((x.as_py() or "").encode().split())).hexdigest() for x in d["_kept"]]
             yield pa.RecordBatch.from_arrays([d["doc_id"], d["_n_words"], d["_n_removed"], pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])

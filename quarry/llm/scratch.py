@@ -1,20 +1,26 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
-``spark.checkpoint.dir`` names the folder.  Where the session has none (tests,
-a laptop), a temporary one is made.  Tables written here cut lineage: a lost
-executor costs a re-read, never a recomputation of the whole plan.
+``spark.checkpoint.dir`` names the folder.  Where the session has none, a
+temporary one is made if the master is local (tests, a laptop); on a cluster
+that would be a folder of the driver alone, so there it is an error.  Tables
+written here cut lineage: a lost executor costs a re-read, never a
+recomputation of the whole plan.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[str] = []
 _own: dict[str, str] = {}  # by application, where the session names no folder
 
@@ -22,6 +28,8 @@ _own: dict[str, str] = {}  # by application, where the session names no folder
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(_KEY, "") or spark.sparkContext.getConf().get(_KEY, "")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
         found = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="quarry-")
         _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
@@ -34,23 +42,31 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and return what was written.
+@contextlib.contextmanager
+def _clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends; the setting is the session's own again afterwards."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
 
-    Afterwards the driver collects its garbage, so that Spark's cleaner drops
-    the shuffle files that the write has left behind.
-    """
+def table(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and return what was written."""
     spark = df.sparkSession
     path = new_dir(spark, label)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    with _clean_shuffles(spark):
+        df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._quarry_path = path
+    return written
 
 
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table made here, which nothing may read any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        drop(spark, path)
+    drop(spark, df._quarry_path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -77,8 +93,8 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of at most so many rows, so that long texts fit a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def cut(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, so that what is made of long texts fits a worker's memory."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)

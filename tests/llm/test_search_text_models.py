@@ -195,10 +195,19 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <section id="comments"><article><p>First!</article></section><footer>F</footer>"""
 
 
+def kept(page, compared=False):
+    return [t for t, k in pages.lines(page) if k < pages.WEAK + compared]
+
+
 def test_structure():
-    assert [t for t, _ in pages.lines(PAGE)] == ["Title & more", "One bold", "two é", "Three x", "a", "b"]
-    assert pages.lines("") == [] and pages.lines("plain  text") == [("plain text", False)]
-    assert [t for t, _ in pages.lines("<p>a < b and <unclosed 'x")] == ["a < b and <unclosed 'x"]
+    assert kept(PAGE) == ["Title & more", "One bold", "two é", "Three x", "a", "b"]
+    assert {t for t, _ in pages.lines(PAGE)} >= {"Site", "Menu", "Cookies", "Side", "Buy", "Sign", "First!", "F"}  # all that the page shows is compared
+    assert pages.lines("") == [] and pages.lines("plain  text") == [("plain text", pages.PLAIN)]
+    assert kept("<p>a < b and <unclosed 'x") == ["a < b and <unclosed 'x"]
+    assert kept("<p>foo<span hidden>x</span>bar <a class=ad>y</a>z</p>") == ["foobar z"]
+    assert kept("<aside><article>teaser</article></aside><div class='sidebar-right'><article>text</article></div>") == ["text"]
+    weak = "<div class='related'>one</div><p>two</p><article><div class='notice'>in</div></article>"
+    assert kept(weak.split("<article>")[0]) == ["two"] and kept(weak.split("<article>")[0], True) == ["one", "two"] and kept(weak) == ["in"]
 
 
 @settings(deadline=None, max_examples=200)
@@ -220,6 +229,62 @@ def test_longest_common_subsequence(a, b):
     assert all(a[i] in it for i in got)
 
 
+def brute_pages(data):
+    """The query without Spark: every page against the classes next to its own in the order of its host's paths."""
+    import re
+
+    read = {k: (re.sub(r"^https?://([^/]*).*", r"\1", u or "").lower(), re.sub(r"^https?://[^/]*|[?#].*", "", u or ""), pages.lines(h or "")) for k, (_, u, h) in enumerate(data)}
+    key = lambda v: (v[0], tuple(v[2]))
+    first = {}
+    for v in sorted(read.values(), key=lambda v: v[:2]):
+        first.setdefault(key(v), v)
+    texts, words = (lambda v: [t for t, _ in v[2]]), (lambda v: [len(t.split()) for t, _ in v[2]])
+    runs = {}
+    for v in first.values():
+        mine = runs.setdefault(v[0], [])
+        if mine and pages.copies(texts(v), words(v), texts(mine[-1][-1]), pages.common(texts(v), texts(mine[-1][-1]))):
+            mine[-1].append(v)
+        else:
+            mine.append([v])
+    out = []
+    for k, (i, *_) in enumerate(data):
+        v = first[key(read[k])]
+        mine = runs[v[0]] if v[0] else []
+        at = next((n for n, r in enumerate(mine) if v in r), 0)
+        near = [mine[n][0 if n > at else -1] for n in (at - 2, at - 1, at + 1, at + 2) if 0 <= n < len(mine)]
+        near = [x for x in near if not pages.copies(texts(v), words(v), texts(x), pages.common(texts(v), texts(x)))]
+        votes = [sum(p in pages.common(texts(v), texts(x)) for x in near) for p in range(len(v[2]))]
+        gone = {p for p, n in enumerate(votes) if near and n >= (2 if len(near) > 2 else 1)}
+        keep = lambda p, kind: kind == pages.ARTICLE or kind < pages.FRAME and p not in gone and (kind == pages.PLAIN or near)
+        text = " ".join(t for p, (t, kind) in enumerate(read[k][2]) if keep(p, kind))
+        out.append((i, text, len(text), len(v[2]), sum(v[2][p][1] != pages.ARTICLE for p in gone)))
+    return sorted(out, key=str)
+
+
+def extracted(df):
+    return sorted(((r.page_id, r.text, r.n_chars, r.n_lines, r.n_shared) for r in pages.extract(df).collect()), key=str)
+
+
+def test_pages_match_a_plain_version(spark):
+    rng = random.Random(6)
+    word = lambda n: " ".join(f"w{rng.randrange(50)}" for _ in range(n))
+    menus, notices = [f"<nav><ul><li>{word(2)}<li>{word(2)}</ul></nav>" for _ in range(2)], [word(6) for _ in range(2)]
+    data = []
+    for k in range(80):
+        body = "".join(f"<p>{word(12)}</p>" for _ in range(rng.randrange(1, 6)))
+        if k % 3 == 0:
+            body = f"<article>{body}<p>{notices[0]}</p></article>"
+        tail = f"<div class='{rng.choice(['tags', 'x', 'ad', 'cookie-note'])}'>{rng.choice(notices)}</div>"
+        data.append((k, f"http://{rng.choice(['a', 'b', 'c'])}.example/{rng.choice('xyz')}/{rng.randrange(40)}-{k}", rng.choice(menus) + body + tail + f"<footer>{notices[1]}</footer>"))
+    data += [(200 + k, f"http://a.example/x/{k}", data[4][2]) for k in range(6)] + [(300 + k, f"http://a.example/y/{k}", data[5][2] + f"<p>{k}</p>") for k in range(4)]
+    data += [(400, "http://one.example/", menus[0] + "<p>lonely</p><div class='search'>find</div>"), (401, None, menus[0]), (402, "", None), (403, "http://a.example/x/0", data[4][2]), (None, "http://a.example/x/9", data[7][2]), data[0], data[0]]
+    data.append((500, "http://a.example/long", "".join(f"<p>{word(9)}</p>" for _ in range(3000))))
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    got = extracted(df.selectExpr("*", "1 AS same", "2 AS texts", "3 AS host", "4 AS `row`"))
+    assert got == brute_pages(data)
+    assert sum(r[4] for r in got) > 100
+
+
 def test_shared_lines_go_where_nothing_marks_the_article(spark):
     page = lambda k, body: (k, f"http://h.example/a/{k}", f"<html><body><div>Welcome to our site</div><p>{body}</p><div>All rights kept by us</div></body></html>")
     data = [page(1, "First story with words of its own that are many"), page(2, "Second story, quite unlike the other one in every way")]
