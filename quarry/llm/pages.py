@@ -25,6 +25,7 @@ from __future__ import annotations
 import bisect
 import html
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -212,77 +213,76 @@ _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 
 
 def _read(pages: DataFrame) -> DataFrame:
-    """page_id, row, url, host, path, and of the lines: texts (of those that may be main text, else null), kinds, hashes and numbers of words."""
+    """page_id, row, url, host, path, and of the lines: kinds, hashes, numbers of words, and body (the texts of those that may be main text, compressed)."""
 
     def run(batches):
         for batch in scratch.cut(batches, 256):
-            made: dict[str, list] = {"texts": [], "kinds": [], "lines": [], "words": []}
+            made: dict[str, list] = {"kinds": [], "lines": [], "words": [], "body": []}
             for x in batch.column(5):
                 found = lines(x.as_py() or "")
-                made["texts"].append([t if k < FRAME else None for t, k in found])
                 made["kinds"].append([k for _, k in found])
                 made["lines"].append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in found])
                 made["words"].append([len(t.split()) for t, _ in found])
-            types = {"texts": pa.string(), "kinds": pa.int8(), "lines": pa.int64(), "words": pa.int32()}
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(v, pa.list_(types[k])) for k, v in made.items())], [*batch.schema.names[:5], *made])
+                made["body"].append(zlib.compress("\n".join(t for t, k in found if k < FRAME).encode(), 1))
+            types = {"kinds": pa.list_(pa.int8()), "lines": pa.list_(pa.int64()), "words": pa.list_(pa.int32()), "body": pa.binary()}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(v, types[k]) for k, v in made.items())], [*batch.schema.names[:5], *made])
 
     url = F.coalesce(F.col("url"), F.lit(""))
     slim = pages.select("page_id", "row", "url", F.lower(F.regexp_extract(url, _HOST, 1)).alias("host"), F.regexp_extract(url, _PATH, 1).alias("path"), "html")
-    return slim.mapInArrow(run, "page_id long, row long, url string, host string, path string, texts array<string>, kinds array<byte>, lines array<long>, words array<int>")
+    return slim.mapInArrow(run, "page_id long, row long, url string, host string, path string, kinds array<byte>, lines array<long>, words array<int>, body binary")
 
 
-_CLASS = "same long, host string, path string, lines array<long>, words array<int>"
+def _copy(own: dict, other: dict) -> bool:
+    return own["host"] == other["host"] and copies(own["lines"], own["words"], other["lines"], common(own["lines"], other["lines"]))
 
 
-def _placed(classes: DataFrame) -> DataFrame:
-    """classes with each one's place in the order of hosts and paths, found without one task for all."""
+def _ordered(classes: DataFrame) -> DataFrame:
+    """same, host, lines, words and run: the number, in the order of hosts and paths, of the run of nearly equal neighbours a class is in; first: does it begin the run?
+
+    Runs are counted in each partition of a range sort; whether one goes on in
+    the next partition shows by comparing the rows at the border.
+    """
     ordered = classes.repartitionByRange("host", "path", "same").sortWithinPartitions("host", "path", "same")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), part, np.int32)), pa.array(np.arange(n, n + len(batch)))], [*batch.schema.names, "part", "at"])
+        part, n, run, last = TaskContext.get().partitionId(), 0, 0, None
+        for batch in scratch.cut(batches):
+            runs, first = [], []
+            for r in batch.select(["host", "lines", "words"]).to_pylist():
+                first.append(last is None or not _copy(r, last))
+                run += first[-1]
+                runs.append(run)
+                last = r
+            here = np.arange(n, n + len(batch))
             n += len(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), part, np.int32)), pa.array(here), pa.array(runs, pa.int64()), pa.array(first, pa.bool_())], [*batch.schema.names, "part", "at", "run", "first"])
 
-    placed = scratch.table(ordered.select("same", "host", "path", "lines", "words").mapInArrow(number, f"{_CLASS}, part int, at long"), "outline")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
-    starts = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    return placed.join(starts, "part").withColumn("place", F.col("start") + F.col("at")).drop("at", "start")
-
+    placed = scratch.table(ordered.select("same", "host", "lines", "words").mapInArrow(number, "same long, host string, lines array<long>, words array<int>, part int, at long, run long, first boolean"), "outline")
+    border = F.struct("host", "lines", "words")
+    order = Window.orderBy("part")  # over one row per partition
+    parts = placed.groupBy("part").agg(F.max("run").alias("n"), F.min_by(border, "at").alias("head"), F.max_by(border, "at").alias("tail"))
+    parts = parts.select("part", "n", "head", F.lag("tail").over(order).alias("before"))
 
-def _runs(placed: DataFrame) -> DataFrame:
-    """place and run: the number, in order, of the run of nearly equal neighbours that each place is in."""
-    before = placed.select((F.col("place") + 1).alias("place"), F.struct("host", "lines").alias("before"))
-    pairs = placed.join(before, "place", "left").select("place", "part", "host", "lines", "words", "before")
-
-    def run(batches):
-        for batch in scratch.cut(batches):
-            first = []
-            for r in batch.to_pylist():
-                b = r["before"]
-                first.append(int(not (b and b["host"] == r["host"] and copies(r["lines"], r["words"], b["lines"], common(r["lines"], b["lines"])))))
-            yield pa.RecordBatch.from_arrays([*batch.select(["place", "part"]).columns, pa.array(first, pa.int64())], ["place", "part", "first"])
+    def join(batches):
+        for batch in batches:
+            joined = [int(bool(r["before"]) and _copy(r["head"], r["before"])) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(joined, pa.int64())], ["part", "n", "joined"])
 
-    flags = scratch.table(pairs.mapInArrow(run, "place long, part int, first long"), "runs")
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
-    parts = flags.groupBy("part").agg(F.sum("first").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    within = F.sum("first").over(Window.partitionBy("part").orderBy("place"))
-    return flags.select("place", "part", within.alias("n")).join(parts, "part").select("place", (F.col("n") + F.col("before")).alias("run"))
+    joined = scratch.table(parts.mapInArrow(join, "part int, n long, joined long"), "borders")
+    start = F.coalesce(F.sum(F.col("n") - F.col("joined")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("joined")
+    starts = joined.select("part", "joined", start.alias("start"))
+    return placed.join(starts, "part").select("same", "host", "lines", "words", (F.col("start") + F.col("run")).alias("run"), (F.col("first") & ((F.col("at") > 0) | (F.col("joined") == 0))).alias("first"))
 
 
 def _shared(classes: DataFrame) -> DataFrame:
     """same, gone (places of the lines that comparison deletes) for each class that is compared with another page.
 
-    A run of copies is represented to the runs after it by its last class, and
-    to those before it by its first: these are the nearest URLs.
+    A run of copies is represented to the two runs on either side by its first class.
     """
-    placed = _placed(classes)
-    placed = scratch.table(placed.join(_runs(placed), "place"), "outline-runs")
-    ends = placed.groupBy("run").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    page = placed.select("place", F.struct("host", "lines").alias("page"))
-    side = lambda end, steps: ends.select(F.col(end).alias("place"), F.explode(F.array(*(F.col("run") + s for s in steps))).alias("run"))
-    others = side("high", (1, 2)).unionByName(side("low", (-1, -2))).join(page, "place").groupBy("run").agg(F.collect_list("page").alias("others"))  # four at most
-    pairs = placed.join(others, "run").select("same", "host", "lines", "words", "others")
+    placed = _ordered(classes)
+    sides = F.explode(F.array(*(F.col("run") + k for k in (-2, -1, 1, 2)))).alias("run")
+    others = placed.where("first").select(F.struct("host", "lines").alias("page"), sides).groupBy("run").agg(F.collect_list("page").alias("others"))  # four at most
+    pairs = placed.join(others.hint("merge"), "run").select("same", "host", "lines", "words", "others")
 
     def run(batches):
         for batch in scratch.cut(batches):
@@ -315,19 +315,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     keyed = read.select("page_id", "row", F.xxhash64("host", "lines", "kinds").alias("same"), "host", "path", "lines", "words")
     classes = keyed.groupBy("same").agg(F.min("path").alias("path"), *(F.any_value(c).alias(c) for c in ("host", "lines", "words")))
     shared = scratch.table(_shared(classes), "shared-lines")
-    gone = scratch.table(keyed.select("page_id", "row", "same").join(shared, "same").select("page_id", "row", "gone").dropDuplicates(["page_id", "row"]), "page-deletions")
-    r, g = read.alias("r"), gone.alias("g")
-    joined = r.join(g, F.col("r.page_id").eqNullSafe(F.col("g.page_id")) & (F.col("r.row") == F.col("g.row")), "left").select("r.page_id", "r.url", "r.texts", "r.kinds", "g.gone")
+    # Every page has a row here, so all joins are merges at any size.
+    gone = scratch.table(keyed.select("page_id", "row", "same").join(shared.hint("merge"), "same").select("page_id", "row", "gone").dropDuplicates(["page_id", "row"]), "page-deletions")
+    r, g = read.alias("r"), gone.hint("merge").alias("g")
+    joined = r.join(g, F.col("r.page_id").eqNullSafe(F.col("g.page_id")) & (F.col("r.row") == F.col("g.row")), "left").select("r.page_id", "r.url", "r.body", "r.kinds", "g.gone")
 
     def run(batches):
         for batch in scratch.cut(batches, 256):
             text, n, shared, ruled = [], [], [], []
-            for texts, kinds, gone in zip(*(batch.column(k) for k in (2, 3, 4)), strict=True):
-                found, places = list(zip(texts.as_py(), kinds.as_py(), strict=True)), set(gone.as_py() or ())
-                text.append(main_text(found, places, gone.is_valid))
-                n.append(len(found))
-                shared.append(sum(found[i][1] != ARTICLE for i in places))
-                ruled.append(sum(i not in places and (k >= FRAME or k == WEAK and not gone.is_valid) for i, (_, k) in enumerate(found)))
+            for body, kinds, gone in zip(*(batch.column(k) for k in (2, 3, 4)), strict=True):
+                texts, kinds, places = iter(zlib.decompress(body.as_py()).decode().split("\n")), kinds.as_py(), set(gone.as_py() or ())
+                text.append(main_text([(next(texts) if k < FRAME else "", k) for k in kinds], places, gone.is_valid))
+                n.append(len(kinds))
+                shared.append(sum(kinds[i] != ARTICLE for i in places))
+                ruled.append(sum(i not in places and (k >= FRAME or k == WEAK and not gone.is_valid) for i, k in enumerate(kinds)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(text, pa.string()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in text], n, shared, ruled))], ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_ruled"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_ruled long")
