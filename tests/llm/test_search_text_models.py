@@ -182,7 +182,7 @@ def test_search_goes_on_until_every_node_is_opened(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(14)], "v long, u long").coalesce(1)
     got = neighbours.search(spark.createDataFrame([(0,)], "start long"), nodes, links, 20).collect()
     assert sorted(r.node for r in got) == list(range(15))
-    assert neighbours.sizes(1000) == (32, 160) and neighbours.sizes(10**9) == (60, 300)
+    assert neighbours.sizes(1000) == (32, 32) and neighbours.sizes(10**9) == (60, 60)
 
 
 # Pages -------------------------------------------------------------------------------------
@@ -251,7 +251,7 @@ def brute_pages(data):
         v = first[key(read[k])]
         mine = runs[v[0]] if v[0] else []
         at = next((n for n, r in enumerate(mine) if v in r), 0)
-        near = [mine[n][0 if n > at else -1] for n in (at - 2, at - 1, at + 1, at + 2) if 0 <= n < len(mine)]
+        near = [mine[n][0] for n in (at - 2, at - 1, at + 1, at + 2) if 0 <= n < len(mine)]
         near = [x for x in near if not pages.copies(texts(v), words(v), texts(x), pages.common(texts(v), texts(x)))]
         votes = [sum(p in pages.common(texts(v), texts(x)) for x in near) for p in range(len(v[2]))]
         gone = {p for p, n in enumerate(votes) if near and n >= (2 if len(near) > 2 else 1)}
