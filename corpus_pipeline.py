@@ -18,26 +18,50 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that fail the quality rules or whose host is rejected; what stays is unchanged.
+
+    Null and empty texts go; a null source is a host; repeated rows stay or go
+    each on its own.  An empty table gives no rows, and columns may have any names.
+    """
     return quality.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group of near-duplicates (five words, similarity 0.8 or more).
+
+    Documents without words and rows with a null id are in no group; rows with
+    equal ids stay or go together.  An empty table gives no rows, and columns
+    may have any names.
+    """
     return neardup.keep_first(docs, words=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = repeats.remove(docs, length=50)
-    changed = {"text": F.col("_kept")}
+    """Without the words of 50-word windows that also start in a document with a smaller id; a changed text's words are joined by one space.
+
+    All rows stay, in the columns they have; null texts and rows with a null
+    id are not changed; n_chars follows the text where that changes.  An empty
+    table gives no rows.
+    """
+    p = scratch.unused(docs, "_quarry_p_")
+    cut = repeats.remove(docs, length=50, prefix=p)
+    changed = {"text": F.col(p + "kept")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_n_removed") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.col(p + "n_removed") > 0, F.length(p + "kept").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumns(changed).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: rows as often as it has them, unchanged; sources without a name are one.
+
+    A null text has no words; rows with equal ids and texts are mixed alike.
+    An empty table gives no rows, and columns may have any names.
+    """
     return mixing.sample(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; a null text counts as empty, other columns take no part."""
     return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -54,6 +78,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

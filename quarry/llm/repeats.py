@@ -7,14 +7,20 @@ place in it.
 
 1. Seeds: all anchors of all documents, each with a hash of its surroundings:
    as many words on both sides as any window around the anchor can have.
-2. Join on anchors.  Occurrences with equal surroundings are extended both
-   ways at once: all but the one in the least document are repeats as far as
-   the surroundings reach.
+2. Join on anchors.  Occurrences with equal surroundings agree as far as these
+   reach: all but the one in the least document are repeats over them.
 3. Where the surroundings of an anchor differ between documents, one occurrence
-   of each kind is extended window by window, and windows are joined on their
-   hashes.  The number of rows grows with the number of occurrences, never
-   with that of pairs.
-4. What is covered is put together to maximal spans for each document.
+   of each kind is extended word by word to both sides against the one in the
+   anchor's least document; the maximal common span is a repeat if it has
+   ``length`` words.
+4. Two other occurrences can share more with each other than with the least
+   one: then they leave it at the same place with the same next word.  Only
+   occurrences that share this word with another document are extended window
+   by window, and windows are joined on their hashes.
+5. What is covered is put together to maximal spans for each document.
+
+The number of rows grows with the number of occurrences, never with that of
+pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from pyspark.sql import types as T
 from . import scratch, text
 
 SEED = 16
+GROUP = 256  # occurrences of an anchor that are extended in one group, about
 _BASE = 0xD6E8FEB86659FD93
 _powers: dict[str, np.ndarray] = {}
 
@@ -106,6 +113,77 @@ def _seeds(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, anchor long, around long, tag long")
 
 
+def _surroundings(docs: DataFrame, length: int) -> DataFrame:
+    """Of rows (doc_id, text, todo: structs tag, anchor, parts, least) each occurrence with the words around it.
+
+    anchor, salt, later (0: in the anchor's least document, whose occurrences go to all parts), doc_id, tag, left (words before the anchor), words (hashes).
+    """
+    reach = length - SEED
+
+    def run(batches):
+        for batch in scratch.cut(batches, 128):
+            ids, todo = batch.column(0), batch.column(2)
+            out: dict[str, list] = {k: [] for k in ("anchor", "salt", "later", "owner", "tag", "left", "words")}
+            for i, h in _documents(batch.column(1)):
+                key = _key(h)
+                for r in todo[i].as_py():
+                    at = r["tag"] & 0xFFFFFFFF
+                    if r["tag"] >> 32 != key:
+                        continue
+                    low = max(at - reach, 0)
+                    around = h[low : at + length].tobytes()
+                    for salt in range(r["parts"]) if r["least"] else [text.mix(np.array([r["tag"] ^ ids[i].as_py() << 20], np.int64).view(np.uint64))[0] % np.uint64(r["parts"])]:
+                        for k, v in zip(out, (r["anchor"], int(salt), int(not r["least"]), i, r["tag"], at - low, around), strict=True):
+                            out[k].append(v)
+            if out["tag"]:
+                types = {"anchor": pa.int64(), "salt": pa.int32(), "later": pa.int32(), "tag": pa.int64(), "left": pa.int32(), "words": pa.binary()}
+                made = {k: ids.take(pa.array(v)) if k == "owner" else pa.array(v, types[k]) for k, v in out.items()}
+                yield pa.RecordBatch.from_arrays(list(made.values()), ["anchor", "salt", "later", "doc_id", "tag", "left", "words"])
+
+    return docs.mapInArrow(run, "anchor long, salt int, later int, doc_id long, tag long, left int, words binary")
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> int:
+    """The number of leading values in which a and b agree."""
+    n = min(len(a), len(b))
+    differ = a[:n] != b[:n]
+    return int(differ.argmax()) if differ.any() else n
+
+
+def _extended(around: DataFrame, length: int) -> DataFrame:
+    """doc_id, tag, start and end (of a repeat, else null), before and after: where and how an occurrence leaves the least one (null: not at all).
+
+    The first occurrence of an anchor in its least document is held while the
+    others of the group go by.
+    """
+
+    def leaves(anchor: int, side: int, n: int, words: np.ndarray) -> int | None:
+        if n >= len(words):
+            return None
+        mixed = text.mix(np.array([anchor], np.int64).view(np.uint64) + np.uint64(2 * n + side)) ^ words[n : n + 1]
+        return text.signed(int(text.mix(mixed)[0]))
+
+    def run(batches):
+        group, hub, hub_left, hub_doc = None, None, 0, 0
+        for batch in batches:
+            starts, ends, before, after = [], [], [], []
+            for r in batch.to_pylist():
+                words, left, at = np.frombuffer(r["words"], np.uint64), r["left"], r["tag"] & 0xFFFFFFFF
+                if (r["anchor"], r["salt"]) != group:
+                    group, hub, hub_left, hub_doc = (r["anchor"], r["salt"]), words, left, r["doc_id"]
+                back = _same(words[:left][::-1], hub[:hub_left][::-1])
+                on = _same(words[left:], hub[hub_left:])
+                found = r["doc_id"] > hub_doc and back + on >= length
+                starts.append(at - back if found else None)
+                ends.append(at + on if found else None)
+                before.append(leaves(r["anchor"], 0, back, words[:left][::-1]))
+                after.append(leaves(r["anchor"], 1, on, words[left:]))
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), *(pa.array(x, pa.int64()) for x in (starts, ends, before, after))], ["doc_id", "tag", "start", "end", "before", "after"])
+
+    grouped = around.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "later", "doc_id", "tag")
+    return grouped.mapInArrow(run, "doc_id long, tag long, start long, end long, before long, after long")
+
+
 def _windows(docs: DataFrame, length: int) -> DataFrame:
     """The windows around the tags of each document: doc_id, tag (key << 32 | start), window."""
     reach = length - SEED
@@ -146,19 +224,25 @@ def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     seeds = scratch.table(_seeds(slim, length), "seeds")
     kinds = seeds.groupBy("anchor", "around").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     shared = kinds.groupBy("anchor").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.count("*").alias("kinds")).where("lo < hi")
-    kinds = scratch.table(kinds.join(shared.select("anchor", "kinds"), "anchor"), "kinds")
-    # Extended both ways at once, or the least of its kind, to be extended window by window.
-    found = seeds.join(kinds.select("anchor", "around", "least", "kinds"), ["anchor", "around"]).where("doc_id > least OR kinds > 1")
-    found = scratch.table(found.select("doc_id", "tag", (F.col("doc_id") > F.col("least")).alias("done")), "found")
+    kinds = scratch.table(kinds.join(shared.select("anchor", "kinds", "lo"), "anchor"), "kinds")
+    # Repeats over all their surroundings, or in the least document of their kind and to be extended.
+    found = seeds.join(kinds.select("anchor", "around", "least", "kinds", "lo"), ["anchor", "around"]).where("doc_id > least OR kinds > 1")
+    found = scratch.table(found.select("doc_id", "tag", "anchor", (F.col("doc_id") > F.col("least")).alias("done"), F.ceil(F.col("kinds") / GROUP).cast("int").alias("parts"), (F.col("doc_id") == F.col("lo")).alias("least")), "found")
     place = F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF))
     key = F.shiftright("tag", 32)
     whole = found.where("done").select("doc_id", F.struct(key.alias("key"), F.greatest(place - reach, F.lit(0)).alias("start"), (place + length).alias("end")).alias("range"))
-    todo = found.where("NOT done").groupBy("doc_id").agg(F.collect_set("tag").alias("tags"))
-    windows = scratch.table(_windows(slim.join(todo, "doc_id").select("doc_id", "text", "tags"), length), "windows")
+    todo = found.where("NOT done").groupBy("doc_id").agg(F.collect_set(F.struct("tag", "anchor", "parts", "least")).alias("todo"))
+    extended = scratch.table(_extended(_surroundings(slim.join(todo, "doc_id").select("doc_id", "text", "todo"), length), length), "extended")
+    spans = extended.where("start IS NOT NULL").select("doc_id", F.struct(key.alias("key"), "start", "end").alias("range"))
+    # Two documents that leave the least one alike may have more in common than it.
+    ways = extended.select("doc_id", "tag", F.explode(F.array("before", "after")).alias("way")).where("way IS NOT NULL")
+    alike = ways.groupBy("way").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("way")
+    more = ways.join(alike, "way").groupBy("doc_id").agg(F.collect_set("tag").alias("tags"))
+    windows = scratch.table(_windows(slim.join(more, "doc_id").select("doc_id", "text", "tags"), length), "windows")
     least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     later = windows.join(least, "window").where("doc_id > least")
     later = later.select("doc_id", F.struct(key.alias("key"), place.alias("start"), (place + length).alias("end")).alias("range"))
-    return whole.unionByName(later).groupBy("doc_id").agg(F.collect_list("range").alias("ranges"))
+    return whole.unionByName(spans).unionByName(later).groupBy("doc_id").agg(F.collect_list("range").alias("ranges"))
 
 
 def maximal(n: int, ranges: list[dict], key: int) -> np.ndarray:
@@ -176,20 +260,25 @@ def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _n_words, _n_removed, _spans (removed ranges of words, start and end) and _kept added.
+def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", prefix: str = "_") -> DataFrame:
+    """docs with n_words, n_removed, spans (removed ranges of words, start and end) and kept added, named with the prefix.
 
-    _kept is the text without the removed words: unchanged (null stays null) if
-    none is removed, else the kept words joined by one space.  All rows stay;
-    a document's rows with equal ids are judged by their own texts.
+    kept is the text without the removed words: unchanged (null stays null) if
+    none is removed, else the kept words joined by one space.  All rows stay,
+    repeated ones, too; a document's rows with equal ids are judged by their
+    own texts, and rows with a null id lose nothing.  Texts are searched whole.
+    An empty table gives no rows.  A column of docs that has the name of an
+    added one is refused (give a prefix).
     """
-    p = "_quarry_r_"
+    extra = [T.StructField(prefix + "n_words", T.LongType()), T.StructField(prefix + "n_removed", T.LongType()), T.StructField(prefix + "spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField(prefix + "kept", T.StringType())]
+    names = docs.columns
+    if {f.name.lower() for f in extra} & {c.lower() for c in names}:
+        raise ValueError("a column of the input has the name of an added one; give a prefix")
     found = scratch.table(repeats(docs, length, id_col, text_col), "repeats")
+    p = scratch.unused(docs, "_quarry_r_")
     found = found.select(F.col("doc_id").alias(p + "id"), F.col("ranges").alias(p + "ranges"))
     joined = docs.join(found, docs[id_col] == found[p + "id"], "left").drop(p + "id")
-    names = docs.columns
     at = names.index(text_col)
-    extra = [T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_kept", T.StringType())]
 
     def run(batches):
         for batch in scratch.cut(batches, 128):
@@ -219,7 +308,11 @@ def _hashes(raw: bytes) -> np.ndarray:
 
 
 def digest(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space) for every row of docs."""
+    """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space) for every row of docs.
+
+    Null texts have no words; the rest is as in remove.  Other columns of docs,
+    whatever their names, take no part.
+    """
     removed = remove(docs.select("doc_id", "text"), length)
 
     def run(batches):

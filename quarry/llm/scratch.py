@@ -93,6 +93,13 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+def unused(df: DataFrame, prefix: str) -> str:
+    """The prefix, with so many underscores in front that no column of df begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def cut(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most so many rows, so that what is made of long texts fits a worker's memory."""
     for batch in batches:

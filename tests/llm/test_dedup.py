@@ -130,3 +130,23 @@ def test_windows_shared_with_different_documents(spark):
     data = [(1, " ".join(t[:80])), (2, " ".join(["n"] * 3 + t[20:120])), (3, " ".join(t[10:115])), (4, " ".join(t[60:110]))]
     got = sorted(tuple(r) for r in repeats.digest(spark.createDataFrame(data, "doc_id long, text string")).collect())
     assert got == brute_repeats(data, 50)
+
+
+def test_many_kinds_of_one_anchor(spark, monkeypatch):
+    """A passage in many surroundings, dealt to several groups; some of them share more than the passage."""
+    monkeypatch.setattr(repeats, "GROUP", 4)
+    t = [f"q{i}" for i in range(90)]
+    tails = [[f"tail{k}x{i}" for i in range(40)] for k in range(3)]
+    data = [(i, " ".join([f"a{i}x{k}" for k in range(i % 40)] + t[i % 30 :] + (tails[i % 3][: 5 + i % 35] if i % 4 else []) + [f"z{i}"])) for i in range(60)]
+    data += [(100 + i, " ".join(t[20:60] + ["cut"] + t[61:])) for i in range(5)] + [(7, data[8][1]), (0, data[0][1] + " " + data[0][1])]
+    got = sorted((tuple(r) for r in repeats.digest(spark.createDataFrame(data, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_repeats(data, 50)
+
+
+def test_clashing_names_are_refused_or_avoided(spark):
+    docs = documents(spark).withColumnRenamed("lang", "_kept").withColumnRenamed("n_chars", "_quarry_gone")
+    with pytest.raises(ValueError):
+        repeats.remove(docs)
+    assert repeats.remove(docs, prefix="r_").columns == [*docs.columns, "r_n_words", "r_n_removed", "r_spans", "r_kept"]
+    assert neardup.keep_first(docs).columns == docs.columns
+    assert sorted(map(str, repeats.digest(docs).collect())) == sorted(map(str, repeats.digest(documents(spark)).collect()))
