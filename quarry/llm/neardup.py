@@ -128,8 +128,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     words is one shingle, and one without words (or null) has an empty set and
     no links.  component_id is the least id reachable, kept says that it is the
     document's own.  Rows with a null id link with nothing and are kept with a
-    null component_id; rows with equal ids are one node.  An empty table gives
-    no rows.
+    null component_id; rows with equal ids are one node.  Sets hold all
+    shingles of a text, whatever its length.  An empty table gives no rows;
+    other columns of docs, whatever their names, take no part.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = scratch.table(_signatures(slim, words), "signatures")
@@ -158,7 +159,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which no near-duplicate has a smaller id, with docs' columns."""
+    """The rows of docs of which no near-duplicate has a smaller id, with docs' columns.
+
+    Texts without words and rows with a null id have no duplicates and stay;
+    rows with equal ids stay or go together; an empty table gives no rows, and
+    columns may have any names.
+    """
     found = near_duplicates(docs, words, percent, id_col, text_col)
-    gone = scratch.table(found.where("NOT kept").select(F.col("doc_id").alias("_quarry_gone")).distinct(), "duplicates")
-    return docs.join(gone, docs[id_col] == gone["_quarry_gone"], "left_anti")
+    gone = scratch.table(found.where("NOT kept").select(F.col("doc_id").alias(scratch.unused(docs, "_quarry_gone"))).distinct(), "duplicates")
+    return docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")

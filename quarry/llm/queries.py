@@ -25,11 +25,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", *quality.MEASURES, "base_failed", "kept")
+    return quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", *quality.MEASURES, "base_failed", F.round("host_rate", 6).alias("host_rate"), "kept")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,25 +102,51 @@ WITH w AS (
 ), repeated AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
 ), lines AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), measured AS (
-  SELECT w.doc_id, source, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
+  SELECT w.doc_id, source, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)
 ), failed AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * n_symbols > 10 * word_chars AS symbols, 100 * n_dup_lines > 30 * n_lines AS dup, word_chars < 2 * n_words OR word_chars > 12 * n_words AS length FROM measured
+), bits AS (
+  SELECT source, rule, bit FROM (SELECT source, unnest(['base', 'symbols', 'lines', 'length']) AS rule, unnest([base_failed, symbols, dup, length]) AS bit FROM failed)
 ), hosts AS (
-  SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM failed GROUP BY source
+  SELECT source, rule, count(*)::DOUBLE AS n, sum(bit::INT)::DOUBLE AS f FROM bits GROUP BY source, rule
 ), sums AS (
-  SELECT sum(n) AS n, sum(f) / sum(n) AS m, count(*) AS k, sum(f * f / n) AS q, sum(n * n) AS r FROM hosts
+  SELECT rule, sum(n) AS n, sum(f) / sum(n) AS m, count(*) AS k, sum(f * f / n) AS q, sum(n * n) AS r FROM hosts GROUP BY rule
 ), fitted AS (
-  SELECT m, m * (1 - m) AS noise, (q - n * m * m - m * (1 - m) * (k - 1)) / nullif(n - r / n, 0) AS spread FROM sums
+  SELECT rule, m, m * (1 - m) AS noise, (q - n * m * m - m * (1 - m) * (k - 1)) / nullif(n - r / n, 0) AS spread FROM sums
 ), prior AS (
-  SELECT m, least(greatest(CASE WHEN noise > 0 AND spread > 0 THEN noise / spread - 1 ELSE 1e6 END, 1), 1e6) AS k FROM fitted
-), bad AS (
-  SELECT source, (f + m * k) / (n + k) > 0.5 AS rejected FROM hosts, prior
+  SELECT rule, m, least(greatest(CASE WHEN noise > 0 AND spread > 0 THEN noise / spread - 1 ELSE 1e6 END, 1), 1e6) AS k FROM fitted
+), rates AS (
+  SELECT source, max((f + m * k) / (n + k)) AS host_rate FROM hosts JOIN prior USING (rule) GROUP BY source
 )
-SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
-FROM failed JOIN bad ON failed.source IS NOT DISTINCT FROM bad.source
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, n_lines::BIGINT AS n_lines, base_failed, round(host_rate, 6) AS host_rate, NOT base_failed AND host_rate <= 0.5 AS kept
+FROM failed JOIN rates ON failed.source IS NOT DISTINCT FROM rates.source
+"""
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    floor(-ln((('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
+      / (1 / (1 + 20 * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', ''))) / greatest(length(coalesce(text, '')), 1))) * 17592186044416.0) AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::DOUBLE AS source_size, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS w FROM d GROUP BY source
+), water(step, level) AS (
+  SELECT 1, 1.5 * sum(source_size) / sum(w) FROM s
+  UNION ALL
+  SELECT step + 1, (SELECT (1.5 * sum(source_size) - coalesce(sum(2 * source_size) FILTER (WHERE level * w >= 2 * source_size), 0)) / nullif(sum(w) FILTER (WHERE level * w < 2 * source_size), 0) FROM s)
+  FROM water WHERE level IS NOT NULL AND step <= (SELECT count(*) FROM s)
+), t AS (
+  SELECT source, source_size, least(2 * source_size, w * coalesce((SELECT level FROM water ORDER BY step DESC LIMIT 1), 1e300)) AS target FROM s
+), budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t
+), placed AS (
+  SELECT d.*, source_size, target, epochs, target - epochs * source_size AS budget, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size) - size AS begun
+  FROM d JOIN budgets ON d.source IS NOT DISTINCT FROM budgets.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(target, 6) AS target, (size * (epochs + CASE WHEN begun + size / 2 <= budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM placed
 """
 
 OP10_SQL = r"""
@@ -140,7 +166,7 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM w LEFT JOIN removed USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL, "op9_license_scan": licenses.oracle(), "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL, "op5_mixing": OP5_SQL, "op9_license_scan": licenses.oracle(), "op10_substring_dedup": OP10_SQL}
 
 
 def oracle_sql() -> dict[str, str]:

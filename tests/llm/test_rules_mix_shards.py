@@ -1,9 +1,12 @@
+import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.llm import licenses, mixing, quality, shards
 from quarry.llm.shards import Segment
@@ -16,7 +19,7 @@ def brute_measures(t):
     grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
     covered = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
     lines = [x for x in t.split("\n") if words(x)]
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), len(lines)
 
 
 def test_quality_matches_brute_force(spark):
@@ -40,6 +43,19 @@ def test_hosts_with_mostly_failures_are_rejected_and_small_ones_shrunk(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+@pytest.mark.parametrize("rule, body", [("symbols", "#$%& " + " ".join(f"word{i}" for i in range(60)) + " ****" * 20), ("lines", "the same line again\n" * 9 + " ".join(f"word{i}" for i in range(60))), ("length", " ".join(f"averylongtoken{i:04d}" for i in range(60)))])
+def test_hosts_fall_by_each_rule(spark, rule, body):
+    good = " ".join(f"word{i}" for i in range(60))
+    data = [(i, good, None, f"clean{i % 3}", 1) for i in range(300)] + [(1000 + i, f"{body} n{i}", None, "bad", 1) for i in range(100)] + [(2000, good, None, "bad", 1), (2001, body, None, "clean0", 1), (2002, body, None, None, 1)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(data, DOCS)).collect()}
+    assert got[0].kept and got[2001].kept  # one document says little of its host
+    assert not got[1000].kept and not got[2000].kept and got[2000].host_rejected and not got[1000].base_failed
+    assert got[1000].host_rate == got[1000][f"host_rate_{rule}"] > 0.5 > got[0].host_rate
+    assert 0 < got[2002][f"host_rate_{rule}"] < 1  # a host of one document is shrunk
+    kept = quality.keep_good(spark.createDataFrame(data, DOCS)).collect()
+    assert {r.doc_id for r in kept} == {i for i, r in got.items() if r.kept}
+
+
 def test_clashing_names_are_refused_or_avoided(spark):
     docs = documents(spark).withColumnRenamed("lang", "n_words")
     with pytest.raises(ValueError):
@@ -89,6 +105,47 @@ def test_sample_repeats_rows_as_the_mix_says(spark):
     assert Counter(r.doc_id for r in sampled.collect()) == +want
 
 
+def plain_mix(data, seed=17, weights=(3, 1, 2), share=1.5, cap=2, weigh=None):
+    """The mix of distinct documents, by sorting each source."""
+    by = defaultdict(list)
+    for i, t, _, s, *_ in data:
+        t = t or ""
+        w = weigh(t) if weigh else 1 / (1 + 20 * sum(c in "#*$%&|<>" for c in t) / max(len(t), 1))
+        u = (int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        by[s].append((math.floor(-math.log(u) / w * 2**44), -1 if i is None else i, len(words(t))))
+    target = brute_targets({s: sum(x[2] for x in v) for s, v in by.items()}, weights, share, cap)
+    out = Counter()
+    for s, docs in by.items():
+        size = sum(x[2] for x in docs)
+        epochs = int(target[s] // size) if size else 0
+        left, begun = target[s] - epochs * size, 0
+        for _, i, n in sorted(docs):
+            out[i] += n * (epochs + (begun + n / 2 <= left))
+            begun += n
+    return out
+
+
+def test_mix_matches_a_plain_version(spark, monkeypatch):
+    data = [r for k, r in enumerate(rows(n=300)) if r[0] != 5 or k == 5]
+    df = spark.createDataFrame(data, DOCS).repartition(3)
+    want = plain_mix(data)
+    for edge in (mixing.EDGE, 20, 0):  # ranges divided once, twice, as far as it goes
+        monkeypatch.setattr(mixing, "EDGE", edge)
+        got = Counter()
+        for r in mixing.mix(df).collect():
+            got[-1 if r.doc_id is None else r.doc_id] += r.taken
+        assert +got == +want
+
+
+def test_quality_of_documents_can_be_given(spark):
+    data = [(i, "a b c " * 5 + ("#" * 9 if i % 2 else ""), None, "s", 1) for i in range(2000)]
+    df = spark.createDataFrame(data, DOCS)
+    flat = mixing.mix(df, share=0.5, quality=F.lit(1.0)).collect()
+    assert +Counter({r.doc_id: r.taken for r in flat}) == +plain_mix(data, share=0.5, weigh=lambda t: 1)
+    tilted = mixing.mix(df, share=0.5, quality=F.when(F.col("doc_id") < 1000, 1.0)).collect()
+    assert sum(r.copies for r in tilted if r.doc_id >= 1000) < 20
+
+
 def test_epochs_come_before_the_fraction(spark):
     data = [(i, " ".join(["w"] * 10), None, s, 1) for s, a, b in (("a", 0, 100), ("b", 100, 900)) for i in range(a, b)]
     got = mixing.mix(spark.createDataFrame(data, DOCS), weights=(1, 3), share=1.4).collect()
