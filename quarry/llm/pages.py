@@ -223,7 +223,7 @@ def _read(pages: DataFrame) -> DataFrame:
                 made["kinds"].append([k for _, k in found])
                 made["lines"].append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in found])
                 made["words"].append([len(t.split()) for t, _ in found])
-                made["body"].append(zlib.compress("\n".join(t for t, k in found if k < FRAME).encode(), 1))
+                made["body"].append(zlib.compress("\n".join(t for t, k in found if k < FRAME).encode()))
             types = {"kinds": pa.list_(pa.int8()), "lines": pa.list_(pa.int64()), "words": pa.list_(pa.int32()), "body": pa.binary()}
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(v, types[k]) for k, v in made.items())], [*batch.schema.names[:5], *made])
 
@@ -236,11 +236,12 @@ def _copy(own: dict, other: dict) -> bool:
     return own["host"] == other["host"] and copies(own["lines"], own["words"], other["lines"], common(own["lines"], other["lines"]))
 
 
-def _ordered(classes: DataFrame) -> DataFrame:
+def _ordered(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """same, host, lines, words and run: the number, in the order of hosts and paths, of the run of nearly equal neighbours a class is in; first: does it begin the run?
 
     Runs are counted in each partition of a range sort; whether one goes on in
-    the next partition shows by comparing the rows at the border.
+    the next partition shows by comparing the rows at the border.  Also the
+    tables that were made for it.
     """
     ordered = classes.repartitionByRange("host", "path", "same").sortWithinPartitions("host", "path", "same")
 
@@ -271,15 +272,15 @@ def _ordered(classes: DataFrame) -> DataFrame:
     joined = scratch.table(parts.mapInArrow(join, "part int, n long, joined long"), "borders")
     start = F.coalesce(F.sum(F.col("n") - F.col("joined")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("joined")
     starts = joined.select("part", "joined", start.alias("start"))
-    return placed.join(starts, "part").select("same", "host", "lines", "words", (F.col("start") + F.col("run")).alias("run"), (F.col("first") & ((F.col("at") > 0) | (F.col("joined") == 0))).alias("first"))
+    ordered = placed.join(starts, "part").select("same", "host", "lines", "words", (F.col("start") + F.col("run")).alias("run"), (F.col("first") & ((F.col("at") > 0) | (F.col("joined") == 0))).alias("first"))
+    return ordered, [placed, joined]
 
 
-def _shared(classes: DataFrame) -> DataFrame:
-    """same, gone (places of the lines that comparison deletes) for each class that is compared with another page.
+def _shared(placed: DataFrame) -> DataFrame:
+    """same, gone (places of the lines that comparison deletes) for each ordered class that is compared with another page.
 
     A run of copies is represented to the two runs on either side by its first class.
     """
-    placed = _ordered(classes)
     sides = F.explode(F.array(*(F.col("run") + k for k in (-2, -1, 1, 2)))).alias("run")
     others = placed.where("first").select(F.struct("host", "lines").alias("page"), sides).groupBy("run").agg(F.collect_list("page").alias("others"))  # four at most
     pairs = placed.join(others.hint("merge"), "run").select("same", "host", "lines", "words", "others")
@@ -314,9 +315,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     read = scratch.table(_read(slim), "page-lines")
     keyed = read.select("page_id", "row", F.xxhash64("host", "lines", "kinds").alias("same"), "host", "path", "lines", "words")
     classes = keyed.groupBy("same").agg(F.min("path").alias("path"), *(F.any_value(c).alias(c) for c in ("host", "lines", "words")))
-    shared = scratch.table(_shared(classes), "shared-lines")
+    ordered, made = _ordered(classes)
+    shared = scratch.table(_shared(ordered), "shared-lines")
+    for done in made:
+        scratch.drop_table(pages.sparkSession, done)
     # Every page has a row here, so all joins are merges at any size.
     gone = scratch.table(keyed.select("page_id", "row", "same").join(shared.hint("merge"), "same").select("page_id", "row", "gone").dropDuplicates(["page_id", "row"]), "page-deletions")
+    scratch.drop_table(pages.sparkSession, shared)
     r, g = read.alias("r"), gone.hint("merge").alias("g")
     joined = r.join(g, F.col("r.page_id").eqNullSafe(F.col("g.page_id")) & (F.col("r.row") == F.col("g.row")), "left").select("r.page_id", "r.url", "r.body", "r.kinds", "g.gone")
 
