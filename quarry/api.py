@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 from pathlib import Path
 from typing import Any
 
@@ -14,8 +15,10 @@ from .config import FOLDER, Config
 from .functions.columns import decode_text
 from .operators.embed import Embedder, HashingEmbedder
 from .operators.filters import Filters
+from .operators import enhance
 from .plans import retrieval
 from .plans.indexing import Indexer
+from .progress import ProgressEvent
 from .store import ChunkStore
 
 log = logging.getLogger(__name__)
@@ -58,12 +61,14 @@ class Service:
             options = retrieval.SearchOptions.of(self.config, limit, mode, deduplicate, expand_context)
             filters = Filters(extensions, directories, chunk_types, languages, file_filter, branch)
             vector = self.embedder.embed_batch([query])[0] if options.mode in ("vector", "hybrid") and query else None
-            index, stats = self.store.index()
-            files = None
-            if options.expand_context:
-                files = self.indexer.files(self.config.project_root).select("path", decode_text(F.col("content")).alias("text"))
-            make = lambda: retrieval.payload(retrieval.run(self.store.chunks(), query, vector, options, filters, files, index, stats)).orderBy("rank")
-            rows = make().collect() if options.expand_context else self.store.cached((query, options, filters.key()), make)
+            plain = replace(options, expand_context=False)
+            make = lambda: retrieval.payload(retrieval.run(self.store.wide(), query, vector, plain, filters, None, *self.store.index())).orderBy("rank")
+            rows = self.store.cached((query, plain, filters.key()), make)
+            if rows and options.expand_context:  # from the files of the results alone, as they are now
+                found = self.spark.createDataFrame(rows, retrieval.PAYLOAD).withColumnRenamed("code", "text")
+                files = self.indexer.files_at(found.select("path")).select("path", decode_text(F.col("content")).alias("text"))
+                found = enhance.expand_context(found, files, options.context_lines_before, options.context_lines_after, options.limit)
+                rows = found.withColumnRenamed("text", "code").orderBy("rank").collect()
             results = [{k: v for k, v in r.asDict().items() if k != "rank"} for r in rows]
             return {"query": query, "mode": options.mode, "count": len(results), "results": results}
         except Exception as e:  # noqa: BLE001  the interface reports failures as values
@@ -79,15 +84,22 @@ class Service:
             log.exception("status failed")
             return {"error": str(e), "stats": None}
 
-    def ctx_index(self, path: str = ".", force: bool = False, branch: str | None = None) -> dict[str, Any]:
+    def warm_up(self) -> None:
+        """Load the embedder and look at the store, so that the first search does not wait for them."""
+        self.embedder.embed_batch(["warm up"])
+        if self.store is not None:
+            self.store.manifest()
+
+    def ctx_index(self, path: str = ".", force: bool = False, branch: str | None = None, progress: Callable[[ProgressEvent], None] | None = None) -> dict[str, Any]:
         if self.config is None or self.indexer is None:
             return {"error": "Config not initialized"}
         where = Path(path) if Path(path).is_absolute() else self.config.project_root / path
         if not where.exists():
             return {"error": f"Path does not exist: {path}"}
         try:
-            report = self.indexer.index_path(where, force, branch)
-            return {"path": str(where), "indexed": report.indexed, "unchanged": report.unchanged, "deleted": report.deleted, **{k: v for k, v in self.ctx_status().items() if k != "indexed"}}
+            report = self.indexer.index_path(where, force, branch, progress)
+            problems = [dict(zip(("path", "status", "reason"), p, strict=True)) for p in report.problems]
+            return {"path": str(where), "indexed": report.indexed, "unchanged": report.unchanged, "deleted": report.deleted, "skipped": report.skipped, "errors": report.errors, "problems": problems, **{k: v for k, v in self.ctx_status().items() if k != "indexed"}}
         except Exception as e:  # noqa: BLE001
             log.exception("index run failed")
             return {"error": str(e)}

@@ -29,7 +29,8 @@ def _parser() -> argparse.ArgumentParser:
     x.add_argument("--expand", action="store_true")
     x.add_argument("--no-dedup", action="store_true")
     x.add_argument("--json", action="store_true")
-    commands.add_parser("status")
+    x = commands.add_parser("status")
+    x.add_argument("--json", action="store_true")
     x = commands.add_parser("clean")
     x.add_argument("--yes", action="store_true")
     commands.add_parser("version")
@@ -51,12 +52,19 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from .api import Service
+    from .functions.columns import stats_text
+    from .progress import format_eta
 
     service = Service(SparkSession.builder.appName("quarry").getOrCreate(), a.project)
     if a.command == "index":
-        out = service.ctx_index(a.path, a.force, a.branch)
+        show = lambda e: print(f"{e.current}/{e.total} files, {format_eta(e.eta)} left", file=sys.stderr)
+        out = service.ctx_index(a.path, a.force, a.branch, show)
     elif a.command == "status":
         out = service.ctx_status()
+        if not a.json and "error" not in out:
+            s = service.store.stats()
+            print(s.select(stats_text(*(s[c] for c in ("total_files", "total_chunks", "total_size_bytes", "languages", "last_indexed"))).alias("text")).first().text)
+            return 0
     elif a.command == "clean":
         if not a.yes:
             print("clean deletes the whole index; say --yes", file=sys.stderr)

@@ -77,6 +77,13 @@ def format_eta(seconds: Column) -> Column:
     return F.when(seconds.isNull(), "unknown").when(h > 0, F.format_string("%dh %dm", h, m)).when(m > 0, F.format_string("%dm %ds", m, F.pmod(s, F.lit(60)))).otherwise(F.format_string("%ds", s))
 
 
+def stats_text(total_files: Column, total_chunks: Column, size: Column, languages: Column, last: Column) -> Column:
+    """The index in a few lines: files, chunks, size, chunks by language, and when it was last written."""
+    by = F.array_join(F.transform(F.array_sort(F.map_entries(languages)), lambda e: F.format_string("%s %d", e.key, e.value)), ", ")
+    when = F.coalesce(F.date_format(F.timestamp_seconds(last), "yyyy-MM-dd HH:mm:ss"), F.lit("never"))
+    return F.format_string("Files: %d\nChunks: %d\nSize: %s\nLanguages: %s\nLast indexed: %s", total_files, total_chunks, format_file_size(size), by, when)
+
+
 def result_line(path: Column, start: Column, end: Column, score: Column, text: Column) -> Column:
     """path:start-end (score), then the beginning of the text."""
     return F.format_string("%s:%d-%d (%.3f)\n%s...", path, start, end, score.cast("double"), F.substring(text, 1, 100))

@@ -6,6 +6,10 @@ a parser and run in an Arrow function.  All give no chunk for blank text.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from typing import Any, Protocol
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +20,7 @@ from ..schema import CODE_LANGUAGES
 from .code_scan import definitions
 
 CHUNK_TYPE = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("chunk_type", T.StringType()), T.StructField("name", T.StringType())]))
+_ARROW = pa.list_(pa.struct([("text", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("chunk_type", pa.string()), ("name", pa.string())]))
 HEADER = r"(?dU)^(#{1,6})\s+(.+)$"
 
 
@@ -71,17 +76,87 @@ def code_chunks(text: pa.Array, language: pa.Array) -> pa.Array:
             out.append([d._asdict() for d in definitions(t or "", lang)])
         except Exception:  # noqa: BLE001  a scanner's failure must not stop the job: the text is chunked by paragraphs
             out.append(None)
-    kind = pa.list_(pa.struct([("text", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("chunk_type", pa.string()), ("name", pa.string())]))
-    return pa.array(out, kind)
+    return pa.array(out, _ARROW)
+
+
+class Chunker(Protocol):
+    """Which languages it is for, and the chunks (CHUNK_TYPE; null or empty for none) of a text of them."""
+
+    def wants(self, language: Column) -> Column: ...
+
+    def chunks(self, text: Column, language: Column) -> Column: ...
+
+
+class ParagraphChunker:
+    """For every text; see paragraph_chunks."""
+
+    def __init__(self, max_words: int = 500, overlap_words: int = 50):
+        self.max_words, self.overlap_words = max_words, overlap_words
+
+    def wants(self, language: Column) -> Column:
+        return F.lit(True)
+
+    def chunks(self, text: Column, language: Column) -> Column:
+        return paragraph_chunks(text, self.max_words, self.overlap_words)
+
+
+class SectionChunker:
+    """For markdown; see section_chunks."""
+
+    def wants(self, language: Column) -> Column:
+        return language == "markdown"
+
+    def chunks(self, text: Column, language: Column) -> Column:
+        return section_chunks(text)
+
 
+class CodeChunker:
+    """For languages with a scanner; texts in which that fails go by paragraphs."""
 
-def chunk_files(files: DataFrame, max_words: int = 500, overlap_words: int = 50, text_col: str = "text", language_col: str = "language") -> DataFrame:
-    """One row per chunk: files' other columns, then chunk_seq, text, start_line, end_line, chunk_type and name."""
+    def __init__(self, max_words: int = 500):
+        self.max_words = max_words
+
+    def wants(self, language: Column) -> Column:
+        return language.isin(*CODE_LANGUAGES)
+
+    def chunks(self, text: Column, language: Column) -> Column:
+        return F.coalesce(code_chunks(text, language), paragraph_chunks(text, self.max_words, 50 if self.max_words > 50 else 0))
+
+
+class FunctionChunker:
+    """A Python function from a text to dictionaries (text, start_line, end_line, chunk_type, name), for some languages."""
+
+    def __init__(self, languages: Sequence[str], function: Callable[[str], Sequence[Mapping[str, Any]]]):
+        self.languages, self.function = tuple(languages), function
+
+    def wants(self, language: Column) -> Column:
+        return language.isin(*self.languages)
+
+    def chunks(self, text: Column, language: Column) -> Column:
+        function = self.function
+
+        @F.arrow_udf(CHUNK_TYPE)
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array([[{k: c.get(k) for k in _ARROW.value_type.names} for c in function(t or "")] for t in texts.to_pylist()], _ARROW)
+
+        return run(text)
+
+
+def default_chunkers(max_words: int = 500, overlap_words: int = 50) -> list[Chunker]:
+    return [CodeChunker(max_words), SectionChunker(), ParagraphChunker(max_words, overlap_words)]
+
+
+def chunk_files(files: DataFrame, max_words: int = 500, overlap_words: int = 50, text_col: str = "text", language_col: str = "language", chunkers: Sequence[Chunker] = ()) -> DataFrame:
+    """One row per chunk: files' other columns, then chunk_seq, text, start_line, end_line, chunk_type and name.
+
+    A file goes to the first chunker that wants its language; the given ones come before the usual.
+    """
     rest = [c for c in files.columns if c != text_col]
     text, language = F.col(text_col), F.col(language_col)
     other = lambda df, chunks: df.select(*rest, F.posexplode(chunks).alias("chunk_seq", "chunk")).select(*rest, "chunk_seq", "chunk.*")
-    code = files.where(language.isin(*CODE_LANGUAGES)).withColumn("_chunks", code_chunks(text, language))
-    code = other(code, F.coalesce("_chunks", paragraph_chunks(text, max_words, 50 if max_words > 50 else 0)))
-    markdown = other(files.where(language == "markdown"), section_chunks(text))
-    plain = other(files.where(~language.isin("markdown", *CODE_LANGUAGES) | language.isNull()), paragraph_chunks(text, max_words, overlap_words))
-    return code.unionByName(markdown).unionByName(plain)
+    parts, taken = [], F.lit(False)
+    for chunker in [*chunkers, *default_chunkers(max_words, overlap_words)]:
+        wanted = F.coalesce(chunker.wants(language), F.lit(False))
+        parts.append(other(files.where(wanted & ~taken).withColumn("_chunks", chunker.chunks(text, language)), F.col("_chunks")))
+        taken = taken | wanted
+    return reduce(DataFrame.unionByName, parts)

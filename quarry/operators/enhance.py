@@ -9,48 +9,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import overlap
+from .search import SMALL
 
 
 def ranked(results: DataFrame, *order: Column) -> DataFrame:
     return results.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def deduplicate(results: DataFrame, threshold: float = 0.5) -> DataFrame:
+def without_overlap(results: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Within a path, the best first: a chunk goes if it shares so much of its lines with a chunk that stays.
 
-    The greedy choice is a fold over each path's sorted chunks.
+    The greedy choice is a fold over each path's sorted chunks.  _first is the
+    best rank of the path.
     """
     columns = results.columns
     row = F.struct((-F.col("score")).alias("_s"), F.col("rank").alias("_r"), F.struct(*columns).alias("row"))
     by_path = results.groupBy("path").agg(F.sort_array(F.collect_list(row)).alias("c"), F.min("rank").alias("_first"))
     clash = lambda a, b: overlap(a.row.start_line, a.row.end_line, b.row.start_line, b.row.end_line) >= threshold
     kept = F.aggregate("c", F.slice("c", 1, 0), lambda done, x: F.when(F.exists(done, lambda y: clash(x, y)), done).otherwise(F.concat(done, F.array(x))))
-    out = by_path.select("_first", F.explode(kept).alias("k")).select("_first", "k.row.*")
-    return ranked(out, F.desc("score"), F.col("_first"), F.col("rank")).drop("_first")
+    return by_path.select("_first", F.explode(kept).alias("k")).select("_first", "k.row.*")
+
+
+def deduplicate(results: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The results without overlap, ranked anew."""
+    return ranked(without_overlap(results, threshold), F.desc("score"), F.col("_first"), F.col("rank")).drop("_first")
+
+
+def ages(results: DataFrame) -> DataFrame:
+    """One row with the oldest and newest indexed_at, for tables too large for one task."""
+    return results.agg(F.min("indexed_at").alias("low"), F.max("indexed_at").alias("high"))
+
+
+def boosted(results: DataFrame, weight: float = 0.1, about: DataFrame | None = None) -> DataFrame:
+    """score + weight * (how recent, 0 to 1), at most 1; as it is if all are equally old.
+
+    about is ages() of a large table; a search's few results are looked at in one task.
+    """
+    if about is None:
+        everything = Window.partitionBy()
+        timed = results.withColumns({"_low": F.min("indexed_at").over(everything), "_high": F.max("indexed_at").over(everything)})
+    else:
+        timed = results.withColumn("_ages", about.select(F.struct("low", "high")).scalar()).select(*results.columns, F.col("_ages.low").alias("_low"), F.col("_ages.high").alias("_high"))
+    span = F.col("_high") - F.col("_low")
+    score = F.when(span == 0, F.col("score")).otherwise(F.least(F.lit(1.0), F.col("score") + weight * F.try_divide(F.col("indexed_at") - F.col("_low"), span)))
+    return timed.withColumns({"score": score, "_same": span == 0}).drop("_low", "_high")
 
 
 def rerank_by_recency(results: DataFrame, weight: float = 0.1) -> DataFrame:
-    """score + weight * (how recent, 0 to 1), at most 1; the order stays where all are equally old."""
+    """Results boosted by recency and ranked anew; the order stays where all are equally old."""
     if not weight:
         return results
-    everything = Window.partitionBy()
-    low, high = F.min("indexed_at").over(everything), F.max("indexed_at").over(everything)
-    timed = results.withColumns({"_low": low, "_span": high - low})
-    boosted = F.when(F.col("_span") == 0, F.col("score")).otherwise(F.least(F.lit(1.0), F.col("score") + weight * F.try_divide(F.col("indexed_at") - F.col("_low"), F.col("_span"))))
-    timed = timed.withColumn("score", boosted).withColumn("_order", F.when(F.col("_span") == 0, F.lit(0.0)).otherwise(-F.col("score")))
-    return ranked(timed, F.col("_order"), F.col("rank")).drop("_low", "_span", "_order")
+    order = F.when(F.col("_same"), F.lit(0.0)).otherwise(-F.col("score"))
+    return ranked(boosted(results, weight), order, F.col("rank")).drop("_same")
 
 
 def trim(results: DataFrame, limit: int) -> DataFrame:
     return results.where(F.col("rank") <= limit)
 
 
-def expand_context(results: DataFrame, files: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
+def expand_context(results: DataFrame, files: DataFrame, before: int = 3, after: int = 3, limit: int | None = None) -> DataFrame:
     """Texts and lines widened in the files (path, text) as they are now; without its file a row stays as it is.
 
-    The few result paths select files before their texts are read further.
+    The result paths select files before their texts are read further; they
+    are broadcast if the limit of the results is known and small.
     """
-    paths = F.broadcast(results.select("path").distinct())  # at most one row per result
+    paths = results.select("path").distinct()
+    paths = F.broadcast(paths) if limit is not None and limit <= SMALL else paths
     lines = files.join(paths, "path", "left_semi").select("path", F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+$"), F.lit(0)).alias("_lines")).dropDuplicates(["path"])
     joined = results.join(lines, "path", "left")
     n = F.size("_lines")

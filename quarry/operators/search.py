@@ -18,7 +18,11 @@ from .filters import Filters
 
 K1, B, RRF = 1.2, 0.75, 60
 TOKENS = r"[^\p{L}\p{N}]+"
+TOKEN = r"[\p{L}\p{N}]+"
 TIES = ("path", "start_line", "chunk_seq")
+SLIM = (*TIES, "chunk_type", "language", "branch")  # what ties and filters ask, kept with postings
+FETCH = ("chunk_id", "bucket")  # what finds a chunk's row; the bucket, where there is one, prunes the scan
+SMALL = 10_000  # rows of a result up to which it is broadcast
 
 
 def resolve_mode(mode: str | None, query_text: str | None, query_vector: Sequence[float] | None) -> str:
@@ -69,30 +73,40 @@ def vector_search(chunks: DataFrame, query: Sequence[float], limit: int, filters
     return _top(found.withColumn("score", similarity(F.col("distance"))), [F.col("distance"), *_ties(found)], limit)
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """term, chunk_id, tf and dl (length of the chunk in tokens): the inverted index, to be kept beside a store."""
-    t = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col("text")).alias("ts"))
-    return t.select("chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl"))
+def n_tokens(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit(TOKEN))
+
+
+def postings(chunks: DataFrame, id_col: str = "chunk_id", keep: Sequence[str] = ()) -> DataFrame:
+    """term, chunk_id, tf, dl (length of the chunk in tokens) and columns to keep: the inverted index, to be kept beside a store."""
+    t = chunks.select(F.col(id_col).alias("chunk_id"), *keep, tokens(F.col("text")).alias("ts"))
+    rows = t.select("chunk_id", *keep, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    return rows.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), *(F.any_value(c).alias(c) for c in ("dl", *keep)))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: n chunks and their mean length in tokens."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
+    return chunks.agg(F.count("*").alias("n"), F.avg(n_tokens(F.col("text"))).alias("avgdl"))
+
 
+def _hits(chunks: DataFrame, terms: Sequence[str], id_col: str, keep: Sequence[str]) -> DataFrame:
+    """The postings of some terms by a scan: neither texts nor other terms are shuffled."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(terms)})(?![\p{{L}}\p{{N}}])"), F.lit(0))
+    t = chunks.select(F.col(id_col).alias("chunk_id"), *keep, "text", found.alias("ts")).where(F.size("ts") > 0)
+    t = t.select("chunk_id", *keep, n_tokens(F.col("text")).alias("dl"), F.array_distinct("ts").alias("terms"), "ts")
+    one = F.explode(F.transform("terms", lambda x: F.struct(x.alias("term"), F.size(F.filter("ts", lambda y: y == x)).alias("tf"))))
+    return t.select("chunk_id", *keep, "dl", one.alias("hit")).select("hit.term", "chunk_id", F.col("hit.tf").cast("long").alias("tf"), "dl", *keep)
 
-def bm25(chunks: DataFrame, query: str, id_col: str = "chunk_id", index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """chunk_id and bm25 of the chunks that hold a query term; frequencies are those of the whole store.
 
-    Without a kept index the text is scanned: only the query's terms are
-    exploded, and nothing but (chunk, term) counts is shuffled.
+def bm25(chunks: DataFrame, query: str, id_col: str = "chunk_id", index: DataFrame | None = None, stats: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """chunk_id, bm25 and columns to keep of the chunks that hold a query term; frequencies are those of the whole store.
+
+    With a kept index chunks are not read.
     """
     terms = sorted(set(query_terms(query)))
-    if index is None:
-        t = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col("text")).alias("ts"))
-        hits = t.select("chunk_id", F.size("ts").alias("dl"), F.explode(F.filter("ts", lambda x: x.isin(*terms))).alias("term"))
-        index = hits.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.any_value("dl").alias("dl"))
-    else:
-        index = index.where(F.col("term").isin(*terms))
+    if not terms:
+        return chunks.limit(0).select(F.col(id_col).alias("chunk_id"), F.lit(0.0).alias("bm25"), *keep)
+    index = _hits(chunks, terms, id_col, keep) if index is None else index.where(F.col("term").isin(*terms))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     scored = index.join(F.broadcast(df), "term")  # as many rows as the query has terms
     stats = corpus_stats(chunks) if stats is None else stats
@@ -100,14 +114,30 @@ def bm25(chunks: DataFrame, query: str, id_col: str = "chunk_id", index: DataFra
     scored = scored.withColumn("s", one)
     idf = F.log(1 + (F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("s.avgdl")))
-    return scored.groupBy("chunk_id").agg(F.sum(part).alias("bm25"))
+    return scored.groupBy("chunk_id").agg(F.sum(part).alias("bm25"), *(F.any_value(c).alias(c) for c in keep))
+
+
+def _few(df: DataFrame, limit: int) -> DataFrame:
+    """df, to be broadcast if its bound of rows is small."""
+    return F.broadcast(df) if limit <= SMALL else df
+
+
+def _fts_top(chunks: DataFrame, query: str, limit: int, filters: Filters, index: DataFrame | None, stats: DataFrame | None) -> DataFrame:
+    """chunk_id, bm25, rank and what ties ask, of the best chunks: found among the hits, without the chunks' texts and vectors."""
+    keep = [c for c in (*SLIM, "bucket") if c in chunks.columns]
+    if index is not None and not set(keep) <= set(index.columns):
+        hits = filters.apply(chunks).select("chunk_id", *keep).join(bm25(chunks, query, index=index, stats=stats), "chunk_id")
+    else:
+        hits = filters.apply(bm25(chunks, query, index=index, stats=stats, keep=keep))
+    return _top(hits.select("chunk_id", "bm25", *(c for c in (*TIES, "bucket") if c in keep)), [F.desc("bm25"), *_ties(hits)], limit)
 
 
 def fts_search(chunks: DataFrame, query: str, limit: int, filters: Filters = Filters(), index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """The best chunks by BM25; score is bm25 / (1 + bm25)."""
-    found = filters.apply(chunks).join(bm25(chunks, query, index=index, stats=stats), "chunk_id")
-    found = found.withColumn("score", F.col("bm25") / (1 + F.col("bm25")))
-    return _top(found, [F.desc("bm25"), *_ties(found)], limit)
+    """The best chunks by BM25; score is bm25 / (1 + bm25).  Whole rows are fetched for the best alone."""
+    by = [c for c in FETCH if c in chunks.columns]
+    best = _fts_top(chunks, query, limit, filters, index, stats).select(*by, "bm25", "rank")
+    found = chunks.join(_few(best, limit), by)
+    return found.withColumn("score", F.col("bm25") / (1 + F.col("bm25")))
 
 
 def hybrid_search(chunks: DataFrame, query: str, vector: Sequence[float] | None, limit: int, filters: Filters = Filters(), fts_weight: float = 0.5, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
@@ -115,16 +145,17 @@ def hybrid_search(chunks: DataFrame, query: str, vector: Sequence[float] | None,
 
     Without keyword hits the order is that of the vectors.
     """
-    words = fts_search(chunks, query, limit, filters, index, stats)
     if vector is None:
-        return words
-    near = vector_search(chunks, vector, limit, filters).select("chunk_id", F.col("rank").alias("vector_rank"))
-    words = words.select("chunk_id", F.col("rank").alias("fts_rank"))
-    fused = near.join(words, "chunk_id", "full_outer")
+        return fts_search(chunks, query, limit, filters, index, stats)
+    by, ties = [c for c in FETCH if c in chunks.columns], [c for c in TIES if c in chunks.columns]
+    both = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"w.{c}")).alias(c)
+    words = _fts_top(chunks, query, limit, filters, index, stats).select(*by, *ties, F.col("rank").alias("fts_rank"))
+    near = vector_search(chunks, vector, limit, filters).select(*by, *ties, F.col("rank").alias("vector_rank"))
+    fused = near.alias("n").join(words.alias("w"), F.col("n.chunk_id") == F.col("w.chunk_id"), "full_outer").select(*map(both, (*by, *ties)), "vector_rank", "fts_rank")
     part = lambda c, w: F.coalesce(F.lit(w) / (RRF + F.col(c)), F.lit(0.0))
     fused = fused.withColumn("rrf", part("vector_rank", 1 - fts_weight) + part("fts_rank", fts_weight))
-    found = chunks.join(F.broadcast(fused), "chunk_id").withColumn("score", F.col("rrf") * (RRF + 1))  # at most 2 * limit rows
-    return _top(found, [F.desc("rrf"), *_ties(found)], limit)
+    best = _top(fused, [F.desc("rrf"), *_ties(fused)], limit).select(*by, "vector_rank", "fts_rank", "rrf", "rank")
+    return chunks.join(_few(best, limit), by).withColumn("score", F.col("rrf") * (RRF + 1))
 
 
 def search(

@@ -55,10 +55,14 @@ def run(
         found = enhance.deduplicate(found, options.overlap_threshold)
     found = enhance.trim(enhance.rerank_by_recency(found, options.recency_weight), options.limit)
     if options.expand_context and files is not None:
-        found = enhance.expand_context(found, files, options.context_lines_before, options.context_lines_after)
+        found = enhance.expand_context(found, files, options.context_lines_before, options.context_lines_after, options.limit)
     return found.select(*RESULT_COLUMNS, "rank").orderBy("rank")
 
 
+#: What payload() gives.
+PAYLOAD = "path string, start_line int, end_line int, code string, score double, language string, chunk_type string, name string, branch string, rank int"
+
+
 def payload(results: DataFrame) -> DataFrame:
     """Results as tools show them: text is called code, scores have three decimals."""
     return results.select("path", "start_line", "end_line", F.col("text").alias("code"), F.round("score", 3).alias("score"), "language", "chunk_type", "name", "branch", "rank")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class ProgressEvent:
@@ -45,3 +50,45 @@ class ProgressTracker:
     def summary(self) -> str:
         elapsed = time.time() - self.began
         return f"{self.current}/{self.total} files in {format_duration(elapsed)}"
+
+
+@contextlib.contextmanager
+def reported(spark: SparkSession, total: int, callback: Callable[[ProgressEvent], None] | None, filename: str = "", every: float = 0.5) -> Iterator[None]:
+    """Reports how far the jobs inside have come, as a share of so many files; the last report says that all are done.
+
+    The share is that of the finished tasks of the jobs known so far.
+    """
+    if callback is None:
+        yield
+        return
+    tracker, group, over = ProgressTracker(total, callback), f"progress-{uuid.uuid4().hex}", threading.Event()
+    context = spark.sparkContext
+
+    def share() -> float:
+        status, done, tasks = context.statusTracker(), 0, 0
+        for job in status.getJobIdsForGroup(group):
+            about = status.getJobInfo(job)
+            for stage in map(status.getStageInfo, about.stageIds if about else ()):
+                if stage:
+                    done, tasks = done + stage.numCompletedTasks, tasks + stage.numTasks
+        return done / tasks if tasks else 0.0
+
+    def watch() -> None:
+        while not over.wait(every):
+            now = int(share() * total)
+            if tracker.current < now < total:
+                tracker.update(filename, now - tracker.current)
+
+    before = context.getLocalProperty("spark.jobGroup.id")
+    context.setJobGroup(group, "quarry")
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+        over.set()
+        thread.join()
+        tracker.update(filename, total - tracker.current)
+    finally:
+        over.set()
+        thread.join()
+        context.setLocalProperty("spark.jobGroup.id", before)

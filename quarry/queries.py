@@ -135,14 +135,14 @@ def _(spark, sf_dir):
 
 def _with_vectors(spark, sf_dir) -> tuple[DataFrame, list[float]]:
     e, q = _vectors(spark, sf_dir)
-    return virtual_chunks(spark, sf_dir).join(e.select(F.col("vec_id").alias("doc_id"), "vector"), "doc_id"), q
+    return virtual_chunks(spark, sf_dir).join(e.select(F.col("vec_id").alias("doc_id"), "vector"), "doc_id", "left"), q
 
 
-_JOINED = CHUNKS.replace("chunks AS", "every AS") + ",\nchunks AS (SELECT every.*, embedding FROM every JOIN embeddings ON doc_id = vec_id)"
+_JOINED = CHUNKS.replace("chunks AS", "every AS") + ",\nchunks AS (SELECT every.*, embedding FROM every LEFT JOIN embeddings ON doc_id = vec_id)"
 _NEAR = """near AS (
   SELECT *, row_number() OVER (ORDER BY d, path, start_line, chunk_seq) AS v FROM (
     SELECT chunks.*, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (chunks.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (chunks.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))) AS d
-    FROM chunks, (SELECT embedding FROM embeddings WHERE vec_id = 0) q))"""
+    FROM chunks, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE chunks.embedding IS NOT NULL))"""
 
 
 def _hybrid_sql(limit: int) -> str:
@@ -221,22 +221,55 @@ def _(spark, sf_dir):
     return files.select("conv_id", F.inline(chunk.section_chunks(F.col("text")))).select("conv_id", "start_line", "end_line", "text", "name")
 
 
+# Sources made from documents: for each line of a text a block of six lines that has it as a comment, blocks taking turns.
+# Beside each block stand the chunks it must give: first and last line in the block, type, name, text.
 _CODE = {
-    "python": "import os\n\n@cached\ndef f{i}(a, b):\n    return a + b\n\n\nclass C{i}(Base):\n    def m(self):\n        return {i}\n",
-    "javascript": "const add{i} = (a, b) => a + b;\nclass K{i} {{\n  run() {{\n    return {i};\n  }}\n}}\nfunction g{i}() {{ return `x`; }}\n",
-    "typescript": "interface I{i} {{ id: number; }}\ntype T{i} = string | number;\nfunction h{i}(a: string): string {{ return a; }}\n",
-    "go": "package p\n\ntype S{i} struct {{\n\tA int\n}}\n\nfunc (s *S{i}) Get() int {{\n\treturn s.A\n}}\n",
+    "python": (
+        ("@cached\ndef f{k}(a):\n    # {line}\n    return a\n\n\n", [(1, 4, "function", "f{k}", "@cached\ndef f{k}(a):\n    # {line}\n    return a")]),
+        ("class C{k}(Base):\n    def m(self):\n        # {line}\n        return {k}\n\n\n", [(1, 4, "class", "C{k}", "class C{k}(Base):\n    def m(self):\n        # {line}\n        return {k}"), (2, 4, "function", "m", "def m(self):\n        # {line}\n        return {k}")]),
+    ),
+    "javascript": (
+        ("function f{k}(a) {\n  // {line}\n  return `x`;\n}\n\n\n", [(1, 4, "function", "f{k}", "function f{k}(a) {\n  // {line}\n  return `x`;\n}")]),
+        ("class K{k} {\n  m() {\n    // {line}\n    return 1;\n  }\n}\n", [(1, 6, "class", "K{k}", "class K{k} {\n  m() {\n    // {line}\n    return 1;\n  }\n}"), (2, 5, "function", "m", "m() {\n    // {line}\n    return 1;\n  }")]),
+    ),
+    "typescript": (
+        ("interface I{k} {\n  // {line}\n  a: string;\n}\n\n\n", [(1, 4, "interface", "I{k}", "interface I{k} {\n  // {line}\n  a: string;\n}")]),
+        ("function g{k}(a: number): number {\n  // {line}\n  return a;\n}\ntype T{k} = string | number;\n\n", [(1, 4, "function", "g{k}", "function g{k}(a: number): number {\n  // {line}\n  return a;\n}"), (5, 5, "type", "T{k}", "type T{k} = string | number;")]),
+    ),
+    "go": (
+        ("type S{k} struct {\n\t// {line}\n\tA int\n}\n\n\n", [(1, 4, "type", "S{k}", "S{k} struct {\n\t// {line}\n\tA int\n}")]),
+        ("func (s *S) G{k}() int {\n\t// {line}\n\treturn 1\n}\n\n\n", [(1, 4, "function", "G{k}", "func (s *S) G{k}() int {\n\t// {line}\n\treturn 1\n}")]),
+    ),
 }
+_BREAKS = r"[\x00-\x1f\x7f\u0085\u2028\u2029]"
+
+
+def _code_sql(language: str) -> str:
+    odd, even = (chunks for _, chunks in _CODE[language])
+    quoted = lambda t: "E'" + t.replace("\\", "\\\\").replace("'", "''").replace("\n", "\\n").replace("\t", "\\t") + "'"
+    rows = ", ".join(f"({parity}, {n}, {first}, {last}, '{kind}', {quoted(name)}, {quoted(text)})" for parity, chunks in ((1, odd), (0, even)) for n, (first, last, kind, name, text) in enumerate(chunks))
+    breaks = _BREAKS.replace(r"\u0085", r"\x{85}").replace(r"\u2028", r"\x{2028}").replace(r"\u2029", r"\x{2029}")
+    return rf"""WITH expected(parity, n, first, last, kind, name, text) AS (VALUES {rows}),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS k FROM documents),
+clean AS (SELECT doc_id, k, regexp_replace(line, '{breaks}', ' ', 'g') AS line FROM lines)
+SELECT doc_id, (k // 2 * {len(odd)} + (k - 1) // 2 * {len(even)} + n)::INT AS chunk_seq, replace(replace(text, '{{k}}', k::VARCHAR), '{{line}}', line) AS text,
+  (6 * (k - 1) + first)::INT AS start_line, (6 * (k - 1) + last)::INT AS end_line, kind AS chunk_type, replace(name, '{{k}}', k::VARCHAR) AS name FROM clean JOIN expected ON k % 2 = parity"""
+
+
 for _language in _CODE:
 
     def _code(spark, sf_dir, language=_language):
-        """A generated source for every document."""
-        parts = _CODE[language].replace("{{", "\1").replace("}}", "\2").split("{i}")
-        text = F.concat_ws("", *(x for k, p in enumerate(parts) for x in ([F.col("doc_id").cast("string")] if k else []) + [F.lit(p.replace("\1", "{").replace("\2", "}"))]))
-        files = _table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.lit(language).alias("language"))
+        """Documents as sources: every line is a comment in a definition."""
+        lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, _BREAKS, " "))
+
+        def block(line: Column, i: Column) -> Column:
+            made = [F.replace(F.replace(F.lit(t), F.lit("{k}"), (i + 1).cast("string")), F.lit("{line}"), line) for t, _ in _CODE[language]]
+            return F.when(i % 2 == 0, made[0]).otherwise(made[1])
+
+        files = _table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(lines, block), "").alias("text"), F.lit(language).alias("language"))
         return chunk.chunk_files(files).select("doc_id", "chunk_seq", "text", "start_line", "end_line", "chunk_type", "name")
 
-    _add(f"code_chunks_{_language}")(_code)
+    _add(f"code_chunks_{_language}", _code_sql(_language))(_code)
 
 
 # Scalar functions --------------------------------------------------------------------------
@@ -389,12 +422,13 @@ SELECT doc_id, path FROM steps WHERE keep"""
 
 @_add("dedup_overlap", _DEDUP)
 def _(spark, sf_dir):
-    return enhance.deduplicate(_scored(spark, sf_dir)).select("doc_id", "path")
+    return enhance.without_overlap(_scored(spark, sf_dir)).select("doc_id", "path")
 
 
 @_add("rerank_recency", f"WITH {CHUNKS}, r AS (SELECT *, (indexed_at - min(indexed_at) OVER ()) / (max(indexed_at) OVER () - min(indexed_at) OVER ()) AS norm FROM chunks) SELECT doc_id, round(least(1.0, score + 0.1 * norm), 6) AS score FROM r")
 def _(spark, sf_dir):
-    return enhance.rerank_by_recency(_scored(spark, sf_dir), 0.1).select("doc_id", F.round("score", 6).alias("score"))
+    scored = _scored(spark, sf_dir)
+    return enhance.boosted(scored, 0.1, enhance.ages(scored)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @_add("expand_context", """WITH lines AS (SELECT doc_id, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+$') AS ls FROM documents),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: The columns of a chunk.
 CHUNK = T.StructType(
     [
         T.StructField("vector", T.ArrayType(T.FloatType(), False), False),
@@ -28,6 +29,7 @@ FILE = T.StructType(
         T.StructField("length", T.LongType(), False),
         T.StructField("mtime", T.TimestampType(), True),
         T.StructField("content", T.BinaryType(), True),
+        T.StructField("error", T.StringType(), True),
     ]
 )
 #: Columns that results show; chunk_id and chunk_seq are internal.

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import logging
 import sys
+import threading
 from collections.abc import Callable
 from typing import Any, TextIO
 
 from . import __version__
 from .api import Service
 
+log = logging.getLogger(__name__)
 _TEXT, _LIST = {"type": "string"}, {"type": "array", "items": {"type": "string"}}
 TOOLS = {
     "ctx_search": ("Search the index", {"query": _TEXT, "limit": {"type": "integer"}, "file_filter": _TEXT, "branch": _TEXT, "extensions": _LIST, "directories": _LIST, "chunk_types": _LIST, "languages": _LIST, "mode": _TEXT, "expand_context": {"type": "boolean"}, "deduplicate": {"type": "boolean"}}, ["query"]),
@@ -41,6 +44,12 @@ class Server:
     def _list(self, params: dict) -> dict:
         return {"tools": [{"name": n, "description": d, "inputSchema": {"type": "object", "properties": p, "required": r}} for n, (d, p, r) in TOOLS.items()]}
 
+    def _warm_up(self) -> None:
+        try:
+            self.service.warm_up()
+        except Exception:  # noqa: BLE001  the first call will show what is wrong
+            log.exception("warm-up failed")
+
     def _call(self, params: dict) -> dict:
         name = params["name"]
         if name not in TOOLS:
@@ -49,6 +58,7 @@ class Server:
         return {"content": [{"type": "text", "text": json.dumps(result, default=str)}], "isError": "error" in result}
 
     def serve(self, source: TextIO = sys.stdin, out: TextIO = sys.stdout) -> None:
+        threading.Thread(target=self._warm_up, daemon=True).start()
         for line in source:
             if not line.strip():
                 continue

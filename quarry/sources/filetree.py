@@ -13,11 +13,12 @@ import os
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import FILE
-from .ignore import IgnoreSpec, load_nested_ignore
+from .ignore import IgnoreSpec, ancestor_ignore_lines, load_nested_ignore
 
 BYTES_PER_PARTITION = 16 << 20
 OPEN_COST = 256 << 10
@@ -49,22 +50,40 @@ class _Files(InputPartition):
         super().__init__(files)
 
 
+TOO_LARGE = "larger than the limit"
+
+
+def _read(relative: str, path: str, max_size: int) -> tuple:
+    """A row of the scan; without its content, and with an error, if it is too large or cannot be read."""
+    try:
+        about = os.stat(path)
+        changed = dt.datetime.fromtimestamp(about.st_mtime, dt.UTC).replace(tzinfo=None)
+        if about.st_size > max_size:
+            return relative, path, about.st_size, changed, None, TOO_LARGE
+        with open(path, "rb") as f:
+            content = f.read()
+    except OSError as e:
+        return relative, path, 0, None, None, f"cannot be read: {e.strerror}"
+    return relative, path, len(content), changed, content, None
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
         self.exclude = [x for x in options.get("exclude", "").split("\n") if x]
         self.max_size = int(options.get("max_file_size", 1048576))
         self.gitignore = options.get("gitignore", "true").lower() == "true"
+        self.report = options.get("report", "false").lower() == "true"
 
     def partitions(self) -> Sequence[InputPartition]:
         out: list[InputPartition] = []
         held: list[tuple[str, str, int]] = []
         size = 0
         for f in walk(self.root, self.exclude, self.gitignore):
-            if f[2] > self.max_size:
+            if f[2] > self.max_size and not self.report:
                 continue
             held.append(f)
-            size += f[2] + OPEN_COST
+            size += min(f[2], self.max_size) + OPEN_COST
             if size >= BYTES_PER_PARTITION:
                 out.append(_Files(held))
                 held, size = [], 0
@@ -72,17 +91,13 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for relative, path, _ in partition.value:
-            try:
-                with open(path, "rb") as f:
-                    content = f.read()
-                changed = dt.datetime.fromtimestamp(os.stat(path).st_mtime, dt.UTC).replace(tzinfo=None)
-            except OSError:
-                continue  # unreadable files are left out
-            yield relative, path, len(content), changed, content
+            row = _read(relative, path, self.max_size)
+            if row[-1] is None or self.report:
+                yield row
 
 
 class FileTree(DataSource):
-    """Options: path (root), exclude (patterns, one per line), max_file_size, gitignore (true or false)."""
+    """Options: path (root), exclude (patterns, one per line), max_file_size, gitignore and report (true or false)."""
 
     @classmethod
     def name(cls) -> str:
@@ -95,9 +110,55 @@ class FileTree(DataSource):
         return _Reader(self.options)
 
 
-def scan(spark: SparkSession, root: str | Path, exclude: Sequence[str] = (), max_file_size: int = 1048576, gitignore: bool = True) -> DataFrame:
-    """The files under root (or root itself, if a file): path, abs_path, length, mtime, content."""
+def scan(spark: SparkSession, root: str | Path, exclude: Sequence[str] = (), max_file_size: int = 1048576, gitignore: bool = True, report: bool = False) -> DataFrame:
+    """The files under root (or root itself, if a file): path, abs_path, length, mtime, content, error.
+
+    Files that are too large or cannot be read are left out; with report they
+    have a row without content that says why.
+    """
     if not Path(root).exists():
         raise ValueError(f"Path does not exist: {root}")
     spark.dataSource.register(FileTree)
-    return spark.read.format("filetree").options(path=str(root), exclude="\n".join(exclude), max_file_size=str(max_file_size), gitignore=str(gitignore).lower()).load()
+    return spark.read.format("filetree").options(path=str(root), exclude="\n".join(exclude), max_file_size=str(max_file_size), gitignore=str(gitignore).lower(), report=str(report).lower()).load()
+
+
+class _Rules:
+    """The ignore rules for single paths: only the ignore files above a path are read."""
+
+    def __init__(self, root: str, exclude: Sequence[str], gitignore: bool):
+        self.root, self.exclude, self.gitignore = root, IgnoreSpec(exclude), gitignore
+        self.folders: dict[str, IgnoreSpec] = {}
+
+    def leave_out(self, relative: str) -> bool:
+        folder = relative.rpartition("/")[0]
+        if folder not in self.folders:
+            self.folders[folder] = IgnoreSpec(ancestor_ignore_lines(self.root, folder) if self.gitignore else [])
+        return self.folders[folder].matches(relative) or self.exclude.matches(relative)
+
+
+def read_paths(paths: DataFrame, root: str | Path, exclude: Sequence[str] = (), max_file_size: int = 1048576, gitignore: bool = True, report: bool = False) -> DataFrame:
+    """The rows of scan() for some paths (a column path, relative to root): nothing else of the tree is listed or read.
+
+    Executors read the files where they are; paths that do not exist, lie
+    outside root or are ignored have no row.  paths may have abs_path, too:
+    then these files have been judged before, and no rule is asked.
+    """
+    judged = "abs_path" in paths.columns
+    root = str(Path(root).resolve())
+
+    def run(batches):
+        rules = _Rules(root, exclude, gitignore)
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                where = r["abs_path"] if judged else os.path.realpath(os.path.join(root, r["path"]))
+                inside = judged or where.startswith(root.rstrip("/") + "/") and not rules.leave_out(r["path"])
+                if inside and (judged or os.path.isfile(where)):
+                    row = _read(r["path"], where, max_file_size)
+                    if row[-1] is None or report:
+                        rows.append(row)
+            kinds = {"path": pa.string(), "abs_path": pa.string(), "length": pa.int64(), "mtime": pa.timestamp("us", "UTC"), "content": pa.binary(), "error": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+
+    slim = paths.select("path", *(["abs_path"] if judged else [])).distinct()
+    return slim.mapInArrow(run, FILE)

@@ -100,27 +100,38 @@ class IgnoreSpec:
         return False
 
 
+def _placed_lines(path: Path, where: str) -> list[str]:
+    """The lines of an ignore file in a directory, written from the root."""
+    out = []
+    try:
+        lines = path.read_text(encoding="utf-8").splitlines()
+    except (OSError, UnicodeError) as e:
+        log.warning("%s is not used: %s", path, e)
+        return out
+    for line in lines:
+        if where == "." or not line.strip() or line.lstrip().startswith("#"):
+            out.append(line)
+        else:
+            sign = "!" if line.startswith("!") else ""
+            out.append(f"{sign}{where}/{line[len(sign) :].lstrip('/')}")
+    return out
+
+
 def nested_ignore_lines(root: str | Path) -> list[str]:
     """The lines of all .gitignore files under root; those of subdirectories hold for their directory.
 
     A nested pattern is put behind its directory's name, which anchors it: it
     does not reach into deeper directories unless it says so.
     """
-    root, out = Path(root), []
-    for path in sorted(root.rglob(".gitignore")):
-        try:
-            lines = path.read_text(encoding="utf-8").splitlines()
-        except (OSError, UnicodeError) as e:
-            log.warning("%s is not used: %s", path, e)
-            continue
-        where = path.parent.relative_to(root).as_posix()
-        for line in lines:
-            if where == "." or not line.strip() or line.lstrip().startswith("#"):
-                out.append(line)
-            else:
-                sign = "!" if line.startswith("!") else ""
-                out.append(f"{sign}{where}/{line[len(sign) :].lstrip('/')}")
-    return out
+    root = Path(root)
+    return [x for path in sorted(root.rglob(".gitignore")) for x in _placed_lines(path, path.parent.relative_to(root).as_posix())]
+
+
+def ancestor_ignore_lines(root: str | Path, folder: str) -> list[str]:
+    """Those of the nested lines that can hold for files in a folder (relative to root): of the folder and the ones above it."""
+    root, where = Path(root), Path(folder or ".")
+    folders = [where, *where.parents] if folder else [where]
+    return [x for f in reversed(folders) if (path := root / f / ".gitignore").is_file() for x in _placed_lines(path, f.as_posix())]
 
 
 def load_nested_ignore(root: str | Path) -> IgnoreSpec | None:

@@ -1,19 +1,27 @@
-"""The versioned chunk table.
-
-Each change writes a new version directory and then moves the CURRENT pointer
-to it, so a reader sees a whole version or the one before.  The table lies
-below one folder of any file system that Spark writes.  Files are clustered by
-a hash of the path, and postings and corpus statistics are kept beside each
-version.  One writer at a time is assumed; a second one fails at the pointer.
+"""The versioned chunk table, in buckets of paths.
+
+A path belongs to the bucket of its hash.  A version is a manifest that names
+the pieces (Parquet directories) of each bucket; a change writes pieces for the
+buckets that it touches, then the next manifest, which is renamed into place.
+Manifests are never changed, and the highest one counts, so a reader sees a
+whole version or the one before, never nothing.  Adding files writes pieces
+for their buckets alone; replacing or deleting files also rewrites the pieces
+that hold them.  Postings lie beside the chunks, piece by piece, and a manifest
+sums up chunks and tokens, so keyword search needs neither texts nor counts.
+
+The table lies below one folder of any file system that Spark writes.  One
+writer at a time is assumed; a second one fails at the manifest.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+import zlib
 from collections import OrderedDict
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import chunk_id
@@ -22,12 +30,15 @@ from .operators.filters import Filters
 from .schema import CHUNK
 
 CACHE_SIZE = 100
+BUCKETS = 64  # of a new store, at least
+PIECES = 8  # of a bucket, beyond which it is written as one
 
 
 class ChunkStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.spark, self.path, self._buckets = spark, path.rstrip("/"), buckets
         self._cache: OrderedDict[tuple, list[Row]] = OrderedDict()
+        self._known: tuple[str, dict] | None = None
 
     # Versions ------------------------------------------------------------------------------
 
@@ -36,86 +47,176 @@ class ChunkStore:
         make = jvm.org.apache.hadoop.fs.Path
         return make(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), make
 
+    def _names(self, folder: str) -> list[str]:
+        fs, make = self._fs()
+        where = make(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
     def version(self) -> str | None:
         """The current version; None before the first write."""
-        fs, make = self._fs()
-        pointer = make(f"{self.path}/CURRENT")
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first().value
+        found = [n for n in self._names("manifests") if n.startswith("v") and n.endswith(".json")]
+        return found[-1].removesuffix(".json") if found else None
 
-    def chunks(self, version: str | None = None) -> DataFrame:
+    def manifest(self, version: str | None = None) -> dict:
+        """number (of buckets), buckets: the pieces of each bucket with their chunks and tokens."""
         version = version or self.version()
         if version is None:
-            return self.spark.createDataFrame([], CHUNK)
-        return self.spark.read.schema(CHUNK).parquet(f"{self.path}/{version}/chunks")
+            number = self._buckets or max(BUCKETS, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            return {"number": number, "buckets": {}}
+        if self._known is None or self._known[0] != version:
+            text = self.spark.read.text(f"{self.path}/manifests/{version}.json", wholetext=True).first().value
+            self._known = version, json.loads(text)
+        return self._known[1]
+
+    def _pieces(self, kind: str, manifest: dict, buckets: Iterable[int] | None = None) -> DataFrame | None:
+        """The rows of some buckets (all), with their bucket."""
+        wanted = manifest["buckets"] if buckets is None else {str(b) for b in buckets} & set(manifest["buckets"])
+        paths = [f"{self.path}/{kind}/bucket={b}/piece={p}" for b in wanted for p in manifest["buckets"][b]]
+        if not paths:
+            return None
+        read = self.spark.read.option("basePath", f"{self.path}/{kind}")
+        return (read.schema(CHUNK) if kind == "chunks" else read).parquet(*paths)
+
+    def wide(self, version: str | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The chunks with their bucket, by which a join reads only the buckets it needs."""
+        rows = self._pieces("chunks", self.manifest(version), buckets)
+        if rows is None:
+            return self.spark.createDataFrame([], CHUNK).withColumn("bucket", F.lit(0))
+        return rows.select(*CHUNK.names, "bucket")
+
+    def chunks(self, version: str | None = None) -> DataFrame:
+        return self.wide(version).drop("bucket")
 
     def index(self) -> tuple[DataFrame | None, DataFrame | None]:
         """Postings and corpus statistics of the current version."""
-        version = self.version()
-        if version is None:
+        manifest = self.manifest()
+        found = self._pieces("postings", manifest)
+        if found is None:
             return None, None
-        return self.spark.read.parquet(f"{self.path}/{version}/postings"), self.spark.read.parquet(f"{self.path}/{version}/stats")
-
-    def commit(self, chunks: DataFrame) -> str:
-        """Write chunks as the next version and point at it."""
-        before = self.version()
-        n = int(before[1:].split("-")[0]) + 1 if before else 1
-        version = f"v{n:08d}-{uuid.uuid4().hex[:8]}"
-        target = f"{self.path}/{version}"
-        parts = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = chunks.select(*CHUNK.names).repartition(parts, "path").sortWithinPartitions("path", "start_line")
-        ordered.write.parquet(f"{target}/chunks")
-        written = self.spark.read.schema(CHUNK).parquet(f"{target}/chunks")
-        search.postings(written).repartition(parts, "term").sortWithinPartitions("term").write.parquet(f"{target}/postings")
-        search.corpus_stats(written).coalesce(1).write.parquet(f"{target}/stats")
+        n, tokens = self._sums(manifest)
+        return found.drop("piece"), self.spark.createDataFrame([(n, tokens / n if n else 0.0)], "n long, avgdl double")
+
+    @staticmethod
+    def _sums(manifest: dict) -> tuple[int, int]:
+        counts = [c for pieces in manifest["buckets"].values() for c in pieces.values()]
+        return sum(c[0] for c in counts), sum(c[1] for c in counts)
+
+    def bucket(self, path: str) -> int:
+        return zlib.crc32(path.encode()) % self.manifest()["number"]
+
+    def _bucket(self, path: Column, number: int) -> Column:
+        return (F.crc32(path.cast("binary")) % number).cast("int")
+
+    def _write(self, chunks: DataFrame, number: int) -> dict[str, dict[str, list[int]]]:
+        """Write chunks and their postings as a piece of each of their buckets; the new pieces by bucket."""
+        piece = uuid.uuid4().hex[:16]
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = chunks.select(*CHUNK.names, self._bucket(F.col("path"), number).alias("bucket"), F.lit(piece).alias("piece"))
+        rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "path", "start_line").write.mode("append").partitionBy("bucket", "piece").parquet(f"{self.path}/chunks")
         fs, make = self._fs()
-        if self.version() != before:
-            raise RuntimeError("another writer has changed the store")
-        temp = make(f"{self.path}/CURRENT.{uuid.uuid4().hex}")
+        found = fs.globStatus(make(f"{self.path}/chunks/bucket=*/piece={piece}")) or []
+        out = {s.getPath().getParent().getName().removeprefix("bucket="): {piece: [0, 0]} for s in found}
+        if not out:
+            return out
+        written = self._pieces("chunks", {"buckets": out}).select("*")
+        terms = search.postings(written, keep=(*search.SLIM, "bucket")).withColumn("piece", F.lit(piece))
+        terms.repartition(parts, "bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket", "piece").parquet(f"{self.path}/postings")
+        for r in written.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(search.n_tokens(F.col("text"))).alias("tokens")).collect():  # a row for each bucket
+            out[str(r.bucket)][piece] = [r.n, r.tokens or 0]
+        return out
+
+    def _publish(self, manifest: dict, before: str | None) -> str:
+        """Make a manifest the current version."""
+        fs, make = self._fs()
+        version = f"v{int(before[1:]) + 1 if before else 1:08d}"
+        temp, target = make(f"{self.path}/manifests/.{uuid.uuid4().hex}"), make(f"{self.path}/manifests/{version}.json")
         out = fs.create(temp, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        pointer = make(f"{self.path}/CURRENT")
-        fs.delete(pointer, False)
-        if not fs.rename(temp, pointer):
+        if self.version() != before or fs.exists(target) or not fs.rename(temp, target):
             raise RuntimeError("another writer has changed the store")
         self.clear_cache()
         return version
 
+    def _change(self, new: DataFrame | None = None, keep=None, touched: Iterable[int] = ()) -> str:
+        """One version with the rows of new besides what keep leaves of the touched buckets."""
+        before = self.version()
+        manifest = self.manifest(before)
+        number = manifest["number"]
+        buckets = {b: dict(p) for b, p in manifest["buckets"].items()}
+        added = self._write(with_ids(new), number) if new is not None else {}
+        rewritten = {str(b) for b in touched} & set(buckets)
+        long = {b for b in added if len(buckets.get(b, {})) >= PIECES} - rewritten
+        if rewritten | long:
+            old = self.wide(before, map(int, rewritten | long))
+            fresh = self._write((keep(old) if keep else old).select(*CHUNK.names), number)
+            for b in rewritten | long:
+                buckets[b] = fresh.get(b, {})
+        for b, pieces in added.items():
+            buckets.setdefault(b, {}).update(pieces)
+        return self._publish({"number": number, "buckets": {b: p for b, p in buckets.items() if p}}, before)
+
+    def commit(self, chunks: DataFrame) -> str:
+        """Make chunks the whole content of the next version."""
+        before = self.version()
+        number = self.manifest(before)["number"]
+        return self._publish({"number": number, "buckets": self._write(chunks.select(*CHUNK.names), number)}, before)
+
     def vacuum(self, keep: int = 2) -> None:
-        """Delete all but the newest versions."""
+        """Delete all but the newest versions, and the pieces that none of these names."""
         fs, make = self._fs()
-        names = sorted(s.getPath().getName() for s in fs.listStatus(make(self.path)) if s.getPath().getName().startswith("v"))
-        current = self.version()
-        for name in names[: -keep or None]:
-            if name != current:
-                fs.delete(make(f"{self.path}/{name}"), True)
+        names = [n for n in self._names("manifests") if n.startswith("v")]
+        stay = names[-keep:] if keep else []
+        used = {(b, p) for n in stay for b, pieces in self.manifest(n.removesuffix(".json"))["buckets"].items() for p in pieces}
+        for name in set(names) - set(stay):
+            fs.delete(make(f"{self.path}/manifests/{name}"), False)
+        for kind in ("chunks", "postings"):
+            for folder in self._names(kind):
+                for piece in self._names(f"{kind}/{folder}") if folder.startswith("bucket=") else []:
+                    if (folder.removeprefix("bucket="), piece.removeprefix("piece=")) not in used:
+                        fs.delete(make(f"{self.path}/{kind}/{folder}/{piece}"), True)
 
     # Changes -------------------------------------------------------------------------------
 
     def add(self, chunks: DataFrame) -> None:
         """Append chunks; without any nothing changes."""
         if chunks.head(1):
-            self.commit(self.chunks().unionByName(with_ids(chunks)))
+            self._change(chunks)
 
-    def upsert(self, new: DataFrame, gone: DataFrame) -> None:
-        """Replace the (path, branch) pairs in gone by the new chunks, in one version."""
-        self.commit(incremental.upsert(self.chunks(), with_ids(new), gone))
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """rows, written beside the store: what is costly to make is made once, and a lost executor costs a read."""
+        path = f"{self.path}/staging/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
-    def _delete(self, kept: DataFrame) -> int:
-        before = self.chunks().count()
-        n = before - kept.count()
-        if n:
-            self.commit(kept)
-        return n
+    def clear_stage(self) -> None:
+        fs, make = self._fs()
+        fs.delete(make(f"{self.path}/staging"), True)
+
+    def upsert(self, new: DataFrame | None, gone: DataFrame) -> None:
+        """Replace the (path, branch) pairs in gone by the new chunks, in one version; new is computed once."""
+        pairs = gone.select("path", "branch").distinct()
+        held = self.wide().select("path", "branch", "bucket").distinct()
+        same = F.col("h.path").eqNullSafe(F.col("g.path")) & F.col("h.branch").eqNullSafe(F.col("g.branch"))
+        touched = [r.bucket for r in held.alias("h").join(pairs.alias("g"), same, "left_semi").select("bucket").distinct().collect()]  # at most the number of buckets
+        self._change(new, lambda old: incremental.upsert(old, old.limit(0), pairs), touched)
+
+    def _delete(self, kept, some: Iterable[int] | None = None) -> int:
+        """Rewrite the buckets from which kept leaves rows out; the number of these rows."""
+        rows = self.wide(buckets=some).select("path", "branch", "bucket")
+        n = {r.bucket: r["count"] for r in rows.groupBy("bucket").count().collect()}  # a row for each bucket
+        left = {r.bucket: r["count"] for r in kept(rows).groupBy("bucket").count().collect()}
+        touched = [b for b in n if left.get(b, 0) < n[b]]
+        if touched:
+            self._change(None, kept, touched)
+        return sum(n.values()) - sum(left.values())
 
     def delete_by_path(self, path: str) -> int:
         """Delete a path on all branches; the number of chunks that went."""
-        return self._delete(incremental.delete_by_path(self.chunks(), path))
+        return self._delete(lambda rows: incremental.delete_by_path(rows, path), [self.bucket(path)])
 
     def delete_by_branch(self, branch: str) -> int:
-        return self._delete(incremental.delete_by_branch(self.chunks(), branch))
+        return self._delete(lambda rows: incremental.delete_by_branch(rows, branch))
 
     def clear_all(self) -> None:
         fs, make = self._fs()
@@ -126,7 +227,7 @@ class ChunkStore:
 
     def search(self, query_text: str | None = None, query_vector: Sequence[float] | None = None, limit: int = 10, mode: str | None = None, filters: Filters = Filters(), min_score: float | None = None, fts_weight: float = 0.5) -> DataFrame:
         index, about = self.index()
-        return search.search(self.chunks(), query_text, query_vector, limit, mode, filters, min_score, fts_weight, index, about)
+        return search.search(self.wide(), query_text, query_vector, limit, mode, filters, min_score, fts_weight, index, about)
 
     def cached(self, key: tuple, make) -> list[Row]:
         """Collected rows of a query on the current version; the oldest of many go."""
@@ -142,10 +243,10 @@ class ChunkStore:
         self._cache.clear()
 
     def count(self) -> int:
-        return self.chunks().count()
+        return self._sums(self.manifest())[0]
 
     def file_hash(self, path: str, branch: str | None = None) -> str | None:
-        found = self.chunks().where(F.col("path") == path)
+        found = self.wide(buckets=[self.bucket(path)]).where(F.col("path") == path)
         row = (found if branch is None else found.where(F.col("branch") == branch)).agg(F.min("file_hash").alias("h")).first()
         return row.h
 

@@ -9,6 +9,7 @@ a failure changes nothing.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from pathlib import Path
 
@@ -48,36 +49,72 @@ def debounce(events: DataFrame, gap: str = "10 seconds", time_col: str = "event_
 
 
 class Watcher:
-    """Keeps a store up to date with a project directory, fed by event files."""
+    """Keeps a store up to date with a project directory, fed by event files.
 
-    def __init__(self, spark: SparkSession, indexer: Indexer, events: str, checkpoint: str, branch: str | None = None, on_change: Callable[[str, str], None] | None = None):
+    Events wait below the checkpoint until none has come for the quiet period;
+    then the last one of each path is applied.  Waiting events outlive the
+    process: the next start() applies them.
+    """
+
+    def __init__(self, spark: SparkSession, indexer: Indexer, events: str, checkpoint: str, branch: str | None = None, on_change: Callable[[str, str], None] | None = None, quiet: float = 0.0):
         if not Path(indexer.config.project_root).is_dir():
             raise ValueError(f"not a directory: {indexer.config.project_root}")
-        self.spark, self.indexer, self.events, self.checkpoint, self.branch, self.on_change = spark, indexer, events, checkpoint, branch, on_change
+        self.spark, self.indexer, self.events, self.checkpoint, self.branch, self.on_change, self.quiet = spark, indexer, events, checkpoint.rstrip("/"), branch, on_change, quiet
         self.query: StreamingQuery | None = None
+        self._waiting = f"{self.checkpoint}/waiting"
+        self._timer: threading.Timer | None = None
+        self._lock = threading.RLock()
 
     def apply(self, batch: DataFrame, batch_id: int | None = None) -> None:
+        """Apply events now, then report each path's last one."""
         last = last_event(split_moves(batch)).persist()
         try:
-            if self.on_change:
-                for r in last.toLocalIterator():
-                    self.on_change(r.path, r.event_type)
-            if not last.head(1):
-                return
-            files = self.indexer.files(self.indexer.config.project_root).join(last.where("event_type <> 'deleted'").select("path"), "path", "left_semi")
-            self.indexer.apply(files, self.branch, cleanup=False, deleted=last.where("event_type = 'deleted'"))
+            if last.head(1):
+                files = self.indexer.files_at(last.where("event_type <> 'deleted'"))  # these alone are read
+                self.indexer.apply(files, self.branch, cleanup=False, deleted=last.where("event_type = 'deleted'"))
+                if self.on_change:
+                    for r in last.toLocalIterator():
+                        self.on_change(r.path, r.event_type)
         finally:
             last.unpersist()
 
+    def _arrive(self, batch: DataFrame, batch_id: int) -> None:
+        with self._lock:
+            batch.write.mode("overwrite").json(f"{self._waiting}/{batch_id}")  # a repeated batch waits once
+            if self._timer:
+                self._timer.cancel()
+            self._timer = threading.Timer(self.quiet, self.flush)
+            self._timer.daemon = True
+            self._timer.start()
+
+    def flush(self) -> None:
+        """Apply what waits."""
+        with self._lock:
+            self._timer = None
+            jvm = self.spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(self._waiting)
+            fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            if fs.exists(where):
+                paths = [str(s.getPath()) for s in fs.listStatus(where)]
+                if paths:
+                    self.apply(self.spark.read.schema(EVENT).json(paths))
+                fs.delete(where, True)
+
     def start(self, interval: str | None = "1 second") -> StreamingQuery:
         """Run until stop(); without an interval, until the present events are applied."""
-        out = read_events(self.spark, self.events).writeStream.foreachBatch(self.apply).option("checkpointLocation", self.checkpoint)
+        self.flush()
+        out = read_events(self.spark, self.events).writeStream.foreachBatch(self._arrive if self.quiet and interval else self.apply).option("checkpointLocation", self.checkpoint)
         self.query = (out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)).start()
         return self.query
 
     def stop(self) -> None:
+        """Stop; what waits is applied first."""
         if self.query is not None:
             self.query.stop()
+        with self._lock:
+            if self._timer:
+                self._timer.cancel()
+            self.flush()
 
     @property
     def is_running(self) -> bool:

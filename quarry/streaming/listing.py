@@ -17,7 +17,7 @@ from pathlib import Path
 
 from ..sources.filetree import walk
 
-Listing = dict[str, tuple[int, int]]  # path: (modification time in ns, size)
+Listing = dict[str, tuple[int, ...]]  # path: (modification time in ns, size, number of the file in its file system)
 
 
 def listing(root: str | Path, exclude: Sequence[str] = (), max_file_size: int = 1048576, gitignore: bool = True) -> Listing:
@@ -26,14 +26,21 @@ def listing(root: str | Path, exclude: Sequence[str] = (), max_file_size: int =
     for relative, path, size in walk(str(root), exclude, gitignore):
         if size <= max_file_size:
             try:
-                out[relative] = (os.stat(path).st_mtime_ns, size)
+                about = os.stat(path)
+                out[relative] = (about.st_mtime_ns, about.st_size, about.st_ino)
             except OSError:
                 continue
     return out
 
 
-def changes(before: Mapping[str, tuple[int, int]], after: Mapping[str, tuple[int, int]]) -> list[tuple[str, str]]:
-    """(path, event type), in the order of paths."""
+def moves(before: Mapping[str, tuple[int, ...]], after: Mapping[str, tuple[int, ...]]) -> dict[str, str]:
+    """Old and new path of files that have another path but are the same file, unchanged."""
+    lost = {v: p for p, v in before.items() if p not in after and len(v) > 2}
+    return {lost[v]: p for p, v in sorted(after.items()) if p not in before and v in lost}
+
+
+def changes(before: Mapping[str, tuple[int, ...]], after: Mapping[str, tuple[int, ...]]) -> list[tuple[str, str]]:
+    """(path, event type), in the order of paths; a move shows as a deletion and a creation."""
     kind = lambda p: "deleted" if p not in after else "created" if p not in before else "modified"
     return [(p, kind(p)) for p in sorted({*before, *after}) if before.get(p) != after.get(p)]
 
@@ -71,7 +78,9 @@ class TreePoller:
         found = changes(before, after)
         if found:
             now = dt.datetime.now(dt.UTC).isoformat()
-            rows = [json.dumps({"path": p, "event_type": t, "event_time": now, "seq": seq + k}) for k, (p, t) in enumerate(found, 1)]
+            moved = moves(before, after)
+            shown = [(p, "moved" if p in moved else t) for p, t in found if p not in moved.values()]
+            rows = [json.dumps({"path": p, "event_type": t, "event_time": now, "seq": seq + k} | ({"dest_path": moved[p]} if p in moved else {})) for k, (p, t) in enumerate(shown, 1)]
             self._put(self.events / f"events-{seq + len(found):012d}.json", "\n".join(rows) + "\n")
             self._put(self.state, json.dumps({"seq": seq + len(found), "files": after}))
         return found

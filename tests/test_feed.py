@@ -13,6 +13,20 @@ def test_changes():
     assert changes({"a": (1, 1), "b": (1, 1), "c": (1, 1)}, {"a": (1, 1), "b": (2, 1), "d": (1, 1)}) == [("b", "modified"), ("c", "deleted"), ("d", "created")]
 
 
+def test_moves(tmp_path):
+    root, events = tmp_path / "p", tmp_path / "events"
+    root.mkdir()
+    (root / "a.py").write_text("a = 1\n")
+    (root / "b.py").write_text("b = 1\n")
+    poller = TreePoller(root, events)
+    poller.start_from_here()
+    (root / "a.py").rename(root / "c.py")
+    (root / "b.py").unlink()
+    assert poller.poll() == [("a.py", "deleted"), ("b.py", "deleted"), ("c.py", "created")]
+    rows = [json.loads(x) for x in next(events.glob("events-*.json")).read_text().splitlines()]
+    assert [(r["path"], r["event_type"], r.get("dest_path")) for r in rows] == [("a.py", "moved", "c.py"), ("b.py", "deleted", None)]
+
+
 def test_poller_feeds_the_watcher(spark, tmp_path):
     root, events = tmp_path / "p", tmp_path / "events"
     root.mkdir()

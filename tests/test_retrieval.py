@@ -2,6 +2,9 @@ import itertools
 import json
 import math
 import random
+import re
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -141,6 +144,88 @@ def test_plan_prunes_and_bounds(chunks, tmp_path):
     assert "TakeOrderedAndProject" in plan(search.vector_search(stored, q, 5).drop("rank")) and "PushedFilters: [" in plan(Filters(languages=["python"]).apply(stored))
 
 
+def exchanged(df):
+    """The columns that each exchange of a plan carries."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[([^\]]*)\]", text)
+
+
+def test_keyword_search_moves_neither_texts_nor_vectors(chunks, spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), buckets=4)
+    store.add(chunks)
+    for filters in (Filters(), Filters(languages=["python"], directories=["src"])):
+        for kept in (True, False):
+            index, about = store.index() if kept else (None, None)
+            found = search.fts_search(store.wide(), "authenticate tree", 5, filters, index, about)
+            moved = exchanged(found)
+            assert moved and not any(re.search(r"\b(text|vector|name|file_hash)#", m) for m in moved)
+            want = search.fts_search(chunks, "authenticate tree", 5, filters)
+            assert [(r.rank, r.path, r.text, round(r.bm25, 9)) for r in found.orderBy("rank").collect()] == [(r.rank, r.path, r.text, round(r.bm25, 9)) for r in want.orderBy("rank").collect()]
+    q = HashingEmbedder(16).embed_text("user token")
+    got = search.hybrid_search(store.wide(), "user token", q, 8, index=store.index()[0], stats=store.index()[1]).orderBy("rank").collect()
+    assert [(r.path, r.text) for r in got] == [(r.path, r.text) for r in search.hybrid_search(chunks, "user token", q, 8).orderBy("rank").collect()]
+    assert search.fts_search(store.wide(), " !", 5).count() == 0
+
+
+def rows_of(store, version=None):
+    return sorted((r.path, r.branch or "", r.chunk_seq, r.text) for r in store.chunks(version).collect())
+
+
+def test_changes_rewrite_only_their_buckets(chunks, spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), buckets=16)
+    many = chunks.withColumn("path", F.concat("path", F.lit("/"), "chunk_seq")).cache()
+    assert store.version() is None and store.count() == 0 and store.index() == (None, None)
+    store.add(many)
+    first, pieces = store.version(), lambda: {b: set(p) for b, p in store.manifest()["buckets"].items()}
+    all_rows, before = rows_of(store), pieces()
+    path = all_rows[0][0]
+    assert store.delete_by_path("nowhere") == 0 and store.version() == first
+    assert store.delete_by_path(path) == 1
+    after = pieces()
+    assert [b for b in before if before[b] != after.get(b)] == [str(store.bucket(path))]
+    assert rows_of(store) == all_rows[1:] and rows_of(store, first) == all_rows and store.file_hash(path) is None and store.file_hash(all_rows[1][0])
+    store.add(many.where(F.col("path") == path))  # back again: a piece more, nothing rewritten
+    added = pieces()
+    assert rows_of(store) == all_rows and all(after.get(b, set()) <= added[b] for b in added) and sum(added[b] != after.get(b) for b in added) == 1
+    changed = many.where(F.col("path") == path).withColumn("text", F.lit("wholly new words"))
+    store.upsert(changed, changed.select("path", "branch"))
+    assert sum(pieces()[b] != added[b] for b in added) == 1
+    assert [r.path for r in store.search("wholly", mode="fts").collect()] == [path]
+    n, tokens = store.index()[1].first()
+    want = search.corpus_stats(store.chunks()).first()
+    assert n == want.n == 80 and abs(tokens - want.avgdl) < 1e-9
+    for _ in range(10):
+        store.add(changed.withColumn("chunk_seq", F.lit(99)))
+    assert max(map(len, pieces().values())) <= 9
+    n_main = store.chunks().where("branch = 'main'").count()
+    assert store.delete_by_branch("main") == n_main and store.chunks().where("branch = 'main'").count() == 0
+    now = rows_of(store)
+    store.vacuum(1)
+    assert rows_of(store) == now and len(store._names("manifests")) == 1 and store.search("user", mode="fts").count() > 0
+
+
+def test_readers_never_see_a_half_made_version(chunks, spark, tmp_path):
+    store, reader = (ChunkStore(spark, str(tmp_path / "s"), buckets=4) for _ in range(2))
+    store.add(chunks)
+    seen, over = [], threading.Event()
+
+    def read():
+        while not over.is_set():
+            seen.append(reader.count())
+
+    thread = threading.Thread(target=read)
+    thread.start()
+    for k in range(3):
+        store.add(chunks.limit(10).withColumn("path", F.lit(f"more/{k}")))
+    over.set()
+    thread.join()
+    assert set(seen) <= {80, 90, 100, 110} and seen == sorted(seen)
+    before = store.version()
+    store.add(chunks.limit(1))
+    with pytest.raises(RuntimeError, match="another writer"):
+        reader._publish(reader.manifest(before), before)
+
+
 def test_embedder(spark):
     e = HashingEmbedder()
     a, b, c = (np.array(e.embed_text(t)) for t in ("parse the file", "the file parse", "quite other words"))
@@ -208,6 +293,75 @@ def test_service(spark, project):
     assert s.store.count() == 0
 
 
+def test_problems_of_files_are_reported(spark, project):
+    class Fragile(HashingEmbedder):
+        """Fails on one text, and has no vectorised form."""
+
+        embed_array = property()
+
+        def embed_batch(self, texts):
+            if any("poison" in t for t in texts):
+                raise ValueError("no vector for this")
+            plain = HashingEmbedder(self.dimension)
+            return [plain.embed_text(t) for t in texts]
+
+    root, put = project
+    put("bad.txt", "some poison here\n")
+    put("big.txt", "x" * 2_000_000)
+    (root / "dead.txt").symlink_to(root / "nothing")
+    s = Service(spark, root, Fragile(16))
+    seen = []
+    out = s.ctx_index(".", progress=seen.append)
+    assert (out["indexed"], out["errors"], out["skipped"], out["total_files"]) == (3, 1, 1, 3)
+    assert {(p["path"], p["status"], p["reason"]) for p in out["problems"]} == {("bad.txt", "error", "embedding failed"), ("big.txt", "skipped", "larger than the limit")}
+    assert seen and (seen[-1].current, seen[-1].total) == (4, 4) and [e.current for e in seen] == sorted(e.current for e in seen)
+    put("bad.txt", "healed now\n")
+    assert s.ctx_index(".")["indexed"] == 1 and s.store.count() == 7
+    put("bad.txt", "poison again\n")
+    out = s.ctx_index(".")
+    assert out["errors"] == 1 and out["total_files"] == 4  # what was known of the file stays
+
+
+def test_context_reads_only_result_files(spark, project, monkeypatch):
+    root, put = project
+    put("src/long.py", "".join(f"# note {i}\n" for i in range(9)) + "def needle():\n    return 1\n\n# after\n")
+    s = Service(spark, root)
+    s.ctx_index(".")
+    monkeypatch.setattr(s.indexer, "files", lambda *a, **k: pytest.fail("the tree was read"))
+    plain, wide = (s.ctx_search("needle", mode="fts", expand_context=x)["results"][0] for x in (False, True))
+    assert plain["code"] in wide["code"] and wide["start_line"] < plain["start_line"] and "# after" in wide["code"]
+
+
+def test_own_chunkers(spark):
+    from quarry import FunctionChunker
+    from quarry.operators import chunk
+
+    rows = [("a.rs", "fn x\nfn y\n", "rust"), ("b.md", "# h\ntext", "markdown"), ("c", "words", None)]
+    lines = FunctionChunker(["rust"], lambda t: [{"text": x, "start_line": k, "end_line": k, "chunk_type": "line", "name": x[3:]} for k, x in enumerate(t.splitlines(), 1)])
+    got = {(r.path, r.chunk_seq, r.chunk_type, r.name) for r in chunk.chunk_files(spark.createDataFrame(rows, "path string, text string, language string"), chunkers=[lines]).collect()}
+    assert got == {("a.rs", 0, "line", "x"), ("a.rs", 1, "line", "y"), ("b.md", 0, "section", "h"), ("c", 0, "paragraph", None)}
+
+
+def test_quiet_period(spark, project, tmp_path_factory):
+    root, put = project
+    s = Service(spark, root)
+    s.ctx_index(".")
+    events, check = tmp_path_factory.mktemp("events"), tmp_path_factory.mktemp("check")
+    seen = []
+    w = feed.Watcher(spark, s.indexer, str(events), str(check), on_change=lambda p, t: seen.append((p, t)), quiet=3.0)
+    version = s.store.version()
+    w.start("200 milliseconds")
+    for k in range(3):
+        put("new.py", f"def fresh{k}():\n    pass\n")
+        (events / f"{k}.json").write_text(json.dumps({"path": "new.py", "event_type": "modified", "event_time": f"2024-01-01T00:00:0{k}Z", "seq": k}))
+        time.sleep(1)
+        assert not seen or k == 2
+    w.query.processAllAvailable()
+    w.stop()
+    assert seen == [("new.py", "modified")] and int(s.store.version()[1:]) == int(version[1:]) + 1
+    assert {r.name for r in s.store.chunks().where("path = 'new.py'").collect()} == {"fresh2"}
+
+
 def test_subdirectory_keeps_the_rest(spark, project):
     root, put = project
     s = Service(spark, root)

@@ -77,6 +77,17 @@ def test_scan(spark, tmp_path):
         filetree.scan(spark, tmp_path / "nothing")
 
 
+def test_single_paths(spark, tmp_path):
+    put(tmp_path, {"a.py": "x", "d/.gitignore": "*.log\n", "d/b.log": "no", "d/c.txt": "yes", "e/f.txt": "other", "big.txt": "b" * 100, "node_modules/q.js": "n"})
+    (tmp_path / "out.txt").symlink_to("/etc/hostname")
+    paths = spark.createDataFrame([(p,) for p in ("a.py", "d/b.log", "d/c.txt", "gone", "big.txt", "node_modules/q.js", "out.txt", "../x", "a.py", "d")], "path string")
+    got = {r.path: r.content and bytes(r.content) for r in filetree.read_paths(paths, tmp_path, ["node_modules"], 50).collect()}
+    assert got == {"a.py": b"x", "d/c.txt": b"yes"}
+    told = {r.path: r.error for r in filetree.read_paths(paths, tmp_path, ["node_modules"], 50, report=True).collect()}
+    assert told == {"a.py": None, "d/c.txt": None, "big.txt": "larger than the limit"}
+    assert {r.path for r in filetree.scan(spark, tmp_path, ["node_modules"], 50, report=True).where("error IS NOT NULL").collect()} == {"big.txt"}
+
+
 def test_repository(tmp_path):
     assert repository.current_branch(tmp_path) is None and not repository.is_repository(tmp_path)
     git = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *a], cwd=tmp_path, check=True, capture_output=True)
