@@ -1,20 +1,25 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""An interpolated modified Kneser-Ney n-gram model of order 2 or 3, counted in Spark.
 
 The model is a set of files in the shared folder, sorted arrays that workers
 map into memory: word hashes and counts in ranges of the hash, whose positions
-are the word ids; for each word the numbers of its continuations; and pairs of
-ids with their counts, in shards.  Nothing of it passes through the driver but
-a few sums per file.
-
-Counting sends sorted, delta-coded blocks of counts instead of rows.  A shard
-holds the pairs of some contexts; a context with very many pairs is divided
-among shards by its second word, so no shard grows with a frequent word.  The
-number of shards follows the number of tokens.
+are the word ids; for each word the numbers of its continuations; pairs of ids
+with their counts, in shards; and, at order 3, hashes of triples with their
+counts, and what their contexts need to know beside the pairs.  Nothing of it
+passes through the driver but a few sums per file.
+
+The highest order counts occurrences, the lower ones the different words that
+come before.  Counting sends sorted, delta-coded blocks of counts instead of
+rows.  A shard holds the pairs of some contexts; a context with very many
+pairs is divided among shards by its second word, and triples are dealt by
+their own hash, so no shard grows with a frequent word.  The number of shards
+follows the number of tokens.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -59,16 +64,46 @@ def _write(path: str, array: np.ndarray) -> None:
     system.move(temp, to)
 
 
+def _copied(path: str) -> str | None:
+    """The copy of a remote file that all workers of an executor share, in its own temporary folder; None if there is no such file.
+
+    It goes when the worker that made it ends; others have it mapped by then or copy it anew.
+    """
+    system, source = pafs.FileSystem.from_uri(path)
+    if system.get_file_info(source).type == pafs.FileType.NotFound:
+        return None
+    folder = os.path.join(tempfile.gettempdir(), "quarry-" + os.path.basename(os.path.dirname(source)))
+    here = os.path.join(folder, os.path.basename(source))
+    if not os.path.exists(here):
+        os.makedirs(folder, exist_ok=True)
+        atexit.register(shutil.rmtree, folder, True)
+        with tempfile.NamedTemporaryFile(dir=folder, delete=False) as copy, system.open_input_stream(source) as data:
+            while block := data.read(1 << 22):
+                copy.write(block)
+        os.replace(copy.name, here)
+    return here
+
+
 def _map(path: str, kind: type) -> np.ndarray:
+    """The mapped array of a file; an empty one if nothing was written."""
     here = _local(path)
-    if here:
-        return np.memmap(here, kind, "r") if os.path.getsize(here) else np.zeros(0, kind)
-    system, source = pafs.FileSystem.from_uri(path)
-    with tempfile.NamedTemporaryFile() as copy, system.open_input_stream(source) as data:  # unlinked once mapped
-        while block := data.read(1 << 22):
-            copy.write(block)
-        copy.flush()
-        return np.memmap(copy.name, kind, "r") if copy.tell() else np.zeros(0, kind)
+    if here is None:
+        try:
+            here = _copied(path)
+            return np.memmap(here, kind, "r") if here and os.path.getsize(here) else np.zeros(0, kind)
+        except FileNotFoundError:  # another worker has just ended and taken the copy along
+            return _map(path, kind)
+    return np.memmap(here, kind, "r") if os.path.exists(here) and os.path.getsize(here) else np.zeros(0, kind)
+
+
+def _write_counts(path: str, counts: np.ndarray) -> None:
+    """In four bytes each, or eight where they need them."""
+    _write(path, counts.astype(np.uint32 if not len(counts) or counts.max() < 2**32 else np.uint64))
+
+
+def _map_counts(path: str, n: int) -> np.ndarray:
+    found = _map(path, np.uint32)
+    return found.view(np.uint64) if n and len(found) == 2 * n else found
 
 
 # Blocks of sorted numbers ------------------------------------------------------------------
@@ -138,12 +173,15 @@ class Model:
 
     path: str
     words: int  # parts of the vocabulary
+    order: int = 2
     pairs: int = 0  # shards of pairs
+    triples: int = 0  # shards of triples
     sizes: list[int] = field(default_factory=list)  # word types in each part of the vocabulary
     tokens: int = 0
     documents: int = 0
-    discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    lower: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    top: tuple[float, float, float] = (0.0, 0.0, 0.0)  # discounts of triples
+    discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)  # of pairs
+    lower: tuple[float, float, float] = (0.0, 0.0, 0.0)  # of words
     types: int = 0  # of pairs
     lower_left: float = 1.0  # what the discounts of the lower order leave
 
@@ -265,8 +303,29 @@ def _pair_ids(words: _Words, tokens: np.ndarray, off: np.ndarray) -> tuple[np.nd
     return before, ids
 
 
-def _context_counts(words: _Words, first: np.ndarray) -> np.ndarray:
-    """Training counts of contexts (sorted, distinct or not)."""
+def _two_before(before: np.ndarray, off: np.ndarray, begin: int) -> np.ndarray:
+    """Ids of the tokens before those before; the id before a text stands there twice."""
+    out = np.empty_like(before)
+    out[1:] = before[:-1]
+    out[off[:-1]] = begin
+    return out
+
+
+def _packed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
+
+
+def _unpacked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _triple_keys(context: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of triples from packed contexts and last ids."""
+    return text.mix(context ^ text.mix(last.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _word_counts(words: _Words, first: np.ndarray) -> np.ndarray:
+    """Training counts of the first ids of pairs (sorted, distinct or not), which divide large contexts among shards."""
     distinct, back = np.unique(first, return_inverse=True)
     inside = distinct < words.model.vocabulary
     out = np.full(len(distinct), float(words.model.documents))
@@ -274,8 +333,98 @@ def _context_counts(words: _Words, first: np.ndarray) -> np.ndarray:
     return out[back]
 
 
+def _pair_blocks(words: _Words, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    first, second = _unpacked(keys)
+    return _blocks(_pair_part(first, second, _word_counts(words, first), words.model.pairs), keys, counts)
+
+
+def _by_count(c: np.ndarray) -> np.ndarray:
+    """Columns: is the count one, two, three or more?"""
+    return np.stack([c == 1, c == 2, c >= 3], 1).astype(np.int64)
+
+
+def _first_counts(c: np.ndarray) -> list[int]:
+    return [int((c == x).sum()) for x in (1, 2, 3, 4)]
+
+
+_SIDES = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("once", T.ArrayType(T.LongType()))])
+
+
+def _as_sides(parts: np.ndarray, keys: np.ndarray, values: np.ndarray, once: list[int]) -> pa.Table:
+    """Blocks of sorted keys and rows of values for each part; once goes with the first."""
+    order = np.argsort(parts, kind="stable")
+    parts, keys, values = parts[order], keys[order], values[order]
+    edge = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(parts) else np.zeros(1, np.int64)
+    spans = list(zip(edge[:-1], edge[1:], strict=True))
+    pack = lambda x: _pack(np.ascontiguousarray(x).astype(np.uint64).ravel(), False)  # noqa: E731  most of the eight bytes are zero and compress away
+    return pa.table({"part": pa.array([int(parts[a]) for a, _ in spans], pa.int32()), "n": pa.array([b - a for a, b in spans], pa.int32()), "keys": pa.array([_pack(keys[a:b], True) for a, b in spans], pa.binary()), "counts": pa.array([pack(values[a:b]) for a, b in spans], pa.binary()), "once": pa.array([once if not k else None for k in range(len(spans))], pa.list_(pa.int64()))})
+
+
+def _sums_of(around: DataFrame) -> tuple[float, float, float]:
+    """The discounts that the numbers of types in once give."""
+    return _discounts(around.where("once IS NOT NULL").agg(*(F.coalesce(F.sum(F.col("once")[k]), F.lit(0)) for k in range(4))).first())
+
+
+def _count_triples(docs: DataFrame, model: Model) -> DataFrame:
+    """Write the triples; for each pair, in blocks: as a context, its count and how many triples are seen once, twice, more; as an end, its triples."""
+    model.triples = max(4, -(-model.tokens // SHARD))
+
+    def count(batches):
+        words = _once(model.path + "|words", lambda: _Words(model))
+        held, n = [], 0
+
+        def flush():
+            uv, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((w, uv))
+            uv, w = uv[order], w[order]
+            first = np.flatnonzero(np.concatenate([[True], (uv[1:] != uv[:-1]) | (w[1:] != w[:-1])]))
+            uv, w, c = uv[first], w[first], np.diff(np.concatenate([first, [len(uv)]])).astype(np.uint32)
+            part = (_triple_keys(uv, w) % np.uint64(model.triples)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            uv, w, c, part = uv[order], w[order], c[order], part[order]
+            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            spans = list(zip(edge[:-1], edge[1:], strict=True))
+            packed = lambda x, sort: pa.array([_pack(x[a:b], sort) for a, b in spans], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array([b - a for a, b in spans], pa.int32()), packed(uv, True), packed(w, False), packed(c, False)], ["part", "n", "contexts", "lasts", "counts"])
+
+        for batch in batches:
+            for tokens, off in _texts(batch.column(0)):
+                before, ids = _pair_ids(words, tokens, off)
+                held.append((_packed(_two_before(before, off, model.vocabulary), before), ids.astype(np.uint32)))
+                n += len(ids)
+                if n >= FLUSH:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    def merge(table: pa.Table) -> pa.Table:
+        words, part = _once(model.path + "|words", lambda: _Words(model)), table["part"][0].as_py()
+        rows = table.select(["n", "contexts", "lasts", "counts"]).to_pylist()
+        joined = lambda name, kind, sort: np.concatenate([_unpack(r[name], r["n"], kind, sort) for r in rows])
+        uv, w, c = joined("contexts", np.uint64, True), joined("lasts", np.uint32, False), joined("counts", np.uint32, False).astype(np.int64)
+        order = np.lexsort((w, uv))
+        uv, w, c = uv[order], w[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], (uv[1:] != uv[:-1]) | (w[1:] != w[:-1])]))
+        uv, w, c = uv[first], w[first], np.add.reduceat(c, first)
+        keys = _triple_keys(uv, w)
+        order = np.argsort(keys)
+        _write(model.file("triple", part), keys[order])
+        _write_counts(model.file("triples", part), c[order])
+        starts = np.column_stack([c, _by_count(c), np.zeros(len(c), np.int64)])
+        ends = np.tile(np.array([0, 0, 0, 0, 1], np.int64), (len(c), 1))
+        pairs, values = _summed(np.concatenate([uv, _packed(uv & np.uint64(0xFFFFFFFF), w)]), np.concatenate([starts, ends]))
+        a, b = _unpacked(pairs)
+        return _as_sides(_pair_part(a, b, _word_counts(words, a), model.pairs), pairs, values, _first_counts(c))
+
+    around = scratch.table(docs.mapInArrow(count, "part int, n int, contexts binary, lasts binary, counts binary").groupBy("part").applyInArrow(merge, _SIDES), "triples")
+    model.top = _sums_of(around)
+    return around.drop("once")
+
+
 def _count_pairs(docs: DataFrame, model: Model) -> Model:
     model.pairs = max(4, -(-model.tokens // SHARD))
+    top = model.order == 2
 
     def count(batches):
         words = _once(model.path + "|words", lambda: _Words(model))
@@ -283,14 +432,12 @@ def _count_pairs(docs: DataFrame, model: Model) -> Model:
 
         def flush():
             k, c = np.unique(np.concatenate(held), return_counts=True)
-            first, second = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            return _blocks(_pair_part(first, second, _context_counts(words, first), model.pairs), k, c.astype(np.uint32))
+            return _pair_blocks(words, k, c.astype(np.uint32))
 
         for batch in batches:
             for tokens, off in _texts(batch.column(0)):
-                before, ids = _pair_ids(words, tokens, off)
-                held.append(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
-                n += len(ids)
+                held.append(_packed(*_pair_ids(words, tokens, off)))
+                n += len(held[-1])
                 if n >= FLUSH:
                     yield flush()
                     held, n = [], 0
@@ -298,46 +445,38 @@ def _count_pairs(docs: DataFrame, model: Model) -> Model:
             yield flush()
 
     start = np.concatenate([[0], np.cumsum(model.sizes)]).astype(np.int64)
-    sides = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("once", T.ArrayType(T.LongType()))])
 
     def merge(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        k, c = _merged(table, np.uint32)
-        if len(c) and c.max() >= 2**32:
-            raise ValueError("a pair occurs more than 2**32 times")
+        k, c = _merged(table, np.uint32 if top else np.uint64, 1 if top else 5)
+        if not top:
+            _write(model.file("context", part), k)
+            _write(model.file("contexts", part), np.ascontiguousarray(c[:, :4]).astype(np.int64))
+            k, c = k[c[:, 4] > 0], c[c[:, 4] > 0, 4]
         _write(model.file("pair", part), k)
-        _write(model.file("pairs", part), c.astype(np.uint32))
-        # What the words of this shard's pairs need to know: as contexts, pairs seen once, twice, more; as followers, pairs.
+        _write_counts(model.file("pairs", part), c)
+        # What the words of this shard's pairs need to know: as contexts, pairs counted once, twice, more, and all counts; as followers, pairs.
         first, second = k >> np.uint64(32), k & np.uint64(0xFFFFFFFF)
-        kinds = np.stack([c == 1, c == 2, c >= 3, np.zeros(len(c), bool)], 1).astype(np.int64)
-        seen = np.tile(np.array([0, 0, 0, 1], np.int64), (len(c), 1))
-        ids, values = _summed(np.concatenate([first, second]), np.concatenate([kinds, seen]))
+        before = np.column_stack([_by_count(c), np.zeros(len(c), np.int64), c])
+        after = np.tile(np.array([0, 0, 0, 1, 0], np.int64), (len(c), 1))
+        ids, values = _summed(np.concatenate([first, second]), np.concatenate([before, after]))
         at = np.minimum(np.searchsorted(start, ids.astype(np.int64), "right") - 1, model.words)
-        edge = np.searchsorted(at, np.arange(model.words + 2))
-        out: dict[str, list] = {k: [] for k in sides.names}
-        for p in np.unique(at):
-            a, b = int(edge[p]), int(edge[p + 1])
-            out["part"].append(int(p))
-            out["n"].append(b - a)
-            out["keys"].append(_pack(ids[a:b], True))
-            out["counts"].append(_pack(values[a:b].astype(np.uint32).ravel(), False))
-            out["once"].append(None if len(out["once"]) else [int((c == x).sum()) for x in (1, 2, 3, 4)])  # once per shard
-        kinds_of = {"part": pa.int32(), "n": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "once": pa.list_(pa.int64())}
-        return pa.table({k: pa.array(v, kinds_of[k]) for k, v in out.items()})
-
-    around = scratch.table(docs.mapInArrow(count, _BLOCK).groupBy("part").applyInArrow(merge, sides), "pairs")
-    model.discounts = _discounts(around.where("once IS NOT NULL").agg(*(F.coalesce(F.sum(F.col("once")[k]), F.lit(0)) for k in range(4))).first())
+        return _as_sides(at, ids, values, _first_counts(c))
+
+    blocks = docs.mapInArrow(count, _BLOCK) if top else _count_triples(docs, model)
+    around = scratch.table(blocks.groupBy("part").applyInArrow(merge, _SIDES), "pairs")
+    model.discounts = _sums_of(around)
 
     def sides_of(table: pa.Table) -> pa.Table:
-        """For each word of a part: contexts' kinds of pairs (3 numbers) and the number of words before it."""
+        """For each word of a part: contexts' kinds of pairs (3 numbers), the number of words before it, and its count as a context."""
         part = table["part"][0].as_py()
-        ids, values = _merged(table, np.uint32, 4)
+        ids, values = _merged(table, np.uint64, 5)
         low, size = (int(start[part]), model.sizes[part]) if part < model.words else (model.vocabulary, 1)
-        full = np.zeros((size, 4), np.int64)
+        full = np.zeros((size, 5), np.int64)
         full[ids.astype(np.int64) - low] = values
         _write(model.file("side", part), full)
         seen = full[:, 3]
-        return pa.table({"n": pa.array([[int((seen == x).sum()) for x in (1, 2, 3, 4)] + [int((seen > 2).sum()), int(seen.sum())]], pa.list_(pa.int64()))})
+        return pa.table({"n": pa.array([[*_first_counts(seen), int((seen > 2).sum()), int(seen.sum())]], pa.list_(pa.int64()))})
 
     lower = around.drop("once").groupBy("part").applyInArrow(sides_of, "n array<long>").agg(*(F.coalesce(F.sum(F.col("n")[k]), F.lit(0)) for k in range(6))).first()
     model.lower, model.types = _discounts(lower[:4]), lower[5]
@@ -346,10 +485,12 @@ def _count_pairs(docs: DataFrame, model: Model) -> Model:
     return model
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
+def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     """A model of all texts of docs; null counts as empty, and no rows give a model without words."""
+    if order not in (2, 3):
+        raise ValueError("the order must be 2 or 3")
     spark = docs.sparkSession
-    model = Model(scratch.new_dir(spark, "ngrams"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    model = Model(scratch.new_dir(spark, "ngrams"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), order)
     slim = docs.select(text_col)
     return _count_pairs(slim, _count_words(slim, model))
 
@@ -360,40 +501,42 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 class _Scorer:
     def __init__(self, model: Model):
         self.model, self.words = model, _once(model.path + "|words", lambda: _Words(model))
-        self.side = [_map(model.file("side", p), np.int64).reshape(-1, 4) if n else np.zeros((0, 4), np.int64) for p, n in enumerate(model.sizes)]
-        self.begin = _map(model.file("side", model.words), np.int64).reshape(-1, 4) if model.documents else np.zeros((1, 4), np.int64)
-        self.shards: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _shard(self, p: int) -> tuple[np.ndarray, np.ndarray]:
-        if p not in self.shards:
-            here = _local(self.model.file("pair", p))
-            if here and not os.path.exists(here):  # no pair fell into this shard
-                self.shards[p] = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-            else:
-                self.shards[p] = _map(self.model.file("pair", p), np.uint64), _map(self.model.file("pairs", p), np.uint32)
-        return self.shards[p]
-
-    def _pair_counts(self, first: np.ndarray, second: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Training counts of pairs of known ids, which are sorted and distinct."""
-        out = np.zeros(len(first), np.int64)
-        part = _pair_part(first, second, count, self.model.pairs)
+        self.side = [_map(model.file("side", p), np.int64).reshape(-1, 5) if n else np.zeros((0, 5), np.int64) for p, n in enumerate(model.sizes)]
+        self.begin = _map(model.file("side", model.words), np.int64).reshape(-1, 5) if model.documents else np.zeros((1, 5), np.int64)
+        self.shards: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def _shard(self, kind: str, p: int) -> tuple[np.ndarray, np.ndarray]:
+        if (kind, p) not in self.shards:
+            keys = _map(self.model.file(kind, p), np.uint64)  # none, if nothing fell into this shard
+            name = self.model.file(kind + "s", p)
+            self.shards[kind, p] = keys, _map(name, np.int64).reshape(-1, 4) if kind == "context" else _map_counts(name, len(keys))
+        return self.shards[kind, p]
+
+    def _found(self, kind: str, keys: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+        """The values of keys in the shards of a kind, zero where they are not."""
+        out = np.zeros((len(keys), 4) if kind == "context" else len(keys), np.int64)
         order = np.argsort(part, kind="stable")
-        key = (first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64))[order]
-        edge = np.searchsorted(part[order], np.arange(self.model.pairs + 1))
-        for p in range(self.model.pairs):
+        asked = keys[order]
+        edge = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in np.unique(part):
             a, b = edge[p], edge[p + 1]
-            if a < b:
-                keys, counts = self._shard(p)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, key[a:b]), len(keys) - 1)
-                    out[order[a:b]] = np.where(keys[at] == key[a:b], counts[at], 0)
+            have, values = self._shard(kind, int(p))
+            if len(have):
+                at = np.minimum(np.searchsorted(have, asked[a:b]), len(have) - 1)
+                hit = have[at] == asked[a:b]
+                out[order[a:b][hit]] = values[at[hit]]
         return out
 
+    def _of_pairs(self, kind: str, keys: np.ndarray) -> np.ndarray:
+        """Values of packed pairs of known ids, sorted and distinct."""
+        first, second = _unpacked(keys)
+        return self._found(kind, keys, _pair_part(first, second, _word_counts(self.words, first), self.model.pairs), self.model.pairs)
+
     def score(self, tokens: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and score of each document."""
         m, words = self.model, self.words
         before, ids = _pair_ids(words, tokens, off)
-        # Words: counts, and probabilities of the lower order.
+        # Words: counts, and probabilities of the lowest order.
         distinct, back = np.unique(ids, return_inverse=True)
         known = distinct >= 0
         c, seen = np.zeros(len(distinct)), np.zeros(len(distinct))
@@ -403,37 +546,63 @@ class _Scorer:
         cut = np.array([0.0, *m.lower])[np.minimum(seen, 3).astype(np.int64)]
         low = np.maximum(seen - cut, 0) / max(m.types, 1) + m.lower_left / (m.vocabulary + 1)
         base = np.log10((c + 1) / (m.tokens + m.vocabulary + 1))
-        # Contexts: counts, and what their discounts leave.
+        # Contexts of one word: counts, and what their discounts leave.
         contexts, context = np.unique(before, return_inverse=True)
         at = contexts >= 0
-        count, left = np.zeros(len(contexts)), np.ones(len(contexts))
+        sides = np.zeros((len(contexts), 5))
         if at.any():
-            count[at] = _context_counts(words, contexts[at])
-            kinds = np.zeros((int(at.sum()), 3))
-            inner = contexts[at] < m.vocabulary
-            kinds[inner] = words.of(self.side, contexts[at][inner])[:, :3]
-            kinds[~inner] = self.begin[0, :3]
-            used = count[at] > 0
-            left[np.flatnonzero(at)[used]] = (kinds @ np.array(m.discounts))[used] / count[at][used]
+            inner = at & (contexts < m.vocabulary)
+            sides[inner] = words.of(self.side, contexts[inner])
+            sides[at & ~inner] = self.begin[0]
+        count, left = sides[:, 4], np.ones(len(contexts))
+        used = count > 0
+        left[used] = sides[used, :3] @ np.array(m.discounts) / count[used]
         # Pairs.
         p = left[context] * low[back]
-        both = np.flatnonzero((ids >= 0) & (before >= 0) & (count[context] > 0))
+        both = np.flatnonzero((ids >= 0) & (before >= 0) & used[context])
         if len(both):
-            key, pair = np.unique(before[both].astype(np.uint64) << np.uint64(32) | ids[both].astype(np.uint64), return_inverse=True)
-            first, second = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            total = count[np.searchsorted(contexts, first)]
-            n = self._pair_counts(first, second, total)
-            p[both] += (np.maximum(n - np.array([0.0, *m.discounts])[np.minimum(n, 3)], 0) / total)[pair]
+            key, pair = np.unique(_packed(before[both], ids[both]), return_inverse=True)
+            n = self._of_pairs("pair", key)
+            gain = np.maximum(n - np.array([0.0, *m.discounts])[np.minimum(n, 3)], 0)
+            p[both] += gain[pair] / count[context[both]]
+        if m.order == 3:
+            p = self._of_triples(before, ids, off, p)
         sums = lambda x: np.add.reduceat(x, off[:-1]) if len(off) > 1 else x[:0]
         return sums((ids >= 0).astype(np.int64)), sums(base[back]), sums(np.log10(p))
 
+    def _of_triples(self, before: np.ndarray, ids: np.ndarray, off: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probabilities after two words, from those after one."""
+        m = self.model
+        earlier = _two_before(before, off, m.vocabulary)
+        here = np.flatnonzero((earlier >= 0) & (before >= 0))
+        if not len(here):
+            return p
+        keys, context = np.unique(_packed(earlier[here], before[here]), return_inverse=True)
+        about = self._of_pairs("context", keys).astype(np.float64)
+        seen = about[context, 0] > 0
+        here, context = here[seen], context[seen]
+        total = about[context, 0]
+        left = about[context, 1:] @ np.array(m.top) / total
+        gain = np.zeros(len(here))
+        known = np.flatnonzero(ids[here] >= 0)
+        if len(known):
+            triples, back = np.unique(_triple_keys(keys[context[known]], ids[here[known]]), return_inverse=True)
+            n = self._found("triple", triples, (triples % np.uint64(m.triples)).astype(np.int64), m.triples)
+            gain[known] = np.maximum(n - np.array([0.0, *m.top])[np.minimum(n, 3)], 0)[back]
+        out = p.copy()
+        out[here] = gain / total + left * p[here]
+        return out
+
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the carried columns, n_tokens, n_known, train_tokens, base_score, score and perplexity for every row of docs.
 
     The tokens of a text are its words, A-Z lower-cased, and one end; a null
-    text has the end alone.  score is the log10 probability of the tokens,
-    base_score that of an add-one unigram model of the same training texts.
+    text has the end alone, and texts of any length are scored whole.  score is
+    the log10 probability of the tokens, base_score that of an add-one unigram
+    model of the same training texts.  Rows with equal or null ids are all
+    scored, each on its own; an empty table gives no rows, and other columns of
+    docs, whatever their names, take no part.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), *carry, text_col)
     at = 1 + len(carry)
@@ -454,12 +623,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return slim.mapInArrow(run, T.StructType([*slim.schema.fields[:at], *(T.StructField(k, t) for k, t in types)]))
 
 
-def held_out_scores(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def held_out_scores(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """Scores of all documents under a model of those outside one fold; held_out marks the fold.
 
-    The fold of a document is crc32 of its id as text; a null id is in none.
+    The fold of a document is crc32 of its id as text, so rows with equal ids
+    are in one fold; a null id is in none.  Without training texts every token
+    is unknown; an empty table gives no rows.
     """
     out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False)).alias("held_out")
     rows = docs.select(F.col(id_col).alias("doc_id"), out, F.col(text_col).alias("text"))
-    model = train(rows.where("NOT held_out"))
+    model = train(rows.where("NOT held_out"), order=order)
     return score(rows, model, carry=("held_out",))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,40 +59,83 @@ def test_encode_documents(spark):
 # Language model ----------------------------------------------------------------------------
 
 
-def brute_scores(data):
+def plain_discounts(values):
+    """Chen and Goodman's three, from the numbers of types seen once to four times."""
+    n = [sum(x == k for x in values) for k in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
+    return [0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k] and n[k - 1] else k / 2, 0), k) for k in (1, 2, 3))]
+
+
+def brute_scores(data, order=2):
     toks = [(i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, [x.encode().lower() for x in words(t)] + [0]) for i, t, *_ in data]
-    c, bi, contexts, cont, kinds = Counter(), Counter(), Counter(), Counter(), defaultdict(lambda: [0, 0, 0])
+    c, top = Counter(), Counter()
     for _, out, t in toks:
         if not out:
             c.update(t)
-            bi.update(zip([1, *t], t, strict=False))
-    for (a, b), n in bi.items():
-        contexts[a] += n
-        cont[b] += 1
-        kinds[a][min(n, 3) - 1] += 1
+            padded = [1] * (order - 1) + t
+            top.update(tuple(padded[k : k + order]) for k in range(len(t)))
+    levels = [top]  # counts of n-grams by falling order: occurrences, then different words before
+    while len(next(iter(levels[-1]))) > 1:
+        levels.append(Counter(g[1:] for g in levels[-1]))
     total, v = sum(c.values()), len(c)
-    d = [0, *ngrams._discounts([sum(x == k for x in bi.values()) for k in (1, 2, 3, 4)])]
-    e = [0, *ngrams._discounts([sum(x == k for x in cont.values()) for k in (1, 2, 3, 4)])]
-    left = sum(e[min(x, 3)] for x in cont.values()) / len(bi)
-
-    def p(a, b):
-        low = max(cont[b] - e[min(cont[b], 3)], 0) / len(bi) + left / (v + 1)
-        if not contexts[a]:
-            return low
-        n = bi[a, b]
-        return max(n - d[min(n, 3)], 0) / contexts[a] + sum(d[k + 1] * kinds[a][k] for k in range(3)) / contexts[a] * low
-
-    assert abs(sum(p(1, b) for b in c) + p(1, "?") - 1) < 1e-9
-    return [(i, out, len(t), sum(c[x] > 0 for x in t), total, sum(math.log10((c[x] + 1) / (total + v + 1)) for x in t), sum(math.log10(p(a, b)) for a, b in zip([1, *t], t, strict=False))) for i, out, t in toks]
-
-
-def test_scores_match_brute_force(spark):
-    got = sorted((tuple(r)[:7] for r in ngrams.held_out_scores(documents(spark, n=120)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=str)
-    want = sorted(brute_scores(rows(n=120)), key=str)
+    about = []
+    for level in levels:
+        sums, kinds = Counter(), defaultdict(lambda: [0, 0, 0])
+        for g, n in level.items():
+            sums[g[:-1]] += n
+            kinds[g[:-1]][min(n, 3) - 1] += 1
+        about.append((level, plain_discounts(level.values()), sums, kinds))
+
+    def p(gram, k=0):
+        if not gram:
+            return 1 / (v + 1)
+        level, d, sums, kinds = about[k]
+        lower = p(gram[1:], k + 1)
+        if not sums[gram[:-1]]:
+            return lower
+        n = level[gram]
+        return (max(n - d[min(n, 3)], 0) + sum(d[j + 1] * kinds[gram[:-1]][j] for j in range(3)) * lower) / sums[gram[:-1]]
+
+    begin = (1,) * (order - 1)
+    assert abs(sum(p((*begin, b)) for b in c) + p((*begin, "?")) - 1) < 1e-9
+
+    def grams(t):
+        padded = [1] * (order - 1) + t
+        return [tuple(padded[k : k + order]) for k in range(len(t))]
+
+    return [(i, out, len(t), sum(c[x] > 0 for x in t), total, sum(math.log10((c[x] + 1) / (total + v + 1)) for x in t), sum(math.log10(p(g)) for g in grams(t))) for i, out, t in toks]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_match_brute_force(spark, order):
+    got = sorted((tuple(r)[:7] for r in ngrams.held_out_scores(documents(spark, n=120), order=order).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=str)
+    want = sorted(brute_scores(rows(n=120), order), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want])
 
 
+def test_counts_beyond_four_bytes_and_absent_files(tmp_path):
+    path = str(tmp_path / "x" / "counts")
+    for c in ([3, 2**33], [3, 7], []):
+        ngrams._write_counts(path, np.array(c, np.int64))
+        assert ngrams._map_counts(path, len(c)).tolist() == c
+    assert len(ngrams._map(str(tmp_path / "none"), np.uint64)) == 0
+
+
+def test_remote_files_are_copied_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(ngrams, "_local", lambda path: None)
+    monkeypatch.setattr(ngrams.tempfile, "tempdir", str(tmp_path / "own"))
+    (tmp_path / "own").mkdir()
+    (tmp_path / "model").mkdir()
+    path = f"file://{tmp_path}/model/word-000000"
+    ngrams._write(path, np.arange(5, dtype=np.uint64))
+    assert ngrams._map(path, np.uint64).tolist() == [0, 1, 2, 3, 4]
+    copy = tmp_path / "own" / "quarry-model" / "word-000000"
+    made = copy.stat().st_mtime_ns
+    assert ngrams._map(path, np.uint64).tolist() == [0, 1, 2, 3, 4] and copy.stat().st_mtime_ns == made
+    assert len(ngrams._map(path + "-none", np.uint64)) == 0 and len(list(copy.parent.iterdir())) == 1
+
+
 def test_pair_parts_split_frequent_contexts():
     second = np.arange(20_000)
     rare = ngrams._pair_part(np.full(20_000, 7), second, np.full(20_000, 1000.0), 64)
