@@ -4,9 +4,9 @@
 2. Sets that share a band of their signatures are in one bucket.  Each set is
    compared in full with the least document of its buckets, and confirmed
    links are joined to components.
-3. Where the sets of a bucket are still in several components, all of them are
-   compared, in blocks of bounded size; only links that join two components
-   come out, never pairs.  So no link within a bucket is lost.
+3. Where the sets of a bucket are still in several components, all of them of
+   like size are compared, in blocks of bounded size; only links that join two
+   components come out, never pairs.  So no link within a bucket is lost.
 4. The links' components are found by star contraction.
 
 For two sets with a Jaccard similarity of 0.8 the chance to share no band is
@@ -107,17 +107,35 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _leftover_links(members: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Links inside buckets (key, doc_id) between documents of different components."""
+    """Links inside buckets (key, doc_id, n) between documents of different components.
+
+    Of buckets with the same members one is looked at.  Its sets are dealt to
+    classes of size: sets that are similar enough are in one class or in two
+    neighbouring ones, so no others meet; and a class is dealt to blocks of
+    bounded size, of which each two meet once.
+    """
     m = members.join(comps, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n")
-    mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n").alias("total")).where("lo < hi")
-    mixed = mixed.select("key", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    m = m.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
-    # A member of block b meets every other block and its own once: groups are (key, lower block, higher block).
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    m = m.select("key", "doc_id", "component", "block", "blocks", other)
-    m = m.select("key", "doc_id", "component", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("higher"), F.col("block").alias("side"))
-    full = m.join(sets, "doc_id")
-    return full.groupBy("key", "lower", "higher").applyInArrow(lambda t: _block_links(t, percent), "u long, v long").distinct()
+    about = (F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("count"), F.sum(F.shiftright(F.xxhash64("doc_id"), 32)).alias("h1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2"))
+    mixed = m.groupBy("key").agg(*about).where("lo < hi").groupBy("count", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    width = float(np.log(100 / percent)) * (1 + 1e-9)
+    m = m.join(mixed, "key").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    blocks = m.groupBy("key", "size").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    at = lambda step, name: blocks.select("key", (F.col("size") - step).alias("size"), F.col("blocks").alias(name))
+    m = m.join(at(0, "own"), ["key", "size"]).join(at(1, "above"), ["key", "size"], "left").join(at(-1, "below"), ["key", "size"], "left")
+    m = m.withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("own")).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    pair = lambda size, lower, larger, higher, side: F.struct(size.alias("size"), lower.alias("lower"), larger.alias("larger"), higher.alias("higher"), side.alias("side"))
+    meeting = "array<struct<size:int,lower:int,larger:int,higher:int,side:int>>"
+    size, block, none = F.col("size"), F.col("block"), F.array().cast(meeting)
+    same = F.transform(upto(F.col("own")), lambda q: pair(size, F.least(block, q), size, F.greatest(block, q), block))
+    with_above = F.when(F.col("above").isNotNull(), F.transform(upto(F.col("above")), lambda q: pair(size, block, size + 1, q, F.lit(-1)))).otherwise(none)
+    with_below = F.when(F.col("below").isNotNull(), F.transform(upto(F.col("below")), lambda q: pair(size - 1, q, size, block, F.lit(-2)))).otherwise(none)
+    m = m.select("key", "doc_id", "component", F.explode(F.concat(*(x.cast(meeting) for x in (same, with_above, with_below)))).alias("meets")).select("key", "doc_id", "component", "meets.*")
+    # Groups whose members are all of one component can give nothing.
+    groups = ["key", "size", "lower", "larger", "higher"]
+    live = m.groupBy(*groups).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(*groups)
+    full = m.join(live, groups).join(sets, "doc_id")
+    return full.groupBy(*groups).applyInArrow(lambda t: _block_links(t, percent), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

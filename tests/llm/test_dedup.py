@@ -46,6 +46,17 @@ def test_links_beyond_the_hub_are_found(spark):
     assert got == {i: c for i, _, c in brute_components(data, 2, 80)}
 
 
+def test_blocks_of_like_sizes_lose_no_link(spark, monkeypatch):
+    """Buckets of many components, in small blocks: sets of all sizes, of which only some are alike."""
+    monkeypatch.setattr(neardup, "BLOCK", 300)
+    rng = np.random.default_rng(7)
+    base = [f"t{i}" for i in range(400)]
+    data = [(int(i), " ".join(base[: int(n)])) for i, n in enumerate(rng.permutation(np.arange(60, 400, 4)))]
+    data += [(200 + i, " ".join(np.array(base)[np.sort(rng.permutation(400)[:330])])) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 1, 80).collect()}
+    assert got == {i: c for i, _, c in brute_components(data, 1, 80)}
+
+
 def test_block_links_join_every_component():
     import pyarrow as pa
 
