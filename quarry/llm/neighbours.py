@@ -7,8 +7,8 @@ a neighbour of a neighbour is likely a neighbour.  A round is a few joins; its
 groups are bounded by the degree of the graph, whatever the data, because
 vectors that many others point at take part with a sample.
 
-Queries walk the graph greedily, all at once, one join per step: each opens the
-best few of its best nodes that it has not opened yet, until none is left, and
+Queries walk the graph greedily, all at once, one join per step: each opens
+those of its best nodes that it has not opened yet, until none is left, and
 remembers what it has met, so that nothing is compared twice.
 
 Similarities are double precision on unit vectors of single precision, and
@@ -31,15 +31,14 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-DEGREE, TREES, LEAF, BEAM = 32, 4, 64, 32  # degree and beam: at least, see sizes
-WIDTH = 8  # nodes of a beam that one step opens
+DEGREE, TREES, LEAF, BEAM = 32, 4, 64, 128  # degree and beam: at least, see sizes
 EACH = 6  # of a node's best in one group that are offered to its list
 
 
 def sizes(n: int) -> tuple[int, int]:
     """Degree and beam for n nodes: they follow the logarithm of n."""
     log = int(np.ceil(np.log2(max(n, 2))))
-    return max(DEGREE, 2 * log), max(BEAM, 2 * log)
+    return max(DEGREE, 2 * log), max(BEAM, 8 * log)
 
 
 def _units(vectors: pa.Array) -> np.ndarray:
@@ -183,13 +182,13 @@ def _similar(rows: DataFrame) -> DataFrame:
     return rows.select("start", "node", "one", "two").mapInArrow(run, "start long, node long, sim double")
 
 
-def search(starts: DataFrame, nodes: DataFrame, links: DataFrame, beam: int = BEAM, width: int = WIDTH) -> DataFrame:
-    """start, node, sim: all nodes that greedy search meets from each start node (a column start), itself among them.
+def search(starts: DataFrame, nodes: DataFrame, links: DataFrame, beam: int = BEAM, width: int | None = None) -> DataFrame:
+    """start, node, sim: the best nodes that greedy search finds from each start node (a column start), itself among them.
 
-    A step opens the best so many unopened nodes of each beam, the beam being
-    the best nodes met so far; no node is compared twice with a start.  The
-    search ends when every node of every beam is opened: beams only get
-    better, so it does end.
+    A step opens the best unopened nodes of each beam, width of them or all, the
+    beam being the best nodes met so far; what has been met is kept, so no node is
+    compared twice with a start.  The search ends when every node of every beam
+    is opened: beams only get better, so it does end.
     """
     spark = nodes.sparkSession
     unit = nodes.select("node", "unit")
@@ -197,21 +196,21 @@ def search(starts: DataFrame, nodes: DataFrame, links: DataFrame, beam: int = BE
     own = scratch.table(starts.join(unit.withColumnsRenamed({"node": "start", "unit": "one"}), "start").select("start", "one"), "search-starts")
     best = Window.partitionBy("start").orderBy(F.desc("sim"), "node")
 
-    def chosen(met: DataFrame) -> DataFrame:
+    def chosen(rows: DataFrame) -> DataFrame:
         waiting = F.sum((~F.col("opened")).cast("int")).over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return met.withColumn("next", ~F.col("opened") & (F.row_number().over(best) <= beam) & (waiting <= width))
+        ranked = rows.withColumns({"place": F.row_number().over(best), "waiting": waiting}).where(F.col("place") <= beam)
+        return ranked.select("start", "node", "sim", "opened", (~F.col("opened") & (F.col("waiting") <= (beam if width is None else width))).alias("next"))
 
-    met = scratch.table(chosen(starts.select("start", F.col("start").alias("node"), F.lit(1.0).alias("sim"), F.lit(False).alias("opened"))), "search")
-    while met.where("next").head(1):
-        front = met.where("next").select("start", F.col("node").alias("v"))
+    now = scratch.table(chosen(starts.select("start", F.col("start").alias("node"), F.lit(1.0).alias("sim"), F.lit(False).alias("opened"))), "search")
+    met = now.select("start", "node")
+    while now.where("next").head(1):
+        front = now.where("next").select("start", F.col("node").alias("v"))
         seen = front.join(links, "v").select("start", F.explode("others").alias("node")).distinct()
-        new = seen.join(met.select("start", "node"), ["start", "node"], "left_anti")
-        new = _similar(new.join(unit.withColumnRenamed("unit", "two"), "node").join(own, "start"))
-        both = met.select("start", "node", "sim", (F.col("opened") | F.col("next")).alias("opened")).unionByName(new.withColumn("opened", F.lit(False)))
-        after = scratch.table(chosen(both), "search")
-        scratch.drop_table(spark, met)
-        met = after
-    return met.select("start", "node", "sim")
+        new = seen.join(met, ["start", "node"], "left_anti")
+        new = scratch.table(_similar(new.join(unit.withColumnRenamed("unit", "two"), "node").join(own, "start")), "search-met")
+        both = now.select("start", "node", "sim", (F.col("opened") | F.col("next")).alias("opened")).unionByName(new.withColumn("opened", F.lit(False)))
+        now, met = scratch.table(chosen(both), "search"), met.unionByName(new.select("start", "node"))
+    return now.select("start", "node", "sim")
 
 
 def _cosine(a: Column, b: Column) -> Column:
@@ -233,9 +232,10 @@ def nearest(
 
     is_query makes a condition from the id column.  Nearness is the cosine in
     double precision on the original vectors, ties go to the smaller id.
-    Vectors that are null, zero or hold null or non-finite components take no
-    part, nor do rows with a null id or a vector of another length than most;
-    rows that are wholly equal count once.  An empty table gives no rows.
+    Vectors that are null, empty, zero or hold null or non-finite components take
+    no part, nor do rows with a null id or a vector of another length than most;
+    rows that are wholly equal count once.  An empty table gives no rows, and
+    other columns of vectors, whatever their names, take no part.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     length = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -249,8 +249,6 @@ def nearest(
     queries = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "vector").distinct()
     queries = scratch.table(queries.join(nodes.select("vector", "node"), "vector").select("query_id", F.col("node").alias("start"), F.col("vector").alias("asked")), "queries")
     found = search(queries.select("start").distinct(), nodes, links, beam)
-    last = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("sim"), "node"))
-    found = found.withColumn("place", last).where(F.col("place") <= beam)
     pairs = queries.join(found.select("start", "node"), "start").join(nodes.select("node", "members", "vector"), "node")
     scored = pairs.select("query_id", F.explode("members").alias("vec_id"), _cosine(F.col("asked"), F.col("vector")).alias("score")).where("query_id <> vec_id")
     scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

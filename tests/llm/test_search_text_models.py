@@ -226,7 +226,7 @@ def test_search_goes_on_until_every_node_is_opened(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(14)], "v long, u long").coalesce(1)
     got = neighbours.search(spark.createDataFrame([(0,)], "start long"), nodes, links, 20).collect()
     assert sorted(r.node for r in got) == list(range(15))
-    assert neighbours.sizes(1000) == (32, 32) and neighbours.sizes(10**9) == (60, 60)
+    assert neighbours.sizes(1000) == (32, 128) and neighbours.sizes(10**9) == (60, 240)
 
 
 # Pages -------------------------------------------------------------------------------------
