@@ -55,6 +55,7 @@ _EXTRA = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "spo
 _WEAK = {"notice", "notification", "alert", "share", "social", "related", "recommended", "comment", "discussion", "search", "widget", "tags"}
 #: What structure says of a line: in a marked article, nothing, perhaps no main text, part of the page's frame by class or by element, certainly no main text.
 ARTICLE, PLAIN, WEAK, FRAME, BAR, OUT = range(6)
+MATCHES = 1_000_000  # pairs of equal lines of two pages that are looked at one by one
 
 
 def _marks(attributes: str) -> tuple[set[str], bool]:
@@ -159,8 +160,27 @@ def main_text(found: list[tuple[str, int]], shared: set[int], compared: bool) ->
     return " ".join(t for i, (t, k) in enumerate(found) if k == ARTICLE or k < FRAME and i not in shared and (k == PLAIN or compared))
 
 
+def _prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The lengths of the longest common subsequences of a and each prefix of b, on bit vectors."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        hit = v & where.get(x, 0)
+        v = (v + hit | v - hit) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def common(a: list[int], b: list[int]) -> list[int]:
-    """The places in a of a longest common subsequence of a and b."""
+    """The places in a of a longest common subsequence of a and b.
+
+    The work follows the number of pairs of equal lines; beyond MATCHES of them
+    (long pages that repeat a few lines) the problem is halved first, so memory
+    follows the lengths.
+    """
     lo, n, m = 0, len(a), len(b)
     while lo < n and lo < m and a[lo] == b[lo]:
         lo += 1
@@ -169,6 +189,12 @@ def common(a: list[int], b: list[int]) -> list[int]:
     where: dict[int, list[int]] = {}
     for j in range(m - 1, lo - 1, -1):
         where.setdefault(b[j], []).append(j)
+    if n - lo > 1 and sum(len(where.get(x, ())) for x in a[lo:n]) > MATCHES:
+        half = (lo + n) // 2
+        front, back = _prefix_lengths(a[lo:half], b[lo:m]), _prefix_lengths(a[half:n][::-1], b[lo:m][::-1])[::-1]
+        j = lo + int(np.argmax(front + back))
+        middle = [lo + i for i in common(a[lo:half], b[lo:j])] + [half + i for i in common(a[half:n], b[j:m])]
+        return [*range(lo), *middle, *range(n, len(a))]
     ends: list[int] = []  # least last place in b of a common subsequence of each length
     nodes: list[tuple] = []
     for i in range(lo, n):

@@ -260,19 +260,30 @@ def test_any_text_is_read(t):
     pages.lines(t)
 
 
-@settings(deadline=None, max_examples=200)
-@given(st.lists(st.integers(0, 5), max_size=12), st.lists(st.integers(0, 5), max_size=12))
-def test_longest_common_subsequence(a, b):
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.integers(0, 5), max_size=14), st.lists(st.integers(0, 5), max_size=14), st.sampled_from([0, 3, 10**6]))
+def test_longest_common_subsequence(a, b, matches):
     n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
-    got = pages.common(a, b)
+    assert pages._prefix_lengths(a, b).tolist() == n[-1]
+    saved, pages.MATCHES = pages.MATCHES, matches
+    try:
+        got = pages.common(a, b)
+    finally:
+        pages.MATCHES = saved
     assert len(got) == n[-1][-1] and got == sorted(set(got))
     it = iter(b)
     assert all(a[i] in it for i in got)
 
 
+def test_long_pages_of_few_different_lines():
+    rng = random.Random(1)
+    a, b = ([rng.randrange(3) for _ in range(12_000)] for _ in range(2))
+    assert len(pages.common(a, b)) == pages._prefix_lengths(a, b)[-1]
+
+
 def brute_pages(data):
     """The query without Spark: every page against the classes next to its own in the order of its host's paths."""
     import re
