@@ -149,6 +149,59 @@ WITH RECURSIVE d AS (
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(target, 6) AS target, (size * (epochs + CASE WHEN begun + size / 2 <= budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM placed
 """
 
+OP8_SQL = r"""
+WITH RECURSIVE polynomial AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t
+), docs AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS text_crc32
+  FROM documents, polynomial
+), sized AS (
+  SELECT h, sum(size)::BIGINT AS b FROM docs GROUP BY h
+), falling AS (
+  SELECT h, b, row_number() OVER (ORDER BY b DESC, h) AS k, sum(b) OVER () - coalesce(sum(b) OVER (ORDER BY b DESC, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_bytes FROM sized
+), own AS (
+  SELECT h, k FROM falling WHERE k < coalesce((SELECT min(k) FROM falling WHERE k > 15 OR b <= left_bytes / (17 - k)), 1e9)
+), about AS (
+  SELECT 16 - (SELECT count(*) FROM own) AS shards, coalesce(sum(b), 0)::BIGINT AS total FROM sized WHERE h NOT IN (SELECT h FROM own)
+), groups AS (
+  SELECT h, b, sum(b) OVER (ORDER BY h)::BIGINT AS upto FROM sized WHERE h NOT IN (SELECT h FROM own)
+), bounds AS (
+  SELECT upto AS cum FROM groups UNION ALL SELECT 0
+), tries(lo, hi, base, used) AS (
+  SELECT CAST(ceil(total / shards) AS BIGINT), total, 0::BIGINT, 0::BIGINT FROM about
+  UNION ALL
+  SELECT CASE WHEN over AND base < total THEN (lo + hi) // 2 + 1 ELSE lo END, CASE WHEN over AND base >= total THEN (lo + hi) // 2 ELSE hi END,
+    CASE WHEN over THEN 0 ELSE (SELECT max(cum) FROM bounds WHERE cum <= base + (lo + hi) // 2) END, CASE WHEN over THEN 0 ELSE used + 1 END
+  FROM (SELECT tries.*, total, base >= total OR used >= shards AS over FROM tries, about) WHERE lo < hi
+), capacity AS (
+  SELECT min(hi) AS c FROM tries WHERE lo >= hi
+), jumps(start, base, used) AS (
+  SELECT cum, cum, 0 FROM bounds
+  UNION ALL
+  SELECT start, (SELECT max(cum) FROM bounds WHERE cum <= base + c), used + 1 FROM jumps, about, capacity WHERE base < total AND used < 17
+), need AS (
+  SELECT start AS cum, max(used) AS shards FROM jumps GROUP BY start
+), cuts(left_shards, base) AS (
+  SELECT shards, 0::BIGINT FROM about
+  UNION ALL
+  SELECT left_shards - 1, CASE
+    WHEN near > base AND near <= base + c AND (SELECT shards FROM need WHERE cum = near) < left_shards THEN near
+    WHEN low > base AND low <= base + c AND (SELECT shards FROM need WHERE cum = low) < left_shards THEN low ELSE far END
+  FROM (
+    SELECT *, CASE WHEN above - even < even - low THEN above ELSE low END AS near FROM (
+      SELECT left_shards, base, c, total, base + (total - base) / left_shards AS even,
+        (SELECT max(cum) FROM bounds WHERE cum <= base + (total - base) / left_shards) AS low, (SELECT min(cum) FROM bounds WHERE cum > base + (total - base) / left_shards) AS above,
+        (SELECT max(cum) FROM bounds WHERE cum <= base + c) AS far
+      FROM cuts, about, capacity WHERE left_shards > 1 AND base < total))
+), firsts AS (
+  SELECT DISTINCT h FROM cuts JOIN groups ON upto - b = base WHERE base > 0
+), placed AS (
+  SELECT docs.*, CASE WHEN own.k IS NOT NULL THEN 16 - own.k ELSE (SELECT count(*) FROM firsts WHERE firsts.h <= docs.h) END AS shard FROM docs LEFT JOIN own ON own.h = docs.h
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM placed
+"""
+
 OP10_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -166,7 +219,7 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM w LEFT JOIN removed USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL, "op5_mixing": OP5_SQL, "op9_license_scan": licenses.oracle(), "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL, "op5_mixing": OP5_SQL, "op8_sharding": OP8_SQL, "op9_license_scan": licenses.oracle(), "op10_substring_dedup": OP10_SQL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,6 +1,6 @@
 """Contiguous shards of nearly equal bytes over atomic groups of equal texts.
 
-Groups are ordered by a 64-bit hash of their text.  The smallest capacity for
+Groups are ordered by the first 60 bits of the md5 of their text.  The smallest capacity for
 which a greedy pass fits the groups into the shards is found by binary search;
 the shards are then cut at that capacity.  The driver never sees the groups:
 it sees sums over ranges of hashes, and asks for finer ranges only where a cut
@@ -16,13 +16,18 @@ import bisect
 from itertools import accumulate
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import scratch
 
-FIRST_BITS, STEP_BITS = 12, 8
+BITS, FIRST_BITS, STEP_BITS = 60, 12, 8
+
+
+def key(c: Column) -> Column:
+    """The first bits of an md5, which other engines have, too."""
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
 class Segment(NamedTuple):
@@ -89,7 +94,7 @@ def _least(cum: list[int], segments: list[Segment], shards: int, hopeful: bool)
 
 def plan(rows: DataFrame, shards: int) -> Plan:
     """The cuts for rows with a group hash h (long) and a size (long)."""
-    segments = _sums(rows, 64 - FIRST_BITS)
+    segments = _sums(rows, BITS - FIRST_BITS)
     own: list[int] = []
     while segments and shards - len(own) > 1:
         share = sum(s.bytes for s in segments) / (shards - len(own))
@@ -149,23 +154,26 @@ def _cut(cum: list[int], segments: list[Segment], capacity: int, shards: int) ->
 def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot for every row of docs.
 
-    A null text counts as empty.  Equal texts share a shard; slots run from 0
-    without gaps in every shard, in an order given by hashed document ids.
-    Rows with equal or null ids are all kept.  An empty table gives no rows.
+    A null text counts as empty; texts of any length are hashed whole.  Equal
+    texts share a shard; slots run from 0 without gaps in every shard, in the
+    order of the md5 of the ids.  Rows with equal or null ids are all kept.  An
+    empty table gives no rows; other columns of docs, whatever their names,
+    take no part.
     """
     spark = docs.sparkSession
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("h"))
+    body, doc = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), key(body).alias("h"), key(doc).alias("place"))
     rows = scratch.table(rows, "shards")
     p = plan(rows, shards)
     shard = sum((F.when(F.col("h") >= F.lit(c), 1).otherwise(0) for c in p.cuts), F.lit(0))
     for k, h in enumerate(p.own):
         shard = F.when(F.col("h") == F.lit(h), shards - 1 - k).otherwise(shard)
+    # Slots are counted in ranges of places, of which there are enough for a task's share to stay small.
     parts = max(64, min(16384, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = rows.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"))
+    rows = rows.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), "place", F.shiftright("place", BITS - parts.bit_length()).alias("part"))
     counts = rows.groupBy("shard", "part").count()
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("place", F.row_number().over(inside))
-    return numbered.join(starts, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"))
+    inside = Window.partitionBy("shard", "part").orderBy("place", "doc_id", "text_crc32", "size")
+    numbered = rows.withColumn("n", F.row_number().over(inside))
+    return numbered.join(starts, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("n") - 1).cast("long").alias("slot"))
