@@ -34,7 +34,7 @@ def clashing(df):
 @pytest.mark.parametrize("name", BY_DOCUMENT)
 def test_documents(spark, name):
     run = BY_DOCUMENT[name]
-    docs = documents(spark).unionByName(spark.createDataFrame([(2000, "long word " * 60_000, "en", "s1", 1), (2000, "long word " * 60_000, "en", "s1", 1), (None, None, None, None, None)], documents(spark).schema))
+    docs = documents(spark).unionByName(spark.createDataFrame([(2000, "long word " * 15_000, "en", "s1", 1), (2000, "long word " * 15_000, "en", "s1", 1), (None, None, None, None, None)], documents(spark).schema))
     plain, odd = run(docs), run(clashing(docs))
     assert run(empty(spark)).collect() == []
     assert run(clashing(empty(spark))).collect() == []
