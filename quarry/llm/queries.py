@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, neighbours, ngrams, pages, pieces, quality, repeats, shards
+from . import contamination, licenses, mixing, neardup, neighbours, ngrams, pages, pieces, quality, repeats, shards, tries
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), 50)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -67,6 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_license_scan": op9_license_scan,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_decontamination": op11_decontamination,
+        "op12_prefix_trie": op12_prefix_trie,
     }
 
 
@@ -219,7 +229,52 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM w LEFT JOIN removed USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL, "op5_mixing": OP5_SQL, "op8_sharding": OP8_SQL, "op9_license_scan": licenses.oracle(), "op10_substring_dedup": OP10_SQL}
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, ws, least(len(ws), 10) AS size FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark) WHERE len(ws) > 0
+), item_windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(ws[i + 1 : i + size], ' ') AS win FROM (SELECT *, unnest(range(0, len(ws) - size + 1)) AS i FROM b)
+), sizes AS (
+  SELECT DISTINCT size FROM b
+), doc_windows AS (
+  SELECT r, i, size, array_to_string(ws[i + 1 : i + size], ' ') AS win FROM (SELECT r, ws, size, unnest(range(0, len(ws) - size + 1)) AS i FROM d, sizes WHERE len(ws) >= size)
+), hits AS (
+  SELECT r, i, size, win FROM doc_windows WHERE (size, win) IN (SELECT size, win FROM item_windows)
+), n AS (
+  SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + size)) AS p FROM hits) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hits JOIN item_windows USING (size, win) WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN items USING (r)
+"""
+
+OP12_SQL = r"""
+WITH polynomial AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t
+), own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (
+  SELECT own.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 6 AS h FROM own, polynomial
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1 : a.h], a.turns[a.h + 1 :]) AS turns FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100
+), places AS (
+  SELECT conv_id, len(turns) AS size, d AS depth, turns[1 : d] AS prefix, CASE WHEN d = 0 THEN 0 ELSE length(turns[d].text) END AS points FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) = depth AS leaf, (count(*) - 1) * any_value(points) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+  FROM places GROUP BY depth, prefix
+), above AS (
+  SELECT a.depth, a.prefix, sum(x.leaf::INT) AS n_leaves, sum(x.saved) AS saved_tokens, count(*) FILTER (WHERE x.depth = a.depth + 1) AS n_children
+  FROM nodes x JOIN places p ON p.conv_id = x.conv_id AND p.depth <= x.depth JOIN nodes a ON a.depth = p.depth AND a.prefix = p.prefix GROUP BY a.depth, a.prefix
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN above USING (depth, prefix) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1 : n.depth - 1]
+"""
+
+ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL, "op5_mixing": OP5_SQL, "op8_sharding": OP8_SQL, "op9_license_scan": licenses.oracle(), "op10_substring_dedup": OP10_SQL, "op11_decontamination": OP11_SQL, "op12_prefix_trie": OP12_SQL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -66,11 +66,11 @@ def slices(column: pa.Array, limit: int = _CHUNK) -> Iterator[tuple[int, int, np
         lo = hi
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts and ends as byte positions, and each document's offset into them."""
+def words(buf: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts and ends as byte positions, and each document's offset into them; ``between`` marks the bytes that end a word."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    gap = SPACE[buf]
+    gap = between[buf]
     before, after = np.empty(len(buf), bool), np.empty(len(buf), bool)
     before[0], after[-1] = True, True
     before[1:], after[:-1] = gap[:-1], gap[1:]
