@@ -5,9 +5,10 @@
    compared in full with the least document of its buckets, and confirmed
    links are joined to components.
 3. Where the sets of a bucket are still in several components, all of them of
-   like size are compared, in blocks of bounded size; only links that join two
-   components come out, never pairs.  So no link within a bucket is lost.
-4. The links' components are found by star contraction.
+   like size are compared, in blocks of bounded size.  A block joins what it
+   finds linked and gives a forest: fewer links than it has components, never
+   pairs.  So no link within a bucket is lost.
+4. Links between components join these; a document has its class's component.
 
 For two sets with a Jaccard similarity of 0.8 the chance to share no band is
 (1 - 0.8**5)**26, about 3 in 100,000.
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash, scratch, text
-from .components import components
+from .components import components, least
 
 BLOCK = 60_000  # shingles in a block, about
+SETS = 1000  # sets in a block, about: the sizes of intersections of two blocks are 32 MB
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -90,24 +92,23 @@ def _counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(table: pa.Table, percent: int) -> pa.Table:
-    """Links between different components among the sets of one block or of two; enough of them to join what they join."""
-    sizes = np.array(table["n"])
-    elements, ids, comps, side = table["elements"].to_pylist(), np.array(table["doc_id"]), np.array(table["component"]), np.array(table["side"])
-    out_u, out_v = [], []
+    """Of the sets of one block, or of two, a forest of links between components: each that is linked to another, to the least it is joined with."""
+    sizes, comps, side = (np.array(table[k]) for k in ("n", "component", "side"))
+    u = v = np.zeros(0, np.int64)
     if len(np.unique(comps)) > 1:
-        both = _counts([np.frombuffer(e, np.uint64) for e in elements])
+        both = _counts([np.frombuffer(e, np.uint64) for e in table["elements"].to_pylist()])
         linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
         linked &= comps[:, None] < comps[None, :]
         if len(np.unique(side)) > 1:
             linked &= side[:, None] != side[None, :]
         x, y = np.nonzero(linked)
-        _, first = np.unique(np.stack([comps[x], comps[y]], 1), axis=0, return_index=True)
-        out_u, out_v = ids[x[first]], ids[y[first]]
-    return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
+        nodes, root = least(comps[x], comps[y])
+        u, v = nodes[nodes != root], root[nodes != root]
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def _leftover_links(members: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Links inside buckets (key, doc_id, n) between documents of different components.
+    """Links u, v between components that have linked sets in one bucket (key, doc_id, n).
 
     Of buckets with the same members one is looked at.  Its sets are dealt to
     classes of size: sets that are similar enough are in one class or in two
@@ -119,7 +120,7 @@ def _leftover_links(members: DataFrame, sets: DataFrame, comps: DataFrame, perce
     mixed = m.groupBy("key").agg(*about).where("lo < hi").groupBy("count", "h1", "h2").agg(F.min("key").alias("key")).select("key")
     width = float(np.log(100 / percent)) * (1 + 1e-9)
     m = m.join(mixed, "key").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
-    blocks = m.groupBy("key", "size").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = m.groupBy("key", "size").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / SETS)).cast("int").alias("blocks"))
     at = lambda step, name: blocks.select("key", (F.col("size") - step).alias("size"), F.col("blocks").alias(name))
     m = m.join(at(0, "own"), ["key", "size"]).join(at(1, "above"), ["key", "size"], "left").join(at(-1, "below"), ["key", "size"], "left")
     m = m.withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("own")).cast("int"))
@@ -135,7 +136,7 @@ def _leftover_links(members: DataFrame, sets: DataFrame, comps: DataFrame, perce
     groups = ["key", "size", "lower", "larger", "higher"]
     live = m.groupBy(*groups).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(*groups)
     full = m.join(live, groups).join(sets, "doc_id")
-    return full.groupBy(*groups).applyInArrow(lambda t: _block_links(t, percent), "u long, v long").distinct()
+    return full.groupBy(*groups).applyInArrow(lambda t: _block_links(t, percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,7 +156,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     classes = scratch.table(classes, "classes")
-    copies = usable.join(classes.where("rep < top").select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    copies = usable.join(classes.where("rep < top").select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
     banded = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("doc_id"), "n")
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("key", "hub")
     members = scratch.table(banded.join(buckets, "key"), "members")
@@ -166,12 +167,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     one = sets.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("elements").alias("su"))
     two = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("elements").alias("sv"))
     close = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
-    links = scratch.table(_linked(pairs.join(one, "u").join(two, "v").where(close), percent), "links")
-    more = _leftover_links(members, sets, scratch.table(components(links), "components"), percent)
-    edges = links.unionByName(scratch.table(more, "links")).unionByName(copies).where("u <> v")
-    comps = scratch.table(components(edges), "components")
+    linked = _linked(pairs.join(one, "u").join(two, "v").where(close), percent)
+    # An id with several texts is one node: it joins the classes of all of them.
+    several = usable.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("u"))
+    comps = components(linked.unionByName(copies.join(several, "u", "left_semi")))
+    more = scratch.table(_leftover_links(members, sets, comps, percent), "links")
+    if more.head(1):
+        joined = components(more).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+        far = comps.join(joined, comps["component"] == joined["part"], "left").select("node", F.coalesce("whole", "component").alias("component"))
+        alone = joined.join(comps.select(F.col("node").alias("part")), "part", "left_anti").select("part", "whole")
+        comps = scratch.table(far.union(alone), "components")
+    of_copies = copies.join(comps, F.col("v") == F.col("node"), "left").select(F.col("u").alias("node"), F.coalesce("component", "v").alias("component"))
+    found = of_copies.unionByName(comps).groupBy("node").agg(F.min("component").alias("component"))
     d = signed.select("doc_id", F.col("n").alias("n_shingles"))
-    joined = d.join(comps, F.col("doc_id") == F.col("node"), "left")
+    joined = d.join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

@@ -1,6 +1,10 @@
 import random
 
-from quarry.llm.components import components
+import numpy as np
+import pytest
+
+from quarry.llm import components as module
+from quarry.llm.components import components, least
 
 
 def brute(edges):
@@ -17,7 +21,16 @@ def brute(edges):
     return {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
-def test_components(spark):
+def test_least_joins_long_chains():
+    order = np.random.default_rng(2).permutation(5000)
+    nodes, root = least(order[:-1], order[1:])
+    assert len(nodes) == 5000 and (root == 0).all()
+
+
+@pytest.mark.parametrize("task", [1 << 20, 20])
+def test_components(spark, monkeypatch, task):
+    """In one task, and by star steps where a task may hold few edges."""
+    monkeypatch.setattr(module, "TASK", task)
     rng = random.Random(9)
     chain = [(i, i + 1) for i in range(100, 164)]
     rng.shuffle(chain)

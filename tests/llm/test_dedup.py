@@ -57,16 +57,45 @@ def test_blocks_of_like_sizes_lose_no_link(spark, monkeypatch):
     assert got == {i: c for i, _, c in brute_components(data, 1, 80)}
 
 
-def test_block_links_join_every_component():
+def block(sets, components=None):
     import pyarrow as pa
 
+    return pa.table({"component": components or list(range(len(sets))), "n": [len(s) for s in sets], "elements": [s.tobytes() for s in sets], "side": [0] * len(sets)})
+
+
+def test_block_links_join_what_all_pairs_join():
+    """A forest: what all links join is joined, with fewer links than components."""
     rng = np.random.default_rng(3)
-    base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
-    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < keep], rng.integers(0, 2**63, 10).astype(np.uint64)])) for keep in rng.uniform(0.85, 1, 40)]
-    table = pa.table({"doc_id": list(range(40)), "component": list(range(40)), "n": [len(s) for s in sets], "elements": [s.tobytes() for s in sets], "side": [0] * 40})
-    got = {(int(u), int(v)) for u, v in zip(*(neardup._block_links(table, 80)[k].to_pylist() for k in ("u", "v")), strict=True)}
-    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
-    assert got == want and want
+    base = [np.unique(rng.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(3)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < keep], rng.integers(0, 2**63, 10).astype(np.uint64)])) for b in base for keep in rng.uniform(0.85, 1, 40)]
+    got = {(int(u), int(v)) for u, v in zip(*(neardup._block_links(block(sets), 80)[k].to_pylist() for k in ("u", "v")), strict=True)}
+    pairs = [(i, j) for i in range(120) for j in range(i + 1, 120) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+
+    def groups(edges):
+        of = {i: {i} for i in range(120)}
+        for u, v in edges:
+            of[u] |= of[v]
+            for x in of[u]:
+                of[x] = of[u]
+        return {frozenset(x) for x in of.values()}
+
+    assert groups(got) == groups(pairs)
+    assert len(got) == 120 - len(groups(pairs)) < len(pairs) / 10
+
+
+def test_a_block_of_600_equal_sets_gives_599_links():
+    sets = [np.arange(50, dtype=np.uint64)] * 600
+    assert neardup._block_links(block(sets), 80).num_rows == 599
+    assert neardup._block_links(block(sets, [7] * 600), 80).num_rows == 0
+
+
+def test_blocks_are_bounded_in_sets_too(spark, monkeypatch):
+    """Many small sets in one bucket: blocks of few sets find the same groups."""
+    monkeypatch.setattr(neardup, "SETS", 5)
+    rng = np.random.default_rng(11)
+    data = [(int(i), " ".join(["a b c d e f g h i j k l m n o p"] + [f"x{rng.integers(4)}" for _ in range(int(rng.integers(0, 6)))])) for i in range(120)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 1, 80).collect()}
+    assert got == {i: c for i, _, c in brute_components(data, 1, 80)}
 
 
 def test_signatures_estimate_similarity_without_bias():
