@@ -8,12 +8,15 @@ of them (with one, if there are fewer than three) are boilerplate and go:
 menus, headers, footers, sidebars and notices repeat from page to page.
 
 Structure decides what cannot repeat or has nothing to be compared with.
-Elements that are by name, class or id adverts, forms or reader comments, or
-hidden, give no text, nor do menus, headers, footers and sidebars whose lines
-no other page shares; if a page marks an article or main part, only that
-counts, and its lines stay, since different articles may share sentences.
-Class words that also occur inside articles (related, search, tags and the
-like) count only for a page that has no other to be compared with.
+Elements that are by name, class or id adverts, notices, forms, reader
+comments or lists of other articles, or hidden, give no text, nor do menus,
+headers, footers and sidebars whose lines no other page shares.  If a page
+marks an article or main part, only that counts, and its lines stay, since
+different articles may share sentences: there only whole elements that are
+forms, menus, footers, adverts or reader comments by name or class, or hidden,
+give no text, and never a part of a sentence for its class.  A few class words
+(search, tags, widget) count only for a page that has no other to be compared
+with.
 
 Copies are not compared, since the lines they share are the article: pages of
 equal lines at a host are one class, a run of neighbouring classes of nearly
@@ -39,11 +42,12 @@ from pyspark.sql import functions as F
 from . import scratch
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "object", "canvas", "audio", "video"}
+_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "desc", "metadata", "annotation", "object", "canvas", "audio", "video"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+_INLINE |= {"svg", "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "msup", "msub", "msubsup", "mover", "munder", "munderover", "mstyle", "semantics"}
 _BARS = {"nav", "footer", "aside", "header", "menu"}
-_DROPPED = {"nav", "footer", "aside", "form", "select", "button", "dialog", "menu", "head", "label", "fieldset", "datalist"}
+_DROPPED = {"nav", "footer", "aside", "form", "select", "button", "dialog", "menu", "head", "fieldset", "datalist"}
 _COMMENT = {"comment", "reply"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -51,8 +55,13 @@ _WORDS = re.compile(r"[a-z]+")
 #: Words in class, id and role that mark what is not main text.
 _LAYOUT = {"nav", "navbar", "navigation", "menu", "sidebar", "header", "masthead", "banner", "topbar", "breadcrumb", "breadcrumbs", "complementary", "contentinfo", "footer", "toolbar", "skip"}
 _EXTRA = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "sharing", "comments", "respond", "replies", "disqus", "disclaimer", "copyright", "pagination", "pager"}
+#: The same, of whole elements outside articles.
+_ASIDE = {"notice", "notification", "alert", "share", "social", "related", "recommended", "comment", "reply", "discussion"}
+_OUTSIDE = _EXTRA | _ASIDE
+#: The same, of whole elements inside articles.
+_WITHIN = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsored", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "comment", "comments", "reply", "replies", "respond", "disqus"}
 #: Words that mark what may or may not be main text.
-_WEAK = {"notice", "notification", "alert", "share", "social", "related", "recommended", "comment", "discussion", "search", "widget", "tags"}
+_WEAK = {"search", "widget", "tags"}
 #: What structure says of a line: in a marked article, nothing, perhaps no main text, part of the page's frame by class or by element, certainly no main text.
 ARTICLE, PLAIN, WEAK, FRAME, BAR, OUT = range(6)
 MATCHES = 1_000_000  # pairs of equal lines of two pages that are looked at one by one
@@ -130,7 +139,7 @@ def lines(page: str) -> list[tuple[str, int]]:
         if name not in ("html", "body"):
             extra, layout, weak = (words and not x.isdisjoint(words) for x in (_EXTRA, _LAYOUT, _WEAK))
             if name in _INLINE:
-                silent |= bool(hidden or extra or layout)
+                silent |= bool(hidden or not inside and (extra or layout))
             elif name in ("article", "main") or "main" in words and "role" in m[3].lower():
                 if now in (WEAK, FRAME):
                     now = PLAIN
@@ -139,6 +148,7 @@ def lines(page: str) -> list[tuple[str, int]]:
                 if now < FRAME:
                     within = marked = True
             elif now < OUT:
+                extra = words and not (_WITHIN if inside else _OUTSIDE).isdisjoint(words)
                 if hidden or extra or name in _DROPPED or name == "header" and not inside:
                     now = BAR if name in _BARS and not (hidden or extra) else OUT
                 elif layout and not (inside and name == "header"):
