@@ -99,7 +99,7 @@ class Service:
         try:
             report = self.indexer.index_path(where, force, branch, progress)
             problems = [dict(zip(("path", "status", "reason"), p, strict=True)) for p in report.problems]
-            return {"path": str(where), "indexed": report.indexed, "unchanged": report.unchanged, "deleted": report.deleted, "skipped": report.skipped, "errors": report.errors, "problems": problems, **{k: v for k, v in self.ctx_status().items() if k != "indexed"}}
+            return {"path": str(where), "indexed": report.indexed, "unchanged": report.unchanged, "deleted": report.deleted, "skipped": report.skipped, "errors": report.errors, "no_chunks": report.no_chunks, "problems": problems, **{k: v for k, v in self.ctx_status().items() if k != "indexed"}}
         except Exception as e:  # noqa: BLE001
             log.exception("index run failed")
             return {"error": str(e)}

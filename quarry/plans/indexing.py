@@ -33,7 +33,10 @@ def chunk_rows(files: DataFrame, branch: str | None, embedder: embed.Embedder |
 
 @dataclass(frozen=True)
 class IndexReport:
-    """Numbers of files, the store's version, and the first files (path, status, reason) that were skipped or failed."""
+    """Numbers of files, the store's version, and the first files (path, status, reason) that were skipped or failed.
+
+    no_chunks are new or changed files in which there is nothing to index.
+    """
 
     indexed: int
     unchanged: int
@@ -41,6 +44,7 @@ class IndexReport:
     version: str | None
     skipped: int = 0
     errors: int = 0
+    no_chunks: int = 0
     problems: tuple[tuple[str, str, str], ...] = ()
 
 
@@ -80,15 +84,18 @@ class Indexer:
         base, root = Path(path).resolve(), self.config.project_root
         return base.relative_to(root).as_posix() + "/" if base != root and root in base.parents else ""
 
-    def apply(self, files: DataFrame, branch: str | None, force: bool = False, prefix: str = "", cleanup: bool = True, deleted: DataFrame | None = None, progress: Callable[[ProgressEvent], None] | None = None) -> IndexReport:
+    def apply(self, files: DataFrame, branch: str | None, force: bool = False, prefix: str = "", cleanup: bool = True, deleted: DataFrame | None = None, progress: Callable[[ProgressEvent], None] | None = None, paths: DataFrame | None = None) -> IndexReport:
         """Bring the store to what files say; deleted has further paths to drop.
 
+        If it is known that files and deleted have some paths only (a column),
+        no other buckets of the store are read.
+
         A file with an error is skipped, one that the embedder cannot work on
         counts as an error; both keep the chunks they have.  Contents are read
         once for their hashes, and again only of files that have changed.
         """
         c = self.config.indexer
-        stored = self.store.chunks()
+        stored = self.store.chunks() if paths is None else self.store.chunks_at(paths)
         judged = incremental.file_status(files.select("path", "abs_path", "file_hash", "error"), stored, branch, force)
         judged = judged.withColumn("status", F.when(F.col("error").isNotNull(), "skipped").otherwise(F.col("status"))).persist(StorageLevel.MEMORY_AND_DISK)
         staged = None
@@ -101,7 +108,8 @@ class Indexer:
             n_gone = gone.count()
             n_new = counts.get("new", 0) + counts.get("changed", 0)
             failed: list[tuple[str, str, str]] = []
-            n_failed = 0
+            nothing: list[tuple[str, str, str]] = []
+            n_failed = n_empty = 0
             if n_new:
                 content = filetree.read_paths(changed, self.config.project_root, max_file_size=c["max_file_size"], report=True)
                 content = content.where("error IS NULL").withColumn("file_hash", file_hash(F.col("content")))
@@ -110,6 +118,9 @@ class Indexer:
                     staged = self.store.stage(rows)
                 bad = staged.where("vector IS NULL").select("path").distinct()
                 failed = [(r.path, "error", "embedding failed") for r in bad.orderBy("path").limit(PROBLEMS).collect()]
+                empty = content.select("path").join(staged.select("path"), "path", "left_anti")
+                n_empty = empty.count()
+                nothing = [(r.path, "skipped", "no_chunks") for r in empty.orderBy("path").limit(PROBLEMS).collect()] if n_empty else []
                 if failed:
                     n_failed = bad.count()
                     staged, changed = staged.join(bad, "path", "left_anti"), changed.join(bad, "path", "left_anti")
@@ -120,5 +131,5 @@ class Indexer:
         finally:
             judged.unpersist()
             self.store.clear_stage()
-        problems = (*((r.path, "skipped", r.error) for r in skipped), *failed)
-        return IndexReport(n_new - n_failed, counts.get("unchanged", 0), n_gone, self.store.version(), counts.get("skipped", 0), n_failed, problems)
+        problems = (*((r.path, "skipped", r.error) for r in skipped), *nothing, *failed)
+        return IndexReport(n_new - n_failed - n_empty, counts.get("unchanged", 0), n_gone, self.store.version(), counts.get("skipped", 0), n_failed, n_empty, problems)

@@ -22,6 +22,16 @@ CHUNK = T.StructType(
         T.StructField("chunk_id", T.StringType(), False),
     ]
 )
+#: The inverted index beside the chunks: what search.postings gives, with what ties and filters ask.
+POSTING = T.StructType(
+    [
+        T.StructField("term", T.StringType()),
+        T.StructField("chunk_id", T.StringType()),
+        T.StructField("tf", T.LongType()),
+        T.StructField("dl", T.IntegerType()),
+        *(CHUNK[name] for name in ("path", "start_line", "chunk_seq", "chunk_type", "language", "branch")),
+    ]
+)
 FILE = T.StructType(
     [
         T.StructField("path", T.StringType(), False),

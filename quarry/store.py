@@ -1,13 +1,19 @@
 """The versioned chunk table, in buckets of paths.
 
-A path belongs to the bucket of its hash.  A version is a manifest that names
-the pieces (Parquet directories) of each bucket; a change writes pieces for the
-buckets that it touches, then the next manifest, which is renamed into place.
-Manifests are never changed, and the highest one counts, so a reader sees a
-whole version or the one before, never nothing.  Adding files writes pieces
-for their buckets alone; replacing or deleting files also rewrites the pieces
-that hold them.  Postings lie beside the chunks, piece by piece, and a manifest
-sums up chunks and tokens, so keyword search needs neither texts nor counts.
+A path belongs to the bucket that the low bits of its CRC-32 name.  A version is
+a manifest that names the pieces (Parquet directories) of each bucket; a change
+writes pieces for the buckets that it touches, then the next manifest, which is
+renamed into place.  Manifests are never changed, and the highest one counts, so
+a reader sees a whole version or the one before, never nothing.  Postings lie
+beside the chunks, piece by piece, and a manifest sums up chunks and tokens, so
+keyword search needs neither texts nor counts.
+
+Deleting and replacing files rewrites nothing: the (path, branch) pairs that go
+are a small table of their own, and readers leave out by an anti-join what was
+written before that.  A bucket is written anew, without what is gone, when it
+has many pieces or many such pairs, or is half gone; one that has grown beyond
+a size is split in two by one more bit, so buckets keep their size however the
+store grows, and the pieces of other buckets stay as they are.
 
 The table lies below one folder of any file system that Spark writes.  One
 writer at a time is assumed; a second one fails at the manifest.
@@ -15,7 +21,9 @@ writer at a time is assumed; a second one fails at the manifest.
 
 from __future__ import annotations
 
+import copy
 import json
+import math
 import uuid
 import zlib
 from collections import OrderedDict
@@ -23,20 +31,27 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions.columns import chunk_id
-from .operators import incremental, search, stats
+from .operators import search, stats
 from .operators.filters import Filters
-from .schema import CHUNK
+from .schema import CHUNK, POSTING
 
 CACHE_SIZE = 100
 BUCKETS = 64  # of a new store, at least
 PIECES = 8  # of a bucket, beyond which it is written as one
+SPLIT = 1_000_000  # chunks of a bucket, beyond which it is split
+DEPTH = 30  # bits of a bucket's name, at most: one path alone cannot be split
+GONE = 10_000  # pairs that are gone from a bucket, beyond which it is written without them
+LISTS = 32  # of pairs that are gone, beyond which they are written as one
+FEW = 1000  # paths that are looked up by name; more are joined
+PAIRS = "path string, branch string, seq int, bucket int, chunks long, tokens long"
 
 
 class ChunkStore:
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path, self._buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, split: int = SPLIT):
+        self.spark, self.path, self._buckets, self._split = spark, path.rstrip("/"), buckets, split
         self._cache: OrderedDict[tuple, list[Row]] = OrderedDict()
         self._known: tuple[str, dict] | None = None
 
@@ -58,24 +73,38 @@ class ChunkStore:
         return found[-1].removesuffix(".json") if found else None
 
     def manifest(self, version: str | None = None) -> dict:
-        """number (of buckets), buckets: the pieces of each bucket with their chunks and tokens."""
+        """depth (bits of a bucket's name at first), split (buckets that were), buckets: the pieces of each with their chunks and tokens, gone: what of the buckets' older pieces does not count."""
         version = version or self.version()
         if version is None:
             number = self._buckets or max(BUCKETS, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-            return {"number": number, "buckets": {}}
+            return {"depth": max(0, math.ceil(math.log2(number))), "split": [], "buckets": {}, "gone": {}}
         if self._known is None or self._known[0] != version:
             text = self.spark.read.text(f"{self.path}/manifests/{version}.json", wholetext=True).first().value
             self._known = version, json.loads(text)
         return self._known[1]
 
     def _pieces(self, kind: str, manifest: dict, buckets: Iterable[int] | None = None) -> DataFrame | None:
-        """The rows of some buckets (all), with their bucket."""
+        """The rows of some buckets (all) that count, with their bucket and piece."""
         wanted = manifest["buckets"] if buckets is None else {str(b) for b in buckets} & set(manifest["buckets"])
         paths = [f"{self.path}/{kind}/bucket={b}/piece={p}" for b in wanted for p in manifest["buckets"][b]]
         if not paths:
             return None
-        read = self.spark.read.option("basePath", f"{self.path}/{kind}")
-        return (read.schema(CHUNK) if kind == "chunks" else read).parquet(*paths)
+        schema = CHUNK if kind == "chunks" else POSTING
+        rows = self.spark.read.option("basePath", f"{self.path}/{kind}").schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("piece", T.StringType())])).parquet(*paths)
+        return self._alive(rows, manifest, wanted)
+
+    def _alive(self, rows: DataFrame, manifest: dict, buckets: Iterable[str]) -> DataFrame:
+        """rows (path, branch, piece) without those of pieces that are older than their deletion."""
+        written = F.substring("piece", 1, 8).cast("int")
+        gone = {name: g for name, g in manifest["gone"].items() if not g["buckets"].keys().isdisjoint(buckets)}
+        for g in gone.values():
+            if g["branch"] is not None:
+                rows = rows.where(~F.coalesce(F.col("branch") == g["branch"], F.lit(False)) | (written >= g["seq"]))
+        lists = [f"{self.path}/gone/{name}" for name, g in gone.items() if g["branch"] is None]
+        if not lists:
+            return rows
+        pairs = self.spark.read.schema(PAIRS).parquet(*lists).groupBy("path", "branch").agg(F.max("seq").alias("seq")).select(F.col("path").alias("_p"), F.col("branch").alias("_b"), "seq")
+        return rows.join(pairs, (F.col("path") == F.col("_p")) & F.col("branch").eqNullSafe(F.col("_b")) & (written < F.col("seq")), "left_anti")
 
     def wide(self, version: str | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
         """The chunks with their bucket, by which a join reads only the buckets it needs."""
@@ -87,6 +116,12 @@ class ChunkStore:
     def chunks(self, version: str | None = None) -> DataFrame:
         return self.wide(version).drop("bucket")
 
+    def chunks_at(self, paths: DataFrame) -> DataFrame:
+        """The chunks of the buckets of some paths (a column); of these paths alone, if they are few."""
+        names, buckets = self._located(paths, self.manifest())
+        rows = self.wide(buckets=buckets)
+        return (rows if names is None else rows.where(F.col("path").isin(names))).drop("bucket")
+
     def index(self) -> tuple[DataFrame | None, DataFrame | None]:
         """Postings and corpus statistics of the current version."""
         manifest = self.manifest()
@@ -97,38 +132,104 @@ class ChunkStore:
         return found.drop("piece"), self.spark.createDataFrame([(n, tokens / n if n else 0.0)], "n long, avgdl double")
 
     @staticmethod
-    def _sums(manifest: dict) -> tuple[int, int]:
-        counts = [c for pieces in manifest["buckets"].values() for c in pieces.values()]
-        return sum(c[0] for c in counts), sum(c[1] for c in counts)
+    def _held(manifest: dict, bucket: str) -> tuple[int, int, int, int]:
+        """Of a bucket: chunks and tokens written, chunks and pairs gone, tokens gone are taken off."""
+        pieces = manifest["buckets"][bucket].values()
+        gone = [g["buckets"][bucket] for g in manifest["gone"].values() if bucket in g["buckets"]]
+        return sum(c[0] for c in pieces), sum(c[1] for c in pieces) - sum(g[2] for g in gone), sum(g[1] for g in gone), sum(g[0] for g in gone)
+
+    @classmethod
+    def _sums(cls, manifest: dict) -> tuple[int, int]:
+        held = [cls._held(manifest, b) for b in manifest["buckets"]]
+        return sum(h[0] - h[2] for h in held), sum(h[1] for h in held)
+
+    # Buckets -------------------------------------------------------------------------------
 
     def bucket(self, path: str) -> int:
-        return zlib.crc32(path.encode()) % self.manifest()["number"]
+        return self._bucket_of(path, self.manifest())
+
+    @staticmethod
+    def _bucket_of(path: str, manifest: dict) -> int:
+        h, depth, split = zlib.crc32(path.encode()), manifest["depth"], set(manifest["split"])
+        while (found := 1 << depth | h & (1 << depth) - 1) in split:
+            depth += 1
+        return found
+
+    @staticmethod
+    def _bucket(path: Column, manifest: dict) -> Column:
+        at: dict[int, list[int]] = {}
+        for b in manifest["split"]:
+            at.setdefault(b.bit_length() - 1, []).append(b)
+        named = lambda depth: (F.crc32(path.cast("binary")).bitwiseAND(F.lit((1 << depth) - 1)) + (1 << depth)).cast("int")
+        last = max(at, default=manifest["depth"] - 1) + 1
+        out = named(last)
+        for depth in reversed(range(manifest["depth"], last)):
+            out = F.when(named(depth).isin(at.get(depth, [])), out).otherwise(named(depth))
+        return out
+
+    def _located(self, paths: DataFrame, manifest: dict) -> tuple[list[str] | None, list[int]]:
+        """The paths, if they are few, and their buckets: nothing of the store is read."""
+        some = [r.path for r in paths.select("path").distinct().limit(FEW + 1).collect()]
+        if len(some) <= FEW:
+            return some, sorted({self._bucket_of(p, manifest) for p in some if p is not None})
+        found = paths.where("path IS NOT NULL").select(self._bucket(F.col("path"), manifest).alias("b")).distinct().collect()  # at most the number of buckets
+        return None, sorted(r.b for r in found)
 
-    def _bucket(self, path: Column, number: int) -> Column:
-        return (F.crc32(path.cast("binary")) % number).cast("int")
+    def _divided(self, manifest: dict, bucket: int, chunks: int) -> None:
+        """Split a bucket by as many bits as its chunks need."""
+        now = [bucket]
+        for _ in range(max(1, math.ceil(math.log2(chunks / self._split)))):
+            manifest["split"] += now
+            now = [b + (1 << b.bit_length() - 1) * k for b in now for k in (1, 2) if b.bit_length() <= DEPTH]
 
-    def _write(self, chunks: DataFrame, number: int) -> dict[str, dict[str, list[int]]]:
+    # Writing -------------------------------------------------------------------------------
+
+    def _write(self, chunks: DataFrame, manifest: dict, seq: int) -> dict[str, dict[str, list[int]]]:
         """Write chunks and their postings as a piece of each of their buckets; the new pieces by bucket."""
-        piece = uuid.uuid4().hex[:16]
+        piece = f"{seq:08d}{uuid.uuid4().hex[:16]}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = chunks.select(*CHUNK.names, self._bucket(F.col("path"), number).alias("bucket"), F.lit(piece).alias("piece"))
+        rows = chunks.select(*CHUNK.names, self._bucket(F.col("path"), manifest).alias("bucket"), F.lit(piece).alias("piece"))
         rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "path", "start_line").write.mode("append").partitionBy("bucket", "piece").parquet(f"{self.path}/chunks")
         fs, make = self._fs()
         found = fs.globStatus(make(f"{self.path}/chunks/bucket=*/piece={piece}")) or []
         out = {s.getPath().getParent().getName().removeprefix("bucket="): {piece: [0, 0]} for s in found}
         if not out:
             return out
-        written = self._pieces("chunks", {"buckets": out}).select("*")
+        written = self._pieces("chunks", {"buckets": out, "gone": {}})
         terms = search.postings(written, keep=(*search.SLIM, "bucket")).withColumn("piece", F.lit(piece))
         terms.repartition(parts, "bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket", "piece").parquet(f"{self.path}/postings")
         for r in written.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(search.n_tokens(F.col("text"))).alias("tokens")).collect():  # a row for each bucket
             out[str(r.bucket)][piece] = [r.n, r.tokens or 0]
         return out
 
+    def _bury(self, pairs: DataFrame, manifest: dict, seq: int) -> int:
+        """Note in the manifest that the chunks of (path, branch) pairs, or of paths on all branches, do not count any more; how many chunks these are."""
+        names, buckets = self._located(pairs, manifest)
+        rows = self._pieces("chunks", manifest, buckets)
+        if rows is None:
+            return 0
+        rows = (rows if names is None else rows.where(F.col("path").isin(names))).select("path", "branch", "bucket", search.n_tokens(F.col("text")).alias("tokens"))
+        same = F.col("r.path") == F.col("g.path")
+        if "branch" in pairs.columns:
+            same &= F.col("r.branch").eqNullSafe(F.col("g.branch"))
+        hit = rows.alias("r").join(pairs.alias("g"), same, "left_semi")
+        name = f"{seq:08d}{uuid.uuid4().hex[:16]}"
+        found = hit.groupBy("path", "branch", "bucket").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+        found.select("path", "branch", F.lit(seq).alias("seq"), "bucket", "chunks", "tokens").write.parquet(f"{self.path}/gone/{name}")
+        return self._listed([name], manifest)
+
+    def _listed(self, names: list[str], manifest: dict) -> int:
+        """Enter a list of pairs, of those buckets that the manifest has, with their sums; how many chunks it has."""
+        pairs = self.spark.read.schema(PAIRS).parquet(*(f"{self.path}/gone/{n}" for n in names))
+        sums = {str(r.bucket): [r.n, r.chunks, r.tokens] for r in pairs.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("chunks").alias("chunks"), F.sum("tokens").alias("tokens")).collect()}  # a row for each bucket
+        if sums:
+            manifest["gone"][names[0]] = {"branch": None, "seq": 0, "buckets": sums}
+        return sum(s[1] for s in sums.values())
+
     def _publish(self, manifest: dict, before: str | None) -> str:
         """Make a manifest the current version."""
         fs, make = self._fs()
-        version = f"v{int(before[1:]) + 1 if before else 1:08d}"
+        version = f"v{self._next(before):08d}"
         temp, target = make(f"{self.path}/manifests/.{uuid.uuid4().hex}"), make(f"{self.path}/manifests/{version}.json")
         out = fs.create(temp, True)
         out.write(bytearray(json.dumps(manifest).encode()))
@@ -138,36 +239,79 @@ class ChunkStore:
         self.clear_cache()
         return version
 
-    def _change(self, new: DataFrame | None = None, keep=None, touched: Iterable[int] = ()) -> str:
-        """One version with the rows of new besides what keep leaves of the touched buckets."""
+    def _change(self, new: DataFrame | None = None, pairs: DataFrame | None = None, branch: str | None = None) -> int:
+        """One version in which pairs, or a branch, are gone and new is added; how many chunks went."""
         before = self.version()
-        manifest = self.manifest(before)
-        number = manifest["number"]
-        buckets = {b: dict(p) for b, p in manifest["buckets"].items()}
-        added = self._write(with_ids(new), number) if new is not None else {}
-        rewritten = {str(b) for b in touched} & set(buckets)
-        long = {b for b in added if len(buckets.get(b, {})) >= PIECES} - rewritten
-        if rewritten | long:
-            old = self.wide(before, map(int, rewritten | long))
-            fresh = self._write((keep(old) if keep else old).select(*CHUNK.names), number)
-            for b in rewritten | long:
-                buckets[b] = fresh.get(b, {})
+        manifest = copy.deepcopy(self.manifest(before))
+        seq = self._next(before)
+        n = 0
+        if pairs is not None:
+            n = self._bury(pairs, manifest, seq)
+        if branch is not None and (rows := self._pieces("chunks", manifest)) is not None:
+            sums = rows.where(F.col("branch") == branch).groupBy("bucket").agg(F.count("*").alias("chunks"), F.sum(search.n_tokens(F.col("text"))).alias("tokens")).collect()  # a row for each bucket
+            n = sum(r.chunks for r in sums)
+            if n:
+                manifest["gone"][f"{seq:08d}-branch"] = {"branch": branch, "seq": seq, "buckets": {str(r.bucket): [0, r.chunks, r.tokens or 0] for r in sums}}
+        added = self._write(with_ids(new), manifest, seq) if new is not None else {}
         for b, pieces in added.items():
-            buckets.setdefault(b, {}).update(pieces)
-        return self._publish({"number": number, "buckets": {b: p for b, p in buckets.items() if p}}, before)
+            manifest["buckets"].setdefault(b, {}).update(pieces)
+        if n or added:
+            self._tidy(manifest, seq)
+            self._publish(manifest, before)
+        return n
+
+    def _tidy(self, manifest: dict, seq: int) -> None:
+        """Write anew what has too many pieces, too many chunks or too much that is gone."""
+        lists = [name for name, g in manifest["gone"].items() if g["branch"] is None]
+        if len(lists) > LISTS:
+            name = f"{seq:08d}{uuid.uuid4().hex[:16]}"
+            whole = self.spark.read.schema(PAIRS).parquet(*(f"{self.path}/gone/{x}" for x in lists))
+            whole.where(F.col("bucket").isin([int(b) for b in manifest["buckets"]])).coalesce(1 + len(lists) // 64).write.parquet(f"{self.path}/gone/{name}")
+            sums: dict[str, list[int]] = {}
+            for x in lists:
+                for b, s in manifest["gone"].pop(x)["buckets"].items():
+                    sums[b] = [u + v for u, v in zip(sums.get(b, [0, 0, 0]), s, strict=True)]
+            if sums:
+                manifest["gone"][name] = {"branch": None, "seq": 0, "buckets": sums}
+        anew = []
+        for b, pieces in manifest["buckets"].items():
+            chunks, _, gone, pairs = self._held(manifest, b)
+            large = chunks - gone > self._split and int(b).bit_length() <= DEPTH
+            if large:
+                self._divided(manifest, int(b), chunks - gone)
+            if large or len(pieces) > PIECES or pairs > GONE or 2 * gone > chunks:
+                anew.append(b)
+        if anew:
+            fresh = self._write(self._pieces("chunks", manifest, map(int, anew)), manifest, seq)
+            for b in anew:
+                del manifest["buckets"][b]
+                for g in manifest["gone"].values():
+                    g["buckets"].pop(b, None)
+            manifest["buckets"] |= fresh
+            manifest["gone"] = {name: g for name, g in manifest["gone"].items() if g["buckets"]}
+
+    @staticmethod
+    def _next(version: str | None) -> int:
+        return int(version[1:]) + 1 if version else 1
 
     def commit(self, chunks: DataFrame) -> str:
         """Make chunks the whole content of the next version."""
         before = self.version()
-        number = self.manifest(before)["number"]
-        return self._publish({"number": number, "buckets": self._write(chunks.select(*CHUNK.names), number)}, before)
+        old = self.manifest(before)
+        manifest = {"depth": old["depth"], "split": list(old["split"]), "buckets": {}, "gone": {}}
+        manifest["buckets"] = self._write(chunks.select(*CHUNK.names), manifest, self._next(before))
+        self._tidy(manifest, self._next(before))
+        return self._publish(manifest, before)
 
     def vacuum(self, keep: int = 2) -> None:
         """Delete all but the newest versions, and the pieces that none of these names."""
         fs, make = self._fs()
         names = [n for n in self._names("manifests") if n.startswith("v")]
         stay = names[-keep:] if keep else []
-        used = {(b, p) for n in stay for b, pieces in self.manifest(n.removesuffix(".json"))["buckets"].items() for p in pieces}
+        kept = [self.manifest(n.removesuffix(".json")) for n in stay]
+        used = {(b, p) for m in kept for b, pieces in m["buckets"].items() for p in pieces}
+        for name in set(self._names("gone")) - {x for m in kept for x in m["gone"]}:
+            fs.delete(make(f"{self.path}/gone/{name}"), True)
         for name in set(names) - set(stay):
             fs.delete(make(f"{self.path}/manifests/{name}"), False)
         for kind in ("chunks", "postings"):
@@ -195,28 +339,15 @@ class ChunkStore:
 
     def upsert(self, new: DataFrame | None, gone: DataFrame) -> None:
         """Replace the (path, branch) pairs in gone by the new chunks, in one version; new is computed once."""
-        pairs = gone.select("path", "branch").distinct()
-        held = self.wide().select("path", "branch", "bucket").distinct()
-        same = F.col("h.path").eqNullSafe(F.col("g.path")) & F.col("h.branch").eqNullSafe(F.col("g.branch"))
-        touched = [r.bucket for r in held.alias("h").join(pairs.alias("g"), same, "left_semi").select("bucket").distinct().collect()]  # at most the number of buckets
-        self._change(new, lambda old: incremental.upsert(old, old.limit(0), pairs), touched)
-
-    def _delete(self, kept, some: Iterable[int] | None = None) -> int:
-        """Rewrite the buckets from which kept leaves rows out; the number of these rows."""
-        rows = self.wide(buckets=some).select("path", "branch", "bucket")
-        n = {r.bucket: r["count"] for r in rows.groupBy("bucket").count().collect()}  # a row for each bucket
-        left = {r.bucket: r["count"] for r in kept(rows).groupBy("bucket").count().collect()}
-        touched = [b for b in n if left.get(b, 0) < n[b]]
-        if touched:
-            self._change(None, kept, touched)
-        return sum(n.values()) - sum(left.values())
+        self._change(new, gone.select("path", "branch"))
 
     def delete_by_path(self, path: str) -> int:
-        """Delete a path on all branches; the number of chunks that went."""
-        return self._delete(lambda rows: incremental.delete_by_path(rows, path), [self.bucket(path)])
+        """Delete a path on all branches; the number of chunks that went.  What is written follows the path, not its bucket."""
+        return self._change(pairs=self.spark.createDataFrame([(path,)], "path string"))
 
     def delete_by_branch(self, branch: str) -> int:
-        return self._delete(lambda rows: incremental.delete_by_branch(rows, branch))
+        """Delete what a branch has; the number of chunks that went.  Nothing but the manifest is written."""
+        return self._change(branch=branch)
 
     def clear_all(self) -> None:
         fs, make = self._fs()

@@ -71,7 +71,7 @@ class Watcher:
         try:
             if last.head(1):
                 files = self.indexer.files_at(last.where("event_type <> 'deleted'"))  # these alone are read
-                self.indexer.apply(files, self.branch, cleanup=False, deleted=last.where("event_type = 'deleted'"))
+                self.indexer.apply(files, self.branch, cleanup=False, deleted=last.where("event_type = 'deleted'"), paths=last)
                 if self.on_change:
                     for r in last.toLocalIterator():
                         self.on_change(r.path, r.event_type)

@@ -5,6 +5,7 @@ import random
 import re
 import threading
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -171,8 +172,21 @@ def rows_of(store, version=None):
     return sorted((r.path, r.branch or "", r.chunk_seq, r.text) for r in store.chunks(version).collect())
 
 
-def test_changes_rewrite_only_their_buckets(chunks, spark, tmp_path):
-    store = ChunkStore(spark, str(tmp_path / "s"), buckets=16)
+def written(store, kind=""):
+    """Bytes of the files below a folder of the store."""
+    return sum(p.stat().st_size for p in (Path(store.path) / kind).rglob("*") if p.is_file())
+
+
+def checked(store):
+    """The manifest's sums and the postings are those of the chunks."""
+    n, tokens = store.index()[1].first()
+    want = search.corpus_stats(store.chunks()).first()
+    assert n == want.n == store.count() and abs(tokens - want.avgdl) < 1e-9
+    assert store.index()[0].select("chunk_id").distinct().count() == store.chunks().where(search.n_tokens(F.col("text")) > 0).select("chunk_id").distinct().count()
+
+
+def test_changes_write_what_changes(chunks, spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), buckets=4)
     many = chunks.withColumn("path", F.concat("path", F.lit("/"), "chunk_seq")).cache()
     assert store.version() is None and store.count() == 0 and store.index() == (None, None)
     store.add(many)
@@ -180,30 +194,97 @@ def test_changes_rewrite_only_their_buckets(chunks, spark, tmp_path):
     all_rows, before = rows_of(store), pieces()
     path = all_rows[0][0]
     assert store.delete_by_path("nowhere") == 0 and store.version() == first
-    assert store.delete_by_path(path) == 1
-    after = pieces()
-    assert [b for b in before if before[b] != after.get(b)] == [str(store.bucket(path))]
+    assert store.delete_by_path(path) == 1 and pieces() == before
     assert rows_of(store) == all_rows[1:] and rows_of(store, first) == all_rows and store.file_hash(path) is None and store.file_hash(all_rows[1][0])
+    checked(store)
     store.add(many.where(F.col("path") == path))  # back again: a piece more, nothing rewritten
     added = pieces()
-    assert rows_of(store) == all_rows and all(after.get(b, set()) <= added[b] for b in added) and sum(added[b] != after.get(b) for b in added) == 1
+    assert rows_of(store) == all_rows and all(before.get(b, set()) <= added[b] for b in added) and sum(added[b] != before.get(b) for b in added) == 1
     changed = many.where(F.col("path") == path).withColumn("text", F.lit("wholly new words"))
     store.upsert(changed, changed.select("path", "branch"))
-    assert sum(pieces()[b] != added[b] for b in added) == 1
+    assert all(added[b] <= pieces()[b] for b in added) and sum(pieces()[b] != added[b] for b in added) == 1
     assert [r.path for r in store.search("wholly", mode="fts").collect()] == [path]
-    n, tokens = store.index()[1].first()
-    want = search.corpus_stats(store.chunks()).first()
-    assert n == want.n == 80 and abs(tokens - want.avgdl) < 1e-9
+    checked(store)
+    assert store.count() == 80
     for _ in range(10):
         store.add(changed.withColumn("chunk_seq", F.lit(99)))
     assert max(map(len, pieces().values())) <= 9
     n_main = store.chunks().where("branch = 'main'").count()
-    assert store.delete_by_branch("main") == n_main and store.chunks().where("branch = 'main'").count() == 0
+    held = pieces()
+    assert store.delete_by_branch("main") == n_main > 0 and store.chunks().where("branch = 'main'").count() == 0 and store.delete_by_branch("main") == 0
+    assert sum(pieces().get(b) != held[b] for b in held) < len(held)
+    store.add(many.where("branch = 'main'"))  # the branch again, with what it had
+    assert store.chunks().where("branch = 'main'").count() == many.where("branch = 'main'").count()
+    checked(store)
     now = rows_of(store)
     store.vacuum(1)
     assert rows_of(store) == now and len(store._names("manifests")) == 1 and store.search("user", mode="fts").count() > 0
 
 
+def test_deletions_write_kilobytes_whatever_the_bucket(chunks, spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), buckets=1)
+    text = F.concat_ws(" ", *(F.sha2(F.concat("path", F.lit(str(k))), 256) for k in range(40)))  # 2.6 KB that do not compress
+    store.add(chunks.crossJoin(spark.range(50)).withColumn("path", F.concat("path", F.lit("/"), "chunk_seq", F.lit("/"), "id")).drop("id").withColumn("text", text))
+    whole = written(store)
+    assert whole > 4_000_000
+    paths = sorted(r.path for r in store.indexed_files().limit(6).collect())
+    assert store.delete_by_path(paths[0]) == 1
+    assert written(store) - whole < 20_000 and written(store, "chunks") + written(store, "postings") > 0.99 * whole
+    store.upsert(None, spark.createDataFrame([(p, b) for p in paths[1:] for b in ("main", "dev", None)], "path string, branch string"))
+    assert store.chunks().where(F.col("path").isin(paths)).count() == 0 and written(store) - whole < 40_000
+    checked(store)
+    before = written(store)
+    store.delete_by_branch("main")
+    assert written(store, "gone") < 40_000 or written(store) < before  # nothing but the manifest, or what is left of buckets that are half gone
+    checked(store)
+
+
+def test_many_deletions_are_put_together(chunks, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quarry.store.LISTS", 3)
+    monkeypatch.setattr("quarry.store.GONE", 6)
+    monkeypatch.setattr("quarry.store.FEW", 1)
+    store = ChunkStore(spark, str(tmp_path / "s"), buckets=1)
+    many = chunks.withColumn("path", F.concat("path", F.lit("/"), "chunk_seq")).cache()
+    store.add(many)
+    left = rows_of(store)
+    for k in range(3):
+        drop = {left[0][0], left[1][0]} if k % 2 else {left[0][0]}
+        store.upsert(None, many.where(F.col("path").isin(list(drop))).select("path", "branch"))
+        left = [r for r in left if r[0] not in drop]
+        assert rows_of(store) == left and sum(g["branch"] is None for g in store.manifest()["gone"].values()) <= 3
+    monkeypatch.setattr("quarry.store.LISTS", 1)
+    for _ in range(3):
+        assert store.delete_by_path(left[0][0]) == 1
+        left = left[1:]
+        assert rows_of(store) == left and len(store.manifest()["gone"]) <= 1
+    checked(store)
+
+
+def test_buckets_split_as_the_store_grows(chunks, spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), buckets=2, split=30)
+    versions, n = {}, 0
+    for k, times in enumerate((1, 3, 12)):
+        new = chunks.crossJoin(spark.range(times)).withColumn("path", F.concat(F.lit(f"r{k}/"), "path", F.lit("/"), "chunk_seq", F.lit("/"), "id")).drop("id")
+        store.add(new)
+        n += 80 * times
+        versions[store.version()] = rows_of(store)
+        assert store.count() == n == len(versions[store.version()])
+        held = [sum(c[0] for c in p.values()) for p in store.manifest()["buckets"].values()]
+        assert max(held) <= 45 and len(held) > n / 45
+    assert all(rows_of(store, v) == rows for v, rows in versions.items())  # readers of older versions, with fewer buckets
+    where = {r.path: r.bucket for r in store.wide().select("path", "bucket").collect()}
+    assert all(store.bucket(p) == b for p, b in where.items())
+    one = sorted(where)[5]
+    assert store.file_hash(one) and store.delete_by_path(one) == 1 and store.count() == n - 1 and store.file_hash(one) is None
+    store.upsert(chunks.limit(1).withColumn("path", F.lit(one)), spark.createDataFrame([(one, None)], "path string, branch string"))
+    assert store.count() == n
+    assert {r.path for r in store.chunks_at(spark.createDataFrame([(one,)], "path string")).collect()} == {one}
+    checked(store)
+    alone = ChunkStore(spark, str(tmp_path / "one"), buckets=2, split=10)
+    alone.add(chunks.withColumn("path", F.lit("one/path")))  # cannot be split
+    assert alone.count() == 80 and len(alone.manifest()["buckets"]) == 1
+
+
 def test_readers_never_see_a_half_made_version(chunks, spark, tmp_path):
     store, reader = (ChunkStore(spark, str(tmp_path / "s"), buckets=4) for _ in range(2))
     store.add(chunks)
