@@ -58,7 +58,7 @@ class Indexer:
     def files(self, path: str | Path, report: bool = False) -> DataFrame:
         """The files to index below path, with paths relative to the project; with report also those that cannot be."""
         c = self.config.indexer
-        found = filetree.scan(self.spark, path, c["exclude"], c["max_file_size"], report=report)
+        found = filetree.scan(self.spark, path, c["exclude"], c["max_file_size"], report=report, keep=self.store.stage)
         base = Path(path).resolve()
         base = base.parent if base.is_file() else base
         root = self.config.project_root

@@ -100,9 +100,11 @@ class IgnoreSpec:
         return False
 
 
-def _placed_lines(path: Path, where: str) -> list[str]:
+def placed_lines(path: Path, where: str) -> list[str]:
     """The lines of an ignore file in a directory, written from the root."""
     out = []
+    if not path.is_file():
+        return out
     try:
         lines = path.read_text(encoding="utf-8").splitlines()
     except (OSError, UnicodeError) as e:
@@ -124,14 +126,14 @@ def nested_ignore_lines(root: str | Path) -> list[str]:
     does not reach into deeper directories unless it says so.
     """
     root = Path(root)
-    return [x for path in sorted(root.rglob(".gitignore")) for x in _placed_lines(path, path.parent.relative_to(root).as_posix())]
+    return [x for path in sorted(root.rglob(".gitignore")) for x in placed_lines(path, path.parent.relative_to(root).as_posix())]
 
 
 def ancestor_ignore_lines(root: str | Path, folder: str) -> list[str]:
     """Those of the nested lines that can hold for files in a folder (relative to root): of the folder and the ones above it."""
     root, where = Path(root), Path(folder or ".")
     folders = [where, *where.parents] if folder else [where]
-    return [x for f in reversed(folders) if (path := root / f / ".gitignore").is_file() for x in _placed_lines(path, f.as_posix())]
+    return [x for f in reversed(folders) if (path := root / f / ".gitignore").is_file() for x in placed_lines(path, f.as_posix())]
 
 
 def load_nested_ignore(root: str | Path) -> IgnoreSpec | None:

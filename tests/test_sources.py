@@ -77,6 +77,41 @@ def test_scan(spark, tmp_path):
         filetree.scan(spark, tmp_path / "nothing")
 
 
+def test_executors_list_what_a_walk_lists(spark, tmp_path, monkeypatch):
+    """Few directories to a round, rules of all depths, links, names of every kind: the rows are those of a plain walk."""
+    rng = random.Random(4)
+    names = ["a", "b.py", "_c", ".d", "e f", "é", "node_modules", "x.log", "keep.log", "y.tmp"]
+    files = {"/".join(rng.choice(names) + str(rng.randrange(3)) for _ in range(rng.randrange(1, 6))) + "/" + rng.choice(names): str(k) for k in range(150)}
+    files |= {".gitignore": "*.tmp\n/a0/\n!keep.log\n", "a1/.gitignore": "x.log\n", "b.py1/.gitignore": "# no\n!y.tmp\n*.py\n", "node_modules/q/.gitignore": "!*", "node_modules/q/z.js": "z", "node_modules/keep.log": "k"}
+    put(tmp_path, files)
+    (tmp_path / "link").symlink_to(tmp_path / "a1")
+    (tmp_path / "to_file").symlink_to(tmp_path / ".gitignore")
+    (tmp_path / "broken").symlink_to(tmp_path / "nothing")
+    for exclude in (["node_modules", "*.log"], ["node_modules", "!keep.log"]):
+        want = sorted(filetree.walk(str(tmp_path), exclude))
+        for folders in (1, 512):
+            monkeypatch.setattr(filetree, "FOLDERS", folders)
+            kept = []
+
+            def keep(rows, kept=kept, n=folders):
+                path = str(tmp_path.parent / f"{tmp_path.name}-{n}-{len(exclude[1])}-{len(kept)}")
+                rows.write.parquet(path)
+                kept.append(path)
+                return spark.read.parquet(path)
+
+            got = filetree.listed(spark, tmp_path, exclude, keep=keep)
+            assert sorted(map(tuple, got.collect())) == want and len(want) > 50
+    assert filetree.scan(spark, tmp_path, ["node_modules"]).count() == len(list(filetree.walk(str(tmp_path), ["node_modules"])))
+
+
+def test_contents_come_in_bounded_batches(tmp_path, monkeypatch):
+    put(tmp_path, {f"f{k}": "x" * 1000 for k in range(20)})
+    monkeypatch.setattr(filetree, "BYTES_PER_PARTITION", 5000)
+    monkeypatch.setattr(filetree, "OPEN_COST", 100)
+    sizes = [len(b) for b in filetree._contents(((f"f{k}", str(tmp_path / f"f{k}")) for k in range(20)), 10**6, True)]
+    assert sum(sizes) == 20 and max(sizes) <= 5
+
+
 def test_single_paths(spark, tmp_path):
     put(tmp_path, {"a.py": "x", "d/.gitignore": "*.log\n", "d/b.log": "no", "d/c.txt": "yes", "e/f.txt": "other", "big.txt": "b" * 100, "node_modules/q.js": "n"})
     (tmp_path / "out.txt").symlink_to("/etc/hostname")
