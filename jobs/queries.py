@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import search
+from quarry.places import new_folder
 
 from . import document_feed, keyword_index
 
 Query = Callable[[SparkSession, str], DataFrame]
-CHECKPOINT = "spark.checkpoint.dir"
-
-
-def _folder(spark: SparkSession, job: str) -> str:
-    """A new folder below the shared one, which the session must name."""
-    shared = spark.conf.get(CHECKPOINT, "") or spark.sparkContext.getConf().get(CHECKPOINT, "")
-    if not shared:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError(f"{CHECKPOINT} must name a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="quarry-jobs-")
-    return f"{shared.rstrip('/')}/{job}-{uuid.uuid4().hex}"
 
 
 def job1_document_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of all documents after two runs with one checkpoint, of which the second finds nothing new."""
-    place = _folder(spark, "job1")
+    place = new_folder(spark, "job1")
     for _ in range(2):
         document_feed.run(spark, f"{sf_dir}/documents.parquet", f"{place}/out", f"{place}/checkpoint")
     return document_feed.chunks(spark, f"{place}/out").selectExpr("doc_id", "lang", "source", "file_hash", "chunk_seq", "text", "start_line", "end_line", "chunk_type", "n_tokens", "shelf")
@@ -37,7 +24,7 @@ def job1_document_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job2_keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every posting of the index of all documents after two runs into one folder."""
-    place = _folder(spark, "job2")
+    place = new_folder(spark, "job2")
     for _ in range(2):
         keyword_index.run(spark, f"{sf_dir}/documents.parquet", f"{place}/out")
     return keyword_index.postings(spark, f"{place}/out").selectExpr("term", "doc_id", "tf", "dl", "df", "round(weight, 6) weight", "bucket")

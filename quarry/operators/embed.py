@@ -126,7 +126,7 @@ def embed(text: Column, embedder: Embedder | None = None, batch_size: int = 32,
             else:
                 yield pa.array([v for i in range(0, len(held), batch_size) for v in vectors(held[i : i + batch_size])], pa.list_(pa.float32()))
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else a filter on the vectors has them made twice
 
 
 def with_vectors(chunks: DataFrame, embedder: Embedder | None = None, batch_size: int = 32, lenient: bool = False) -> DataFrame:

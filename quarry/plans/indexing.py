@@ -14,17 +14,23 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.columns import decode_text, detect_language, file_hash, has_content
 from ..operators import chunk, embed, incremental
+from ..operators.known import KnownVectors
 from ..progress import ProgressEvent, reported
 from ..sources import filetree, repository
 from ..store import ChunkStore
 
 
-def chunk_rows(files: DataFrame, branch: str | None, embedder: embed.Embedder | None = None, max_words: int = 500, overlap_words: int = 50, batch_size: int = 32, indexed_at: float | None = None, chunkers: Sequence[chunk.Chunker] = (), lenient: bool = False) -> DataFrame:
-    """Chunk-table rows (without ids) of files with path, content or text, and file_hash; lenient gives null vectors where the embedder fails."""
+def chunk_rows(files: DataFrame, branch: str | None, embedder: embed.Embedder | None = None, max_words: int = 500, overlap_words: int = 50, batch_size: int = 32, indexed_at: float | None = None, chunkers: Sequence[chunk.Chunker] = (), lenient: bool = False, known: KnownVectors | None = None) -> DataFrame:
+    """Chunk-table rows (without ids) of files with path, content or text, and file_hash; lenient gives null vectors where the embedder fails.
+
+    With known vectors only texts that have none yet are embedded.
+    """
     text = F.col("text") if "text" in files.columns else decode_text(F.col("content"))
     slim = files.select("path", "file_hash", text.alias("text"), detect_language(F.col("path")).alias("language")).where(has_content(F.col("text")))
     rows = chunk.chunk_files(slim, max_words, overlap_words, chunkers=chunkers)
     rows = rows.withColumns({"branch": F.lit(branch).cast("string"), "indexed_at": F.lit(time.time() if indexed_at is None else indexed_at)})
+    if known is not None:
+        return known.attach(rows)
     # Models cost far more than chunking: chunks are dealt out evenly, whatever files they come from.
     spark = files.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -53,7 +59,10 @@ PROBLEMS = 100  # in a report
 
 class Indexer:
     def __init__(self, spark: SparkSession, store: ChunkStore, config: Config | None = None, embedder: embed.Embedder | None = None, chunkers: Sequence[chunk.Chunker] = ()):
+        """An embedder with a name (model_id) embeds each text once for all paths and branches; its vectors are kept beside the store."""
         self.spark, self.store, self.config, self.embedder, self.chunkers = spark, store, config or Config(), embedder, tuple(chunkers)
+        name = getattr(embedder, "model_id", None)
+        self.known = KnownVectors(spark, f"{store.path}/vectors", embedder, name, self.config.embeddings["batch_size"]) if name else None
 
     def files(self, path: str | Path, report: bool = False) -> DataFrame:
         """The files to index below path, with paths relative to the project; with report also those that cannot be."""
@@ -113,7 +122,7 @@ class Indexer:
             if n_new:
                 content = filetree.read_paths(changed, self.config.project_root, max_file_size=c["max_file_size"], report=True)
                 content = content.where("error IS NULL").withColumn("file_hash", file_hash(F.col("content")))
-                rows = chunk_rows(content, branch, self.embedder, c["max_chunk_size"], c["chunk_overlap"], self.config.embeddings["batch_size"], chunkers=self.chunkers, lenient=True)
+                rows = chunk_rows(content, branch, self.embedder, c["max_chunk_size"], c["chunk_overlap"], self.config.embeddings["batch_size"], chunkers=self.chunkers, lenient=True, known=self.known)
                 with reported(self.spark, n_new, progress):
                     staged = self.store.stage(rows)
                 bad = staged.where("vector IS NULL").select("path").distinct()

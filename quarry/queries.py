@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns
-from .operators import chunk, embed, enhance, incremental, search, stats
+from .operators import balls, chunk, embed, enhance, incremental, search, stats
 from .operators.filters import Filters
+from .places import new_folder
 from .plans import retrieval
 from .streaming import feed
 
@@ -112,6 +113,15 @@ def _(spark, sf_dir):
     return _nearest(*_vectors(spark, sf_dir)).where(F.col("score") >= 0.45)
 
 
+@_add("vector_topk_balls", f"WITH {VECTORS.format(where='true')} SELECT vec_id, label, round(1 / (1 + d), 6) AS score, k AS rank FROM nearest WHERE k <= {LIMIT}")
+def _(spark, sf_dir):
+    e, q = _vectors(spark, sf_dir)
+    place = new_folder(spark, "balls")
+    balls.build(e, place)
+    found, _ = balls.search(spark, place, q, LIMIT, ["vec_id"])
+    return found.select("vec_id", "label", F.round(columns.similarity(F.col("distance")), 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 # Keywords and fusion -----------------------------------------------------------------------
 
 

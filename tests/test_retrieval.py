@@ -423,6 +423,44 @@ def test_own_chunkers(spark):
     assert got == {("a.rs", 0, "line", "x"), ("a.rs", 1, "line", "y"), ("b.md", 0, "section", "h"), ("c", 0, "paragraph", None)}
 
 
+def test_texts_are_embedded_once_for_all_branches(spark, tmp_path):
+    """A model with a name: a second branch, a copied file and a repeated run embed only what differs."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    class Model:
+        dimension, model_id = 4, "test-1"
+
+        def embed_batch(self, texts):
+            (seen / f"{time.time_ns()}-{threading.get_ident()}").write_text("\n".join(json.dumps(t) for t in texts))
+            if any("cannot" in t for t in texts):
+                raise RuntimeError("no")
+            return [[float(len(t)), 1.0, 0.0, 0.0] for t in texts]
+
+    def embedded():
+        texts = [json.loads(x) for p in sorted(seen.iterdir()) for x in p.read_text().split("\n") if x]
+        for p in list(seen.iterdir()):
+            p.unlink()
+        return texts
+
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    for k in range(5):
+        (tree / f"f{k}.txt").write_text(f"text number {k}\n\nthe same paragraph\n")
+    s = Service(spark, tree, embedder=Model())
+    assert s.ctx_index(".", branch="main")["indexed"] == 5 and sorted(embedded()) == ["text number 0", "text number 1", "text number 2", "text number 3", "text number 4", "the same paragraph"]
+    (tree / "f4.txt").write_text("another text\n\nthe same paragraph\n")
+    assert s.ctx_index(".", branch="dev")["indexed"] == 5 and embedded() == ["another text"]
+    assert s.ctx_index(".", force=True, branch="dev")["indexed"] == 5 and embedded() == []
+    assert s.store.count() == 20 and s.store.chunks().where("vector[0] <> length(text)").count() == 0
+    (tree / "bad.txt").write_text("this cannot be embedded")
+    got = s.ctx_index(".", branch="dev")
+    assert (got["errors"], got["indexed"]) == (1, 0) and set(embedded()) == {"this cannot be embedded"}
+    other = Model()
+    other.model_id = "test-2"
+    assert Service(spark, tree, embedder=other).ctx_index(".", force=True, branch="dev")["indexed"] == 5 and len(set(embedded())) == 7
+
+
 def test_quiet_period(spark, project, tmp_path_factory):
     root, put = project
     s = Service(spark, root)
