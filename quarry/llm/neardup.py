@@ -26,7 +26,7 @@ from . import minhash, scratch, text
 from .components import components, least
 
 BLOCK = 60_000  # shingles in a block, about
-SETS = 1000  # sets in a block, about: the sizes of intersections of two blocks are 32 MB
+SETS = 500  # sets in a block, about: the sizes of intersections of two blocks are 8 MB
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:

@@ -101,7 +101,8 @@ def unused(df: DataFrame, prefix: str) -> str:
 
 
 def cut(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most so many rows, so that what is made of long texts fits a worker's memory."""
+    """The batches in slices of at most so many rows, so that what is made of long texts fits a worker's memory; at their end the worker gives back what it holds."""
     for batch in batches:
         for lo in range(0, len(batch), rows):
             yield batch.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
