@@ -4,10 +4,12 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from jobs import config, document_feed, keyword_index
+from jobs import queries as registered
 from quarry.operators import search
 
 SF = "/root/testdata/sf0.001"
@@ -141,3 +143,14 @@ def test_command_lines(spark, tmp_path, job, extra):
     assert "written to" in done.stderr or "chunks taken" in done.stderr
     read = document_feed.chunks if job == "document_feed" else keyword_index.postings
     assert read(spark, str(tmp_path / "out")).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(registered.queries()))
+def test_registered_jobs_match_sql(spark, name):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    df = registered.queries()[name](spark, SF)
+    names = sorted(df.columns)
+    want = db.execute(f"SELECT {', '.join(names)} FROM ({registered.oracle_sql()[name]})").fetchall()
+    assert rows(df, *names) == sorted(map(str, want)) and len(want) > 100
+    assert not spark.streams.active
