@@ -5,6 +5,10 @@ Inputs are results of a search: at most a few thousand rows with score and rank.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +20,63 @@ def ranked(results: DataFrame, *order: Column) -> DataFrame:
     return results.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+class _Kept:
+    """Ranges of lines that stay, in the order of their starts.
+
+    Of two that stay none lies within the other (that is all of the shorter
+    one), so their ends have the same order; and where the threshold is below
+    1, only some 1 / (1 - threshold) of them can lie over one line.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold, self.starts, self.ends = threshold, [], []
+
+    def add(self, start: int, end: int) -> bool:
+        """Keep the range, unless it shares too much with one that is kept."""
+        k = bisect.bisect_left(self.starts, start)
+        clash = lambda i: (min(end, self.ends[i]) - max(start, self.starts[i]) + 1) / min(end - start + 1, self.ends[i] - self.starts[i] + 1) >= self.threshold
+        if self.threshold <= 0:
+            free = not self.starts
+        elif self.threshold > 1:
+            free = True
+        else:
+            few = self.threshold == 1  # then only the neighbours can hold it, or lie in it
+            left = itertools.takewhile(lambda i: self.ends[i] >= start, range(k - 1, -1, -1))
+            right = itertools.takewhile(lambda i: self.starts[i] <= end, range(k, len(self.starts)))
+            free = not any(map(clash, itertools.islice(left, 1 if few else None))) and not any(map(clash, itertools.islice(right, 1 if few else None)))
+        if free:
+            self.starts.insert(k, start), self.ends.insert(k, end)
+        return free
+
+
 def without_overlap(results: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Within a path, the best first: a chunk goes if it shares so much of its lines with a chunk that stays.
 
-    The greedy choice is a fold over each path's sorted chunks.  _first is the
-    best rank of the path.
+    Ranks are all different and ranges have a line at least.  The greedy choice
+    goes through each path's ranges, not its texts, in their order, and looks
+    at the few that can lie over the same lines.  _first is the best rank of
+    the path.
     """
+
+    def run(batches):
+        path, kept, begun = None, _Kept(threshold), False
+        for batch in batches:
+            out = []
+            for name, rank, start, end in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                if name != path or not begun:
+                    path, kept, begun = name, _Kept(threshold), True
+                if kept.add(start, end):
+                    out.append(rank)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["_rank"])
+
+    slim = results.select("path", "score", F.col("rank").cast("long").alias("rank"), "start_line", "end_line")
+    chosen = slim.repartition("path").sortWithinPartitions("path", F.desc("score"), "rank").mapInArrow(run, "_rank long")
+    best = results.groupBy("path").agg(F.min("rank").alias("_first"))
+    return results.join(chosen, F.col("rank") == F.col("_rank"), "left_semi").join(best, "path").select("_first", *results.columns)
+
+
+def _folded(results: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """without_overlap() of the few results of a search, as a fold over each path's rows."""
     columns = results.columns
     row = F.struct((-F.col("score")).alias("_s"), F.col("rank").alias("_r"), F.struct(*columns).alias("row"))
     by_path = results.groupBy("path").agg(F.sort_array(F.collect_list(row)).alias("c"), F.min("rank").alias("_first"))
@@ -31,8 +86,8 @@ def without_overlap(results: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def deduplicate(results: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The results without overlap, ranked anew."""
-    return ranked(without_overlap(results, threshold), F.desc("score"), F.col("_first"), F.col("rank")).drop("_first")
+    """The results of a search without overlap, ranked anew."""
+    return ranked(_folded(results, threshold), F.desc("score"), F.col("_first"), F.col("rank")).drop("_first")
 
 
 def ages(results: DataFrame) -> DataFrame:

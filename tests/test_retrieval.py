@@ -108,11 +108,32 @@ def test_overlap_removal_is_greedy(chunks):
     found = search.vector_search(chunks, q, 60)
     rows = [r.asDict() for r in found.collect()]
     for threshold in (0.1, 0.5, 1.0):
+        assert sorted(r.chunk_id for r in enhance.without_overlap(found, threshold).collect()) == sorted(greedy(rows, threshold))
         got = enhance.deduplicate(found, threshold).orderBy("rank").collect()
         assert sorted(r.chunk_id for r in got) == sorted(greedy(rows, threshold))
         assert [r.score for r in got] == sorted((r.score for r in got), reverse=True)
 
 
+@pytest.mark.parametrize("threshold", [0, 0.1, 0.5, 0.9, 1.0, 1.5])
+def test_kept_ranges_are_those_of_all_comparisons(threshold):
+    for seed in range(200):
+        rng = random.Random(seed)
+        spread, longest = rng.choice([(30, 10), (300, 40), (40, 200)])
+        ranges = [(a, a + rng.randrange(longest)) for a in (rng.randrange(spread) for _ in range(60))]
+        rows = [{"rank": k, "path": "p", "chunk_id": k, "start_line": a, "end_line": b} for k, (a, b) in enumerate(ranges)]
+        kept = enhance._Kept(threshold)
+        assert [k for k, r in enumerate(ranges) if kept.add(*r)] == greedy(rows, threshold)
+
+
+def test_overlap_of_one_path_with_100_000_chunks(spark):
+    """Ranges of one path, of which every third stays; whole rows are not folded."""
+    many = spark.range(100_000).selectExpr("'big.py' path", "1.0 - id / 1e6 score", "id rank", "CAST(id * 4 AS int) start_line", "CAST(id * 4 + 11 AS int) end_line", "repeat('x', 100) text")
+    began = time.time()
+    got = enhance.without_overlap(many, 0.5)
+    assert got.agg(F.count("*"), F.max("_first")).first() == (50_000, 0) and time.time() - began < 60
+    assert got.columns == ["_first", *many.columns]
+
+
 def test_recency(chunks, spark):
     found = search.vector_search(chunks, HashingEmbedder(16).embed_text("x1"), 10)
     rows = {r.chunk_id: r for r in found.collect()}
