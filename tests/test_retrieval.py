@@ -482,24 +482,50 @@ def test_texts_are_embedded_once_for_all_branches(spark, tmp_path):
     assert Service(spark, tree, embedder=other).ctx_index(".", force=True, branch="dev")["indexed"] == 5 and len(set(embedded())) == 7
 
 
+def until(holds, seconds=90):
+    end = time.time() + seconds
+    while not holds() and time.time() < end:
+        time.sleep(0.1)
+    assert holds()
+
+
 def test_quiet_period(spark, project, tmp_path_factory):
+    """Events of a path wait in the stream's state; a query that is killed inside the quiet time loses nothing."""
     root, put = project
     s = Service(spark, root)
     s.ctx_index(".")
     events, check = tmp_path_factory.mktemp("events"), tmp_path_factory.mktemp("check")
     seen = []
-    w = feed.Watcher(spark, s.indexer, str(events), str(check), on_change=lambda p, t: seen.append((p, t)), quiet=3.0)
+
+    def watcher(quiet):
+        return feed.Watcher(spark, s.indexer, str(events), str(check), on_change=lambda p, t: seen.append((p, t)), quiet=quiet)
+
+    def event(k, path, kind="modified"):
+        (events / f"{k}.json").write_text(json.dumps({"path": path, "event_type": kind, "event_time": f"2024-01-01T00:00:{k:02}Z", "seq": k}))
+
+    def waiting(w):
+        progress = w.query.lastProgress
+        return progress.stateOperators[0].numRowsTotal if progress and progress.stateOperators else 0
+
     version = s.store.version()
+    w = watcher(12.0)
     w.start("200 milliseconds")
     for k in range(3):
         put("new.py", f"def fresh{k}():\n    pass\n")
-        (events / f"{k}.json").write_text(json.dumps({"path": "new.py", "event_type": "modified", "event_time": f"2024-01-01T00:00:0{k}Z", "seq": k}))
-        time.sleep(1)
-        assert not seen or k == 2
-    w.query.processAllAvailable()
+        event(k, "new.py")
+    event(3, "notes.txt", "deleted")
+    until(lambda: waiting(w) == 2)
+    w.query.stop()  # inside the quiet time
+    assert not seen and s.store.version() == version
+    time.sleep(12)
+    w = watcher(12.0)
+    w.start("200 milliseconds")
+    until(lambda: len(seen) == 2)
+    until(lambda: waiting(w) == 0)
     w.stop()
-    assert seen == [("new.py", "modified")] and int(s.store.version()[1:]) == int(version[1:]) + 1
+    assert sorted(seen) == [("new.py", "modified"), ("notes.txt", "deleted")] and not w.is_running
     assert {r.name for r in s.store.chunks().where("path = 'new.py'").collect()} == {"fresh2"}
+    assert s.store.chunks().where("path = 'notes.txt'").count() == 0
 
 
 def test_subdirectory_keeps_the_rest(spark, project):
