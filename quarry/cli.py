@@ -28,6 +28,7 @@ def _parser() -> argparse.ArgumentParser:
     x.add_argument("--branch")
     x.add_argument("--expand", action="store_true")
     x.add_argument("--no-dedup", action="store_true")
+    x.add_argument("--brief", action="store_true", help="the beginning of each result only")
     x.add_argument("--json", action="store_true")
     x = commands.add_parser("status")
     x.add_argument("--json", action="store_true")
@@ -50,14 +51,15 @@ def main(argv: list[str] | None = None) -> int:
             return 1
         return 0
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from .api import Service
-    from .functions.columns import stats_text
+    from .functions.columns import result_line, stats_text
     from .progress import format_eta
 
     service = Service(SparkSession.builder.appName("quarry").getOrCreate(), a.project)
     if a.command == "index":
-        show = lambda e: print(f"{e.current}/{e.total} files, {format_eta(e.eta)} left", file=sys.stderr)
+        show = lambda e: print(f"{e.current}/{e.total} files, {format_eta(e.eta)} left  {e.filename}", file=sys.stderr)
         out = service.ctx_index(a.path, a.force, a.branch, show)
     elif a.command == "status":
         out = service.ctx_status()
@@ -74,6 +76,10 @@ def main(argv: list[str] | None = None) -> int:
     else:
         out = service.ctx_search(a.query, a.limit, a.file_filter, a.branch, a.extensions, a.directories, a.chunk_types, a.languages, a.mode, a.expand, False if a.no_dedup else None)
         if not a.json and "error" not in out:
+            if a.brief and out["results"]:
+                rows = service.spark.createDataFrame([(k, r["path"], r["start_line"], r["end_line"], r["score"], r["code"]) for k, r in enumerate(out["results"])], "k int, path string, s int, e int, score double, text string")
+                print(*(r.line for r in rows.orderBy("k").select(result_line(*map(F.col, ("path", "s", "e", "score", "text"))).alias("line")).collect()), sep="\n")
+                return 0
             for r in out["results"]:
                 print(f"{r['path']}:{r['start_line']}-{r['end_line']}  {r['score']:.3f}  {r['name'] or ''}\n{r['code']}\n")
             return 0

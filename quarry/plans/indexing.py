@@ -15,7 +15,7 @@ from ..config import Config
 from ..functions.columns import decode_text, detect_language, file_hash, has_content
 from ..operators import chunk, embed, incremental
 from ..operators.known import KnownVectors
-from ..progress import ProgressEvent, reported
+from ..progress import ProgressEvent, counted, reported
 from ..sources import filetree, repository
 from ..store import ChunkStore
 
@@ -120,14 +120,15 @@ class Indexer:
             nothing: list[tuple[str, str, str]] = []
             n_failed = n_empty = 0
             if n_new:
-                content = filetree.read_paths(changed, self.config.project_root, max_file_size=c["max_file_size"], report=True)
+                done = counted(self.spark)
+                content = filetree.read_paths(changed, self.config.project_root, max_file_size=c["max_file_size"], report=True, done=done)
                 content = content.where("error IS NULL").withColumn("file_hash", file_hash(F.col("content")))
                 rows = chunk_rows(content, branch, self.embedder, c["max_chunk_size"], c["chunk_overlap"], self.config.embeddings["batch_size"], chunkers=self.chunkers, lenient=True, known=self.known)
-                with reported(self.spark, n_new, progress):
+                with reported(done, n_new, progress):
                     staged = self.store.stage(rows)
                 bad = staged.where("vector IS NULL").select("path").distinct()
                 failed = [(r.path, "error", "embedding failed") for r in bad.orderBy("path").limit(PROBLEMS).collect()]
-                empty = content.select("path").join(staged.select("path"), "path", "left_anti")
+                empty = changed.select("path").join(staged.select("path"), "path", "left_anti")
                 n_empty = empty.count()
                 nothing = [(r.path, "skipped", "no_chunks") for r in empty.orderBy("path").limit(PROBLEMS).collect()] if n_empty else []
                 if failed:

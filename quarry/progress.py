@@ -1,14 +1,14 @@
-"""Progress of an index run: counts, rate, remaining time."""
+"""Progress of an index run: files read so far and the last one's name, rate, remaining time."""
 
 from __future__ import annotations
 
 import contextlib
 import threading
 import time
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from pyspark.accumulators import Accumulator, AccumulatorParam
 from pyspark.sql import SparkSession
 
 
@@ -52,43 +52,45 @@ class ProgressTracker:
         return f"{self.current}/{self.total} files in {format_duration(elapsed)}"
 
 
+class _Files(AccumulatorParam):
+    """How many files, and the last one's name."""
+
+    def zero(self, value: tuple[int, str]) -> tuple[int, str]:
+        return 0, ""
+
+    def addInPlace(self, a: tuple[int, str], b: tuple[int, str]) -> tuple[int, str]:  # noqa: N802
+        return a[0] + b[0], b[1] or a[1]
+
+
+def counted(spark: SparkSession) -> Accumulator:
+    """What tasks add (1, name) to for each file they have read; a task that is run again adds its files again."""
+    return spark.sparkContext.accumulator((0, ""), _Files())
+
+
 @contextlib.contextmanager
-def reported(spark: SparkSession, total: int, callback: Callable[[ProgressEvent], None] | None, filename: str = "", every: float = 0.5) -> Iterator[None]:
-    """Reports how far the jobs inside have come, as a share of so many files; the last report says that all are done.
+def reported(done: Accumulator, total: int, callback: Callable[[ProgressEvent], None] | None, every: float = 0.5) -> Iterator[None]:
+    """Reports the files that the tasks inside have read, of so many; the last report says that all are done.
 
-    The share is that of the finished tasks of the jobs known so far.
+    Counts come as tasks end, so many small tasks report often.
     """
     if callback is None:
         yield
         return
-    tracker, group, over = ProgressTracker(total, callback), f"progress-{uuid.uuid4().hex}", threading.Event()
-    context = spark.sparkContext
-
-    def share() -> float:
-        status, done, tasks = context.statusTracker(), 0, 0
-        for job in status.getJobIdsForGroup(group):
-            about = status.getJobInfo(job)
-            for stage in map(status.getStageInfo, about.stageIds if about else ()):
-                if stage:
-                    done, tasks = done + stage.numCompletedTasks, tasks + stage.numTasks
-        return done / tasks if tasks else 0.0
+    tracker, over = ProgressTracker(total, callback), threading.Event()
 
     def watch() -> None:
         while not over.wait(every):
-            now = int(share() * total)
+            now, name = done.value
             if tracker.current < now < total:
-                tracker.update(filename, now - tracker.current)
+                tracker.update(name, now - tracker.current)
 
-    before = context.getLocalProperty("spark.jobGroup.id")
-    context.setJobGroup(group, "quarry")
     thread = threading.Thread(target=watch, daemon=True)
     thread.start()
     try:
         yield
         over.set()
         thread.join()
-        tracker.update(filename, total - tracker.current)
+        tracker.update(done.value[1], total - tracker.current)
     finally:
         over.set()
         thread.join()
-        context.setLocalProperty("spark.jobGroup.id", before)

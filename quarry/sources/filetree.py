@@ -21,6 +21,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,11 +149,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
 
-def _contents(files: Iterable[tuple[str, str]], max_size: int, report: bool) -> Iterator[pa.RecordBatch]:
-    """The rows of (path, absolute path), in batches of bounded bytes."""
+def _contents(files: Iterable[tuple[str, str]], max_size: int, report: bool, done: Accumulator | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of (path, absolute path), in batches of bounded bytes; done counts them."""
     rows, size = [], 0
     for relative, where in files:
         row = _read(relative, where, max_size)
+        if done is not None:
+            done.add((1, relative))
         if row[-1] is None or report:
             rows.append(row)
             size += len(row[4] or b"") + OPEN_COST
@@ -200,12 +203,13 @@ class _Rules:
         return self.folders[folder].matches(relative) or self.exclude.matches(relative)
 
 
-def read_paths(paths: DataFrame, root: str | Path, exclude: Sequence[str] = (), max_file_size: int = 1048576, gitignore: bool = True, report: bool = False) -> DataFrame:
+def read_paths(paths: DataFrame, root: str | Path, exclude: Sequence[str] = (), max_file_size: int = 1048576, gitignore: bool = True, report: bool = False, done: Accumulator | None = None) -> DataFrame:
     """The rows of scan() for some paths (a column path, relative to root): nothing else of the tree is listed or read.
 
     Executors read the files where they are; paths that do not exist, lie
     outside root or are ignored have no row.  paths may have abs_path, too:
-    then these files have been judged before, and no rule is asked.
+    then these files have been judged before, and no rule is asked.  done is
+    from progress.counted().
     """
     judged = "abs_path" in paths.columns
     root = str(Path(root).resolve())
@@ -219,7 +223,7 @@ def read_paths(paths: DataFrame, root: str | Path, exclude: Sequence[str] = (),
                     yield r["path"], where
 
     def run(batches):
-        yield from _contents(wanted(batches), max_file_size, report)
+        yield from _contents(wanted(batches), max_file_size, report, done)
 
     slim = paths.select("path", *(["abs_path"] if judged else [])).distinct()
     return slim.mapInArrow(run, FILE)

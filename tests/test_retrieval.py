@@ -417,6 +417,11 @@ def test_problems_of_files_are_reported(spark, project):
     assert (out["indexed"], out["errors"], out["skipped"], out["total_files"]) == (3, 1, 1, 3)
     assert {(p["path"], p["status"], p["reason"]) for p in out["problems"]} == {("bad.txt", "error", "embedding failed"), ("big.txt", "skipped", "larger than the limit")}
     assert seen and (seen[-1].current, seen[-1].total) == (4, 4) and [e.current for e in seen] == sorted(e.current for e in seen)
+    assert seen[-1].filename in {"src/auth.py", "README.md", "notes.txt", "bad.txt"}
+    put("nothing.txt", " \n\n")
+    out = s.ctx_index(".")
+    assert (out["indexed"], out["no_chunks"], out["errors"]) == (0, 1, 1) and {"path": "nothing.txt", "status": "skipped", "reason": "no_chunks"} in out["problems"]
+    (root / "nothing.txt").unlink()
     put("bad.txt", "healed now\n")
     assert s.ctx_index(".")["indexed"] == 1 and s.store.count() == 7
     put("bad.txt", "poison again\n")
@@ -578,4 +583,6 @@ def test_command_line(spark, project, capsys, monkeypatch):
     monkeypatch.setattr("pyspark.sql.SparkSession.stop", lambda self: None)
     assert cli.main(["--project", str(root), "index"]) == 0 and cli.main(["--project", str(root), "search", "authenticate", "--mode", "fts", "--json"]) == 0
     assert "authenticate" in capsys.readouterr().out
+    assert cli.main(["--project", str(root), "search", "authenticate", "--mode", "fts", "--brief"]) == 0
+    assert re.search(r"^src/auth\.py:1-2 \(0\.\d{3}\)\ndef authenticate_user", capsys.readouterr().out, re.M)
     assert cli.main(["--project", str(root), "clean"]) == 1 and cli.main(["--project", str(root), "clean", "--yes"]) == 0
