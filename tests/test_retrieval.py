@@ -513,17 +513,16 @@ def test_quiet_period(spark, project, tmp_path_factory):
         return progress.stateOperators[0].numRowsTotal if progress and progress.stateOperators else 0
 
     version = s.store.version()
-    w = watcher(12.0)
-    w.start("200 milliseconds")
     for k in range(3):
         put("new.py", f"def fresh{k}():\n    pass\n")
         event(k, "new.py")
     event(3, "notes.txt", "deleted")
+    w = watcher(30.0)
+    w.start("200 milliseconds")
     until(lambda: waiting(w) == 2)
     w.query.stop()  # inside the quiet time
     assert not seen and s.store.version() == version
-    time.sleep(12)
-    w = watcher(12.0)
+    w = watcher(30.0)
     w.start("200 milliseconds")
     until(lambda: len(seen) == 2)
     until(lambda: waiting(w) == 0)
