@@ -113,7 +113,10 @@ class Watcher:
         """Run until stop(); without an interval, until the present events are applied, at once."""
         events = read_events(self.spark, self.events)
         if interval and self.quiet:
-            out = settle(split_moves(events), self.quiet).writeStream.foreachBatch(self._apply_last)
+            # A stream that starts without new events runs no batch, in which what waits could come: a clock gives it one.
+            clock = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load().where("value < 0")
+            ticks = clock.selectExpr("CAST(NULL AS string) path", "'' event_type", "timestamp event_time", "value seq")
+            out = settle(split_moves(events).unionByName(ticks), self.quiet).writeStream.foreachBatch(self._apply_last)
         else:
             out = events.writeStream.foreachBatch(self.apply)
         out = out.option("checkpointLocation", self.checkpoint)

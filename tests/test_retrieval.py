@@ -517,14 +517,15 @@ def test_quiet_period(spark, project, tmp_path_factory):
         put("new.py", f"def fresh{k}():\n    pass\n")
         event(k, "new.py")
     event(3, "notes.txt", "deleted")
-    w = watcher(30.0)
+    w = watcher(20.0)
     w.start("200 milliseconds")
     until(lambda: waiting(w) == 2)
     w.query.stop()  # inside the quiet time
     assert not seen and s.store.version() == version
-    w = watcher(30.0)
+    w = watcher(20.0)
     w.start("200 milliseconds")
-    until(lambda: len(seen) == 2)
+    until(lambda: len(seen) == 2 or not w.is_running)
+    assert w.is_running, w.query.exception()
     until(lambda: waiting(w) == 0)
     w.stop()
     assert sorted(seen) == [("new.py", "modified"), ("notes.txt", "deleted")] and not w.is_running
