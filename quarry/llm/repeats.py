@@ -117,13 +117,14 @@ def _surroundings(docs: DataFrame, length: int) -> DataFrame:
     """Of rows (doc_id, text, todo: structs tag, anchor, parts, least) each occurrence with the words around it.
 
     anchor, salt, later (0: in the anchor's least document, whose occurrences go to all parts), doc_id, tag, left (words before the anchor), words (hashes).
+    A task gives each occurrence once; Spark makes the copies for the parts, row by row.
     """
     reach = length - SEED
 
     def run(batches):
         for batch in scratch.cut(batches, 128):
             ids, todo = batch.column(0), batch.column(2)
-            out: dict[str, list] = {k: [] for k in ("anchor", "salt", "later", "owner", "tag", "left", "words")}
+            out: dict[str, list] = {k: [] for k in ("anchor", "salt", "parts", "later", "owner", "tag", "left", "words")}
             for i, h in _documents(batch.column(1)):
                 key = _key(h)
                 for r in todo[i].as_py():
@@ -132,15 +133,17 @@ def _surroundings(docs: DataFrame, length: int) -> DataFrame:
                         continue
                     low = max(at - reach, 0)
                     around = h[low : at + length].tobytes()
-                    for salt in range(r["parts"]) if r["least"] else [text.mix(np.array([r["tag"] ^ ids[i].as_py() << 20], np.int64).view(np.uint64))[0] % np.uint64(r["parts"])]:
-                        for k, v in zip(out, (r["anchor"], int(salt), int(not r["least"]), i, r["tag"], at - low, around), strict=True):
-                            out[k].append(v)
+                    salt = text.mix(np.array([r["tag"] ^ ids[i].as_py() << 20], np.int64).view(np.uint64))[0] % np.uint64(r["parts"])
+                    for k, v in zip(out, (r["anchor"], int(salt), r["parts"], int(not r["least"]), i, r["tag"], at - low, around), strict=True):
+                        out[k].append(v)
             if out["tag"]:
-                types = {"anchor": pa.int64(), "salt": pa.int32(), "later": pa.int32(), "tag": pa.int64(), "left": pa.int32(), "words": pa.binary()}
+                types = {"anchor": pa.int64(), "salt": pa.int32(), "parts": pa.int32(), "later": pa.int32(), "tag": pa.int64(), "left": pa.int32(), "words": pa.binary()}
                 made = {k: ids.take(pa.array(v)) if k == "owner" else pa.array(v, types[k]) for k, v in out.items()}
-                yield pa.RecordBatch.from_arrays(list(made.values()), ["anchor", "salt", "later", "doc_id", "tag", "left", "words"])
+                yield pa.RecordBatch.from_arrays(list(made.values()), ["anchor", "salt", "parts", "later", "doc_id", "tag", "left", "words"])
 
-    return docs.mapInArrow(run, "anchor long, salt int, later int, doc_id long, tag long, left int, words binary")
+    once = docs.mapInArrow(run, "anchor long, salt int, parts int, later int, doc_id long, tag long, left int, words binary")
+    salts = F.when(F.col("later") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("salt"))
+    return once.select("anchor", F.explode(salts).alias("salt"), "later", "doc_id", "tag", "left", "words")
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> int:
