@@ -269,6 +269,15 @@ def test_licences(spark):
     assert got == {1: ("MIT", None), 2: ("MIT", "p/LICENSE"), 3: ("GPL-3.0", None), 4: ("GPL-3.0", "p/src/deep/LICENSE.txt"), 5: ("Apache-2.0", None), 6: (None, None), 7: (None, None), 8: ("MIT", "p/LICENSE"), 9: ("Apache-2.0", None)}
 
 
+def test_many_directories_inherit_from_one(spark):
+    rows = [(0, "LICENSE", "SPDX-License-Identifier: Apache-2.0"), (1, "d7/LICENSE", "SPDX-License-Identifier: MIT")]
+    rows += [(10 + k, f"d{k % 100}/e{k % 3}/f{k}.py", None) for k in range(600)] + [(2, "/abs/x.py", ""), (3, "x.py", "")]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(4)
+    got = {r.doc_id: (r.license, r.inherited_from) for r in licenses.scan(files, files["path"]).collect()}
+    root = ("Apache-2.0", "LICENSE")
+    assert got == {0: ("Apache-2.0", None), 1: ("MIT", None), 2: root, 3: root} | {10 + k: ("MIT", "d7/LICENSE") if k % 100 == 7 else root for k in range(600)}
+
+
 def test_licences_in_wrapped_headers_and_in_mid_line(spark):
     mit = "/*\n * Permission is hereby granted, free of charge, to any person obtaining a\n * copy of this software and associated documentation files (the \"Software\"),\n * to deal in the Software without restriction, including without limitation\n */\n"
     bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n"
