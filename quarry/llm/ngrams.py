@@ -12,12 +12,15 @@ come before.  Counting sends sorted, delta-coded blocks of counts instead of
 rows.  A shard holds the pairs of some contexts; a context with very many
 pairs is divided among shards by its second word, and triples are dealt by
 their own hash, so no shard grows with a frequent word.  The number of shards
-follows the number of tokens.
+follows the number of tokens; that of the vocabulary's parts follows the square
+root of the text's bytes, as a vocabulary grows slower than its text.  What many
+tasks have for one part is merged in steps, some blocks at a time.
 """
 
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import shutil
 import tempfile
@@ -37,6 +40,8 @@ from . import scratch, text
 END = np.uint64(0x0E4D0E4D0E4D0E4D)  # stands for the end of a text among word hashes
 FLUSH = 4_000_000  # tokens that a task counts at once
 SHARD = 2_000_000  # tokens per shard of pairs, and pairs of one context per shard
+BLOCK_BYTES = 1 << 25  # of text that a task counts at once, about
+FAN = 64  # tasks whose blocks of one part are merged at once
 
 
 # Files of arrays ---------------------------------------------------------------------------
@@ -155,6 +160,28 @@ def _merged(table: pa.Table, counts: type, width: int = 1) -> tuple[np.ndarray,
     return k, v if width > 1 else v.ravel()
 
 
+def _steps(sources: int) -> int:
+    """Steps of merging after which a part has FAN blocks, at most, of so many."""
+    steps = 0
+    while sources > FAN:
+        sources, steps = -(-sources // FAN), steps + 1
+    return steps
+
+
+def _gathered(blocks: DataFrame, steps: int, width: int = 1) -> DataFrame:
+    """Blocks (counts in eight bytes) with those of FAN tasks for a part merged to one, so many times."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        k, c = _merged(table, np.uint64, width)
+        packed = _pack(np.ascontiguousarray(c).astype(np.uint64).ravel(), False)
+        return pa.table({"part": table["part"][:1], "lot": table["lot"][:1], "n": pa.array([len(k)], pa.int32()), "keys": pa.array([_pack(k, True)], pa.binary()), "counts": pa.array([packed], pa.binary())})
+
+    rows = blocks.select("part", F.spark_partition_id().alias("lot"), "n", "keys", "counts")
+    for _ in range(steps):
+        rows = rows.withColumn("lot", F.floor(F.col("lot") / FAN).cast("int")).groupBy("part", "lot").applyInArrow(merge, "part int, lot int, n int, keys binary, counts binary")
+    return rows.drop("lot")
+
+
 # Tokens ------------------------------------------------------------------------------------
 
 
@@ -174,6 +201,7 @@ class Model:
     path: str
     words: int  # parts of the vocabulary
     order: int = 2
+    bytes: int = 0  # of the texts
     pairs: int = 0  # shards of pairs
     triples: int = 0  # shards of triples
     sizes: list[int] = field(default_factory=list)  # word types in each part of the vocabulary
@@ -256,7 +284,7 @@ def _count_words(docs: DataFrame, model: Model) -> Model:
 
         def flush():
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            return _blocks(_word_part(h, model.words), h, c.astype(np.uint32))
+            return _blocks(_word_part(h, model.words), h, c.astype(np.uint64))
 
         for batch in batches:
             for tokens, _ in _texts(batch.column(0)):
@@ -270,12 +298,13 @@ def _count_words(docs: DataFrame, model: Model) -> Model:
 
     def merge(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        h, c = _merged(table, np.uint32)
+        h, c = _merged(table, np.uint64)
         _write(model.file("word", part), h)
         _write(model.file("count", part), c)
         return pa.table({"part": pa.array([part], pa.int32()), "types": pa.array([len(h)], pa.int64()), "tokens": pa.array([c.sum()], pa.int64()), "ends": pa.array([c[h == END].sum()], pa.int64())})
 
-    rows = docs.mapInArrow(count, _BLOCK).groupBy("part").applyInArrow(merge, "part int, types long, tokens long, ends long").collect()  # one row per part
+    blocks = _gathered(docs.mapInArrow(count, _BLOCK), _steps(model.bytes // BLOCK_BYTES))
+    rows = blocks.groupBy("part").applyInArrow(merge, "part int, types long, tokens long, ends long").collect()  # one row per part
     model.sizes = [0] * model.words
     for r in rows:
         model.sizes[r.part] = r.types
@@ -478,7 +507,7 @@ def _count_pairs(docs: DataFrame, model: Model) -> Model:
         seen = full[:, 3]
         return pa.table({"n": pa.array([[*_first_counts(seen), int((seen > 2).sum()), int(seen.sum())]], pa.list_(pa.int64()))})
 
-    lower = around.drop("once").groupBy("part").applyInArrow(sides_of, "n array<long>").agg(*(F.coalesce(F.sum(F.col("n")[k]), F.lit(0)) for k in range(6))).first()
+    lower = _gathered(around, _steps(model.pairs), 5).groupBy("part").applyInArrow(sides_of, "n array<long>").agg(*(F.coalesce(F.sum(F.col("n")[k]), F.lit(0)) for k in range(6))).first()
     model.lower, model.types = _discounts(lower[:4]), lower[5]
     d = model.lower
     model.lower_left = (d[0] * lower[0] + d[1] * lower[1] + d[2] * lower[4]) / lower[5] if lower[5] else 1.0
@@ -490,8 +519,10 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     if order not in (2, 3):
         raise ValueError("the order must be 2 or 3")
     spark = docs.sparkSession
-    model = Model(scratch.new_dir(spark, "ngrams"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), order)
     slim = docs.select(text_col)
+    size = slim.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), math.isqrt(size >> 20))
+    model = Model(scratch.new_dir(spark, "ngrams"), parts, order, size)
     return _count_pairs(slim, _count_words(slim, model))
 
 

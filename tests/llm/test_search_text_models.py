@@ -116,6 +116,16 @@ def test_scores_match_brute_force(spark, order):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want])
 
 
+def test_merging_in_steps_changes_nothing(spark, monkeypatch):
+    score = lambda: sorted((tuple(r) for r in ngrams.held_out_scores(documents(spark, n=120).repartition(6)).collect()), key=str)
+    want = score()
+    assert [ngrams._steps(n) for n in (0, 64, 65, 4096, 4097)] == [0, 0, 1, 1, 2]
+    for name, value in (("FAN", 2), ("BLOCK_BYTES", 1000), ("SHARD", 500)):
+        monkeypatch.setattr(ngrams, name, value)
+    got = score()
+    assert [g[:5] for g in got] == [w[:5] for w in want] and np.allclose([g[5:] for g in got], [w[5:] for w in want])
+
+
 def test_counts_beyond_four_bytes_and_absent_files(tmp_path):
     path = str(tmp_path / "x" / "counts")
     for c in ([3, 2**33], [3, 7], []):
