@@ -21,7 +21,12 @@ def index_stats(chunks: DataFrame) -> DataFrame:
 
 
 def status(chunks: DataFrame) -> DataFrame:
-    return index_stats(chunks).select("total_files", "total_chunks", size_mb(F.col("total_size_bytes")).alias("total_size_mb"), "languages", "last_indexed", (F.col("total_chunks") > 0).alias("indexed"))
+    return as_status(index_stats(chunks))
+
+
+def as_status(found: DataFrame) -> DataFrame:
+    """The status that a row of index_stats gives."""
+    return found.select("total_files", "total_chunks", size_mb(F.col("total_size_bytes")).alias("total_size_mb"), "languages", "last_indexed", (F.col("total_chunks") > 0).alias("indexed"))
 
 
 def indexed_files(chunks: DataFrame, branch: str | None = None) -> DataFrame:

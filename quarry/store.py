@@ -6,7 +6,9 @@ writes pieces for the buckets that it touches, then the next manifest, which is
 renamed into place.  Manifests are never changed, and the highest one counts, so
 a reader sees a whole version or the one before, never nothing.  Postings lie
 beside the chunks, piece by piece, and a manifest sums up chunks and tokens, so
-keyword search needs neither texts nor counts.
+keyword search needs neither texts nor counts.  It also has each bucket's files,
+languages and last time, which add up, since a path lies in one bucket: status
+and statistics read no chunks.
 
 Deleting and replacing files rewrites nothing: the (path, branch) pairs that go
 are a small table of their own, and readers leave out by an anti-join what was
@@ -46,7 +48,7 @@ DEPTH = 30  # bits of a bucket's name, at most: one path alone cannot be split
 GONE = 10_000  # pairs that are gone from a bucket, beyond which it is written without them
 LISTS = 32  # of pairs that are gone, beyond which they are written as one
 FEW = 1000  # paths that are looked up by name; more are joined
-PAIRS = "path string, branch string, seq int, bucket int, chunks long, tokens long"
+PAIRS = "path string, branch string, seq int, bucket int, chunks long, tokens long, chars long"
 
 
 class ChunkStore:
@@ -73,11 +75,11 @@ class ChunkStore:
         return found[-1].removesuffix(".json") if found else None
 
     def manifest(self, version: str | None = None) -> dict:
-        """depth (bits of a bucket's name at first), split (buckets that were), buckets: the pieces of each with their chunks and tokens, gone: what of the buckets' older pieces does not count."""
+        """depth (bits of a bucket's name at first), split (buckets that were), buckets: the pieces of each with their chunks, tokens and characters, gone: what of the buckets' older pieces does not count, about: files, last time and chunks by language of each bucket."""
         version = version or self.version()
         if version is None:
             number = self._buckets or max(BUCKETS, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-            return {"depth": max(0, math.ceil(math.log2(number))), "split": [], "buckets": {}, "gone": {}}
+            return {"depth": max(0, math.ceil(math.log2(number))), "split": [], "buckets": {}, "gone": {}, "about": {}}
         if self._known is None or self._known[0] != version:
             text = self.spark.read.text(f"{self.path}/manifests/{version}.json", wholetext=True).first().value
             self._known = version, json.loads(text)
@@ -143,6 +145,34 @@ class ChunkStore:
         held = [cls._held(manifest, b) for b in manifest["buckets"]]
         return sum(h[0] - h[2] for h in held), sum(h[1] for h in held)
 
+    @staticmethod
+    def _chars(manifest: dict, bucket: str) -> int | None:
+        """The characters of a bucket's chunks; None if an earlier writer did not note them."""
+        pieces = manifest["buckets"][bucket].values()
+        gone = [g["buckets"][bucket] for g in manifest["gone"].values() if bucket in g["buckets"]]
+        if any(len(c) < 3 for c in pieces) or any(len(g) < 4 for g in gone):
+            return None
+        return sum(c[2] for c in pieces) - sum(g[3] for g in gone)
+
+    def _note(self, manifest: dict, old: dict) -> None:
+        """Sum up the buckets that differ from those of an older manifest, or that it says nothing about; neither texts nor vectors are read."""
+        state = lambda m, b: (m["buckets"].get(b), self._held(m, b) if b in m["buckets"] else None)
+        known = old.get("about", {})
+        about = {b: known[b] for b in manifest["buckets"] if b in known and state(manifest, b) == state(old, b)}
+        rows = self._pieces("chunks", manifest, set(manifest["buckets"]) - set(about))
+        if rows is not None:
+            about |= {b: [0, None, {}] for b in manifest["buckets"] if b not in about}
+            languages = rows.groupBy("bucket", "language").agg(F.count("*").alias("n"), F.max("indexed_at").alias("last"), F.lit(False).alias("files"))
+            files = rows.groupBy("bucket").agg(F.countDistinct("path").alias("n")).select("bucket", F.lit(None).cast("string").alias("language"), "n", F.lit(None).cast("double").alias("last"), F.lit(True).alias("files"))
+            for r in languages.unionByName(files).collect():  # a few rows for each bucket
+                mine = about[str(r.bucket)]
+                if r.files:
+                    mine[0] = r.n
+                else:
+                    mine[1] = max((x for x in (mine[1], r.last) if x is not None), default=None)
+                    mine[2][r.language] = r.n
+        manifest["about"] = about
+
     # Buckets -------------------------------------------------------------------------------
 
     def bucket(self, path: str) -> int:
@@ -192,14 +222,14 @@ class ChunkStore:
         rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "path", "start_line").write.mode("append").partitionBy("bucket", "piece").parquet(f"{self.path}/chunks")
         fs, make = self._fs()
         found = fs.globStatus(make(f"{self.path}/chunks/bucket=*/piece={piece}")) or []
-        out = {s.getPath().getParent().getName().removeprefix("bucket="): {piece: [0, 0]} for s in found}
+        out = {s.getPath().getParent().getName().removeprefix("bucket="): {piece: [0, 0, 0]} for s in found}
         if not out:
             return out
         written = self._pieces("chunks", {"buckets": out, "gone": {}})
         terms = search.postings(written, keep=(*search.SLIM, "bucket")).withColumn("piece", F.lit(piece))
         terms.repartition(parts, "bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket", "piece").parquet(f"{self.path}/postings")
-        for r in written.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(search.n_tokens(F.col("text"))).alias("tokens")).collect():  # a row for each bucket
-            out[str(r.bucket)][piece] = [r.n, r.tokens or 0]
+        for r in written.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(search.n_tokens(F.col("text"))).alias("tokens"), F.sum(F.length("text")).alias("chars")).collect():  # a row for each bucket
+            out[str(r.bucket)][piece] = [r.n, r.tokens or 0, r.chars or 0]
         return out
 
     def _bury(self, pairs: DataFrame, manifest: dict, seq: int) -> int:
@@ -208,20 +238,20 @@ class ChunkStore:
         rows = self._pieces("chunks", manifest, buckets)
         if rows is None:
             return 0
-        rows = (rows if names is None else rows.where(F.col("path").isin(names))).select("path", "branch", "bucket", search.n_tokens(F.col("text")).alias("tokens"))
+        rows = (rows if names is None else rows.where(F.col("path").isin(names))).select("path", "branch", "bucket", search.n_tokens(F.col("text")).alias("tokens"), F.length("text").alias("chars"))
         same = F.col("r.path") == F.col("g.path")
         if "branch" in pairs.columns:
             same &= F.col("r.branch").eqNullSafe(F.col("g.branch"))
         hit = rows.alias("r").join(pairs.alias("g"), same, "left_semi")
         name = f"{seq:08d}{uuid.uuid4().hex[:16]}"
-        found = hit.groupBy("path", "branch", "bucket").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
-        found.select("path", "branch", F.lit(seq).alias("seq"), "bucket", "chunks", "tokens").write.parquet(f"{self.path}/gone/{name}")
+        found = hit.groupBy("path", "branch", "bucket").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
+        found.select("path", "branch", F.lit(seq).alias("seq"), "bucket", "chunks", "tokens", "chars").write.parquet(f"{self.path}/gone/{name}")
         return self._listed([name], manifest)
 
     def _listed(self, names: list[str], manifest: dict) -> int:
         """Enter a list of pairs, of those buckets that the manifest has, with their sums; how many chunks it has."""
         pairs = self.spark.read.schema(PAIRS).parquet(*(f"{self.path}/gone/{n}" for n in names))
-        sums = {str(r.bucket): [r.n, r.chunks, r.tokens] for r in pairs.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("chunks").alias("chunks"), F.sum("tokens").alias("tokens")).collect()}  # a row for each bucket
+        sums = {str(r.bucket): [r.n, r.chunks, r.tokens, r.chars] for r in pairs.groupBy("bucket").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("chunks", "tokens", "chars"))).collect()}  # a row for each bucket
         if sums:
             manifest["gone"][names[0]] = {"branch": None, "seq": 0, "buckets": sums}
         return sum(s[1] for s in sums.values())
@@ -248,15 +278,16 @@ class ChunkStore:
         if pairs is not None:
             n = self._bury(pairs, manifest, seq)
         if branch is not None and (rows := self._pieces("chunks", manifest)) is not None:
-            sums = rows.where(F.col("branch") == branch).groupBy("bucket").agg(F.count("*").alias("chunks"), F.sum(search.n_tokens(F.col("text"))).alias("tokens")).collect()  # a row for each bucket
+            sums = rows.where(F.col("branch") == branch).groupBy("bucket").agg(F.count("*").alias("chunks"), F.sum(search.n_tokens(F.col("text"))).alias("tokens"), F.sum(F.length("text")).alias("chars")).collect()  # a row for each bucket
             n = sum(r.chunks for r in sums)
             if n:
-                manifest["gone"][f"{seq:08d}-branch"] = {"branch": branch, "seq": seq, "buckets": {str(r.bucket): [0, r.chunks, r.tokens or 0] for r in sums}}
+                manifest["gone"][f"{seq:08d}-branch"] = {"branch": branch, "seq": seq, "buckets": {str(r.bucket): [0, r.chunks, r.tokens or 0, r.chars or 0] for r in sums}}
         added = self._write(with_ids(new), manifest, seq) if new is not None else {}
         for b, pieces in added.items():
             manifest["buckets"].setdefault(b, {}).update(pieces)
         if n or added:
             self._tidy(manifest, seq)
+            self._note(manifest, self.manifest(before))
             self._publish(manifest, before)
         return n
 
@@ -270,7 +301,7 @@ class ChunkStore:
             sums: dict[str, list[int]] = {}
             for x in lists:
                 for b, s in manifest["gone"].pop(x)["buckets"].items():
-                    sums[b] = [u + v for u, v in zip(sums.get(b, [0, 0, 0]), s, strict=True)]
+                    sums[b] = [u + v for u, v in zip(sums[b], s, strict=False)] if b in sums else s
             if sums:
                 manifest["gone"][name] = {"branch": None, "seq": 0, "buckets": sums}
         anew = []
@@ -301,6 +332,7 @@ class ChunkStore:
         manifest = {"depth": old["depth"], "split": list(old["split"]), "buckets": {}, "gone": {}}
         manifest["buckets"] = self._write(chunks.select(*CHUNK.names), manifest, self._next(before))
         self._tidy(manifest, self._next(before))
+        self._note(manifest, {})
         return self._publish(manifest, before)
 
     def vacuum(self, keep: int = 2) -> None:
@@ -382,10 +414,23 @@ class ChunkStore:
         return row.h
 
     def stats(self) -> DataFrame:
-        return stats.index_stats(self.chunks())
+        """The row of index_stats, from the manifest; by a scan if an earlier writer's pieces are not summed up in it."""
+        manifest = self.manifest()
+        about, chars = manifest.get("about", {}), [self._chars(manifest, b) for b in manifest["buckets"]]
+        if None in chars or manifest["buckets"].keys() - about.keys():
+            return stats.index_stats(self.chunks())
+        languages: dict[str, int] = {}
+        for _, _, mine in about.values():
+            for language, n in mine.items():
+                languages[language] = languages.get(language, 0) + n
+        last = max((a[1] for a in about.values() if a[1] is not None), default=None)
+        row = sum(a[0] for a in about.values()), sum(languages.values()), sum(chars), dict(sorted(languages.items())), last
+        types = (T.LongType(), T.LongType(), T.LongType(), T.MapType(T.StringType(), T.LongType(), False), T.DoubleType())
+        names = ("total_files", "total_chunks", "total_size_bytes", "languages", "last_indexed")
+        return self.spark.createDataFrame([row], T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)]))
 
     def status(self) -> DataFrame:
-        return stats.status(self.chunks())
+        return stats.as_status(self.stats())
 
     def indexed_files(self, branch: str | None = None) -> DataFrame:
         return stats.indexed_files(self.chunks(), branch)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry import cli
 from quarry.api import Service
-from quarry.operators import enhance, incremental, search
+from quarry.operators import enhance, incremental, search, stats
 from quarry.operators.embed import HashingEmbedder, embed, retry
 from quarry.operators.filters import Filters
 from quarry.plans import retrieval
@@ -198,11 +198,18 @@ def written(store, kind=""):
     return sum(p.stat().st_size for p in (Path(store.path) / kind).rglob("*") if p.is_file())
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def checked(store):
     """The manifest's sums and the postings are those of the chunks."""
     n, tokens = store.index()[1].first()
     want = search.corpus_stats(store.chunks()).first()
     assert n == want.n == store.count() and abs(tokens - want.avgdl) < 1e-9
+    summed, scanned = store.stats(), stats.index_stats(store.chunks())
+    assert summed.first() == scanned.first() and summed.columns == scanned.columns and [f.dataType for f in summed.schema] == [f.dataType for f in scanned.schema]
+    assert "parquet" not in plan_of(summed).lower() and "parquet" in plan_of(scanned).lower()
     assert store.index()[0].select("chunk_id").distinct().count() == store.chunks().where(search.n_tokens(F.col("text")) > 0).select("chunk_id").distinct().count()
 
 
@@ -260,6 +267,38 @@ def test_deletions_write_kilobytes_whatever_the_bucket(chunks, spark, tmp_path):
     checked(store)
 
 
+def test_statistics_add_up_from_the_manifest(chunks, spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), buckets=2, split=30)
+    assert store.stats().first().asDict() == {"total_files": 0, "total_chunks": 0, "total_size_bytes": 0, "languages": {}, "last_indexed": None}
+    assert store.status().first().indexed is False
+    store.add(chunks)
+    checked(store)
+    other = chunks.withColumn("branch", F.lit("other")).withColumn("indexed_at", F.col("indexed_at") + 1000)
+    store.add(other)  # the same paths once more: files stay as many
+    checked(store)
+    store.add(chunks.withColumn("path", F.concat(F.lit("x/"), "path", "chunk_seq")).withColumn("language", F.lit("other")))
+    checked(store)
+    store.delete_by_branch("other")  # the last time goes with it
+    checked(store)
+    for row in store.indexed_files().limit(3).collect():
+        store.delete_by_path(row.path)
+    checked(store)
+    store.upsert(other, chunks.select("path", "branch").distinct())
+    checked(store)
+    store.commit(chunks.limit(5))
+    checked(store)
+    # A manifest of a writer that did not sum up is scanned; a change sums up what it can.
+    before = store.version()
+    old = {k: v for k, v in store.manifest(before).items() if k != "about"}
+    old["buckets"] = {b: {p: c[:2] for p, c in pieces.items()} for b, pieces in old["buckets"].items()}
+    store._publish(old, before)
+    assert store.stats().first() == stats.index_stats(store.chunks()).first() and "parquet" in plan_of(store.stats()).lower()
+    store.delete_by_path(store.indexed_files().first().path)
+    assert store.stats().first() == stats.index_stats(store.chunks()).first()
+    store.commit(chunks)
+    checked(store)
+
+
 def test_many_deletions_are_put_together(chunks, spark, tmp_path, monkeypatch):
     monkeypatch.setattr("quarry.store.LISTS", 3)
     monkeypatch.setattr("quarry.store.GONE", 6)
