@@ -16,10 +16,12 @@ For two sets with a Jaccard similarity of 0.8 the chance to share no band is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash, scratch, text
@@ -107,36 +109,54 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _leftover_links(members: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Links u, v between components that have linked sets in one bucket (key, doc_id, n).
+_GROUP = ("key", "size", "lower", "larger", "higher")
+
+
+def _meetings(members: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Which sets meet in which group of one or two blocks (_GROUP, doc_id, component, side), so that all that can link components of a bucket (key, doc_id, n) do.
 
     Of buckets with the same members one is looked at.  Its sets are dealt to
     classes of size: sets that are similar enough are in one class or in two
     neighbouring ones, so no others meet; and a class is dealt to blocks of
-    bounded size, of which each two meet once.
+    bounded size, of which each two meet once.  Two blocks of the component
+    that has most of the bucket's sets never meet.
     """
     m = members.join(comps, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n")
     about = (F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("count"), F.sum(F.shiftright(F.xxhash64("doc_id"), 32)).alias("h1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2"))
     mixed = m.groupBy("key").agg(*about).where("lo < hi").groupBy("count", "h1", "h2").agg(F.min("key").alias("key")).select("key")
     width = float(np.log(100 / percent)) * (1 + 1e-9)
     m = m.join(mixed, "key").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
-    blocks = m.groupBy("key", "size").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / SETS)).cast("int").alias("blocks"))
-    at = lambda step, name: blocks.select("key", (F.col("size") - step).alias("size"), F.col("blocks").alias(name))
+    # Sets of the bucket's largest component can be linked with each other to no effect: they meet the rest alone.
+    most = m.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
+    m = m.join(most, "key").withColumn("rest", F.col("component") != F.col("main")).drop("main")
+    needed = lambda who: F.coalesce(F.greatest(F.ceil(F.sum(F.when(who, F.col("n"))) / BLOCK), F.ceil(F.count_if(who) / SETS)), F.lit(0)).cast("int")
+    blocks = m.groupBy("key", "size").agg(needed(F.col("rest")).alias("few"), needed(~F.col("rest")).alias("many"))
+    at = lambda step, name: blocks.select("key", (F.col("size") - step).alias("size"), F.col("few").alias(name), (F.col("few") + F.col("many")).alias(name + "_all"))
     m = m.join(at(0, "own"), ["key", "size"]).join(at(1, "above"), ["key", "size"], "left").join(at(-1, "below"), ["key", "size"], "left")
-    m = m.withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("own")).cast("int"))
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    # In a class blocks of the rest come first, then those of the largest component.
+    dealt = F.xxhash64("doc_id", "key")
+    m = m.withColumn("block", F.when(F.col("rest"), F.pmod(dealt, F.col("own"))).otherwise(F.col("own") + F.pmod(dealt, F.col("own_all") - F.col("own"))).cast("int"))
     pair = lambda size, lower, larger, higher, side: F.struct(size.alias("size"), lower.alias("lower"), larger.alias("larger"), higher.alias("higher"), side.alias("side"))
     meeting = "array<struct<size:int,lower:int,larger:int,higher:int,side:int>>"
-    size, block, none = F.col("size"), F.col("block"), F.array().cast(meeting)
-    same = F.transform(upto(F.col("own")), lambda q: pair(size, F.least(block, q), size, F.greatest(block, q), block))
-    with_above = F.when(F.col("above").isNotNull(), F.transform(upto(F.col("above")), lambda q: pair(size, block, size + 1, q, F.lit(-1)))).otherwise(none)
-    with_below = F.when(F.col("below").isNotNull(), F.transform(upto(F.col("below")), lambda q: pair(size - 1, q, size, block, F.lit(-2)))).otherwise(none)
-    m = m.select("key", "doc_id", "component", F.explode(F.concat(*(x.cast(meeting) for x in (same, with_above, with_below)))).alias("meets")).select("key", "doc_id", "component", "meets.*")
+    size, block = F.col("size"), F.col("block")
+
+    def met(name: str, one: Callable[[Column], Column]) -> Column:
+        n = F.when(F.col("rest"), F.col(name + "_all")).otherwise(F.col(name))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast(meeting))
+
+    same = met("own", lambda q: pair(size, F.least(block, q), size, F.greatest(block, q), block))
+    with_above = met("above", lambda q: pair(size, block, size + 1, q, F.lit(-1)))
+    with_below = met("below", lambda q: pair(size - 1, q, size, block, F.lit(-2)))
+    return m.select("key", "doc_id", "component", F.explode(F.concat(*(x.cast(meeting) for x in (same, with_above, with_below)))).alias("meets")).select("key", "doc_id", "component", "meets.*")
+
+
+def _leftover_links(members: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Links u, v between components that have linked sets in one bucket (key, doc_id, n)."""
+    m = scratch.table(_meetings(members, comps, percent), "meetings")  # read twice, made once
     # Groups whose members are all of one component can give nothing.
-    groups = ["key", "size", "lower", "larger", "higher"]
-    live = m.groupBy(*groups).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(*groups)
-    full = m.join(live, groups).join(sets, "doc_id")
-    return full.groupBy(*groups).applyInArrow(lambda t: _block_links(t, percent), "u long, v long")
+    live = m.groupBy(*_GROUP).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(*_GROUP)
+    full = m.join(live, list(_GROUP)).join(sets, "doc_id")
+    return full.groupBy(*_GROUP).applyInArrow(lambda t: _block_links(t, percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

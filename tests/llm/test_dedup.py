@@ -98,6 +98,20 @@ def test_blocks_are_bounded_in_sets_too(spark, monkeypatch):
     assert got == {i: c for i, _, c in brute_components(data, 1, 80)}
 
 
+def test_sets_of_the_largest_component_meet_the_rest_only(spark, monkeypatch):
+    """A bucket of 400 sets of one component and three others: rows follow its sets, not their square."""
+    monkeypatch.setattr(neardup, "SETS", 5)
+    members = spark.createDataFrame([(1, i, 100) for i in range(403)], "key long, doc_id long, n long")
+    comps = spark.createDataFrame([(i, 0) for i in range(400)], "node long, component long")
+    met = neardup._meetings(members, comps, 80).collect()
+    assert len(met) == 400 + 3 * 81
+    groups = {}
+    for r in met:
+        groups.setdefault((r.key, r["size"], r.lower, r.larger, r.higher), []).append(r.doc_id)
+    pairs = {(a, b) for g in groups.values() for a in g for b in g if a < b and b >= 400}
+    assert pairs == {(a, b) for b in range(400, 403) for a in range(b)}
+
+
 def test_signatures_estimate_similarity_without_bias():
     rng = np.random.default_rng(0)
     errors = []
