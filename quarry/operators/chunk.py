@@ -67,16 +67,35 @@ def section_chunks(text: Column) -> Column:
     return F.when(has_content(text), F.transform(heads, section))
 
 
-@F.arrow_udf(CHUNK_TYPE)
-def code_chunks(text: pa.Array, language: pa.Array) -> pa.Array:
-    """Definitions in code; a text in which the scanner fails has no chunks here (see chunk_files)."""
+_SLICE = 32  # texts whose chunks are Python objects at a time; those of the rest of a batch are Arrow's
+
+
+def _sliced(chunks: Callable[..., list], *columns: pa.Array) -> pa.Array:
+    """The chunks of a batch of rows, made for a few rows at a time, so that a worker's memory does not follow the number of chunks in a batch."""
+    out = [pa.array(chunks(*(c.slice(lo, _SLICE).to_pylist() for c in columns)), _ARROW) for lo in range(0, len(columns[0]), _SLICE)]
+    made = pa.concat_arrays(out) if out else pa.array([], _ARROW)
+    del out
+    pa.default_memory_pool().release_unused()
+    return made
+
+
+def _code_chunks(texts: list[str | None], languages: list[str]) -> list[list[dict] | None]:
     out = []
-    for t, lang in zip(text.to_pylist(), language.to_pylist(), strict=True):
+    for t, lang in zip(texts, languages, strict=True):
         try:
             out.append([d._asdict() for d in definitions(t or "", lang)])
         except Exception:  # noqa: BLE001  a scanner's failure must not stop the job: the text is chunked by paragraphs
             out.append(None)
-    return pa.array(out, _ARROW)
+    return out
+
+
+@F.arrow_udf(CHUNK_TYPE)
+def _code_udf(text: pa.Array, language: pa.Array) -> pa.Array:
+    return _sliced(_code_chunks, text, language)
+
+
+#: Definitions in code; a text in which the scanner fails has no chunks here (see chunk_files).
+code_chunks = _code_udf.asNondeterministic()  # else the filter that goes with an explode has every text scanned twice
 
 
 class Chunker(Protocol):
@@ -137,9 +156,9 @@ class FunctionChunker:
 
         @F.arrow_udf(CHUNK_TYPE)
         def run(texts: pa.Array) -> pa.Array:
-            return pa.array([[{k: c.get(k) for k in _ARROW.value_type.names} for c in function(t or "")] for t in texts.to_pylist()], _ARROW)
+            return _sliced(lambda few: [[{k: c.get(k) for k in _ARROW.value_type.names} for c in function(t or "")] for t in few], texts)
 
-        return run(text)
+        return run.asNondeterministic()(text)
 
 
 def default_chunkers(max_words: int = 500, overlap_words: int = 50) -> list[Chunker]:

@@ -187,3 +187,15 @@ def test_scalar_functions(spark):
     t = ProgressTracker(4, seen.append)
     t.update("a")
     assert seen[0].current == 1 and seen[0].total == 4 and "1/4" in t.summary()
+
+
+def test_code_is_scanned_once_and_a_few_texts_at_a_time(spark):
+    import pyarrow as pa
+
+    files = spark.createDataFrame([("a.py", "def f():\n    pass\n", "python")], "path string, text string, language string")
+    plan = chunk.chunk_files(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    seen = []
+    got = chunk._sliced(lambda few: seen.append(len(few)) or [[{"text": t, "start_line": 1, "end_line": 1, "chunk_type": "block", "name": None}] for t in few], pa.array([str(i) for i in range(100)]))
+    assert max(seen) <= 32 and [c[0]["text"] for c in got.to_pylist()] == [str(i) for i in range(100)]
+    assert chunk._sliced(lambda few: [], pa.array([], pa.string())).to_pylist() == []
