@@ -28,6 +28,11 @@ def _chunk(text: Column, start: Column, end: Column, kind: str, name: Column | N
     return F.struct(text.alias("text"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), F.lit(kind).alias("chunk_type"), (F.lit(None) if name is None else name).cast("string").alias("name"))
 
 
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is made once for a row; inside a lambda Spark makes an expression again for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def paragraph_chunks(text: Column, max_words: int = 500, overlap_words: int = 50) -> Column:
     """Paragraphs between blank lines; long ones in overlapping pieces of max_words words.
 
@@ -37,34 +42,41 @@ def paragraph_chunks(text: Column, max_words: int = 500, overlap_words: int = 50
         raise ValueError("the overlap must be smaller than the chunk size")
     step = max_words - overlap_words
     paragraphs = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: p != "")
-    sized = F.transform(paragraphs, lambda p: F.struct(p.alias("text"), (F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + 1).alias("lines")))
-    # Every paragraph with its first line, by a running sum.
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<text:string,first:int,lines:int>>").alias("done"))
-    placed = F.aggregate(sized, start, lambda a, p: F.struct((a.line + p.lines).alias("line"), F.concat(a.done, F.array(F.struct(p.text.alias("text"), a.line.alias("first"), p.lines.alias("lines")))).alias("done")), lambda a: a.done)
+
+    def placed(ps: Column) -> Column:
+        """Every paragraph with its first line: the lines' paragraphs, in order, and where these change."""
+        sized = F.transform(ps, lambda p: F.struct(p.alias("text"), (F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + 1).alias("lines")))
+        owners = F.flatten(F.transform(sized, lambda p, i: F.array_repeat(i, p.lines)))
+        first = _with(owners, lambda o: F.filter(F.sequence(F.lit(1), F.size(o)), lambda k: (k == 1) | (F.get(o, k - 1) != F.get(o, k - 2))))
+        return F.zip_with(sized, first, lambda p, k: F.struct(p.text.alias("text"), k.alias("first"), p.lines.alias("lines")))
 
     def pieces(p: Column) -> Column:
-        words = F.split(p.text, r"(?U)\s+")
-        n = F.size(words)
         whole = F.array(_chunk(p.text, p.first, p.first + p.lines - 1, "paragraph"))
-        cut = F.transform(F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1), lambda k: _chunk(F.array_join(F.slice(words, k * step + 1, F.lit(max_words)), " "), p.first + k, p.first + k, "paragraph"))
-        return F.when(n <= max_words, whole).otherwise(cut)
 
-    return F.when(has_content(text), F.flatten(F.transform(placed, pieces)))
+        def cut(words: Column) -> Column:
+            n = F.size(words)
+            windows = F.transform(F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1), lambda k: _chunk(F.array_join(F.slice(words, k * step + 1, F.lit(max_words)), " "), p.first + k, p.first + k, "paragraph"))
+            return F.when(n <= max_words, whole).otherwise(windows)
+
+        return _with(F.split(p.text, r"(?U)\s+"), cut)
+
+    return F.when(has_content(text), _with(paragraphs, lambda ps: F.flatten(F.transform(placed(ps), pieces))))
 
 
 def section_chunks(text: Column) -> Column:
     """Sections from each header line (of any level) to the next; what precedes the first is one without a name."""
-    lines = F.split(text, "\n")
-    n = F.size(lines)
-    heads = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | F.get(lines, i - 1).rlike(HEADER))
 
-    def section(i: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(heads, k + 1) - 1, n)
-        first = F.get(lines, i - 1)
-        name = F.when(first.rlike(HEADER), strip(F.regexp_extract(first, HEADER, 2)))
-        return _chunk(F.array_join(F.slice(lines, i, end - i + 1), "\n"), i, end, "section", name)
+    def sections(lines: Column, heads: Column) -> Column:
+        def section(i: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(heads, k + 1) - 1, F.size(lines))
+            first = F.get(lines, i - 1)
+            name = F.when(first.rlike(HEADER), strip(F.regexp_extract(first, HEADER, 2)))
+            return _chunk(F.array_join(F.slice(lines, i, end - i + 1), "\n"), i, end, "section", name)
+
+        return F.transform(heads, section)
 
-    return F.when(has_content(text), F.transform(heads, section))
+    starts = lambda lines: F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == 1) | F.get(lines, i - 1).rlike(HEADER))
+    return F.when(has_content(text), _with(F.split(text, "\n"), lambda lines: _with(starts(lines), lambda heads: sections(lines, heads))))
 
 
 _SLICE = 32  # texts whose chunks are Python objects at a time; those of the rest of a batch are Arrow's

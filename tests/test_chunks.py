@@ -199,3 +199,22 @@ def test_code_is_scanned_once_and_a_few_texts_at_a_time(spark):
     got = chunk._sliced(lambda few: seen.append(len(few)) or [[{"text": t, "start_line": 1, "end_line": 1, "chunk_type": "block", "name": None}] for t in few], pa.array([str(i) for i in range(100)]))
     assert max(seen) <= 32 and [c[0]["text"] for c in got.to_pylist()] == [str(i) for i in range(100)]
     assert chunk._sliced(lambda few: [], pa.array([], pa.string())).to_pylist() == []
+
+
+def test_time_of_long_texts_follows_their_length(spark):
+    """A paragraph, and a text of many paragraphs or sections, takes no more than some times as long when it is eight times as long."""
+    import time
+
+    texts = {
+        "windows": (lambda n: "word and more " * n, lambda c: chunk.paragraph_chunks(c, 40, 15)),
+        "paragraphs": (lambda n: "some words\n\n" * n, lambda c: chunk.paragraph_chunks(c, 40, 15)),
+        "sections": (lambda n: "# head\nline\n" * n, chunk.section_chunks),
+    }
+    for name, (make, chunks_of) in texts.items():
+        took = []
+        for n in (500, 500, 4000):
+            df = spark.range(1).select(chunks_of(F.repeat(F.lit(make(1)), F.lit(n) + F.col("id").cast("int"))).alias("c")).select(F.size("c"))
+            begun = time.perf_counter()
+            df.collect()
+            took.append(time.perf_counter() - begun)
+        assert took[2] < 16 * max(took[1], 0.1), (name, took)
