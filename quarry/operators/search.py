@@ -65,12 +65,27 @@ def _ties(df: DataFrame) -> list[Column]:
     return [F.col(c) for c in TIES if c in df.columns]
 
 
-def vector_search(chunks: DataFrame, query: Sequence[float], limit: int, filters: Filters = Filters(), distance: str = "l2sq") -> DataFrame:
-    """The nearest chunks, by exact distances; score is 1 / (1 + distance)."""
+def vector_search(chunks: DataFrame, query: Sequence[float], limit: int, filters: Filters = Filters(), distance: str = "l2sq", vectors: DataFrame | None = None) -> DataFrame:
+    """The nearest chunks, by exact distances; score is 1 / (1 + distance).
+
+    vectors (chunk_id, vector; an id once) are those of chunks that hold none
+    themselves: distances alone meet the chunks, and whole rows are fetched
+    for the best.
+    """
     d = squared_distance(F.col("vector"), query)
-    kept = filters.apply(chunks).where(F.size("vector") == len(query))
-    found = kept.withColumn("distance", F.sqrt(d) if distance == "l2" else d)
-    return _top(found.withColumn("score", similarity(F.col("distance"))), [F.col("distance"), *_ties(found)], limit)
+    measured = lambda df: df.where(F.size("vector") == len(query)).withColumn("distance", F.sqrt(d) if distance == "l2" else d)
+    scored = lambda df: df.withColumn("score", similarity(F.col("distance")))
+    if vectors is None:
+        found = measured(filters.apply(chunks))
+        return _top(scored(found), [F.col("distance"), *_ties(found)], limit)
+    best = _near(chunks, measured(vectors), limit, filters).select(*(c for c in FETCH if c in chunks.columns), "distance", "rank")
+    return scored(chunks.join(_few(best, limit), [c for c in FETCH if c in chunks.columns]))
+
+
+def _near(chunks: DataFrame, measured: DataFrame, limit: int, filters: Filters) -> DataFrame:
+    """What finds the nearest chunks and what ties ask, distance and rank, by distances that are known by chunk_id."""
+    slim = filters.apply(chunks).select(*(c for c in FETCH if c in chunks.columns), *_ties(chunks)).join(measured.select("chunk_id", "distance"), "chunk_id")
+    return _top(slim, [F.col("distance"), *_ties(slim)], limit)
 
 
 def n_tokens(text: Column) -> Column:
@@ -140,17 +155,22 @@ def fts_search(chunks: DataFrame, query: str, limit: int, filters: Filters = Fil
     return found.withColumn("score", F.col("bm25") / (1 + F.col("bm25")))
 
 
-def hybrid_search(chunks: DataFrame, query: str, vector: Sequence[float] | None, limit: int, filters: Filters = Filters(), fts_weight: float = 0.5, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, query: str, vector: Sequence[float] | None, limit: int, filters: Filters = Filters(), fts_weight: float = 0.5, index: DataFrame | None = None, stats: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Both searches' best, fused: rrf = (1 - w) / (60 + rank) + w / (60 + rank); score = 61 * rrf.
 
-    Without keyword hits the order is that of the vectors.
+    Without keyword hits the order is that of the vectors.  For vectors beside
+    the chunks see vector_search; no text is joined with them.
     """
     if vector is None:
         return fts_search(chunks, query, limit, filters, index, stats)
     by, ties = [c for c in FETCH if c in chunks.columns], [c for c in TIES if c in chunks.columns]
     both = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"w.{c}")).alias(c)
     words = _fts_top(chunks, query, limit, filters, index, stats).select(*by, *ties, F.col("rank").alias("fts_rank"))
-    near = vector_search(chunks, vector, limit, filters).select(*by, *ties, F.col("rank").alias("vector_rank"))
+    if vectors is None:
+        near = vector_search(chunks, vector, limit, filters)
+    else:
+        near = _near(chunks, vectors.where(F.size("vector") == len(vector)).withColumn("distance", squared_distance(F.col("vector"), vector)), limit, filters)
+    near = near.select(*by, *ties, F.col("rank").alias("vector_rank"))
     fused = near.alias("n").join(words.alias("w"), F.col("n.chunk_id") == F.col("w.chunk_id"), "full_outer").select(*map(both, (*by, *ties)), "vector_rank", "fts_rank")
     part = lambda c, w: F.coalesce(F.lit(w) / (RRF + F.col(c)), F.lit(0.0))
     fused = fused.withColumn("rrf", part("vector_rank", 1 - fts_weight) + part("fts_rank", fts_weight))
@@ -169,14 +189,15 @@ def search(
     fts_weight: float = 0.5,
     index: DataFrame | None = None,
     stats: DataFrame | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     mode = resolve_mode(mode, query_text, query_vector)
     if limit < 0:
         raise ValueError("the limit must not be negative")
     if mode == "vector":
-        found = vector_search(chunks, query_vector, limit, filters)
+        found = vector_search(chunks, query_vector, limit, filters, vectors=vectors)
     elif mode == "fts":
         found = fts_search(chunks, query_text, limit, filters, index, stats)
     else:
-        found = hybrid_search(chunks, query_text, query_vector, limit, filters, fts_weight, index, stats)
+        found = hybrid_search(chunks, query_text, query_vector, limit, filters, fts_weight, index, stats, vectors)
     return found if min_score is None else found.where(F.col("score") >= min_score)

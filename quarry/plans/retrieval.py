@@ -45,12 +45,13 @@ def run(
     files: DataFrame | None = None,
     index: DataFrame | None = None,
     stats: DataFrame | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Result columns and rank.  files (path, text) are asked for context, if it is wanted."""
+    """Result columns and rank.  files (path, text) are asked for context, if it is wanted; vectors are those of chunks without."""
     if options.limit < 0:
         raise ValueError("the limit must not be negative")
     wanted = options.limit * (2 if options.deduplicate else 1)
-    found = search.search(chunks, query_text, query_vector, wanted, options.mode, filters, options.min_score, options.fts_weight, index, stats)
+    found = search.search(chunks, query_text, query_vector, wanted, options.mode, filters, options.min_score, options.fts_weight, index, stats, vectors)
     if options.deduplicate:
         found = enhance.deduplicate(found, options.overlap_threshold)
     found = enhance.trim(enhance.rerank_by_recency(found, options.recency_weight), options.limit)

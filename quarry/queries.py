@@ -143,9 +143,10 @@ def _(spark, sf_dir):
     return _fts(spark, sf_dir, Filters(languages=["python"]))
 
 
-def _with_vectors(spark, sf_dir) -> tuple[DataFrame, list[float]]:
+def _with_vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Chunks, their vectors by chunk_id, and the query's vector: texts and vectors are never joined."""
     e, q = _vectors(spark, sf_dir)
-    return virtual_chunks(spark, sf_dir).join(e.select(F.col("vec_id").alias("doc_id"), "vector"), "doc_id", "left"), q
+    return virtual_chunks(spark, sf_dir), e.select(F.col("vec_id").cast("string").alias("chunk_id"), "vector"), q
 
 
 _JOINED = CHUNKS.replace("chunks AS", "every AS") + ",\nchunks AS (SELECT every.*, embedding FROM every LEFT JOIN embeddings ON doc_id = vec_id)"
@@ -163,8 +164,8 @@ hybrid AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, path, start_line, chu
 
 @_add("hybrid_rrf", f"WITH {_hybrid_sql(LIMIT)} SELECT doc_id, path, round(rrf * 61, 6) AS score, r AS rank FROM hybrid WHERE r <= {LIMIT}")
 def _(spark, sf_dir):
-    chunks, q = _with_vectors(spark, sf_dir)
-    found = search.hybrid_search(chunks, TEXT, q, LIMIT)
+    chunks, vectors, q = _with_vectors(spark, sf_dir)
+    found = search.hybrid_search(chunks, TEXT, q, LIMIT, vectors=vectors)
     return found.select("doc_id", "path", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -453,8 +454,8 @@ def _(spark, sf_dir):
 
 def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: hybrid search, overlap removal, recency and trimming in one plan."""
-    chunks, q = _with_vectors(spark, sf_dir)
-    found = retrieval.run(chunks, TEXT, q, retrieval.SearchOptions(limit=LIMIT, mode="hybrid"))
+    chunks, vectors, q = _with_vectors(spark, sf_dir)
+    found = retrieval.run(chunks, TEXT, q, retrieval.SearchOptions(limit=LIMIT, mode="hybrid"), vectors=vectors)
     return found.select("path", "start_line", "end_line", "language", "chunk_type", "branch", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -625,3 +625,24 @@ def test_command_line(spark, project, capsys, monkeypatch):
     assert cli.main(["--project", str(root), "search", "authenticate", "--mode", "fts", "--brief"]) == 0
     assert re.search(r"^src/auth\.py:1-2 \(0\.\d{3}\)\ndef authenticate_user", capsys.readouterr().out, re.M)
     assert cli.main(["--project", str(root), "clean"]) == 1 and cli.main(["--project", str(root), "clean", "--yes"]) == 0
+
+
+def test_vectors_beside_the_chunks_give_the_same_and_texts_are_not_joined_with_them(spark, chunks):
+    """As joined chunks, of which some have no vector; no exchange of the plan carries a text."""
+    q = HashingEmbedder(16).embed_text("user token")
+    vectors = chunks.where("chunk_seq % 4 <> 1").select("chunk_id", "vector")
+    joined, bare = chunks.drop("vector").join(vectors, "chunk_id", "left"), chunks.drop("vector")
+    for filters in (Filters(), Filters(languages=["python"])):
+        for mode in ("hybrid", "vector"):
+            found = [[(r.chunk_id, r.rank, round(r.score, 9)) for r in search.search(c, "user token", q, 9, mode, filters, vectors=v).orderBy("rank").collect()] for c, v in ((joined, None), (bare, vectors))]
+            assert found[0] == found[1] and len(found[0]) == 9
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        from quarry import queries
+
+        for name in ("hybrid_rrf", "search_pipeline"):
+            text = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"Exchange hashpartitioning[^\n]*\n[^\n]*Project \[[^\n]*\btext#", text)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
