@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..schema import VECTOR_DIMENSION
 
 log = logging.getLogger(__name__)
+SLICE = 128  # texts that a worker holds as strings at a time
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -54,6 +55,8 @@ def retry(times: int = 3, delay: float = 0.5, backoff: float = 2.0, errors: tupl
 
 
 class HashingEmbedder:
+    CACHED = 50_000  # words whose buckets a worker keeps, some 30 MB
+
     def __init__(self, dimension: int = VECTOR_DIMENSION, trigram_weight: float = 0.25):
         self.dimension, self.trigram_weight = dimension, trigram_weight
         self._words: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # what common words add
@@ -70,7 +73,7 @@ class HashingEmbedder:
             by = np.where(h >> np.uint64(63), 1.0, -1.0)
             by[1:] *= self.trigram_weight
             found = (h % np.uint64(self.dimension)).astype(np.int64), by
-            if len(self._words) >= 200_000:
+            if len(self._words) >= self.CACHED:
                 self._words.clear()
             if len(word) <= 40:
                 self._words[word] = found
@@ -118,13 +121,16 @@ def embed(text: Column, embedder: Embedder | None = None, batch_size: int = 32,
                 return [v for t in texts for v in vectors([t])]
 
         for texts in batches:
-            held = texts.fill_null("").to_pylist()
+            # A few texts at a time are Python strings; the rest of a batch is Arrow's.
+            held = lambda size: (texts.slice(i, size).fill_null("").to_pylist() for i in range(0, len(texts), size))  # noqa: E731, B023
             if hasattr(model, "embed_array"):
-                found = np.concatenate([model.embed_array(held[i : i + 1024]) for i in range(0, len(held), 1024)]) if held else np.zeros((0, 1), np.float32)
-                offsets = pa.array(np.arange(len(held) + 1, dtype=np.int32) * np.int32(found.shape[1]))
+                found = np.concatenate([model.embed_array(few) for few in held(SLICE)]) if len(texts) else np.zeros((0, 1), np.float32)
+                offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * np.int32(found.shape[1]))
                 yield pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))
             else:
-                yield pa.array([v for i in range(0, len(held), batch_size) for v in vectors(held[i : i + batch_size])], pa.list_(pa.float32()))
+                made = [pa.array(vectors(few), pa.list_(pa.float32())) for few in held(batch_size)]
+                yield pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.float32()))
+            pa.default_memory_pool().release_unused()
 
     return run.asNondeterministic()(text)  # else a filter on the vectors has them made twice
 

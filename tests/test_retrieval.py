@@ -646,3 +646,18 @@ def test_vectors_beside_the_chunks_give_the_same_and_texts_are_not_joined_with_t
             assert not re.search(r"Exchange hashpartitioning[^\n]*\n[^\n]*Project \[[^\n]*\btext#", text)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_embedding_holds_few_words_and_few_texts(spark, monkeypatch):
+    e = HashingEmbedder(16)
+    e.embed_batch([" ".join(f"w{i}" for i in range(120_000))])
+    assert len(e._words) <= 50_000
+    texts = [(i, None if i == 7 else f"text number {i}") for i in range(1000)]
+
+    class Counting(HashingEmbedder):
+        def embed_array(self, few):
+            assert len(few) <= 128
+            return super().embed_array(few)
+
+    got = spark.createDataFrame(texts, "i long, text string").coalesce(1).select("i", embed(F.col("text"), Counting(16)).alias("v")).collect()
+    assert {r.i: r.v for r in got} == {i: e.embed_text(t or "") for i, t in texts}
