@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,3 +89,8 @@ def stats_text(total_files: Column, total_chunks: Column, size: Column, language
 def result_line(path: Column, start: Column, end: Column, score: Column, text: Column) -> Column:
     """path:start-end (score), then the beginning of the text."""
     return F.format_string("%s:%d-%d (%.3f)\n%s...", path, start, end, score.cast("double"), F.substring(text, 1, 100))
+
+
+def with_value(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is made once for a row; inside a lambda Spark makes an expression again for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import has_content, strip
+from ..functions.columns import has_content, strip, with_value
 from ..schema import CODE_LANGUAGES
 from .code_scan import definitions
 
@@ -28,11 +28,6 @@ def _chunk(text: Column, start: Column, end: Column, kind: str, name: Column | N
     return F.struct(text.alias("text"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), F.lit(kind).alias("chunk_type"), (F.lit(None) if name is None else name).cast("string").alias("name"))
 
 
-def _with(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then of a value that is made once for a row; inside a lambda Spark makes an expression again for each element."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def paragraph_chunks(text: Column, max_words: int = 500, overlap_words: int = 50) -> Column:
     """Paragraphs between blank lines; long ones in overlapping pieces of max_words words.
 
@@ -47,7 +42,7 @@ def paragraph_chunks(text: Column, max_words: int = 500, overlap_words: int = 50
         """Every paragraph with its first line: the lines' paragraphs, in order, and where these change."""
         sized = F.transform(ps, lambda p: F.struct(p.alias("text"), (F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + 1).alias("lines")))
         owners = F.flatten(F.transform(sized, lambda p, i: F.array_repeat(i, p.lines)))
-        first = _with(owners, lambda o: F.filter(F.sequence(F.lit(1), F.size(o)), lambda k: (k == 1) | (F.get(o, k - 1) != F.get(o, k - 2))))
+        first = with_value(owners, lambda o: F.filter(F.sequence(F.lit(1), F.size(o)), lambda k: (k == 1) | (F.get(o, k - 1) != F.get(o, k - 2))))
         return F.zip_with(sized, first, lambda p, k: F.struct(p.text.alias("text"), k.alias("first"), p.lines.alias("lines")))
 
     def pieces(p: Column) -> Column:
@@ -58,9 +53,9 @@ def paragraph_chunks(text: Column, max_words: int = 500, overlap_words: int = 50
             windows = F.transform(F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1), lambda k: _chunk(F.array_join(F.slice(words, k * step + 1, F.lit(max_words)), " "), p.first + k, p.first + k, "paragraph"))
             return F.when(n <= max_words, whole).otherwise(windows)
 
-        return _with(F.split(p.text, r"(?U)\s+"), cut)
+        return with_value(F.split(p.text, r"(?U)\s+"), cut)
 
-    return F.when(has_content(text), _with(paragraphs, lambda ps: F.flatten(F.transform(placed(ps), pieces))))
+    return F.when(has_content(text), with_value(paragraphs, lambda ps: F.flatten(F.transform(placed(ps), pieces))))
 
 
 def section_chunks(text: Column) -> Column:
@@ -76,7 +71,7 @@ def section_chunks(text: Column) -> Column:
         return F.transform(heads, section)
 
     starts = lambda lines: F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == 1) | F.get(lines, i - 1).rlike(HEADER))
-    return F.when(has_content(text), _with(F.split(text, "\n"), lambda lines: _with(starts(lines), lambda heads: sections(lines, heads))))
+    return F.when(has_content(text), with_value(F.split(text, "\n"), lambda lines: with_value(starts(lines), lambda heads: sections(lines, heads))))
 
 
 _SLICE = 32  # texts whose chunks are Python objects at a time; those of the rest of a batch are Arrow's

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import similarity
+from ..functions.columns import similarity, with_value
 from .filters import Filters
 
 K1, B, RRF = 1.2, 0.75, 60
@@ -92,9 +92,22 @@ def n_tokens(text: Column) -> Column:
     return F.regexp_count(F.lower(text), F.lit(TOKEN))
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", keep: Sequence[str] = ()) -> DataFrame:
-    """term, chunk_id, tf, dl (length of the chunk in tokens) and columns to keep: the inverted index, to be kept beside a store."""
+def _counted(ts: Column) -> Column:
+    """(term, tf) of an array of tokens that is not empty: runs of the sorted array."""
+    runs = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda k: (k == 1) | (F.get(s, k - 1) != F.get(s, k - 2)))
+    one = lambda s, f: F.transform(f, lambda k, i: F.struct(F.get(s, k - 1).alias("term"), (F.coalesce(F.get(f, i + 1), F.size(s) + 1) - k).cast("long").alias("tf")))
+    return with_value(F.array_sort(ts), lambda s: with_value(runs(s), lambda f: one(s, f)))
+
+
+def postings(chunks: DataFrame, id_col: str = "chunk_id", keep: Sequence[str] = (), once: bool = False) -> DataFrame:
+    """term, chunk_id, tf, dl (length of the chunk in tokens) and columns to keep: the inverted index, to be kept beside a store.
+
+    Where every id comes once, each row's terms are counted in place and nothing is shuffled.
+    """
     t = chunks.select(F.col(id_col).alias("chunk_id"), *keep, tokens(F.col("text")).alias("ts"))
+    if once:
+        rows = t.where(F.size("ts") > 0).select("chunk_id", *keep, F.size("ts").alias("dl"), F.explode(_counted(F.col("ts"))).alias("hit"))
+        return rows.select("hit.term", "chunk_id", "hit.tf", "dl", *keep)
     rows = t.select("chunk_id", *keep, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
     return rows.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), *(F.any_value(c).alias(c) for c in ("dl", *keep)))
 

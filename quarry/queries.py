@@ -408,7 +408,8 @@ def _(spark, sf_dir):
 
 @_add("postings", rf"WITH {CHUNKS}, t AS (SELECT chunk_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS ts FROM chunks) SELECT term, chunk_id, count(*) AS tf, any_value(dl)::INT AS dl FROM (SELECT chunk_id, unnest(ts) AS term, len(ts) AS dl FROM t) GROUP BY term, chunk_id")
 def _(spark, sf_dir):
-    return search.postings(virtual_chunks(spark, sf_dir))
+    several = _table(spark, sf_dir, "documents").groupBy("doc_id").count().where("count > 1").head(1)
+    return search.postings(virtual_chunks(spark, sf_dir), once=not several)
 
 
 # Enhancement -------------------------------------------------------------------------------

@@ -661,3 +661,11 @@ def test_embedding_holds_few_words_and_few_texts(spark, monkeypatch):
 
     got = spark.createDataFrame(texts, "i long, text string").coalesce(1).select("i", embed(F.col("text"), Counting(16)).alias("v")).collect()
     assert {r.i: r.v for r in got} == {i: e.embed_text(t or "") for i, t in texts}
+
+
+def test_postings_of_single_ids_are_counted_in_place(spark):
+    rows = [(str(i), t) for i, t in enumerate(["b a b", "", None, "x", "Z z é É 1 1 1", " - "])]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    got, want = search.postings(df, once=True), search.postings(df)
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect()) and got.count() == 6
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
