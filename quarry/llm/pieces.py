@@ -176,6 +176,10 @@ class Model:
                 self.cache[segment] = made
         return made
 
+    def forget(self) -> None:
+        """Drop what encoding has remembered; a worker that lives on for other tasks need not hold it."""
+        self.cache, self.compatible = {}, {}
+
     def encode(self, s: str) -> np.ndarray:
         """All ids of a text, with the begin and end ids."""
         if s:
@@ -244,8 +248,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
         raise ValueError("the model file is too large to be sent with tasks")
     shared = docs.sparkSession.sparkContext.broadcast(data)
 
-    def run(batches):
-        model = _model(shared.value)
+    def encoded(model: Model, batches):
         for batch in scratch.cut(batches, 256):
             texts = batch.column(1)
             out: dict[str, list] = {k: [] for k in ("n", "ids", "i", "t", "d")}
@@ -266,6 +269,14 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
                 columns["decoded"] = pa.array(out["d"], pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 
+    def run(batches):
+        model = _model(shared.value)
+        try:
+            yield from encoded(model, batches)
+        finally:
+            model.forget()
+            scratch.give_back()
+
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -47,6 +48,20 @@ def test_words_that_do_not_fit_the_cache_and_long_words():
         assert small.encode(t).tolist() == library.encode(t, add_bos=True, add_eos=True)
 
 
+def test_workers_that_have_encoded_hold_no_segments(spark):
+    pieces.encode_documents(documents(spark), MODEL).collect()
+
+    def held(batches):
+        from quarry.llm import pieces
+
+        for batch in batches:
+            for m in pieces._models.values():
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(m.cache) + len(m.compatible)], pa.int64())})
+
+    found = [r.n for r in spark.range(64, numPartitions=16).mapInArrow(held, "n long").collect()]
+    assert found and max(found) == 0
+
+
 def test_encode_documents(spark):
     docs = documents(spark).withColumnRenamed("lang", "n_tokens")
     got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, r.decoded) for r in pieces.encode_documents(docs, MODEL, with_ids=True, with_text=True).collect()]
