@@ -269,6 +269,15 @@ def test_licences(spark):
     assert got == {1: ("MIT", None), 2: ("MIT", "p/LICENSE"), 3: ("GPL-3.0", None), 4: ("GPL-3.0", "p/src/deep/LICENSE.txt"), 5: ("Apache-2.0", None), 6: (None, None), 7: (None, None), 8: ("MIT", "p/LICENSE"), 9: ("Apache-2.0", None)}
 
 
+def test_without_a_licence_file_no_directory_is_searched(spark):
+    rows = [(1, "p/a.py", "SPDX-License-Identifier: MIT"), (2, "p/b.py", "x = 1"), (3, None, None), (4, "p/LICENSE", "nothing stated")]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    found = licenses.scan(files, files["path"])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, "p/a.py", "MIT", 1.0, None), (2, "p/b.py", None, None, None), (3, None, None, None, None), (4, "p/LICENSE", None, None, None)]
+    assert found.dtypes == [("doc_id", "bigint"), ("path", "string"), ("license", "string"), ("score", "double"), ("inherited_from", "string")]
+
+
 def test_many_directories_inherit_from_one(spark):
     rows = [(0, "LICENSE", "SPDX-License-Identifier: Apache-2.0"), (1, "d7/LICENSE", "SPDX-License-Identifier: MIT")]
     rows += [(10 + k, f"d{k % 100}/e{k % 3}/f{k}.py", None) for k in range(600)] + [(2, "/abs/x.py", ""), (3, "x.py", "")]
