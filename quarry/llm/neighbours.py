@@ -1,19 +1,24 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
-The graph holds for each distinct vector its nearest known others.  It starts
-from neighbours inside random-hyperplane buckets and improves round by round:
-neighbours of a vector, to it and from it, are compared with each other, since
-a neighbour of a neighbour is likely a neighbour.  A round is a few joins; its
-groups are bounded by the degree of the graph, whatever the data, because
-vectors that many others point at take part with a sample.
-
-Queries walk the graph greedily, all at once, one join per step: each opens
-those of its best nodes that it has not opened yet, until none is left, and
-remembers what it has met, so that nothing is compared twice.
-
-Similarities are double precision on unit vectors of single precision, and
-every node of the last beam gets its exact cosine, since in a group of near
-copies the nearest differ from the others by less than coarser rounding.
+Nodes, one for each distinct vector, are dealt by hash to blocks of bounded
+size, and each block has a graph of its own: for each node its nearest known
+others there.  It starts from neighbours in the order of random-hyperplane
+codes and improves round by round: neighbours of a node, to it and from it,
+are compared with each other, since a neighbour of a neighbour is likely a
+neighbour.  Only lists that changed take part again, and groups are bounded by
+the degree of the graph, whatever the data, because nodes that many others
+point at take part with a sample.
+
+Every query walks the graph of every block: from the nodes whose codes are most
+like its own (and from its own node, where that is) it opens the best of its
+nodes that it has not opened yet, until none is left, and remembers what it has
+met, so that nothing is compared twice.  Each block gives its best, of which
+Spark keeps the best of all.  So neither recall nor a task's memory changes as
+the table grows: it only has more blocks.  Building takes work in proportion to
+the nodes, searching in proportion to queries times blocks.
+
+Similarities are double precision on double-precision unit vectors, and what a
+query keeps gets its exact cosine.
 
 Equal vectors are one node with its smallest ids, so copies cost nothing and
 none of them is missed.
@@ -21,18 +26,25 @@ none of them is missed.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 
-DEGREE, TREES, LEAF, BEAM = 32, 4, 64, 128  # degree and beam: at least, see sizes
+DEGREE, TREES, LEAF, BEAM = 32, 4, 512, 128  # degree and beam: at least, see sizes
 EACH = 6  # of a node's best in one group that are offered to its list
+BITS = 62  # hyperplanes of a code
+ENTRIES = 64  # nodes of each tree where a walk begins
+WIDTH = 8  # nodes that a query opens in one step
+BLOCK, BLOCK_BYTES = 16_384, 64 << 20  # nodes of a block, about, and bytes of their vectors
+TOGETHER = 256  # queries that walk a block together
+ROOM = 1 << 20  # numbers in the arrays that are compared at once
+SAME = 1e-12  # similarities that differ by less may be ties of the exact cosine
 
 
 def sizes(n: int) -> tuple[int, int]:
@@ -43,11 +55,12 @@ def sizes(n: int) -> tuple[int, int]:
 
 def _units(vectors: pa.Array) -> np.ndarray:
     rows = np.array(vectors.flatten(), np.float64).reshape(len(vectors), -1)
-    return (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)  # squares stay finite
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _floats(units: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(units.to_pylist()), np.float32).reshape(len(units), -1).astype(np.float64)
+def _floats(units: pa.ChunkedArray, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(units.to_pylist()), kind).reshape(len(units), -1).astype(np.float64, copy=False)
 
 
 def usable(v: Column) -> Column:
@@ -57,7 +70,7 @@ def usable(v: Column) -> Column:
 
 
 def _nodes(rows: DataFrame, copies: int) -> DataFrame:
-    """node (least id), members (the least ids of equal vectors, so many), vector, unit (float32 bytes) of each distinct vector."""
+    """node (least id), members (the least ids of equal vectors, so many), vector, unit (float64 bytes) of each distinct vector."""
     first = Window.partitionBy("vector").orderBy("vec_id")
     some = rows.select("vec_id", "vector").withColumn("n", F.row_number().over(first)).where(F.col("n") <= copies)
     nodes = some.groupBy("vector").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_set("vec_id")).alias("members"))
@@ -71,146 +84,249 @@ def _nodes(rows: DataFrame, copies: int) -> DataFrame:
     return nodes.select("node", "members", "vector").mapInArrow(run, f"node long, members array<long>, vector {kind}, unit binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by their first column."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        c = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(c, c[-1]))
-        if held and held[-1].column(0)[-1].as_py() != c[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
+def _codes(units: np.ndarray, tree: int) -> np.ndarray:
+    """On which side of a tree's random hyperplanes each vector is; like vectors come near each other in the order of codes."""
+    planes = np.random.default_rng(1000 + tree).standard_normal((units.shape[1], BITS))
+    return ((units @ planes) > 0) @ (1 << np.arange(BITS, dtype=np.int64)[::-1])
+
+
+def _places(rows: np.ndarray) -> np.ndarray:
+    """The place of each entry of a sorted array among its equals."""
+    return np.arange(len(rows)) - np.searchsorted(rows, rows)
+
+
+def _once(values: np.ndarray) -> np.ndarray:
+    """The values in order, each once."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+class _Lists:
+    """The neighbour lists of a block's nodes: others (-1: none yet), best first, their sims, and which are fresh."""
+
+    def __init__(self, n: int, degree: int) -> None:
+        self.others, self.sims, self.fresh = np.full((n, degree), -1), np.full((n, degree), -3.0), np.zeros((n, degree), bool)
+
+    def offer(self, v: np.ndarray, u: np.ndarray, sim: np.ndarray) -> None:
+        """Put nodes u into the lists of v, where they are not there and nearer than what is."""
+        n, degree = self.others.shape
+        some = ~(self.others[v] == u[:, None]).any(1)
+        v, u, sim = v[some], u[some], sim[some]
+        order = np.lexsort((u, -sim, v))
+        v, u, sim = v[order], u[order], sim[order]
+        some = np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]))[: len(v)]
+        v, u, sim = v[some], u[some], sim[some]
+        place = _places(v)
+        some = place < degree
+        v, u, sim, place = v[some], u[some], sim[some], place[some]
+        rows = _once(v)
+        row = np.searchsorted(rows, v)
+        more = int(place.max(initial=-1)) + 1
+        wide = []
+        for own, offered, none in ((self.others, u, -1), (self.sims, sim, -3.0), (self.fresh, True, False)):
+            both = np.concatenate([own[rows], np.full((len(rows), more), none, own.dtype)], axis=1)
+            both[row, degree + place] = offered
+            wide.append(both)
+        best = np.argsort(-wide[1], axis=1, kind="stable")[:, :degree]
+        for own, both in zip((self.others, self.sims, self.fresh), wide, strict=True):
+            own[rows] = np.take_along_axis(both, best, 1)
+
+    def around(self, chance: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """The group of each node, its neighbours to it and from it (-1 behind the last), fresh ones first; and how many are fresh."""
+        n, degree = self.others.shape
+        held = self.others >= 0
+        v, u, fresh = np.nonzero(held)[0], self.others[held], self.fresh[held]
+        order = np.lexsort((chance.random(len(u)), u))
+        back = order[_places(u[order]) < degree]
+        pair, fresh = np.concatenate([v * n + u, u[back] * n + v[back]]), np.concatenate([fresh, fresh[back]])
+        order = np.lexsort((~fresh, pair))
+        order = order[_places(pair[order]) == 0]
+        v, u, fresh = pair[order] // n, pair[order] % n, fresh[order]
+        order = np.lexsort((~fresh, v))
+        groups = np.full((n, 2 * degree), -1)
+        groups[v[order], _places(v[order])] = u[order]
+        return groups, np.bincount(v, fresh, n).astype(int)
+
+
+def _first(units: np.ndarray, lists: _Lists, trees: int) -> None:
+    """First neighbours: the best among LEAF nodes that follow each other in a tree's codes."""
+    degree = lists.others.shape[1]
+    for t in range(trees):
+        order = np.argsort(_codes(units, t), kind="stable")
+        found = []
+        for lo in range(0, len(order), LEAF):
+            leaf = order[lo : lo + LEAF]
+            k = min(degree, len(leaf) - 1)
+            if k:
+                sim = units[leaf] @ units[leaf].T
+                np.fill_diagonal(sim, -3)
+                best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+                found.append((np.repeat(leaf, k), leaf[best].ravel(), np.take_along_axis(sim, best, 1).ravel()))
+        if found:
+            lists.offer(*map(np.concatenate, zip(*found, strict=True)))
+
+
+def _better(units: np.ndarray, lists: _Lists, chance: np.random.Generator) -> None:
+    """One round: in the group of each node its fresh ones and the others are compared, and each is offered its best EACH of them."""
+    groups, fresh = lists.around(chance)
+    lists.fresh[:] = False
+    least = np.append(np.where(lists.others[:, -1] >= 0, lists.sims[:, -1], -2.0), 9.0)  # nothing is offered to nobody
+    order = np.argsort(-fresh, kind="stable")
+    order = order[fresh[order] > 0]
+    step = max(1, ROOM // (groups.shape[1] * max(groups.shape[1], units.shape[1])))
+    found = []
+    for lo in range(0, len(order), step):
+        group, n = groups[order[lo : lo + step]], fresh[order[lo : lo + step]]
+        group = group[:, : (group >= 0).sum(1).max()]
+        new = group[:, : n.max()].copy()
+        new[np.arange(new.shape[1]) >= n[:, None]] = -1
+        sim = units[new] @ units[group].transpose(0, 2, 1)
+        sim[(new[:, :, None] == group[:, None, :]) | (new < 0)[:, :, None] | (group < 0)[:, None, :]] = -3
+        for one, two, sims in ((new, group, sim), (group, new, sim.transpose(0, 2, 1))):
+            g, i, j = np.nonzero(sims > least[one][:, :, None])
+            s = sims[g, i, j]
+            best = np.lexsort((-s, g * sims.shape[1] + i))
+            best = best[_places((g * sims.shape[1] + i)[best]) < EACH]
+            g, i, j = g[best], i[best], j[best]
+            found.append((one[g, i], two[g, j], s[best]))
+    if found:
+        lists.offer(*map(np.concatenate, zip(*found, strict=True)))
+
+
+def _descent(units: np.ndarray, degree: int, rounds: int | None, trees: int) -> np.ndarray:
+    """The links of each node, its neighbours and as many at most that have it as theirs (-1 behind the last); see graph."""
+    lists, chance, done = _Lists(len(units), degree), np.random.default_rng(1), 0
+    _first(units, lists, trees)
+    while done != rounds:
+        _better(units, lists, chance)
+        done += 1
+        if lists.fresh.sum() <= 0.01 * lists.fresh.size:
+            break
+    held = lists.others >= 0
+    v, u, sim = np.nonzero(held)[0], lists.others[held], lists.sims[held]
+    order = np.lexsort((v, -sim, u))
+    back = order[_places(u[order]) < degree]
+    v, u = np.divmod(_once(np.concatenate([v * len(units) + u, u[back] * len(units) + v[back]])), len(units))
+    links = np.full((len(units), 2 * degree), -1)
+    links[v, _places(v)] = u
+    return links
 
 
-def _compared(rows: DataFrame, each: int) -> DataFrame:
-    """v, u, sim: for rows (centre, node, unit, least, fresh), the best others in its group for each node.
+def graph(nodes: DataFrame, n: int, degree: int = DEGREE, rounds: int | None = None, trees: int = TREES, size: int = BLOCK) -> DataFrame:
+    """block, node, unit, others: n nodes (node, unit) in blocks of about size, with the nodes of the block that each is linked with.
 
-    Only pairs with a fresh one count, and only similarities above what the
-    node's list has (least).
+    Lists of a block improve until under 1 % of their entries change in a round, or for so many rounds.
     """
+    blocks = max(1, -(-n // size))
 
     def run(batches):
         for table in _groups(batches):
-            centre, ids, least, fresh = (np.array(table[k]) for k in ("centre", "node", "least", "fresh"))
-            units = _floats(table["unit"])
-            edge = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1], [True]]))
-            out: list[tuple] = []
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if b - a < 2:
-                    continue
-                i, f = ids[a:b], fresh[a:b]
-                sim = units[a:b] @ units[a:b].T
-                sim[(i[:, None] == i[None, :]) | ~(f[:, None] | f[None, :])] = -3
-                sim[sim <= least[a:b, None]] = -3
-                if b - a > each:
-                    cut = np.partition(sim, -each, axis=1)[:, -each]
-                    sim[sim < cut[:, None]] = -3
-                x, y = np.nonzero(sim > -2)
-                out.append((i[x], i[y], sim[x, y]))
-            if out:
-                v, u, s = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.array(s, pa.float64())], ["v", "u", "sim"])
-
-    rows = rows.select("centre", "node", "unit", "least", "fresh")
-    return rows.repartition("centre").sortWithinPartitions("centre").mapInArrow(run, "v long, u long, sim double")
-
-
-def _best(pairs: DataFrame, by: str, degree: int, order: Column) -> DataFrame:
-    return pairs.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order, "v", "u"))).where(F.col("place") <= degree).drop("place")
-
-
-def _start(nodes: DataFrame, n: int, degree: int, trees: int) -> DataFrame:
-    """First neighbours: the best inside buckets of random hyperplanes, split by chance to bounded size."""
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
+            ids, links = table["node"].to_numpy(), _descent(_floats(table["unit"]), degree, rounds, trees)
+            held = links >= 0
+            others = pa.ListArray.from_arrays(np.append(0, held.sum(1).cumsum()).astype(np.int32), pa.array(ids[links[held]]))
+            yield from pa.table([*table.columns, others], ["block", "node", "unit", "others"]).to_batches()
 
-    def run(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            units = _floats(batch.column(1))
-            for t in range(trees):
-                planes = np.random.default_rng(1000 + t).standard_normal((units.shape[1], bits))
-                code = (((units @ planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64) if bits else np.zeros(len(units), np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code * trees + t)], ["node", "bucket"])
-
-    coded = scratch.table(nodes.select("node", "unit").mapInArrow(run, "node long, bucket long"), "buckets")
-    sizes = coded.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / LEAF).alias("parts"))
-    split = coded.join(sizes, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("node", "bucket"), "parts")).alias("centre"), "node")
-    rows = split.join(nodes.select("node", "unit"), "node").select("centre", "node", "unit", F.lit(-2.0).alias("least"), F.lit(True).alias("fresh"))
-    found = _compared(rows, degree).groupBy("v", "u").agg(F.max("sim").alias("sim"))
-    return _best(found, "v", degree, F.desc("sim")).withColumn("fresh", F.lit(True))
-
-
-def graph(nodes: DataFrame, n: int, degree: int = DEGREE, rounds: int | None = None, trees: int = TREES) -> DataFrame:
-    """v, u, sim: the neighbour lists of n nodes (node, unit), improved until under 1 % of the entries change in a round, or for so many rounds."""
-    spark = nodes.sparkSession
-    now = scratch.table(_start(nodes, n, degree, trees), "graph")
-    for _ in itertools.count() if rounds is None else range(rounds):
-        least = now.groupBy("v").agg(F.min("sim").alias("low"), F.count("*").alias("n"))
-        least = least.select(F.col("v").alias("node"), F.when(F.col("n") >= degree, F.col("low")).otherwise(-2.0).alias("least"))
-        back = _best(now.select("u", "v", "fresh"), "u", degree, F.xxhash64("v", "u"))
-        around = now.select(F.col("v").alias("centre"), F.col("u").alias("node"), "fresh").unionByName(back.select(F.col("u").alias("centre"), F.col("v").alias("node"), "fresh"))
-        around = around.groupBy("centre", "node").agg(F.max("fresh").alias("fresh"))
-        rows = around.join(nodes.select("node", "unit").join(least, "node", "left"), "node").select("centre", "node", "unit", F.coalesce("least", F.lit(-2.0)).alias("least"), "fresh")
-        found = _compared(rows, EACH).withColumn("fresh", F.lit(True)).unionByName(now.withColumn("fresh", F.lit(False)))
-        found = found.groupBy("v", "u").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-        after = scratch.table(_best(found, "v", degree, F.desc("sim")), "graph")
-        scratch.drop_table(spark, now)
-        now = after
-        if now.where("fresh").count() <= 0.01 * n * degree:
-            break
-    return now.drop("fresh")
+    dealt = nodes.select(F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"), "node", "unit")
+    dealt = dealt.repartitionById(blocks, "block").sortWithinPartitions("block", "node")  # a task for each block
+    return dealt.mapInArrow(run, "block int, node long, unit binary, others array<long>")
 
 
-def _similar(rows: DataFrame) -> DataFrame:
-    """start, node, sim from rows (start, node, one, two) of unit vectors."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by their first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        c = batch.column(0).to_numpy()
+        for lo, hi in zip(edges := [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1)], [*edges[1:], len(c)], strict=True):
+            if held and held[-1].column(0)[-1].as_py() != c[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                a, b = _floats(batch.column(2)), _floats(batch.column(3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b), pa.float64())], ["start", "node", "sim"])
 
-    return rows.select("start", "node", "one", "two").mapInArrow(run, "start long, node long, sim double")
+def _walk(asked: np.ndarray, units: np.ndarray, links: np.ndarray, entries: np.ndarray, beam: int, width: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of each query's last beam, best first (-1 behind the last), and their sims; see search."""
+    n, q, step = len(units), len(asked), max(1, ROOM // units.shape[1])
+    met = np.zeros(q * n, bool)
+    nodes, sims, opened = np.full((q, beam), -1), np.full((q, beam), -3.0), np.ones((q, beam), bool)
+    rows, offered = np.arange(q), entries  # the nodes that the queries of these rows come by
+    while len(rows):
+        pair = (rows[:, None] * n + offered)[offered >= 0]
+        pair = _once(pair[~met[pair]])
+        met[pair] = True
+        row, node = np.divmod(pair, n)
+        sim = np.zeros(len(pair))
+        for lo in range(0, len(pair), step):
+            sim[lo : lo + step] = np.einsum("ij,ij->i", asked[row[lo : lo + step]], units[node[lo : lo + step]])
+        some = sim > sims[row, -1]
+        row, node, sim = row[some], node[some], sim[some]
+        place = _places(row)
+        more = int(place.max(initial=-1)) + 1
+        wide = [np.concatenate([own, np.full((q, more), none, own.dtype)], axis=1) for own, none in ((nodes, -1), (sims, -3.0), (opened, True))]
+        for own, values in zip(wide, (node, sim, False), strict=True):
+            own[row, beam + place] = values
+        best = np.argsort(-wide[1], axis=1, kind="stable")[:, :beam]
+        nodes, sims, opened = (np.take_along_axis(own, best, 1) for own in wide)
+        now = ~opened & (np.cumsum(~opened, axis=1) <= (beam if width is None else width))
+        opened |= now
+        rows, at = np.nonzero(now)
+        offered = links[nodes[rows, at]]
+    return nodes, sims
+
+
+def _walked(queries: DataFrame, graphs: DataFrame, blocks: int, beam: int, width: int | None, keep: int | None, kind: type = np.float64) -> DataFrame:
+    """start, node, sim: what the queries (start, one) find in each block of graphs, their whole beams, or the best so many and their ties."""
+
+    def run(graph: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(graph) and len(asked):
+            graph, asked = graph.sort_by("node"), asked.sort_by("start")
+            ids, units, starts = graph["node"].to_numpy(), _floats(graph["unit"], kind), asked["start"].to_numpy()
+            others = graph["others"].combine_chunks()
+            count = pc.list_value_length(others).to_numpy()
+            v = np.repeat(np.arange(len(ids)), count)
+            links = np.full((len(ids), max(1, count.max())), -1)
+            links[v, _places(v)] = np.searchsorted(ids, others.flatten().to_numpy())
+            trees = []
+            for t in range(TREES):
+                codes = _codes(units, t)
+                order = np.argsort(codes, kind="stable")
+                trees.append((order, codes[order]))
+            for lo in range(0, len(starts), TOGETHER):
+                some, one = starts[lo : lo + TOGETHER], _floats(asked["one"].slice(lo, TOGETHER), kind)
+                own = np.minimum(np.searchsorted(ids, some), len(ids) - 1)
+                entries = [np.where(ids[own] == some, own, -1)[:, None]]
+                for t, (order, codes) in enumerate(trees):
+                    first = np.searchsorted(codes, _codes(one, t)) - ENTRIES // 2
+                    entries.append(order[np.clip(first[:, None] + np.arange(ENTRIES), 0, len(ids) - 1)])
+                nodes, sims = _walk(one, units, links, np.concatenate(entries, axis=1), beam, width)
+                least = sims[:, min(keep, beam) - 1] - SAME if keep else np.full(len(some), -2.5)
+                row, place = np.nonzero((nodes >= 0) & (sims >= least[:, None]))
+                out.append((some[row], ids[nodes[row, place]], sims[row, place]))
+        return pa.table(dict(zip(("start", "node", "sim"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    asked = queries.select("start", "one", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    # A number of partitions that is named keeps Spark from joining blocks to one task; of four times their number, few get two.
+    graphs, asked = (x.repartition(4 * blocks, "block").groupBy("block") for x in (graphs, asked))
+    return graphs.cogroup(asked).applyInArrow(run, "start long, node long, sim double")
 
 
 def search(starts: DataFrame, nodes: DataFrame, links: DataFrame, beam: int = BEAM, width: int | None = None) -> DataFrame:
-    """start, node, sim: the best nodes that greedy search finds from each start node (a column start), itself among them.
+    """start, node, sim: the best nodes that greedy search finds in one graph (node, unit of float32 bytes; links v, u) from each start node (a column start), itself among them.
 
     A step opens the best unopened nodes of each beam, width of them or all, the
     beam being the best nodes met so far; what has been met is kept, so no node is
     compared twice with a start.  The search ends when every node of every beam
     is opened: beams only get better, so it does end.
     """
-    spark = nodes.sparkSession
-    unit = nodes.select("node", "unit")
-    links = scratch.table(links.groupBy("v").agg(F.collect_set("u").alias("others")), "search-links")  # twice the degree at most
-    own = scratch.table(starts.join(unit.withColumnsRenamed({"node": "start", "unit": "one"}), "start").select("start", "one"), "search-starts")
-    best = Window.partitionBy("start").orderBy(F.desc("sim"), "node")
-
-    def chosen(rows: DataFrame) -> DataFrame:
-        waiting = F.sum((~F.col("opened")).cast("int")).over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranked = rows.withColumns({"place": F.row_number().over(best), "waiting": waiting}).where(F.col("place") <= beam)
-        return ranked.select("start", "node", "sim", "opened", (~F.col("opened") & (F.col("waiting") <= (beam if width is None else width))).alias("next"))
-
-    now = scratch.table(chosen(starts.select("start", F.col("start").alias("node"), F.lit(1.0).alias("sim"), F.lit(False).alias("opened"))), "search")
-    met = now.select("start", "node")
-    while now.where("next").head(1):
-        front = now.where("next").select("start", F.col("node").alias("v"))
-        seen = front.join(links, "v").select("start", F.explode("others").alias("node")).distinct()
-        new = seen.join(met, ["start", "node"], "left_anti")
-        new = scratch.table(_similar(new.join(unit.withColumnRenamed("unit", "two"), "node").join(own, "start")), "search-met")
-        both = now.select("start", "node", "sim", (F.col("opened") | F.col("next")).alias("opened")).unionByName(new.withColumn("opened", F.lit(False)))
-        now, met = scratch.table(chosen(both), "search"), met.unionByName(new.select("start", "node"))
-    return now.select("start", "node", "sim")
+    own = starts.join(nodes.select(F.col("node").alias("start"), F.col("unit").alias("one")), "start")
+    others = links.groupBy("v").agg(F.collect_set("u").alias("others"))
+    graphs = nodes.select("node", "unit").join(others, F.col("node") == F.col("v"), "left")
+    graphs = graphs.select(F.lit(0).alias("block"), "node", "unit", F.coalesce("others", F.array().cast("array<bigint>")).alias("others"))
+    return _walked(own, graphs, 1, beam, width, None, np.float32)
 
 
 def _cosine(a: Column, b: Column) -> Column:
@@ -242,14 +358,18 @@ def nearest(
     rows = rows.where(F.size("vector") == (length.d if length else 0))
     nodes = scratch.table(_nodes(rows, k + 1), "nodes")
     n = nodes.count()
-    degree, beam = degree or sizes(n)[0], beam or sizes(n)[1]
-    forward = graph(nodes, n, degree, rounds)
-    back = _best(forward, "u", degree, F.desc("sim")).select(F.col("u").alias("v"), F.col("v").alias("u"))
-    links = scratch.table(forward.select("v", "u").unionByName(back).distinct(), "links")
+    size = max(2, min(BLOCK, BLOCK_BYTES // (8 * max(1, length.d if length else 1))))
+    degree, beam = degree or sizes(min(n, size))[0], beam or sizes(min(n, size))[1]
+    graphs = scratch.table(graph(nodes, n, degree, rounds, size=size), "graphs")
     queries = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "vector").distinct()
     queries = scratch.table(queries.join(nodes.select("vector", "node"), "vector").select("query_id", F.col("node").alias("start"), F.col("vector").alias("asked")), "queries")
-    found = search(queries.select("start").distinct(), nodes, links, beam)
-    pairs = queries.join(found.select("start", "node"), "start").join(nodes.select("node", "members", "vector"), "node")
+    asked = nodes.join(queries.select(F.col("start").alias("node")).distinct(), "node").select(F.col("node").alias("start"), F.col("unit").alias("one"))
+    found = _walked(asked, graphs, max(1, -(-n // size)), max(beam, k + 1), WIDTH, k + 1)
+    # Of all blocks: the best k, the query's own node, and what may tie with the last of them.
+    best = found.groupBy("start").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "node"))).alias("best"))
+    last = F.coalesce(F.get("best", F.lit(k))["far"], F.lit(2.0)) + SAME
+    found = best.select("start", F.explode(F.filter("best", lambda x: x.far <= last)).alias("one")).select("start", "one.node")
+    pairs = queries.join(found, "start").join(nodes.select("node", "members", "vector"), "node")
     scored = pairs.select("query_id", F.explode("members").alias("vec_id"), _cosine(F.col("asked"), F.col("vector")).alias("score")).where("query_id <> vec_id")
     scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")

@@ -256,6 +256,48 @@ def test_search_goes_on_until_every_node_is_opened(spark):
     assert neighbours.sizes(1000) == (32, 128) and neighbours.sizes(10**9) == (60, 240)
 
 
+def test_neighbours_of_many_blocks_in_few_jobs(spark, monkeypatch):
+    """Building and searching take no job for each round or step, and what is shuffled follows the vectors, not the pairs that are compared."""
+    from quarry.llm import scratch
+
+    rng = np.random.default_rng(6)
+    near = rng.standard_normal((20, 64)).repeat(10, 0) + 0.003 * rng.standard_normal((200, 64))  # alike, but dealt to all blocks
+    v = np.float32(np.concatenate([rng.standard_normal((2000, 64)), near]))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    written, table = [], scratch.table
+    monkeypatch.setattr(scratch, "table", lambda df, label: written.append(table(df, label)) or written[-1])
+    monkeypatch.setattr(neighbours, "BLOCK", 300, raising=False)
+    spark.sparkContext.setJobGroup("neighbours", "")
+    found = neighbours.nearest(df, lambda i: i % 20 == 0, 5).collect()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("neighbours")) <= 30
+    spark.sparkContext.setJobGroup("", "")
+    assert sum(t.count() for t in written) <= 3 * len(v)
+    sizes = [r["count"] for r in written[1].groupBy("block").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 400
+    unit = np.float64(v) / np.linalg.norm(np.float64(v), axis=1, keepdims=True)
+    got = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append(r.vec_id)
+        assert abs(r.score - unit[r.query_id] @ unit[r.vec_id]) < 1e-12
+    hits = 0
+    for q in range(0, len(v), 20):
+        sims = unit @ unit[q]
+        sims[q] = -3
+        want = np.argsort(-sims)[:5].tolist()
+        assert len(got[q]) == 5 and (q < 2000 or got[q] == want)
+        hits += len(set(got[q]) & set(want))
+    assert hits >= 0.95 * 5 * len(got)
+
+
+def test_a_walk_finds_its_way_from_far_and_compares_nothing_twice():
+    t = np.arange(200) / 70
+    units = np.stack([np.cos(t), np.sin(t)], axis=1)
+    links = np.stack([np.arange(200) - 1, np.append(np.arange(1, 200), -1)], axis=1)  # a path
+    nodes, sims = neighbours._walk(units[[0, 150]], units, links, np.array([[199], [3]]), 10, 2)
+    assert nodes[0].tolist() == list(range(10)) and set(nodes[1].tolist()) >= set(range(147, 154))
+    assert np.allclose(sims[0], units[:10] @ units[0]) and len(set(nodes[1].tolist())) == 10
+
+
 # Pages -------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "<p>no</p>";</script></head>
