@@ -7,8 +7,11 @@ measure, score in [0, 1] and rank from 1.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,7 @@ TIES = ("path", "start_line", "chunk_seq")
 SLIM = (*TIES, "chunk_type", "language", "branch")  # what ties and filters ask, kept with postings
 FETCH = ("chunk_id", "bucket")  # what finds a chunk's row; the bucket, where there is one, prunes the scan
 SMALL = 10_000  # rows of a result up to which it is broadcast
+GATHER = 1 << 20  # tokens of rows whose postings are gathered at once
 
 
 def resolve_mode(mode: str | None, query_text: str | None, query_vector: Sequence[float] | None) -> str:
@@ -112,6 +116,51 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", keep: Sequence[str] =
     return rows.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), *(F.any_value(c).alias(c) for c in ("dl", *keep)))
 
 
+def gathered(chunks: DataFrame, per_block: int, id_col: str = "chunk_id", most: int = GATHER) -> DataFrame:
+    """term, block, cf, ids, tfs, dls: the inverted index as lists, where every id (a long) comes once.
+
+    A list has the postings of a term in one range of per_block ids (a block),
+    as far as they are among rows that come together, of so many tokens at most
+    or one row; its ids ascend, and cf is the sum of its tfs.  Nothing is
+    shuffled, and a row of text makes no row for each of its terms.
+    """
+
+    def run(batches):
+        for batch in batches:
+            ids, ts = batch.column(0).to_numpy(), batch.column(1)
+            ends = pc.list_value_length(ts).to_numpy().cumsum()
+            lo = 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+                yield from _lists(ids[lo:hi], ts.slice(lo, hi - lo), per_block)
+                lo = hi
+
+    t = chunks.select(id_col, F.split(F.lower(F.coalesce("text", F.lit(""))), TOKENS).alias("ts"))
+    return t.mapInArrow(run, "term string, block long, cf long, ids array<long>, tfs array<int>, dls array<int>")
+
+
+def _lists(ids: np.ndarray, ts: pa.Array, per_block: int) -> Iterator[pa.RecordBatch]:
+    words = ts.flatten().dictionary_encode()
+    order = np.argsort(ids)
+    ids, place = ids[order], np.argsort(order)
+    row, code = np.repeat(place, pc.list_value_length(ts).to_numpy()), words.indices.to_numpy()
+    if (none := pc.index(words.dictionary, "").as_py()) >= 0:  # splitting leaves it at both ends
+        row, code = row[code != none], code[code != none]
+    if not len(row):
+        return
+    dls = np.bincount(row, minlength=len(ids)).astype(np.int32)
+    pair = np.sort(code * np.int64(len(ids)) + row)
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    tfs = np.diff(np.append(first, len(pair)))
+    code, row = np.divmod(pair[first], len(ids))
+    block = ids[row] // per_block
+    cut = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])))
+    offsets = pa.array(np.append(cut, len(code)), pa.int32())
+    columns = [words.dictionary.take(pa.array(code[cut])), pa.array(block[cut]), pa.array(np.add.reduceat(tfs, cut))]
+    columns += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[row], tfs.astype(np.int32), dls[row])]
+    yield pa.RecordBatch.from_arrays(columns, ["term", "block", "cf", "ids", "tfs", "dls"])
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: n chunks and their mean length in tokens."""
     return chunks.agg(F.count("*").alias("n"), F.avg(n_tokens(F.col("text"))).alias("avgdl"))

@@ -105,6 +105,38 @@ def test_index_is_what_the_library_counts(spark, tmp_path):
     assert rows(keyword_index.postings(spark, out)) == before
 
 
+def test_index_keeps_lists_and_not_a_row_for_each_posting(spark, tmp_path):
+    """Ids in no order, negative ones too, over many files and small batches: lists of a term and block are merged where they meet, in order."""
+    source, out, settings = str(tmp_path / "in"), str(tmp_path / "out"), keyword_index.Settings(documents_per_block=64, buckets=4)
+    docs = documents(spark).select((F.col("doc_id") * 7 - 300).alias("doc_id"), "text").orderBy(F.xxhash64("doc_id"))
+    docs.repartition(5).write.parquet(source)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.maxConcurrentOutputFileWriters")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+        wrote = keyword_index.run(spark, source, out, settings)
+        assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before["spark.sql.maxConcurrentOutputFileWriters"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got, want = keyword_index.postings(spark, out), search.postings(docs, "doc_id")
+    assert rows(got.select("term", "doc_id", "tf", "dl")) == rows(want.selectExpr("term", "chunk_id doc_id", "tf", "CAST(dl AS long) dl"))
+    assert got.where("block <> floor(doc_id / 64)").count() == 0
+    stats = search.corpus_stats(docs).first()
+    assert wrote["tokens"] == round(stats.avgdl * stats.n) and wrote["terms"] == want.select("term").distinct().count()
+    idf = F.log(1 + (stats.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (search.K1 + 1) / (F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("dl") / stats.avgdl))
+    assert got.where(F.abs(weight - F.col("weight")) > 1e-12).count() == 0
+    kept = spark.read.parquet(f"{out}/postings")
+    blocks = spark.read.parquet(f"{out}/blocks")
+    assert kept.count() == blocks.count() < wrote["postings"]
+    assert rows(blocks.select("term", "block", "most", "n")) == rows(got.groupBy("term", "block").agg(F.max("weight").alias("most"), F.count("*").alias("n")))
+    for f in Path(out, "postings").rglob("*.parquet"):
+        read = spark.read.parquet(str(f)).select("term", "block", "ids").collect()
+        assert all(list(r.ids) == sorted(r.ids) for r in read)
+        keys = [(r.term.encode(), r.block) for r in read]
+        assert keys == sorted(set(keys))
+
+
 def test_lookup_reads_its_buckets_and_ranks_like_the_library(spark, tmp_path):
     docs, out = documents(spark), str(tmp_path / "out")
     keyword_index.run(spark, f"{SF}/documents.parquet", out)
