@@ -26,6 +26,7 @@ none of them is missed.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -249,7 +250,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _walk(asked: np.ndarray, units: np.ndarray, links: np.ndarray, entries: np.ndarray, beam: int, width: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of each query's last beam, best first (-1 behind the last), and their sims; see search."""
-    n, q, step = len(units), len(asked), max(1, ROOM // units.shape[1])
+    n, q = len(units), len(asked)
     met = np.zeros(q * n, bool)
     nodes, sims, opened = np.full((q, beam), -1), np.full((q, beam), -3.0), np.ones((q, beam), bool)
     rows, offered = np.arange(q), entries  # the nodes that the queries of these rows come by
@@ -259,8 +260,10 @@ def _walk(asked: np.ndarray, units: np.ndarray, links: np.ndarray, entries: np.n
         met[pair] = True
         row, node = np.divmod(pair, n)
         sim = np.zeros(len(pair))
-        for lo in range(0, len(pair), step):
-            sim[lo : lo + step] = np.einsum("ij,ij->i", asked[row[lo : lo + step]], units[node[lo : lo + step]])
+        ends = np.searchsorted(row, np.arange(q + 1)).tolist()
+        for k, (lo, hi) in enumerate(itertools.pairwise(ends)):
+            if hi > lo:
+                sim[lo:hi] = units[node[lo:hi]] @ asked[k]
         some = sim > sims[row, -1]
         row, node, sim = row[some], node[some], sim[some]
         place = _places(row)
@@ -280,38 +283,41 @@ def _walk(asked: np.ndarray, units: np.ndarray, links: np.ndarray, entries: np.n
 def _walked(queries: DataFrame, graphs: DataFrame, blocks: int, beam: int, width: int | None, keep: int | None, kind: type = np.float64) -> DataFrame:
     """start, node, sim: what the queries (start, one) find in each block of graphs, their whole beams, or the best so many and their ties."""
 
-    def run(graph: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if len(graph) and len(asked):
-            graph, asked = graph.sort_by("node"), asked.sort_by("start")
-            ids, units, starts = graph["node"].to_numpy(), _floats(graph["unit"], kind), asked["start"].to_numpy()
-            others = graph["others"].combine_chunks()
-            count = pc.list_value_length(others).to_numpy()
-            v = np.repeat(np.arange(len(ids)), count)
-            links = np.full((len(ids), max(1, count.max())), -1)
-            links[v, _places(v)] = np.searchsorted(ids, others.flatten().to_numpy())
-            trees = []
-            for t in range(TREES):
-                codes = _codes(units, t)
-                order = np.argsort(codes, kind="stable")
-                trees.append((order, codes[order]))
-            for lo in range(0, len(starts), TOGETHER):
-                some, one = starts[lo : lo + TOGETHER], _floats(asked["one"].slice(lo, TOGETHER), kind)
-                own = np.minimum(np.searchsorted(ids, some), len(ids) - 1)
-                entries = [np.where(ids[own] == some, own, -1)[:, None]]
-                for t, (order, codes) in enumerate(trees):
-                    first = np.searchsorted(codes, _codes(one, t)) - ENTRIES // 2
-                    entries.append(order[np.clip(first[:, None] + np.arange(ENTRIES), 0, len(ids) - 1)])
-                nodes, sims = _walk(one, units, links, np.concatenate(entries, axis=1), beam, width)
-                least = sims[:, min(keep, beam) - 1] - SAME if keep else np.full(len(some), -2.5)
-                row, place = np.nonzero((nodes >= 0) & (sims >= least[:, None]))
-                out.append((some[row], ids[nodes[row, place]], sims[row, place]))
-        return pa.table(dict(zip(("start", "node", "sim"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    asked = queries.select("start", "one", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    # A number of partitions that is named keeps Spark from joining blocks to one task; of four times their number, few get two.
-    graphs, asked = (x.repartition(4 * blocks, "block").groupBy("block") for x in (graphs, asked))
-    return graphs.cogroup(asked).applyInArrow(run, "start long, node long, sim double")
+    def run(batches):
+        batches = [b for b in batches if len(b)]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches).sort_by("node")  # of one block
+        query = pc.is_null(table["others"])
+        graph, asked = table.filter(pc.invert(query)), table.filter(query)
+        if not len(graph) or not len(asked):
+            return
+        ids, units, starts = graph["node"].to_numpy(), _floats(graph["unit"], kind), asked["node"].to_numpy()
+        others = graph["others"].combine_chunks()
+        count = pc.list_value_length(others).to_numpy()
+        v = np.repeat(np.arange(len(ids)), count)
+        links = np.full((len(ids), max(1, count.max())), -1)
+        links[v, _places(v)] = np.searchsorted(ids, others.flatten().to_numpy())
+        trees = []
+        for t in range(TREES):
+            codes = _codes(units, t)
+            order = np.argsort(codes, kind="stable")
+            trees.append((order, codes[order]))
+        for lo in range(0, len(starts), TOGETHER):
+            some, one = starts[lo : lo + TOGETHER], _floats(asked["unit"].slice(lo, TOGETHER), kind)
+            own = np.minimum(np.searchsorted(ids, some), len(ids) - 1)
+            entries = [np.where(ids[own] == some, own, -1)[:, None]]
+            for t, (order, codes) in enumerate(trees):
+                first = np.searchsorted(codes, _codes(one, t)) - ENTRIES // 2
+                entries.append(order[np.clip(first[:, None] + np.arange(ENTRIES), 0, len(ids) - 1)])
+            nodes, sims = _walk(one, units, links, np.concatenate(entries, axis=1), beam, width)
+            least = sims[:, min(keep, beam) - 1] - SAME if keep else np.full(len(some), -2.5)
+            row, place = np.nonzero((nodes >= 0) & (sims >= least[:, None]))
+            yield pa.RecordBatch.from_arrays([pa.array(some[row]), pa.array(ids[nodes[row, place]]), pa.array(sims[row, place])], ["start", "node", "sim"])
+
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("start").alias("node"), F.col("one").alias("unit"), F.lit(None).cast("array<bigint>").alias("others"))
+    both = graphs.select("block", "node", "unit", "others").unionByName(asked)
+    return both.repartitionById(blocks, "block").mapInArrow(run, "start long, node long, sim double")  # a task for each block
 
 
 def search(starts: DataFrame, nodes: DataFrame, links: DataFrame, beam: int = BEAM, width: int | None = None) -> DataFrame:
